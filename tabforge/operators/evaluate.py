@@ -248,24 +248,22 @@ def metrics_clustering(df: DataFrame, features: list[str], cluster: str) -> Data
             best = max(best, val)
         db_terms.append(best)
     db = sum(db_terms) / K
-    # squared-Euclidean silhouette from the per-cluster sums
-    dots = []
+    # squared-Euclidean silhouette from the per-cluster sums: an array of K mean squared
+    # distances per row (linear-size expression), own cluster picked by index
+    msq = []
     for k in keys:
         dot_k = sum((x[i] * F.lit(float(ssum[k][i])) for i in range(d)), F.lit(0.0))
-        mean_sq = sq - 2.0 * dot_k / size[k] + F.lit(qsum[k] / size[k])
-        dots.append((k, mean_sq))
-    own = F.col(cluster)
-    a_expr = F.lit(None).cast("double")
-    b_expr = F.lit(None).cast("double")
-    for k, ms in dots:
-        nk = size[k]
-        a_k = F.when(F.lit(nk) > 1, ms * nk / (nk - 1)).otherwise(F.lit(0.0))
-        a_expr = F.when(own == F.lit(k), a_k).otherwise(a_expr)
-        b_expr = F.when(own != F.lit(k), F.when(b_expr.isNull(), ms).otherwise(F.least(b_expr, ms))).otherwise(b_expr)
-    sil_pt = F.when(F.col("__a") == F.col("__b"), F.lit(0.0)).otherwise(
+        msq.append(sq - 2.0 * dot_k / size[k] + F.lit(qsum[k] / size[k]))
+    pos = F.create_map(*[v for j, k in enumerate(keys) for v in (F.lit(k), F.lit(j))])[F.col(cluster)]
+    sizes = F.array(*[F.lit(size[k]) for k in keys])
+    pts = df.select(F.array(*msq).alias("__m"), pos.alias("__p"))
+    own_n = F.element_at(sizes, F.col("__p") + 1)
+    own_m = F.element_at(F.col("__m"), F.col("__p") + 1)
+    a = F.when(own_n > 1, own_m * own_n / (own_n - 1)).otherwise(F.lit(0.0))
+    b = F.array_min(F.transform(F.col("__m"), lambda v, i: F.when(i == F.col("__p"), F.lit(None)).otherwise(v)))
+    pts = pts.select(a.alias("__a"), b.alias("__b"), own_n.alias("__n"))
+    sil_pt = F.when((F.col("__n") <= 1) | (F.col("__a") == F.col("__b")), F.lit(0.0)).otherwise(
         (F.col("__b") - F.col("__a")) / F.greatest(F.col("__a"), F.col("__b")))
-    own_size = F.create_map(*[v for k in keys for v in (F.lit(k), F.lit(size[k]))])[F.col(cluster)]
-    sil_pt = F.when(own_size <= 1, F.lit(0.0)).otherwise(sil_pt)
-    sil = df.select(F.col(cluster), a_expr.alias("__a"), b_expr.alias("__b")).agg(F.avg(sil_pt).alias("s")).collect()[0]["s"]
+    sil = pts.agg(F.avg(sil_pt).alias("s")).collect()[0]["s"]
     return spark.createDataFrame([(float(sil), float(db), float(ch))],
                                  "silhouette double, davies_bouldin double, calinski_harabasz double")

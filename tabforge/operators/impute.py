@@ -152,9 +152,12 @@ def fit_fallback(raw_profile: dict) -> Stage:
 @register("fallback")
 def _apply_fallback(df, p):
     out = []
+    skip = p.get("skip_prefix")
     for f in df.schema.fields:
         c = f.name
-        if c in p["fills"]:
+        if skip and c.startswith(skip):
+            out.append(F.col(c))
+        elif c in p["fills"]:
             v = p["fills"][c]
             if role_of(f.dataType) == NUMERIC:
                 out.append(F.when(missing(df, c), F.lit(float(v))).otherwise(F.col(c).cast("double")).alias(c))

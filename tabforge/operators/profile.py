@@ -287,6 +287,14 @@ def raw_profile(df: DataFrame, quantile_method: str = "auto") -> dict:
     r = df.agg(*aggs).collect()[0] if aggs else None
     counts = {(c,): r[f"n{i}"] for i, c in enumerate(num)} if num else {}
     med = quantiles(df, num, [0.5], method=quantile_method, counts=counts) if num else {}
+    # refine each mean with the mean residual (one more fused pass): the naive parallel sum can
+    # sit an ulp off, which flips a value sitting on a rounding tie
+    means = {c: r[f"a{i}"] for i, c in enumerate(num)}
+    live = [c for c in num if means[c] is not None]
+    if live:
+        rr = df.agg(*[F.avg(F.col(c).cast("double") - F.lit(means[c])).alias(f"e{i}") for i, c in enumerate(live)]).collect()[0]
+        for i, c in enumerate(live):
+            means[c] = means[c] + (rr[f"e{i}"] or 0.0)
     out = {"columns": list(df.columns), "dtypes": {f.name: f.dataType.simpleString() for f in df.schema.fields},
            "numeric": {}, "categorical": {}}
     for i, c in enumerate(num):
@@ -294,7 +302,7 @@ def raw_profile(df: DataFrame, quantile_method: str = "auto") -> dict:
         if n == 0:
             out["numeric"][c] = {"min": 0.0, "max": 1.0, "mean": 0.0, "median": 0.0, "std": 1.0}
         else:
-            out["numeric"][c] = {"min": r[f"lo{i}"], "max": r[f"hi{i}"], "mean": r[f"a{i}"],
+            out["numeric"][c] = {"min": r[f"lo{i}"], "max": r[f"hi{i}"], "mean": means[c],
                                  "median": med[(c, (), 0.5)], "std": r[f"s{i}"] if n > 1 else 1.0}
     for j, c in enumerate(cat):
         out["categorical"][c] = {"n_distinct": r[f"cd{j}"], "first": r[f"cf{j}"]}

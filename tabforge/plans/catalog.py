@@ -28,7 +28,9 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), places).alias(f.name)
+    """round(x * 10^p) / 10^p: the same double arithmetic as the SQL side, so ties land alike."""
+    k = float(10 ** places)
+    return df.select(*[(F.round(F.col(f.name) * k, 0) / k).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 

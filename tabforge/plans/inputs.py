@@ -70,3 +70,16 @@ LK_SQL = ("(SELECT *, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_supp
 OF_SQL = ("(SELECT *, CAST(o_orderdate >= TIMESTAMP '1990-01-01' AS INTEGER) AS o_after_1990, "
           "CASE WHEN o_totalprice < 0 THEN o_orderpriority END AS o_neg_priority FROM orders)")
 LD_SQL = "(SELECT d.doc_id, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+def add_lineitem_key_and_nulls(li: DataFrame) -> DataFrame:
+    """Row-wise (stream-safe) form of ``lineitem_keyed_nulls`` applied to any lineitem frame."""
+    out = li.select(*[F.when(F.col("l_orderkey") % 10 == 3, F.lit(None).cast("double")).otherwise(F.col(c)).alias(c)
+                      if c == "l_quantity" else F.col(c) for c in li.columns])
+    return out.withColumn("l_key", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                               F.round(F.col("l_extendedprice") * 100).cast("long")))
+
+
+def lineitem_keyed_nulls(spark, sf) -> DataFrame:
+    """lineitem with the l_quantity NULL rule and the row key ``l_key``."""
+    return add_lineitem_key_and_nulls(table(spark, sf, "lineitem"))

@@ -113,11 +113,7 @@ class Pipeline:
 
     def _fallback(self, df):
         fb = fit_fallback(self.raw)
-        protected = {c for c in df.columns if c.startswith("__keep_")}
-        fills = {c: v for c, v in fb.params["fills"].items() if c not in protected}
-        st = Stage("fallback", {"fills": fills})
-        cols = [c for c in df.columns if c not in protected]
-        return st.apply(df.select(*cols)).select("*", *[F.col(c) for c in protected]) if protected else st.apply(df)
+        return Stage("fallback", {"fills": fb.params["fills"], "skip_prefix": "__keep_"}).apply(df)
 
     def to_json(self) -> str:
         return json.dumps({"raw": self.raw, "target": self.target, "problem_type": self.problem_type,
