@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-# Below this many values per group the built-in exact `percentile` aggregate is used
-# (one pass); above it the histogram narrowing below, whose memory does not grow with n.
-BUILTIN_PERCENTILE_LIMIT = 2_000_000
+# Below this estimated input size the built-in exact `percentile` aggregate is used (one pass,
+# but a value->count map per group that is merged in one task); above it the histogram
+# narrowing below, whose memory does not grow with the data.
+BUILTIN_PERCENTILE_BYTES = 1 << 30
 HIST_BUCKETS = 4096
 COLLECT_LIMIT = 100_000
 
@@ -137,6 +138,14 @@ def order_statistics(long_df: DataFrame, gcols: list[str], requests: dict, stats
     return result
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the plan (from file sizes; no job is run)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable: assume large
+        return 1 << 62
+
+
 def quantile_ranks(n: int, p: float):
     """0-based ranks and weight of the linear (pandas / quantile_cont) interpolation."""
     h = (n - 1) * p
@@ -162,11 +171,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], group_cols: li
     """
     group_cols = group_cols or []
     if method == "auto":
-        if counts is None:
-            counts_row = df.agg(F.count(F.lit(1)).alias("n")).collect()[0]["n"]
-        else:
-            counts_row = max(counts.values()) if counts else 0
-        method = "builtin" if counts_row <= BUILTIN_PERCENTILE_LIMIT else "select"
+        method = "builtin" if estimated_bytes(df) <= BUILTIN_PERCENTILE_BYTES else "select"
     out = {}
     if method == "builtin":
         aggs = [F.percentile(F.col(c).cast("double"), list(probs)).alias(f"__q{i}") for i, c in enumerate(cols)]
@@ -180,7 +185,8 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], group_cols: li
         return out
     long = long_form(df, cols, group_cols)
     gcols = ["__c"] + group_cols
-    stats = group_stats(long, gcols)
+    stats = {(cols.index(k[0]),) + tuple(k[1:]): v for k, v in counts.items()} if (
+        counts and not group_cols and all(isinstance(v, tuple) for v in counts.values())) else group_stats(long, gcols)
     requests = defaultdict(set)
     plan = {}
     for g, (n, _mn, _mx) in stats.items():

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
@@ -49,16 +50,16 @@ class SparkModel:
             depth = MAX_TREE_DEPTH
         kind = self.kind
         if kind == "clf_random_forest":
-            return C.RandomForestClassifier(featuresCol=fc, labelCol=lc, numTrees=int(p.get("n_estimators", 100)),
+            return C.RandomForestClassifier(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=True, numTrees=int(p.get("n_estimators", 100)),
                                             maxDepth=depth, minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=42)
         if kind == "reg_random_forest":
-            return R.RandomForestRegressor(featuresCol=fc, labelCol=lc, numTrees=int(p.get("n_estimators", 100)),
+            return R.RandomForestRegressor(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=True, numTrees=int(p.get("n_estimators", 100)),
                                            maxDepth=depth, minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=42)
         if kind == "clf_decision_tree":
-            return C.DecisionTreeClassifier(featuresCol=fc, labelCol=lc, maxDepth=depth,
+            return C.DecisionTreeClassifier(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=True, maxDepth=depth,
                                             minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=42)
         if kind == "reg_decision_tree":
-            return R.DecisionTreeRegressor(featuresCol=fc, labelCol=lc, maxDepth=depth,
+            return R.DecisionTreeRegressor(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=True, maxDepth=depth,
                                            minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=42)
         if kind == "clf_logistic":
             c = float(p.get("C", 1.0))
@@ -102,8 +103,16 @@ class SparkModel:
             label = self._index(F.col(target))
         else:
             label = F.col(target).cast("double")
-        data = _assemble(base.withColumn("__label", label), self.features)
-        self.model = self._estimator(n, sd, len(self.classes)).fit(data)
+        data = _assemble(base.withColumn("__label", label), self.features).select("__features", "__label")
+        par = data.sparkSession.sparkContext.defaultParallelism
+        if data.rdd.getNumPartitions() < par:
+            data = data.repartition(par)
+        # iterative learners make many passes: keep the two-column training table (spills to disk)
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self.model = self._estimator(n, sd, len(self.classes)).fit(data)
+        finally:
+            data.unpersist()
         return self
 
     def _index(self, col):

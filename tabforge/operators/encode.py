@@ -41,8 +41,10 @@ def fit_one_hot(df: DataFrame, cols: list[str], cap: int = 30, keep: int = 29) -
     enc = {}
     for c in cols:
         vc = df.groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        top = vc.where(F.col("v").isNotNull()).orderBy(F.desc("n"), "v").limit(cap + 1).collect()
-        has_null = vc.where(F.col("v").isNull()).limit(1).count() > 0
+        # one job: the NULL group (if any) first, then the cap + 1 most frequent values
+        got = vc.orderBy(F.col("v").isNull().desc(), F.desc("n"), "v").limit(cap + 2).collect()
+        has_null = bool(got) and got[0]["v"] is None
+        top = [r for r in got if r["v"] is not None][: cap + 1]
         if len(top) > cap:
             cats = [r["v"] for r in top[:keep]]
             enc[c] = {"categories": sorted(cats + ["Other"]), "other": True, "null_dummy": False}

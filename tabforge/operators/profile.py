@@ -126,7 +126,7 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, places: int =
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.skewness(x).alias(f"g{i}"),
                  F.kurtosis(x).alias(f"k{i}")]
     r = df.agg(*aggs).collect()[0] if cols else None
-    counts = {(c,): r[f"n{i}"] for i, c in enumerate(cols)} if cols else {}
+    counts = {(c,): (r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)} if cols else {}
     q = quantiles(df, cols, [0.25, 0.5, 0.75], method=quantile_method, counts=counts) if cols else {}
     rows = []
 
@@ -269,10 +269,27 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
                            for c in ["rows", "cols", "missing_count", "duplicate_count"]])
 
 
-def raw_profile(df: DataFrame, quantile_method: str = "auto") -> dict:
+def exact_mean(c) -> tuple:
+    """Aggregates for a mean that is exact when the values fit decimal(38, 18) (sum in decimal,
+    overflow-safe via try_ functions) with the double mean as fallback; read with ``mean_of``."""
+    d = F.expr(f"try_cast(`{c}` as decimal(38, 18))")
+    x = F.col(c).cast("double")
+    x = F.when(~F.isnan(x), x)
+    return (F.count(x).alias(f"__xn_{c}"), F.count(d).alias(f"__dn_{c}"),
+            F.try_avg(d).cast("double").alias(f"__da_{c}"), F.avg(x).alias(f"__xa_{c}"))
+
+
+def mean_of(row, c):
+    if row[f"__dn_{c}"] == row[f"__xn_{c}"] and row[f"__da_{c}"] is not None:
+        return row[f"__da_{c}"]
+    return row[f"__xa_{c}"]
+
+
+def raw_profile(df: DataFrame, quantile_method: str = "auto", with_distinct: bool = False) -> dict:
     """Fitted raw schema: per numeric min/max/mean/median/std (1.0 when n <= 1; defaults when empty),
-    per categorical the distinct count and first category in sorted order. Driver gets one row
-    per column; the distinct category values themselves stay in Spark."""
+    per other column the first category in sorted order (and, on request, the distinct count).
+    One aggregate plus the median job; the driver gets one row per column, the category values
+    themselves stay in Spark."""
     num = numeric_columns(df)
     cat = [c for c in df.columns if c not in num]
     aggs = []
@@ -280,21 +297,15 @@ def raw_profile(df: DataFrame, quantile_method: str = "auto") -> dict:
         x = F.col(c).cast("double")
         x = F.when(~F.isnan(x), x)
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}")]
+                 F.stddev_samp(x).alias(f"s{i}"), *exact_mean(c)]
     for j, c in enumerate(cat):
         x = F.col(c).cast("string")
-        aggs += [F.count_distinct(x).alias(f"cd{j}"), F.min(x).alias(f"cf{j}")]
+        aggs.append(F.min(x).alias(f"cf{j}"))
+        if with_distinct:
+            aggs.append(F.count_distinct(x).alias(f"cd{j}"))
     r = df.agg(*aggs).collect()[0] if aggs else None
-    counts = {(c,): r[f"n{i}"] for i, c in enumerate(num)} if num else {}
-    med = quantiles(df, num, [0.5], method=quantile_method, counts=counts) if num else {}
-    # refine each mean with the mean residual (one more fused pass): the naive parallel sum can
-    # sit an ulp off, which flips a value sitting on a rounding tie
-    means = {c: r[f"a{i}"] for i, c in enumerate(num)}
-    live = [c for c in num if means[c] is not None]
-    if live:
-        rr = df.agg(*[F.avg(F.col(c).cast("double") - F.lit(means[c])).alias(f"e{i}") for i, c in enumerate(live)]).collect()[0]
-        for i, c in enumerate(live):
-            means[c] = means[c] + (rr[f"e{i}"] or 0.0)
+    stats = {(c,): (r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(num)} if num else {}
+    med = quantiles(df, num, [0.5], method=quantile_method, counts=stats) if num else {}
     out = {"columns": list(df.columns), "dtypes": {f.name: f.dataType.simpleString() for f in df.schema.fields},
            "numeric": {}, "categorical": {}}
     for i, c in enumerate(num):
@@ -302,15 +313,17 @@ def raw_profile(df: DataFrame, quantile_method: str = "auto") -> dict:
         if n == 0:
             out["numeric"][c] = {"min": 0.0, "max": 1.0, "mean": 0.0, "median": 0.0, "std": 1.0}
         else:
-            out["numeric"][c] = {"min": r[f"lo{i}"], "max": r[f"hi{i}"], "mean": means[c],
+            out["numeric"][c] = {"min": r[f"lo{i}"], "max": r[f"hi{i}"], "mean": mean_of(r, c),
                                  "median": med[(c, (), 0.5)], "std": r[f"s{i}"] if n > 1 else 1.0}
     for j, c in enumerate(cat):
-        out["categorical"][c] = {"n_distinct": r[f"cd{j}"], "first": r[f"cf{j}"]}
+        out["categorical"][c] = {"first": r[f"cf{j}"]}
+        if with_distinct:
+            out["categorical"][c]["n_distinct"] = r[f"cd{j}"]
     return out
 
 
 def raw_profile_df(df: DataFrame, places: int = 6) -> DataFrame:
-    p = raw_profile(df)
+    p = raw_profile(df, with_distinct=True)
     rows = []
     for c, s in p["numeric"].items():
         rows.append((c, "numeric", *(round(float(s[k]), places) for k in ["min", "max", "mean", "median", "std"]),

@@ -1,9 +1,9 @@
 """Deterministic hash-ordered selection: random / stratified splits, undersampling, samples.
 
 Row order is ``md5(key|seed)``: reproducible in any engine and independent of partitioning.
-"Take the k first rows of each group in that order" is done without a global sort: the
-k-th hash value per group is found with distributed order statistics, then one filter
-``h < threshold`` keeps exactly k rows (ties on the 52-bit prefix settled on the full hash).
+"Take the k first rows of each group in that order" is done without a global sort or a
+window: histograms of the uniform hash prefix locate the k-th row, then one filter keeps
+exactly k rows (the cut inside the final bucket is made on the full hash).
 """
 
 from __future__ import annotations
@@ -14,69 +14,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import seeded_hash
-from ..functions.order_stats import group_stats, order_statistics
 
-_HBITS_HEX = 13  # 52 bits: exact in a double
+_HBITS_HEX = 13  # hash prefix used for bucketing: 52 bits
 
 
-def _with_hash(df: DataFrame, key_cols, seed):
-    h = seeded_hash(key_cols, seed)
-    return df.withColumn("__h", h).withColumn("__hv", F.conv(F.substring("__h", 1, _HBITS_HEX), 16, 10).cast("double"))
+_PREFIX_BITS = _HBITS_HEX * 4
+_BUCKET_BITS = 12  # 4096 buckets on the hash prefix per refinement pass
+COLLECT_LIMIT = 200_000
 
 
-def select_first_k(df: DataFrame, key_cols: list[str], k: dict | int, group_col: str | None = None,
+def _hash_histogram(hd: DataFrame, gcols: list[str], lo: int, shift: int, extra=None):
+    """Counts per (group, bucket) of rows whose prefix lies in [lo, lo + 2^(shift+12))."""
+    b = F.shiftright(F.col("__hv") - F.lit(lo), shift).cast("int")
+    d = hd if extra is None else hd.where(extra)
+    rows = d.groupBy(*gcols, b.alias("__b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    out = {}
+    for r in rows:
+        out.setdefault(tuple(r[g] for g in gcols), {})[r["__b"]] = r["n"]
+    return out
+
+
+def select_first_k(df: DataFrame, key_cols: list[str], k, group_col: str | None = None,
                    seed: int = 42, flag: str = "__sel") -> DataFrame:
-    """Adds boolean ``flag``: row is among the first ``k[group]`` rows of its group in hash order."""
-    hd = _with_hash(df, key_cols, seed)
+    """Adds boolean ``flag``: row is among the first ``k`` rows of its group in md5(key|seed) order.
+
+    ``k`` is an int, a dict {group: k}, or a callable {group: n} -> {group: k} evaluated on the
+    group sizes found by the first pass. The hash prefix is uniform on a known range, so pass 1
+    is a histogram (4096 buckets per group, partial-aggregated: its size does not grow with the
+    data) that also yields the group sizes; the bucket holding the k-th row is refined the same
+    way until it is small, then its (bounded) hashes are fetched and the exact cut is read off.
+    Typically 2 passes, whatever the table size.
+    """
+    hd = df.withColumn("__h", seeded_hash(key_cols, seed)) \
+           .withColumn("__hv", F.conv(F.substring("__h", 1, _HBITS_HEX), 16, 10).cast("long"))
     gcols = [group_col] if group_col else []
-    long = hd.select(*gcols, F.col("__hv").alias("v"))
-    stats = group_stats(long, gcols)
-    ks = {g: (k if isinstance(k, int) else k.get(g[0] if group_col else None, 0)) for g in stats}
-    requests = {g: {kk - 1} for g, kk in ks.items() if 0 < kk < stats[g][0]}
-    vals = order_statistics(long, gcols, requests, stats) if requests else {}
-    thr = {g: vals[(g, kk - 1)] for g, kk in ks.items() if (g, kk - 1) in vals}
-    # rows tied with the threshold value (normally exactly one) decide the cut on the full hash
-    cut = {}
-    if thr:
-        cond = F.lit(False)
-        for g, t in thr.items():
-            c = F.col("__hv") == F.lit(t)
+    shift = _PREFIX_BITS - _BUCKET_BITS
+    hist = _hash_histogram(hd, gcols, 0, shift)
+    sizes = {g: sum(b.values()) for g, b in hist.items()}
+    if callable(k):
+        ks = k({(g[0] if group_col else None): n for g, n in sizes.items()})
+        ks = {g: ks.get(g[0] if group_col else None, 0) for g in sizes}
+    elif isinstance(k, dict):
+        ks = {g: k.get(g[0] if group_col else None, 0) for g in sizes}
+    else:
+        ks = {g: int(k) for g in sizes}
+    # per group: rows with prefix < lo are all in; the k-th row lies in [lo, lo + width)
+    state = {}
+    for g, n in sizes.items():
+        kk = ks[g]
+        if 0 < kk < n:
+            state[g] = {"lo": 0, "shift": shift, "need": kk, "buckets": hist[g]}
+    cuts = {}
+    while state:
+        fetch, refine = {}, {}
+        for g, st in state.items():
+            cum = 0
+            for b in sorted(st["buckets"]):
+                c = st["buckets"][b]
+                if cum + c >= st["need"]:
+                    lo = st["lo"] + (b << st["shift"])
+                    width = 1 << st["shift"]
+                    need = st["need"] - cum
+                    if c <= COLLECT_LIMIT or st["shift"] == 0:
+                        fetch[g] = (lo, lo + width, need)
+                    else:
+                        refine[g] = {"lo": lo, "shift": max(st["shift"] - _BUCKET_BITS, 0), "need": need}
+                    break
+                cum += c
+        if fetch:
+            cond = F.lit(False)
+            for g, (lo, hi, _need) in fetch.items():
+                c = (F.col("__hv") >= F.lit(lo)) & (F.col("__hv") < F.lit(hi))
+                if group_col:
+                    c = c & (F.col(group_col) == F.lit(g[0]))
+                cond = cond | c
+            got = {}
+            for r in hd.where(cond).select(*gcols, "__h", "__hv").collect():  # bounded by COLLECT_LIMIT per group
+                got.setdefault(tuple(r[x] for x in gcols), []).append(r["__h"])
+            for g, (lo, _hi, need) in fetch.items():
+                cuts[g] = (lo, sorted(got[g])[need - 1])
+                del state[g]
+        for g, st in refine.items():
+            extra = (F.col("__hv") >= F.lit(st["lo"])) & (F.col("__hv") < F.lit(st["lo"] + (1 << (st["shift"] + _BUCKET_BITS))))
             if group_col:
-                c = c & (F.col(group_col) == F.lit(g[0]))
-            cond = cond | c
-        ties = hd.where(cond).select(*gcols, "__h").collect()
-        below_c = F.lit(False)
-        for g, t in thr.items():
-            c = F.col("__hv") < F.lit(t)
-            if group_col:
-                c = c & (F.col(group_col) == F.lit(g[0]))
-            below_c = below_c | c
-        below = {tuple(r[g] for g in gcols): r["n"] for r in
-                 hd.where(below_c).groupBy(*gcols).agg(F.count(F.lit(1)).alias("n")).collect()}
-        tie_by = {}
-        for r in ties:
-            tie_by.setdefault(tuple(r[g] for g in gcols), []).append(r["__h"])
-        for g, t in thr.items():
-            need = ks[g] - below.get(g, 0)
-            hs = sorted(tie_by.get(g, []))
-            cut[g] = (t, hs[need - 1])
+                extra = extra & (F.col(group_col) == F.lit(g[0]))
+            st["buckets"] = _hash_histogram(hd, gcols, st["lo"], st["shift"], extra).get(g, {})
+            state[g] = st
     sel = F.lit(False)
-    for g, kk in ks.items():
+    for g, n in sizes.items():
+        kk = ks[g]
         gc = (F.col(group_col) == F.lit(g[0])) if group_col else F.lit(True)
-        if kk >= stats[g][0]:
+        if kk >= n:
             sel = sel | gc
         elif kk > 0:
-            t, hcut = cut[g]
-            sel = sel | (gc & ((F.col("__hv") < F.lit(t)) | ((F.col("__hv") == F.lit(t)) & (F.col("__h") <= F.lit(hcut)))))
+            lo, hcut = cuts[g]
+            sel = sel | (gc & ((F.col("__hv") < F.lit(lo)) | ((F.col("__hv") >= F.lit(lo)) & (F.col("__h") <= F.lit(hcut)))))
     return hd.withColumn(flag, sel).drop("__h", "__hv")
 
 
 def split_random(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``split`` = 'test' for exactly ceil(test_size * n) rows (first in hash order), else 'train'."""
     key_cols = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    n = df.count()
-    n_test = int(math.ceil(test_size * n))
-    out = select_first_k(df, key_cols, n_test, None, seed)
+    out = select_first_k(df, key_cols, lambda sizes: {g: int(math.ceil(test_size * n)) for g, n in sizes.items()},
+                         None, seed)
     return out.withColumn("split", F.when(F.col("__sel"), "test").otherwise("train")).drop("__sel")
 
 

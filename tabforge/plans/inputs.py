@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,26 @@ from ..session import table_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf, name))
+    return rebalance(spark.read.parquet(table_path(sf, name)))
+
+
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def rebalance(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores (a file holding a
+    single parquet row group is read by one task). Such an input whose Catalyst size estimate
+    is at most ``SMALL_INPUT_BYTES`` is also kept (memory, spilling to disk) since the fits
+    pass over it several times; lost blocks are recomputed from the files. Scans of large
+    inputs already have many splits and are returned untouched."""
+    from ..functions.order_stats import estimated_bytes
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    spread = df.repartition(target)
+    if estimated_bytes(df) <= SMALL_INPUT_BYTES:
+        spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
+    return spread
 
 
 def events_nulls(spark, sf) -> DataFrame:
