@@ -604,3 +604,80 @@ def q_audit_report(spark, sf):
     after = pipe.transform(before, keep=[TARGET])
     return audit_table(before, after, pipe, score_batch_metrics(scored, TARGET), model="gaussian_nb", target=TARGET)
 
+
+
+# ------------------------------------------------- isolation forest, samples
+
+@query("outlier_isolation_forest")
+def q_outlier_isolation_forest(spark, sf):
+    """Rows left after removing the 5% most isolated (100 trees of 256 rows, seed 42)."""
+    from ..operators.iforest import isolation_forest_outliers
+    li = I.lineitem_keyed(spark, sf)
+    kept, _model = isolation_forest_outliers(li, LI_NUM, ["l_key"], action="remove", contamination=0.05)
+    return kept.select("l_key")
+
+
+@query("sample_table", """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus,
+       l_shipdate, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'none' WHEN 'R' THEN 'returned' END
+       AS return_status FROM lineitem""")
+def q_sample_table(spark, sf):
+    from ..sources.samples import sample_table
+    return sample_table(spark, sf, "lineitem_returns")
+
+
+INSPECT_ROW = 123
+
+INSPECT_SQL = f"""WITH raw AS {LQK_SQL}, {_split_sql('raw', 'l_key')},
+picked AS (SELECT * FROM (SELECT * FROM {LQK_SQL} r LIMIT 1 OFFSET {INSPECT_ROW})),
+both_rows AS (SELECT *, 'train' AS part FROM train_rows UNION ALL SELECT *, 'pick' AS part FROM picked),
+{_flagship_prep_sql('train_rows', 'both_rows', ', part')},
+prep_tr AS (SELECT * FROM prep WHERE part = 'train'), prep_te AS (SELECT * FROM prep WHERE part = 'pick'),
+{_nb_sql('prep_tr', 'prep_te', FLAG_FEATURES, TARGET, 'l_key')}
+SELECT l_key, {', '.join(f'round({c}, 6) AS {c}' for c in LI_NUM)}, l_linestatus_F, l_linestatus_O,
+       l_returnflag AS actual, cls AS predicted, l_returnflag = cls AS match FROM js WHERE rk = 1"""
+
+
+@query("inspect_row", INSPECT_SQL)
+def q_inspect_row(spark, sf):
+    """Row 123 of the raw file (file order): its replayed features, actual, prediction, match."""
+    from ..sources.io import with_row_id
+    from ..session import table_path
+    pipe, nb, _scored = flagship_scored(spark, sf)
+    raw = I.add_lineitem_key_and_nulls(with_row_id(spark.read.parquet(table_path(sf, "lineitem"))))
+    row = raw.where(F.col("_row_id") == INSPECT_ROW).drop("_row_id")
+    feats = pipe.transform(row, keep=["l_key", TARGET])
+    out = nb.transform(feats)
+    return rounded(out.select("l_key", *FLAG_FEATURES, F.col(TARGET).alias("actual"), F.col("prediction").alias("predicted"),
+                              (F.col(TARGET) == F.col("prediction")).alias("match")))
+
+
+# ------------------------------------------------------------ kernel SVM / SVR
+
+def _kernel_svc_query(kernel):
+    def fn(spark, sf):
+        from ..models.kernel_svm import KernelSVC
+        train, test = _clf_data(spark, sf)
+        m = KernelSVC(kernel=kernel, C_=1.0, n_components=50, max_iter=30).fit(train, LI_NUM, TARGET)
+        return m.transform(test.select("l_key", TARGET, *LI_NUM)).select("l_key", TARGET, "prediction")
+    fn.__doc__ = f"SVC with the {kernel} kernel (explicit feature map + LinearSVC, one-vs-rest)."
+    return fn
+
+
+for _k in ["rbf", "poly"]:
+    query(f"clf_svm_{_k}")(_kernel_svc_query(_k))
+
+
+@query("reg_svr")
+def q_reg_svr(spark, sf):
+    """epsilon-SVR (rbf map, 50 components) on part: p_retailprice from p_partkey and p_size."""
+    from ..models.kernel_svm import KernelSVR
+    from ..operators.scale import fit_scaler
+    p = I.table(spark, sf, "part")
+    split = sample.split_random(p, ["p_partkey"], 0.2, 42)
+    train, test = sample.train_test(split)
+    st = fit_scaler(train, ["p_partkey", "p_size"], "standard")
+    m = KernelSVR(kernel="rbf", C_=10.0, epsilon=1.0, n_components=50, max_iter=30).fit(
+        st.apply(train), ["p_partkey", "p_size"], "p_retailprice")
+    out = m.transform(st.apply(test.select("p_partkey", "p_size", "p_retailprice").withColumn("key", F.col("p_partkey"))))
+    return rounded(out.select(F.col("key").alias("p_partkey"), "p_retailprice", "prediction"), 4)
