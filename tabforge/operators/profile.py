@@ -269,14 +269,20 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
                            for c in ["rows", "cols", "missing_count", "duplicate_count"]])
 
 
-def exact_mean(c) -> tuple:
-    """Aggregates for a mean that is exact when the values fit decimal(38, 18) (sum in decimal,
-    overflow-safe via try_ functions) with the double mean as fallback; read with ``mean_of``."""
-    d = F.expr(f"try_cast(`{c}` as decimal(38, 18))")
+def exact_mean(c, integral: bool = False) -> tuple:
+    """Aggregates for a mean that is exact when possible, read back with ``mean_of``: integral
+    columns divide an exact long sum; fractional ones sum in decimal(38, 18) (overflow-safe via
+    try_ functions); the double mean is the fallback."""
     x = F.col(c).cast("double")
     x = F.when(~F.isnan(x), x)
-    return (F.count(x).alias(f"__xn_{c}"), F.count(d).alias(f"__dn_{c}"),
-            F.try_avg(d).cast("double").alias(f"__da_{c}"), F.avg(x).alias(f"__xa_{c}"))
+    if integral:
+        exact = F.try_sum(F.col(c).cast("long")).cast("double") / F.count(F.col(c))
+        d_n = F.count(F.col(c))
+    else:
+        d = F.expr(f"try_cast(`{c}` as decimal(38, 18))")
+        exact = F.try_avg(d).cast("double")
+        d_n = F.count(d)
+    return (F.count(x).alias(f"__xn_{c}"), d_n.alias(f"__dn_{c}"), exact.alias(f"__da_{c}"), F.avg(x).alias(f"__xa_{c}"))
 
 
 def mean_of(row, c):
@@ -288,24 +294,33 @@ def mean_of(row, c):
 def raw_profile(df: DataFrame, quantile_method: str = "auto", with_distinct: bool = False) -> dict:
     """Fitted raw schema: per numeric min/max/mean/median/std (1.0 when n <= 1; defaults when empty),
     per other column the first category in sorted order (and, on request, the distinct count).
-    One aggregate plus the median job; the driver gets one row per column, the category values
-    themselves stay in Spark."""
+    Small inputs: one aggregate including the exact medians; large inputs: that aggregate minus
+    the medians, then the bounded-memory order-statistic path seeded with its counts."""
+    from ..functions.order_stats import BUILTIN_PERCENTILE_BYTES, estimated_bytes
     num = numeric_columns(df)
     cat = [c for c in df.columns if c not in num]
+    if quantile_method == "auto":
+        quantile_method = "builtin" if estimated_bytes(df) <= BUILTIN_PERCENTILE_BYTES else "select"
     aggs = []
     for i, c in enumerate(num):
         x = F.col(c).cast("double")
         x = F.when(~F.isnan(x), x)
+        integral = isinstance(df.schema[c].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.stddev_samp(x).alias(f"s{i}"), *exact_mean(c)]
+                 F.stddev_samp(x).alias(f"s{i}"), *exact_mean(c, integral)]
+        if quantile_method == "builtin":
+            aggs.append(F.percentile(x, 0.5).alias(f"md{i}"))
     for j, c in enumerate(cat):
         x = F.col(c).cast("string")
         aggs.append(F.min(x).alias(f"cf{j}"))
         if with_distinct:
             aggs.append(F.count_distinct(x).alias(f"cd{j}"))
     r = df.agg(*aggs).collect()[0] if aggs else None
-    stats = {(c,): (r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(num)} if num else {}
-    med = quantiles(df, num, [0.5], method=quantile_method, counts=stats) if num else {}
+    if quantile_method == "builtin":
+        med = {(c, (), 0.5): r[f"md{i}"] for i, c in enumerate(num)}
+    else:
+        stats = {(c,): (r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(num)} if num else {}
+        med = quantiles(df, num, [0.5], method=quantile_method, counts=stats) if num else {}
     out = {"columns": list(df.columns), "dtypes": {f.name: f.dataType.simpleString() for f in df.schema.fields},
            "numeric": {}, "categorical": {}}
     for i, c in enumerate(num):

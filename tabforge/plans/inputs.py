@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 SMALL_INPUT_BYTES = 1 << 30
 
 
+def keep_if_small(df: DataFrame) -> DataFrame:
+    """Persist a derived frame that several fits will scan, when Catalyst's size estimate is at
+    most ``SMALL_INPUT_BYTES``; larger frames are recomputed from the files by each job."""
+    from ..functions.order_stats import estimated_bytes
+    if estimated_bytes(df) <= SMALL_INPUT_BYTES:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
 def rebalance(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer partitions than the cluster has cores (a file holding a
     single parquet row group is read by one task). Such an input whose Catalyst size estimate
