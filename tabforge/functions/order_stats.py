@@ -205,37 +205,42 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], group_cols: li
     return out
 
 
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 100_000
+
+
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
-                   n_buckets: int = 64, prefix: str = "cum_") -> DataFrame:
+                   n_buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Exact prefix sums of ``sum_cols`` in the order of a unique numeric ``order_col``.
 
     Adds ``cum_<c>`` (inclusive) plus ``__bucket``. Rows are range-bucketed on sampled
-    boundaries (balanced even for skewed values since ``order_col`` is unique), each
-    bucket's totals become an offset (one row per bucket reaches the driver), and a
-    window partitioned by bucket adds the running part.
+    boundaries (about ``ROWS_PER_BUCKET`` rows each, so a bucket's window task stays bounded as
+    the data grows; ``order_col`` is unique, so no value can overload a bucket), each bucket's
+    totals become an offset (one row per bucket, broadcast), and a window partitioned by bucket
+    adds the running part.
     """
     key = -F.col(order_col) if descending else F.col(order_col)
     keyed = df.withColumn("__ok", key.cast("double"))
+    if n_buckets is None:
+        rows = keyed.count()
+        n_buckets = int(min(MAX_BUCKETS, max(64, rows // ROWS_PER_BUCKET + 1)))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = keyed.agg(F.approx_percentile("__ok", probs, 1000).alias("b")).collect()[0]["b"] or []
+    bounds = keyed.agg(F.approx_percentile("__ok", probs, 10_000).alias("b")).collect()[0]["b"] or []
     bounds = sorted(set(float(x) for x in bounds if x is not None))
     if bounds:
-        arr = F.array(*[F.lit(x) for x in bounds])
-        bucket = F.size(F.filter(arr, lambda x: x < F.col("__ok")))
+        # bucket = number of boundaries below the key (binary search in the JVM)
+        from pyspark.ml.feature import Bucketizer
+        splits = [float("-inf")] + bounds + [float("inf")]
+        bucketed = Bucketizer(splits=splits, inputCol="__ok", outputCol="__bk").transform(keyed) \
+            .withColumn("__bucket", F.col("__bk").cast("int")).drop("__bk")
     else:
-        bucket = F.lit(0)
-    bucketed = keyed.withColumn("__bucket", bucket)
-    totals = bucketed.groupBy("__bucket").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
-    offsets = {c: {} for c in sum_cols}
-    run = {c: 0 for c in sum_cols}
-    for r in sorted(totals, key=lambda r: r["__bucket"]):
-        for c in sum_cols:
-            offsets[c][r["__bucket"]] = run[c]
-            run[c] += r[c] or 0
+        bucketed = keyed.withColumn("__bucket", F.lit(0))
+    totals = bucketed.groupBy("__bucket").agg(*[F.sum(c).alias(c) for c in sum_cols])
+    wb = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    offsets = totals.select("__bucket", *[F.coalesce(F.sum(c).over(wb), F.lit(0)).alias(f"__off_{c}")
+                                          for c in sum_cols])
     w = Window.partitionBy("__bucket").orderBy("__ok").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = bucketed
+    out = bucketed.join(F.broadcast(offsets), "__bucket")  # at most MAX_BUCKETS rows
     for c in sum_cols:
-        m = F.create_map(*[x for kv in offsets[c].items() for x in (F.lit(kv[0]), F.lit(kv[1]))]) \
-            if offsets[c] else F.create_map(F.lit(0), F.lit(0))
-        out = out.withColumn(prefix + c, F.sum(c).over(w) + F.coalesce(m[F.col("__bucket")], F.lit(0)))
-    return out.drop("__ok")
+        out = out.withColumn(prefix + c, F.sum(c).over(w) + F.col(f"__off_{c}"))
+    return out.drop("__ok", *[f"__off_{c}" for c in sum_cols])

@@ -52,9 +52,12 @@ def fit_impute(df: DataFrame, cols: list[str], strategy: str = "mean", fill_valu
     cols = present(df, cols)
     strategy = strategy.lower()
     fills = {}
+    if strategy in ("iterative", "mice") and scope != "column":
+        from .mice import fit_mice
+        return fit_mice(df, [c for c in cols if role_of(df.schema[c].dataType) == NUMERIC], max_iter=max_iter)
     if strategy in ("mean", "median", "knn", "iterative", "mice"):
-        if strategy in ("knn", "iterative", "mice") and scope != "column":
-            raise NotImplementedError("multi-feature knn/iterative imputation is not available yet")
+        if strategy == "knn" and scope != "column":
+            raise NotImplementedError("multi-feature KNN imputation needs an exact neighbour search (not built yet)")
         num = [c for c in cols if role_of(df.schema[c].dataType) == NUMERIC]
         if strategy == "median":
             q = quantiles(df.select(*[F.when(~missing(df, c), F.col(c)).alias(c) for c in num]), num, [0.5],

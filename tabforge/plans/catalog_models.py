@@ -681,3 +681,12 @@ def q_reg_svr(spark, sf):
         st.apply(train), ["p_partkey", "p_size"], "p_retailprice")
     out = m.transform(st.apply(test.select("p_partkey", "p_size", "p_retailprice").withColumn("key", F.col("p_partkey"))))
     return rounded(out.select(F.col("key").alias("p_partkey"), "p_retailprice", "prediction"), 4)
+
+
+@query("impute_iterative_features")
+def q_impute_iterative_features(spark, sf):
+    """Chained-equation imputation of l_quantity (NULL rule) from the other numeric columns."""
+    from ..operators.mice import fit_mice
+    li = I.lineitem_keyed_nulls(spark, sf)
+    st = fit_mice(li, LI_NUM, max_iter=10)
+    return rounded(st.apply(li).select("l_key", *LI_NUM))

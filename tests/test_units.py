@@ -287,3 +287,18 @@ def test_mutual_information_independent_is_zero(spark):
     df = spark.createDataFrame(rows, "x string, y string")
     mi = transform.mutual_information(df, ["x"], "y").collect()[0]["mutual_info"]
     assert mi == pytest.approx(0.0, abs=1e-12)
+
+
+def test_mice_recovers_linear_relation(spark):
+    from tabforge.operators.mice import fit_mice
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=400)
+    b = 2.0 * a + 1.0 + rng.normal(scale=0.01, size=400)
+    rows = [(i, float(x), None if i % 5 == 0 else float(y)) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    st = fit_mice(df, ["a", "b"], max_iter=5)
+    out = {r.id: r.b for r in st.apply(df).collect()}
+    for i in range(0, 400, 5):
+        assert out[i] == pytest.approx(2.0 * a[i] + 1.0, abs=0.05)
+    again = {r.id: r.b for r in Stage.from_json(st.to_json()).apply(df).collect()}
+    assert again == out
