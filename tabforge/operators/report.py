@@ -11,7 +11,9 @@ _KEYS = ["rows", "cols", "missing_count", "duplicate_count", "health_score"]
 
 
 def audit_table(before: DataFrame, after: DataFrame, pipeline, metrics: DataFrame | None = None,
-                model: str | None = None, target: str | None = None) -> DataFrame:
+                model: str | None = None, target: str | None = None, places: int = 6) -> DataFrame:
+    """(section, key, value): profiles before and after, the preparation log, the model and its
+    metrics (rounded to ``places`` before they become text)."""
     spark = before.sparkSession
 
     def prof(df, section):
@@ -25,8 +27,10 @@ def audit_table(before: DataFrame, after: DataFrame, pipeline, metrics: DataFram
     meta = [("model", "name", model or ""), ("model", "target", target or "")]
     parts.append(spark.createDataFrame(log + meta, "section string, key string, value string"))
     if metrics is not None:
+        k = float(10 ** places)
         parts.append(metrics.select(F.explode(F.array(*[
-            F.struct(F.lit("metrics").alias("section"), F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))
+            F.struct(F.lit("metrics").alias("section"), F.lit(c).alias("key"),
+                     (F.round(F.col(c).cast("double") * k, 0) / k).cast("string").alias("value"))
             for c in metrics.columns])).alias("e")).select("e.*"))
     out = parts[0]
     for p in parts[1:]:

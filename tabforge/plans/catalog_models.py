@@ -596,7 +596,42 @@ def q_save_load_model(spark, sf):
     return a.join(b, "l_key").select("l_key", (F.col("p1") == F.col("p2")).alias("same"))
 
 
-@query("audit_report")
+
+def _audit_sql():
+    feats = ", ".join(FLAG_FEATURES)
+    prof = lambda section, src, k, miss: f"""
+SELECT '{section}' AS section, key, value FROM (
+  SELECT CAST(count(*) AS VARCHAR) AS rows, '{k}' AS cols, CAST({miss} AS VARCHAR) AS missing_count,
+         CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src} d)) AS VARCHAR) AS duplicate_count,
+         CAST(GREATEST(10, LEAST(100, 100
+           - CASE WHEN {miss} > 0 THEN LEAST(35, CAST(floor({miss} * 100.0 / (count(*) * {k}) * 1.5) AS INTEGER)) ELSE 0 END
+           - CASE WHEN count(*) > (SELECT count(*) FROM (SELECT DISTINCT * FROM {src} d))
+                  THEN LEAST(25, CAST(floor((count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src} d)))
+                                      * 100.0 / count(*) * 1.2) AS INTEGER)) ELSE 0 END)) AS VARCHAR) AS health_score
+  FROM {src} s) UNPIVOT (value FOR key IN (rows, cols, missing_count, duplicate_count, health_score))"""
+    return (SCORE_SQL + f""",
+lq AS {I.LQ_SQL},
+after_t AS (SELECT l_returnflag,  -- prep covers train + test = every raw row
+ {', '.join(LI_NUM)}, l_linestatus_F, l_linestatus_O FROM prep),
+pc AS (SELECT l_returnflag AS y, cls AS p, count(*) AS n FROM js WHERE rk = 1 GROUP BY 1, 2),
+pcls AS (SELECT c AS cls, sum(tp) AS tp, sum(sup) AS sup, sum(pr) AS pr FROM (
+    SELECT y AS c, CASE WHEN y = p THEN n ELSE 0 END AS tp, n AS sup, 0 AS pr FROM pc
+    UNION ALL SELECT p, 0, 0, n FROM pc) GROUP BY c),
+m AS (SELECT *, CASE WHEN pr > 0 THEN tp * 1.0 / pr ELSE 0 END AS prec, CASE WHEN sup > 0 THEN tp * 1.0 / sup ELSE 0 END AS rec FROM pcls),
+mt AS (SELECT round(sum(tp) * 1.0 / sum(sup), 6) AS accuracy, round(sum(prec * sup) / sum(sup), 6) AS precision,
+       round(sum(rec * sup) / sum(sup), 6) AS recall,
+       round(sum(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END * sup) / sum(sup), 6) AS f1 FROM m)
+""" + prof("before", "lq", 11, "count_if(l_quantity IS NULL)") + "\nUNION ALL" + prof("after", "after_t", 7, "0") + """
+UNION ALL SELECT 'log', '001', 'impute median l_quantity'
+UNION ALL SELECT 'log', '002', 'clip IQR'
+UNION ALL SELECT 'log', '003', 'one-hot l_linestatus'
+UNION ALL SELECT 'log', '004', 'standard scale'
+UNION ALL SELECT 'model', 'name', 'gaussian_nb'
+UNION ALL SELECT 'model', 'target', 'l_returnflag'
+UNION ALL SELECT 'metrics', key, CAST(value AS VARCHAR) FROM mt UNPIVOT (value FOR key IN (accuracy, precision, recall, f1))""")
+
+
+@query("audit_report", _audit_sql())
 def q_audit_report(spark, sf):
     from ..operators.report import audit_table
     pipe, _nb, scored = flagship_scored(spark, sf)
