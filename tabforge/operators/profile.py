@@ -117,17 +117,27 @@ def _adjusted_moments(n, g1, g2):
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, places: int = 3,
                      quantile_method: str = "auto") -> DataFrame:
     """count, mean, std (ddof 1), min, 25/50/75 %, max, sample-adjusted skewness and excess kurtosis."""
+    from ..functions.order_stats import BUILTIN_PERCENTILE_BYTES, estimated_bytes
     cols = cols or numeric_columns(df)
     spark = df.sparkSession
+    if quantile_method == "auto":
+        quantile_method = "builtin" if estimated_bytes(df) <= BUILTIN_PERCENTILE_BYTES else "select"
+    probs = [0.25, 0.5, 0.75]
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.skewness(x).alias(f"g{i}"),
                  F.kurtosis(x).alias(f"k{i}")]
+        if quantile_method == "builtin":  # small input: the quartiles ride in the same aggregate
+            aggs.append(F.percentile(x, probs).alias(f"q{i}"))
     r = df.agg(*aggs).collect()[0] if cols else None
-    counts = {(c,): (r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)} if cols else {}
-    q = quantiles(df, cols, [0.25, 0.5, 0.75], method=quantile_method, counts=counts) if cols else {}
+    if quantile_method == "builtin":
+        q = {(c, (), p): (None if r[f"q{i}"] is None else r[f"q{i}"][j])
+             for i, c in enumerate(cols) for j, p in enumerate(probs)}
+    else:
+        counts = {(c,): (r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)} if cols else {}
+        q = quantiles(df, cols, probs, method=quantile_method, counts=counts) if cols else {}
     rows = []
 
     def rd(v):
