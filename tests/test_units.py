@@ -302,3 +302,43 @@ def test_mice_recovers_linear_relation(spark):
         assert out[i] == pytest.approx(2.0 * a[i] + 1.0, abs=0.05)
     again = {r.id: r.b for r in Stage.from_json(st.to_json()).apply(df).collect()}
     assert again == out
+
+
+def test_isolation_forest_flags_planted_outliers(spark):
+    from tabforge.operators.iforest import isolation_forest_outliers
+    rng = np.random.default_rng(7)
+    pts = rng.normal(size=(1000, 2))
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(pts)]
+    rows += [(1000 + j, 12.0 + j, -12.0 - j) for j in range(10)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    flagged, model = isolation_forest_outliers(df, ["a", "b"], ["id"], action="flag", contamination=0.01,
+                                               n_trees=50)
+    out = {r.id for r in flagged.where("is_outlier").collect()}
+    assert set(range(1000, 1010)) <= out
+    assert len(out) <= 12  # the 1% cut (ties aside)
+
+
+def test_poly_kernel_map_is_exact(spark):
+    from tabforge.models.kernel_svm import feature_map
+    x, y = [0.3, -1.2, 2.0], [1.1, 0.4, -0.5]
+    df = spark.createDataFrame([tuple(x), tuple(y)], "a double, b double, c double")
+    cols = feature_map(["a", "b", "c"], "poly", gamma=0.7, degree=3)
+    zs = [np.array(r) for r in df.select(*[c.alias(f"z{i}") for i, c in enumerate(cols)]).collect()]
+    assert float(zs[0] @ zs[1]) == pytest.approx((0.7 * float(np.dot(x, y))) ** 3, rel=1e-12)
+
+
+def test_kmeans_keeps_lowest_cost(spark):
+    from tabforge.models.spark_ml import fit_kmeans
+    rng = np.random.default_rng(8)
+    centers = np.array([[0, 0], [10, 10], [0, 10]])
+    pts = np.vstack([c + rng.normal(scale=0.5, size=(50, 2)) for c in centers])
+    df = spark.createDataFrame([tuple(map(float, p)) for p in pts], "a double, b double")
+    m = fit_kmeans(df, ["a", "b"], k=3, restarts=4)
+    got = sorted(tuple(np.round(c).astype(int)) for c in m.clusterCenters())
+    assert got == [(0, 0), (0, 10), (10, 10)]
+
+
+def test_builtin_quantile_path_for_small_inputs(spark):
+    from tabforge.functions.order_stats import BUILTIN_PERCENTILE_BYTES, estimated_bytes
+    df = spark.range(1000)
+    assert 0 < estimated_bytes(df) <= BUILTIN_PERCENTILE_BYTES
