@@ -210,7 +210,7 @@ MAX_BUCKETS = 100_000
 
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
-                   n_buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
+                   n_buckets: int | None = None, prefix: str = "cum_", n_rows: int | None = None) -> DataFrame:
     """Exact prefix sums of ``sum_cols`` in the order of a unique numeric ``order_col``.
 
     Adds ``cum_<c>`` (inclusive) plus ``__bucket``. Rows are range-bucketed on sampled
@@ -222,7 +222,7 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descendin
     key = -F.col(order_col) if descending else F.col(order_col)
     keyed = df.withColumn("__ok", key.cast("double"))
     if n_buckets is None:
-        rows = keyed.count()
+        rows = keyed.count() if n_rows is None else n_rows
         n_buckets = int(min(MAX_BUCKETS, max(64, rows // ROWS_PER_BUCKET + 1)))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = keyed.agg(F.approx_percentile("__ok", probs, 10_000).alias("b")).collect()[0]["b"] or []

@@ -7,6 +7,7 @@ ROC and PR curves group by score first, then use exact distributed prefix sums
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,9 +91,11 @@ def metrics_regression(pred: DataFrame, label: str = "label", prediction: str =
 
 
 def _score_counts(pred: DataFrame, label: str, score: str, pos_label) -> DataFrame:
+    """(score, pos, neg) per distinct score, kept (memory, spilling to disk) because the curve
+    makes several passes over it; lost blocks are recomputed from the predictions."""
     y = (F.col(label).cast("string") == F.lit(str(pos_label))).cast("long")
     return (pred.groupBy(F.col(score).cast("double").alias("score"))
-            .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
+            .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def roc_curve(pred: DataFrame, label: str, score: str, pos_label, drop_intermediate: bool = True) -> DataFrame:
@@ -101,7 +104,7 @@ def roc_curve(pred: DataFrame, label: str, score: str, pos_label, drop_intermedi
     next point) are dropped. Exact prefix sums, no single-task window."""
     sc = _score_counts(pred, label, score, pos_label)
     P, N = _totals(sc)
-    pts = running_totals(sc, "score", ["pos", "neg"], descending=True)
+    pts = running_totals(sc, "score", ["pos", "neg"], descending=True, n_rows=P + N)
     if drop_intermediate:
         pts = _keep_turning_points(pts)
     start = pred.sparkSession.createDataFrame([(0.0, 0.0, float("inf"))], "fpr double, tpr double, threshold double")
@@ -137,7 +140,8 @@ def _keep_turning_points(pts: DataFrame) -> DataFrame:
 def roc_auc(pred: DataFrame, label: str, score: str, pos_label) -> DataFrame:
     """Area under the ROC curve: sum over score groups of neg * (2 * cum_pos - pos) / (2 P N)."""
     sc = _score_counts(pred, label, score, pos_label)
-    cum = running_totals(sc, "score", ["pos", "neg"], descending=True)
+    P, N = _totals(sc)
+    cum = running_totals(sc, "score", ["pos", "neg"], descending=True, n_rows=P + N)
     return cum.agg((F.sum(F.col("neg") * (2 * F.col("cum_pos") - F.col("pos")))
                     / (2.0 * F.sum("pos") * F.sum("neg"))).alias("auc"))
 
@@ -147,7 +151,7 @@ def pr_curve(pred: DataFrame, label: str, score: str, pos_label) -> DataFrame:
     recall, then the (recall 0, precision 1) end point (threshold NULL)."""
     sc = _score_counts(pred, label, score, pos_label)
     P, _N = _totals(sc)
-    cum = running_totals(sc, "score", ["pos", "neg"], descending=True)
+    cum = running_totals(sc, "score", ["pos", "neg"], descending=True, n_rows=P + _N)
     pts = cum.where(F.col("cum_pos") - F.col("pos") < F.lit(P))
     prec = F.when(F.col("cum_pos") + F.col("cum_neg") > 0, F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).otherwise(0.0)
     rec = F.col("cum_pos") / F.lit(float(P)) if P > 0 else F.lit(float("nan"))
@@ -160,7 +164,7 @@ def pr_auc(pred: DataFrame, label: str, score: str, pos_label) -> DataFrame:
     """Trapezoid area under the PR points above (including the end point)."""
     sc = _score_counts(pred, label, score, pos_label)
     P, _N = _totals(sc)
-    cum = running_totals(sc, "score", ["pos", "neg"], descending=True)
+    cum = running_totals(sc, "score", ["pos", "neg"], descending=True, n_rows=P + _N)
     pts = cum.where(F.col("cum_pos") - F.col("pos") < F.lit(P))
     rec = F.col("cum_pos") / F.lit(float(P))
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
