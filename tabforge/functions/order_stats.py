@@ -24,8 +24,9 @@ from pyspark.sql import Window
 
 # Below this estimated input size the built-in exact `percentile` aggregate is used (one pass,
 # but a value->count map per group that is merged in one task); above it the histogram
-# narrowing below, whose memory does not grow with the data.
-BUILTIN_PERCENTILE_BYTES = 1 << 30
+# narrowing below, whose memory does not grow with the data. Measured: at 600k rows the
+# narrowing (3 light passes) already takes half the time of the built-in aggregate.
+BUILTIN_PERCENTILE_BYTES = 8 << 20
 HIST_BUCKETS = 4096
 COLLECT_LIMIT = 100_000
 
