@@ -725,3 +725,25 @@ def q_impute_iterative_features(spark, sf):
     li = I.lineitem_keyed_nulls(spark, sf)
     st = fit_mice(li, LI_NUM, max_iter=10)
     return rounded(st.apply(li).select("l_key", *LI_NUM))
+
+
+@query("pr_auc", PROB_R + """
+SELECT round(sum((tp * 1.0 / P - (tp - pos) * 1.0 / P)
+                 * (tp * 1.0 / (tp + fp) + CASE WHEN (tp - pos) + (fp - neg) > 0
+                                                THEN (tp - pos) * 1.0 / ((tp - pos) + (fp - neg)) ELSE 1.0 END) / 2.0), 6)
+       AS pr_auc FROM cu, tot WHERE tp - pos < P""")
+def q_pr_auc(spark, sf):
+    """Area under the precision-recall points (trapezoids, from the (recall 0, precision 1) end)."""
+    return rounded(evaluate.pr_auc(nb_scores(spark, sf), TARGET, "score", "R"))
+
+
+@query("box_outliers", """
+WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+           FROM events GROUP BY event_type)
+SELECT e.event_type, e.value FROM events e JOIN q ON e.event_type = q.event_type
+WHERE e.value < q1 - 1.5 * (q3 - q1) OR e.value > q3 + 1.5 * (q3 - q1)""")
+def q_box_outliers(spark, sf):
+    from ..operators import charts
+    ev = I.table(spark, sf, "events")
+    box = charts.box_stats(ev, "value", "event_type")
+    return charts.box_outliers(ev, "value", box, "event_type")
