@@ -565,12 +565,15 @@ def q_write_csv(spark, sf):
     return io.read_csv(spark, path, schema=p.schema)
 
 
-@query("write_predictions")
+@query("write_predictions", SCORE_SQL + """
+SELECT l_key, l_returnflag, cls AS Predicted_l_returnflag, round(1.0 / se, 6) AS Confidence,
+       l_returnflag = cls AS Accurate FROM js WHERE rk = 1""")
 def q_write_predictions(spark, sf):
+    """The scored test rows written as CSV to the shared folder and read back."""
     _p, _nb, scored = flagship_scored(spark, sf)
     path = scratch_path(spark, "predictions-csv")
     io.write_csv(scored, path)
-    return io.read_csv(spark, path, schema=scored.schema)
+    return rounded(io.read_csv(spark, path, schema=scored.schema))
 
 
 @query("write_metrics_json")
