@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import seeded_hash
 from ..functions.order_stats import quantiles
 
 
+MAX_BOX_GROUPS = 10_000  # per-group quartiles come back to the driver: one row per group
+
+
 def histogram(df: DataFrame, col: str, bins: int = 30, group: str | None = None) -> DataFrame:
     """Equal-width bins over [min, max] (the max falls in the last bin): (bin, bin_start, bin_end[, group], count)."""
     r = df.agg(F.min(F.col(col).cast("double")).alias("lo"), F.max(F.col(col).cast("double")).alias("hi")).collect()[0]
@@ -30,6 +33,10 @@ def box_stats(df: DataFrame, y: str, by: str | None = None, whisker: float = 1.5
     """q1, median, q3 (linear), whiskers at the most extreme points within whisker x IQR, and the
     number of points beyond them, per group of ``by``."""
     gcols = [by] if by else []
+    if by:
+        n_groups = df.agg(F.approx_count_distinct(by).alias("g")).collect()[0]["g"]
+        if n_groups > MAX_BOX_GROUPS:
+            raise ValueError(f"box plot by {by!r}: about {n_groups} groups, more than {MAX_BOX_GROUPS}")
     q = quantiles(df, [y], [0.25, 0.5, 0.75], group_cols=gcols, method=quantile_method)
     groups = sorted({k[1] for k in q}, key=repr)
     spark = df.sparkSession
@@ -91,5 +98,5 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 def category_counts(df: DataFrame, col: str) -> DataFrame:
     """Value counts (NULL excluded) with share of the counted rows."""
     vc = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).cast("long").alias("count"))
-    w = Window.partitionBy(F.lit(0))  # over the value-count table, one row per category
-    return vc.select("value", "count", (F.col("count") / F.sum("count").over(w)).alias("share"))
+    total = df.where(F.col(col).isNotNull()).count()  # a scalar: no task ever holds all categories
+    return vc.select("value", "count", (F.col("count") / F.lit(float(total or 1))).alias("share"))

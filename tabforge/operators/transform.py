@@ -273,10 +273,11 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     long = (df.select(F.col(target).cast("string").alias("y"), F.explode(F.array(*items)).alias("kv"))
             .select("kv.feature", "kv.x", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull()))
     joint = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("nxy"))
-    from pyspark.sql import Window
-    wf = Window.partitionBy("feature")
-    t = joint.withColumn("n", F.sum("nxy").over(wf)) \
-        .withColumn("nx", F.sum("nxy").over(Window.partitionBy("feature", "x"))) \
-        .withColumn("ny", F.sum("nxy").over(Window.partitionBy("feature", "y")))
+    # marginals as grouped sums joined back (no window holding a whole feature in one task);
+    # the per-feature totals are one row per feature, broadcast
+    nx = joint.groupBy("feature", "x").agg(F.sum("nxy").alias("nx"))
+    ny = joint.groupBy("feature", "y").agg(F.sum("nxy").alias("ny"))
+    n = joint.groupBy("feature").agg(F.sum("nxy").alias("n"))
+    t = joint.join(nx, ["feature", "x"]).join(ny, ["feature", "y"]).join(F.broadcast(n), "feature")
     term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
     return t.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
