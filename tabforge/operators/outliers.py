@@ -7,7 +7,6 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import missing
 from ..functions.order_stats import order_statistics, long_form, group_stats, quantiles
 from ..functions.roles import NUMERIC, present, role_of
 from ..plans.stage import Stage, register
