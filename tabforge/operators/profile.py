@@ -35,11 +35,15 @@ def _size_expr(df: DataFrame, c: str) -> Column:
     return F.lit(dt.defaultSize).cast("long")
 
 
-def profile_table(df: DataFrame, with_memory: bool = False) -> DataFrame:
-    """rows, cols, role counts, missing / duplicate counts and %, health score: one shuffle.
-
-    The whole-row group-by both finds duplicates and carries the missing counts, with
-    map-side partial aggregation, so a hot repeated row costs one row per map task.
+def profile_table(df: DataFrame, with_memory: bool = False, duplicates: str = "exact",
+                  rsd: float = 0.01) -> DataFrame:
+    """rows, cols, role counts, missing / duplicate counts and %, health score.
+
+    duplicates="exact" (default): one whole-row group-by that both finds duplicates and carries
+    the missing counts, with map-side partial aggregation, so a hot repeated row costs one row
+    per map task. duplicates="approx": a single pass with no row shuffle: the distinct-row count
+    is a HyperLogLog estimate (relative error ``rsd``) over a 64-bit hash of the whole row; meant
+    for a first look at very large tables, reported as an estimate.
     """
     cols = df.columns
     n_num, n_cat = _n_cols_by_role(df)
@@ -49,12 +53,20 @@ def profile_table(df: DataFrame, with_memory: bool = False) -> DataFrame:
             "rows long, cols int, numeric_count int, categorical_count int, missing_count long, "
             "missing_pct double, duplicate_count long, duplicate_pct double, health_score int")
     miss_row = sum((F.when(missing(df, c), 1).otherwise(0) for c in cols), F.lit(0))
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    aggs = [F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
-            F.sum(miss_row * F.col("__n")).alias("missing_count")]
-    if with_memory:
-        aggs.append(F.sum(sum((_size_expr(df, c) for c in cols), F.lit(0)) * F.col("__n")).alias("bytes"))
-    p = g.agg(*aggs)
+    if duplicates == "approx":
+        aggs = [F.count(F.lit(1)).alias("rows"),
+                F.least(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*cols), rsd)).alias("distinct_rows"),
+                F.sum(miss_row).alias("missing_count")]
+        if with_memory:
+            aggs.append(F.sum(sum((_size_expr(df, c) for c in cols), F.lit(0))).alias("bytes"))
+        p = df.agg(*aggs)
+    else:
+        g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+        aggs = [F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
+                F.sum(miss_row * F.col("__n")).alias("missing_count")]
+        if with_memory:
+            aggs.append(F.sum(sum((_size_expr(df, c) for c in cols), F.lit(0)) * F.col("__n")).alias("bytes"))
+        p = g.agg(*aggs)
     rows = F.coalesce(F.col("rows"), F.lit(0)).cast("long")
     miss = F.coalesce(F.col("missing_count"), F.lit(0)).cast("long")
     dup = (rows - F.col("distinct_rows")).cast("long")

@@ -342,3 +342,13 @@ def test_builtin_quantile_path_for_small_inputs(spark):
     from tabforge.functions.order_stats import BUILTIN_PERCENTILE_BYTES, estimated_bytes
     df = spark.range(1000)
     assert 0 < estimated_bytes(df) <= BUILTIN_PERCENTILE_BYTES
+
+
+def test_profile_approx_duplicates_close_to_exact(spark):
+    li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_quantity", "l_discount", "l_tax")
+    exact = profile.profile_table(li).collect()[0]
+    approx = profile.profile_table(li, duplicates="approx").collect()[0]
+    assert approx["rows"] == exact["rows"] and approx["missing_count"] == exact["missing_count"]
+    distinct_exact = exact["rows"] - exact["duplicate_count"]
+    distinct_approx = approx["rows"] - approx["duplicate_count"]
+    assert abs(distinct_approx - distinct_exact) <= 0.05 * distinct_exact
