@@ -21,8 +21,10 @@ import uuid
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import map_slices
 
@@ -157,16 +159,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW):
     """Whether a text holds a window, as column expressions for a filter that keeps all columns of
     ``docs``: one for each block of patterns."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-    out = []
-    for key, sent in _sent_blocks(docs.sparkSession, pattern_table(benchmark, window=window), BLOCK_CHARS):
+    def of(key, sent):
         @pandas_udf("boolean")
-        def hit(texts: pd.Series, sent=sent, key=key) -> pd.Series:
+        def hit(texts: pd.Series) -> pd.Series:
             automaton = _automaton(key, sent.value)
             return pd.Series([bool(len(automaton)) and bool(scan_text(automaton, t)[1]) for t in texts], dtype=bool)
-        out.append(hit(F.col(text_col)))
-    return out
+        return hit(F.col(text_col))
+
+    blocks = _sent_blocks(docs.sparkSession, pattern_table(benchmark, window=window), BLOCK_CHARS)
+    return [of(key, sent) for key, sent in blocks]
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -56,7 +56,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, only=None) -> DataFrame:
                     F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("_ld_line", "line"))
     if only is not None:
         d = d.filter(only)
-    d = d.select(*_ID, _words(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    d = d.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(*_ID, _words(F.col("line")).alias("words"))
     return d.select(*_ID, _tokens(F.col("words")).alias("h"))
 
 
@@ -184,9 +184,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     joined = d.filter(hit).join(g, (F.col("_ld_h") == F.col("_ld_th")) & F.col(id_col).eqNullSafe(F.col("_ld_doc")), "left").select(
         *[F.col(c) for c in d.columns], F.coalesce("_ld_gone", none).alias("_ld_gone"))
     out = joined.union(d.filter(~hit).withColumn("_ld_gone", none)).drop("_ld_h")
-    lines = F.split(F.coalesce(text_col, F.lit("")), "\n", -1)
+    out = out.withColumn("_ld_split", F.split(F.coalesce(text_col, F.lit("")), "\n", -1))
+    lines = F.col("_ld_split")  # a column: it is looked up once for each line
     with_words = F.size(F.filter(lines, lambda x: F.length(F.translate(x, "\t\x0b\x0c\r ", "")) > 0))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_ld_gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     out = out.withColumn("_ld_lines", with_words)
-    return out.withColumn(text_col, F.when(F.size("_ld_gone") > 0, kept).otherwise(F.col(text_col)))
+    return out.withColumn(text_col, F.when(F.size("_ld_gone") > 0, kept).otherwise(F.col(text_col))).drop("_ld_split")

@@ -49,11 +49,10 @@ def with_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.withColumn("words", F.array_remove(F.split(spaced, " "), ""))
 
 
-def _repeat_words(windows: Column) -> Column:
-    """Words covered by windows (hashes in order) that occur more than once: sort the windows by
-    hash, keep the positions of those with an equal neighbour, and add up what each position
-    covers before the next one."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _repeat_positions(placed: Column) -> Column:
+    """Positions of windows that occur more than once: in ``placed``, windows (hash, position)
+    sorted by hash, those with an equal neighbour. ``placed`` must be a column, not an expression,
+    as it is looked up once for each window."""
     n = F.size(placed)
 
     def equal_neighbour(x, i):
@@ -69,7 +68,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)),
         lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
     d = d.withColumn("repeated", F.size(F.array_distinct("windows")) < F.size("windows"))
-    d = d.withColumn("at", F.when(F.col("repeated"), _repeat_words(F.col("windows"))).otherwise(F.array().cast("array<int>")))
+    placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    d = d.withColumn("placed", F.when(F.col("repeated"), placed))
+    d = d.withColumn("at", F.when(F.col("repeated"), _repeat_positions(F.col("placed"))).otherwise(F.array().cast("array<int>")))
     covered = F.aggregate("at", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), lambda s, i: F.struct(
         (s["n"] + (i + WINDOW - F.greatest(i, s["end"]))).alias("n"), (i + WINDOW).alias("end")), lambda s: s["n"])
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(_without(x, WHITE)) > 0)

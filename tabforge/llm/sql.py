@@ -10,7 +10,7 @@ win AS (SELECT doc_id, i, array_to_string(words[i:i+7], ' ') AS win
         FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 7)) AS i FROM w WHERE len(words) >= 8)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, (SELECT unnest(generate_series(0, 7)) AS o) GROUP BY doc_id),
-ln AS (SELECT doc_id, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+ln AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 m AS (SELECT w.doc_id, text, words, CAST(len(words) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
@@ -21,9 +21,9 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 10 * word_chars OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)
             OR word_chars < 2 * n_words OR word_chars > 25 * n_words
-            OR 4 * len(list_filter(words, x -> NOT regexp_matches(x, '[\p{L}\p{N}]'))) > n_words
+            OR 4 * len(list_filter(words, lambda x: NOT regexp_matches(x, '[\p{L}\p{N}]'))) > n_words
             OR 2 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > word_chars
-            OR 3 * len(list_filter(words, x -> x LIKE '%!!')) > n_words
+            OR 3 * len(list_filter(words, lambda x: x LIKE '%!!')) > n_words
             OR 20 * len(list_distinct(words)) < n_words) AS kept
 FROM b"""
 
@@ -59,9 +59,9 @@ FROM f GROUP BY conv_id"""
 
 SQL["op6_line_dedup"] = r"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, text, i - 1 AS line, list_filter(string_split(translate(lower(lines[i]), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), x -> x <> '') AS w
+l AS (SELECT doc_id, text, i - 1 AS line, list_filter(string_split(translate(lower(lines[i]), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> '') AS w
       FROM (SELECT doc_id, text, lines, unnest(generate_series(1, len(lines))) AS i FROM d)),
-t AS (SELECT doc_id, line, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), i -> array_to_string(w[i:i+4], ' '))
+t AS (SELECT doc_id, line, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))
                                               ELSE [array_to_string(w, ' ')] END) AS s FROM l WHERE len(w) > 0),
 c AS (SELECT *, dense_rank() OVER (ORDER BY k) AS class FROM (SELECT doc_id, line, s, array_to_string(list_sort(s), chr(10)) AS k FROM t)),
 f AS (SELECT class, any_value(s) AS s, min((doc_id, line)) AS first FROM c GROUP BY class),
@@ -72,5 +72,5 @@ r AS (SELECT doc_id, line FROM c JOIN f USING (class) WHERE (doc_id, line) <> fi
 g AS (SELECT doc_id, list(line) AS gone, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS s FROM r GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, coalesce(g.s, '') AS removed_lines,
-       CASE WHEN g.n > 0 THEN array_to_string(list_filter(lines, (x, i) -> NOT list_contains(gone, i - 1)), chr(10)) ELSE text END AS text
+       CASE WHEN g.n > 0 THEN array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) ELSE text END AS text
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)"""

@@ -24,8 +24,10 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import map_slices
 
@@ -221,8 +223,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def score_column(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score"):
     """The score as a column expression, for filters that keep all columns of ``docs``."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("double")
