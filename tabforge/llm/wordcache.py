@@ -10,6 +10,8 @@ and frequent chunks stay.
 from __future__ import annotations
 
 import os
+import re
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -19,6 +21,8 @@ _WS = bytes(32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
 _WS_LOWER = bytes(32 if i in (9, 10, 11, 12, 13) else i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: How special tokens of the vocabulary begin; a text that holds it is not lower-cased.
 _SPECIAL = b"<|"
+#: Letters, then marks: such a chunk is cut there by the vocabulary too.
+_LETTERS_MARKS = re.compile(r"([^\W\d_]+)(\W*)")
 _CACHES: dict[str, "WordCache"] = {}
 
 
@@ -78,16 +82,16 @@ class WordCache:
 
     def _learn(self, missing: list[bytes]) -> None:
         """Words of letters only are encoded together, as one text with a space between them (one
-        library call for thousands of words); a letter word with one trailing mark such as a full
-        stop is its word and the mark; all other chunks are encoded one by one."""
+        library call for thousands of words); letters with marks behind them, such as a full stop,
+        are that word and the marks; all other chunks are encoded one by one."""
         young, words, tails, rest = self.young, set(), [], []
         for w in missing:
             s = w.decode("utf-8", "replace")
-            if s.isascii() and s.isalpha():
-                words.add(s)
-            elif len(s) > 1 and s.isascii() and s[:-1].isalpha() and s[-1] in ".,!?;:":
-                words.add(s[:-1])
-                tails.append((w, s))
+            m = _LETTERS_MARKS.fullmatch(s)
+            if m and m[1].isalpha() and (s.isascii() or is_normalized("NFC", s)):
+                words.add(m[1])
+                if m[2]:
+                    tails.append((w, m[1], m[2]))
             else:
                 rest.append((w, s))
         plain = sorted(x for x in words if x.encode() not in young)
@@ -102,10 +106,9 @@ class WordCache:
                     young[x.encode()] = ids[a:b].tobytes()
             else:
                 rest.extend((x.encode(), x) for x in part)
-        marks = {s[-1] for _, s in tails}
-        rest.extend((m.encode(), m) for m in marks if m.encode() not in young)
+        rest.extend((m.encode(), m) for m in {m for _, _, m in tails} if m.encode() not in young)
         if rest:
             for (w, _), e in zip(rest, self.tok.encode_batch([s for _, s in rest], add_special_tokens=False)):
                 young[w] = np.array(e.ids, "<u4").tobytes()
-        for w, s in tails:
-            young[w] = young[s[:-1].encode()] + young[s[-1].encode()]
+        for w, letters, marks in tails:
+            young[w] = young[letters.encode()] + young[marks.encode()]
