@@ -102,10 +102,12 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def order_rules(measured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> tuple[list[Rule], list[dict]]:
-    """Rules by rejections per cost on the first ``sample_rows`` rows of a hash sample, and what
-    was measured. The sample is a bounded number of rows and only decides the order."""
-    sample = measured.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(4)) == 0).limit(sample_rows).persist(StorageLevel.MEMORY_AND_DISK)
+def order_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text",
+                sample_rows: int = SAMPLE_ROWS) -> tuple[list[Rule], list[dict]]:
+    """Rules by rejections per cost on a random sample of about ``sample_rows`` rows, and what was
+    measured. The sample only decides the order."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = measure(docs.sample(share, seed=7) if share < 1 else docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
 
     def seconds(condition: Column) -> tuple[float, int, int]:
         t = time.perf_counter()
@@ -136,7 +138,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_i
           sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row: doc_id, the measures, ``base_failed``, ``rejected_by`` and ``kept``."""
     measured = measure(docs, id_col, text_col)
-    ordered, _ = order_rules(measured, rules or default_rules(), sample_rows)
+    ordered, _ = order_rules(docs, rules or default_rules(), id_col, text_col, sample_rows)
     out = measured.withColumn("base_failed", base_failed())
     out = out.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(first_rejection(ordered)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
