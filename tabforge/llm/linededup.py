@@ -61,9 +61,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, only=None) -> DataFrame:
 
 
 def _with_key(lines: DataFrame) -> DataFrame:
-    """``k`` and ``w``: 96 bits of hash of the token set; ``k`` is never the number of a cell."""
+    """``k`` and ``w``: 96 bits of hash of the token set."""
     d = lines.withColumn("s", F.sort_array("h"))
-    return d.select(*_ID, "h", F.xxhash64("s").bitwiseOR(F.lit(1 << 62)).alias("k"), F.hash("s").alias("w"))
+    return d.select(*_ID, "h", F.xxhash64("s").alias("k"), F.hash("s").alias("w"))
 
 
 class _Filter:
@@ -88,7 +88,7 @@ class _Filter:
 def _ranks(stats: DataFrame) -> Column:
     """Rank of each cell by its count, on a fine logarithmic scale, as a constant array."""
     rank = F.least(F.lit(32767), F.round(F.log2(F.col("c") + 1) * 500)).cast("int")
-    found = {r.k: r.r for r in stats.filter(F.col("k").between(0, CELLS - 1)).select("k", rank.alias("r")).collect()}
+    found = {r.k: r.r for r in stats.select("k", rank.alias("r")).collect()}
     return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(CELLS))), ",").cast("array<int>")
 
 
@@ -96,12 +96,9 @@ def _cell(token: Column) -> Column:
     return token.bitwiseAND(F.lit(CELLS - 1))
 
 
-def class_stats(keyed: DataFrame) -> DataFrame:
-    """One aggregation over all tokens: how many fall in each cell (k: cell), and for each class of
-    lines (k, w) their number and the first of them."""
-    each = keyed.select(*_ID, "w", F.explode(F.concat(F.transform("h", _cell), F.array("k"))).alias("k"))
-    each = each.withColumn("w", F.when(F.col("k").between(0, CELLS - 1), F.lit(0)).otherwise(F.col("w")))
-    return each.groupBy("k", "w").agg(F.count("*").alias("c"), F.min(F.struct(*_ID)).alias("first"))
+def cell_counts(lines: DataFrame) -> DataFrame:
+    """(k, c): how many tokens of all lines fall in each cell."""
+    return lines.select(F.explode(F.transform("h", _cell)).alias("k")).groupBy("k").agg(F.count("*").alias("c"))
 
 
 def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -135,10 +132,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_ld_doc, _ld_th, lines): numbers of the lines to remove, for documents that have any."""
-    stats = written(class_stats(_with_key(_lines(docs, id_col, text_col))), "line-stats")
-    ranks = _ranks(stats)
-    classes = stats.filter(~F.col("k").between(0, CELLS - 1))
-    again = classes.filter("c > 1")
+    ranks = _ranks(cell_counts(_lines(docs, id_col, text_col)))
     n = F.size("h")
     ordered = F.sort_array(F.transform("h", lambda x: F.shiftleft(F.get(ranks, _cell(x).cast("int")).cast("long"), 48).bitwiseOR(
         x.bitwiseAND(F.lit((1 << 48) - 1)))))
@@ -147,16 +141,21 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = written(lines, "line-prefixes")
 
     # a class is represented by its first line; only classes of several lines need a look-up
-    held = _Filter(again, *_KEY)
+    several = written(lines.groupBy(*_KEY).agg(F.count("*").alias("c")).filter("c > 1"), "line-classes")
+    held = _Filter(several, *_KEY)
     one = F.struct(*_ID)
-    maybe = lines.filter(held.holds(*_KEY)).withColumn("first", one).join(again.select(*_KEY, F.col("first").alias("at")), _KEY, "left")
-    firsts = maybe.filter(F.col("at").isNull() | (F.col("at") == F.col("first"))).select(*_KEY, "n", "prefix", "first")
-    firsts = firsts.union(lines.filter(~held.holds(*_KEY)).select(*_KEY, "n", "prefix", one.alias("first")))
-    posts = firsts.select(*_KEY, "n", "first", F.posexplode("prefix").alias("pos", "token"))
+    again = lines.filter(held.holds(*_KEY)).select(*_KEY, one.alias("at")).groupBy(*_KEY).agg(F.min("at").alias("first"), F.count("*").alias("c"))
+    again = written(again.filter("c > 1").select(*_KEY, "first"), "line-classes")
+    maybe = lines.filter(held.holds(*_KEY)).join(again, _KEY, "left")
+    firsts = maybe.filter(F.col("first").isNull() | (F.col("first") == one)).select(*_KEY, *_ID, "n", "prefix")
+    firsts = firsts.union(lines.filter(~held.holds(*_KEY)).select(*_KEY, *_ID, "n", "prefix"))
+    posts = firsts.select(*_KEY, "n", F.posexplode("prefix").alias("pos", "token"))
 
     tokens = written(posts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared-tokens")
-    shared = _Filter(tokens, "token")
-    posts = written(posts.filter(shared.holds("token")).join(tokens, "token", "left_semi"), "shared-posts")
+    posts = written(posts.filter(_Filter(tokens, "token").holds("token")).join(tokens, "token", "left_semi"), "shared-posts")
+    sharing = _Filter(posts, *_KEY)
+    at = firsts.filter(sharing.holds(*_KEY)).select(*_KEY, one.alias("first")).distinct()
+    posts = written(posts.join(at, _KEY), "shared-posts")
     heads = written(posts.groupBy("token").agg(F.min(F.struct("first", *_KEY, "n", "pos")).alias("head"), F.count("*").alias("c")), "heads")
     head = heads.select("token", *[F.col(f"head.{c}").alias(c) for c in ("first", *_KEY, "n", "pos")])
     gone = written(_verified(written(_pairs(head, posts), "line-pairs"), docs, id_col, text_col), "gone")
@@ -165,7 +164,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = written(_pairs(others.drop("least"), rest), "line-pairs")
     gone = gone.union(written(_verified(more, docs, id_col, text_col), "gone")) if not more.isEmpty() else gone
 
-    bad = classes.join(gone.withColumn("all", F.lit(True)), _KEY, "left").filter("c > 1 or all")
+    bad = again.select(*_KEY, "first").join(gone.withColumn("all", F.lit(True)), _KEY, "full")
     bad = written(bad.select(*_KEY, "first", F.coalesce("all", F.lit(False)).alias("all")), "bad-classes")
     held = _Filter(bad, *_KEY)
     out = lines.filter(held.holds(*_KEY)).select(*_ID, *_KEY).join(bad, _KEY).filter(F.col("all") | (F.struct(*_ID) != F.col("first")))
