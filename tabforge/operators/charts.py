@@ -66,8 +66,10 @@ def box_outliers(df: DataFrame, y: str, box: DataFrame, by: str | None = None) -
         F.col("__k").alias(key), y)
 
 
-def scatter_sample(df: DataFrame, cols: list[str], key: str, n: int = 5000, seed: int = 42) -> DataFrame:
-    """A deterministic sample of ``n`` points for display (top-n on md5(key|seed))."""
+def scatter_sample(df: DataFrame, cols: list[str], key: str, n: int | None = None, seed: int = 42) -> DataFrame:
+    """The points to plot: all rows, or with ``n`` a deterministic sample (top-n on md5(key|seed))."""
+    if n is None:
+        return df.select(key, *cols)
     return (df.select(key, *cols).withColumn("__h", seeded_hash([key], seed))
             .orderBy("__h", key).limit(n).drop("__h"))
 
@@ -83,7 +85,7 @@ def ols_trend(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFr
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every ordered pair (pairwise complete), long form, one aggregate."""
     if len(cols) < 2:
-        raise ValueError("At least 2 numerical features are required for correlation analysis.")
+        raise ValueError("a correlation matrix needs two or more numeric columns")
     pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
     wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     entries = []

@@ -51,9 +51,9 @@ def metrics_classification(pred: DataFrame, label: str = "label", prediction: st
 
 def classification_report(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                           places: int = 4) -> DataFrame:
-    """Per class precision / recall / F1 / support, then accuracy, macro avg, weighted avg rows."""
-    t = _prf(_per_class(pred, label, prediction)).cache()
-    per = t.where(F.col("support") > 0).select(F.col("cls").alias("row"), "precision", "recall", "f1",
+    """Per class (true or predicted) precision / recall / F1 / support, then accuracy, macro avg, weighted avg rows."""
+    t = _prf(_per_class(pred, label, prediction))
+    per = t.select(F.col("cls").alias("row"), "precision", "recall", "f1",
                                                F.col("support").cast("long").alias("support"))
     tot = F.sum("support")
     acc = t.agg(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
@@ -142,8 +142,8 @@ def roc_auc(pred: DataFrame, label: str, score: str, pos_label) -> DataFrame:
     sc = _score_counts(pred, label, score, pos_label)
     P, N = _totals(sc)
     cum = running_totals(sc, "score", ["pos", "neg"], descending=True, n_rows=P + N)
-    return cum.agg((F.sum(F.col("neg") * (2 * F.col("cum_pos") - F.col("pos")))
-                    / (2.0 * F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return cum.agg((F.sum(F.col("neg").cast("double") * (2.0 * F.col("cum_pos") - F.col("pos")))
+                    / (2.0 * F.sum(F.col("pos").cast("double")) * F.sum(F.col("neg").cast("double")))).alias("auc"))
 
 
 def pr_curve(pred: DataFrame, label: str, score: str, pos_label) -> DataFrame:

@@ -18,12 +18,13 @@ def _is_integral(dt):
 
 def column_modes(df: DataFrame, cols: list[str]) -> dict:
     """Most frequent non-missing value per column, smallest value on ties (typed order:
-    numbers numerically, text by code point). Two jobs at most: numeric and text long forms,
+    numbers numerically, text by code point). Three jobs at most: whole numbers, other numbers and text,
     each a partial-aggregated (column, value) count then a per-column min over (-count, value)."""
     out = {}
     num = [c for c in cols if role_of(df.schema[c].dataType) == NUMERIC]
+    whole = [c for c in num if _is_integral(df.schema[c].dataType)]
     txt = [c for c in cols if c not in num]
-    for group, cast in ((num, "double"), (txt, "string")):
+    for group, cast in ((whole, "bigint"), ([c for c in num if c not in whole], "double"), (txt, "string")):
         if not group:
             continue
         items = [F.struct(F.lit(c).alias("column"),

@@ -38,9 +38,9 @@ def audit_table(before: DataFrame, after: DataFrame, pipeline, metrics: DataFram
     return out
 
 
-def to_markdown(report: DataFrame, limit_rows: int = 10_000) -> str:
-    """Format a (small) report table as Markdown, section by section."""
-    rows = report.limit(limit_rows).collect()
+def to_markdown(report: DataFrame) -> str:
+    """Format a report table as Markdown, section by section in the order of its rows."""
+    rows = report.collect()
     lines, current = [], None
     for r in rows:
         if r["section"] != current:

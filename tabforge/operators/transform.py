@@ -156,7 +156,7 @@ def fit_poly(df: DataFrame, cols: list[str], degree: int = 2, interaction_only:
              include_bias: bool = False) -> Stage:
     cols = _numeric(df, cols)
     if len(cols) > 15 and degree > 2:
-        raise ValueError("Too many columns selected for degree > 2 expansion.")
+        raise ValueError("a degree above 2 takes no more columns than the limit")
     return Stage("poly", {"columns": cols, "degree": degree, "interaction_only": interaction_only,
                           "include_bias": include_bias})
 
@@ -185,7 +185,7 @@ def fit_pca(df: DataFrame, cols: list[str], n_components: int | float = 0.95, st
     smallest k whose cumulative explained variance reaches it."""
     cols = _numeric(df, cols)
     if not cols:
-        raise ValueError("PCA requires numerical features.")
+        raise ValueError("PCA needs at least one numeric column")
     d = len(cols)
     x = {c: F.col(c).cast("double") for c in cols}
     aggs = [F.avg(x[c]).alias(f"a{i}") for i, c in enumerate(cols)]
@@ -279,5 +279,5 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     ny = joint.groupBy("feature", "y").agg(F.sum("nxy").alias("ny"))
     n = joint.groupBy("feature").agg(F.sum("nxy").alias("n"))
     t = joint.join(nx, ["feature", "x"]).join(ny, ["feature", "y"]).join(F.broadcast(n), "feature")
-    term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
+    term = F.col("nxy") / F.col("n") * F.log(F.col("nxy").cast("double") * F.col("n") / (F.col("nx").cast("double") * F.col("ny")))
     return t.groupBy("feature").agg(F.sum(term).alias("mutual_info"))

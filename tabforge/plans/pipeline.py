@@ -18,6 +18,10 @@ from ..operators.profile import raw_profile
 from .stage import Stage
 
 
+#: Stages that leave present values as they are; the fallback fill comes after a run of them.
+KEEPS_VALUES = ("drop", "impute", "impute_multi", "mice")
+
+
 class Pipeline:
     def __init__(self):
         self.raw: dict = {}
@@ -86,8 +90,8 @@ class Pipeline:
 
     # ---- replay
     def transform(self, raw_df: DataFrame, align: bool = True, keep: list[str] | None = None) -> DataFrame:
-        """Replay every stage on raw rows without refitting, with the fallback fill after
-        imputation; then align to the model features (absent feature -> 0.0).
+        """Replay every stage on raw rows without refitting, with the fallback fill on raw values,
+        right before the first stage that changes present values; then align to the model features (absent feature -> 0.0).
         ``keep`` columns (e.g. a key or the target) are carried through untouched."""
         keep = [c for c in (keep or []) if c in raw_df.columns]
         df = raw_df
@@ -98,10 +102,10 @@ class Pipeline:
             carried = keep
         fallback_done = False
         for st in self.stages:
-            df = st.apply(df)
-            if st.kind in ("impute", "impute_multi") and not fallback_done and self.raw:
+            if st.kind not in KEEPS_VALUES and not fallback_done and self.raw:
                 df = self._fallback(df)
                 fallback_done = True
+            df = st.apply(df)
         if not fallback_done and self.raw:
             df = self._fallback(df)
         if align and self.features:
@@ -150,6 +154,9 @@ def score_batch(pipeline: Pipeline, model, raw_df: DataFrame, keep: list[str] |
     """raw rows -> replayed features -> model -> ``Predicted_<target>``, ``Confidence`` and, when the
     target is present, ``Accurate`` (classification) or ``Absolute Error`` (regression)."""
     target = pipeline.target
+    absent = [c for c in pipeline.required_raw_features() if c not in raw_df.columns] if pipeline.raw else []
+    if absent:
+        raise ValueError(f"scoring needs the columns {', '.join(absent)}")
     keep = list(keep or [])
     has_target = target is not None and target in raw_df.columns
     carry = keep + ([target] if has_target and target not in keep else [])
