@@ -38,32 +38,40 @@ _ID = ["_ld_doc", "_ld_th", "_ld_line"]
 _KEY = ["k", "w"]
 
 
-def _words(line: Column) -> Column:
-    spaced = F.translate(F.lower(line), "\t\x0b\x0c\r", "    ")
-    return F.array_remove(F.split(spaced, " "), "")
+_BLANKS = "\t\x0b\x0c\r"
+
+
+def _plain(text: Column) -> Column:
+    """``text`` in lower case, its blanks but line ends as spaces; most texts have no others."""
+    other = text.contains(_BLANKS[0]) | text.contains(_BLANKS[1]) | text.contains(_BLANKS[2]) | text.contains(_BLANKS[3])
+    return F.lower(F.when(other, F.translate(text, _BLANKS, " " * len(_BLANKS))).otherwise(text))
+
+
+def _shingle(words: Column, i: Column) -> Column:
+    """Hash of the shingle that starts at word ``i``: words are looked up one by one, as a slice would copy the line."""
+    return F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)])
 
 
 def _tokens(words: Column) -> Column:
-    whole = F.array(F.xxhash64(words))
-    parts = F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
-    return F.when(F.size(words) >= SHINGLE, F.array_distinct(parts)).otherwise(whole)
+    parts = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: _shingle(words, i))
+    return F.when(F.size(words) >= SHINGLE, F.array_distinct(parts)).otherwise(F.array(F.xxhash64(words)))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, only=None) -> DataFrame:
-    """A row for each line with a word: where it is and its token set ``h``. ``only``: a condition
-    on where it is, taken before tokens are made."""
+def _words_of_lines(docs: DataFrame, id_col: str, text_col: str, only=None) -> DataFrame:
+    """A row for each line with a word: where it is and its words. ``only``: a condition on where
+    it is, taken before words are made."""
+    text = F.coalesce(text_col, F.lit(""))
     d = docs.select(F.col(id_col).alias("_ld_doc"), F.xxhash64(text_col).alias("_ld_th"),
-                    F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("_ld_line", "line"))
+                    F.posexplode(F.split(_plain(text), "\n", -1)).alias("_ld_line", "line"))
     if only is not None:
         d = d.filter(only)
-    d = d.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(*_ID, _words(F.col("line")).alias("words"))
-    return d.select(*_ID, _tokens(F.col("words")).alias("h"))
+    words = F.array_remove(F.split("line", " ", -1), "")
+    return d.filter(F.ltrim("line") != "").select(*_ID, words.alias("words"))
 
 
-def _with_key(lines: DataFrame) -> DataFrame:
-    """``k`` and ``w``: 96 bits of hash of the token set."""
-    d = lines.withColumn("s", F.sort_array("h"))
-    return d.select(*_ID, "h", F.xxhash64("s").alias("k"), F.hash("s").alias("w"))
+def _lines(docs: DataFrame, id_col: str, text_col: str, only=None) -> DataFrame:
+    """A row for each line with a word: where it is and its token set ``h``."""
+    return _words_of_lines(docs, id_col, text_col, only).select(*_ID, _tokens(F.col("words")).alias("h"))
 
 
 class _Filter:
@@ -97,8 +105,12 @@ def _cell(token: Column) -> Column:
 
 
 def cell_counts(lines: DataFrame) -> DataFrame:
-    """(k, c): how many tokens of all lines fall in each cell."""
-    return lines.select(F.explode(F.transform("h", _cell)).alias("k")).groupBy("k").agg(F.count("*").alias("c"))
+    """(k, c): how many tokens of all lines, given by their ``words``, fall in each cell. Tokens are rows here:
+    generated code makes, hashes and counts them without an array of them."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
+    rows = lines.select("words", F.explode(starts).alias("i"))
+    token = F.when(F.size("words") >= SHINGLE, _shingle(F.col("words"), F.col("i"))).otherwise(F.xxhash64("words"))
+    return rows.select(_cell(token).alias("k")).groupBy("k").agg(F.count("*").alias("c"))
 
 
 def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -132,15 +144,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_ld_doc, _ld_th, lines): numbers of the lines to remove, for documents that have any."""
-    ranks = _ranks(cell_counts(_lines(docs, id_col, text_col)))
-    n = F.size("h")
-    ordered = F.sort_array(F.transform("h", lambda x: F.shiftleft(F.get(ranks, _cell(x).cast("int")).cast("long"), 48).bitwiseOR(
-        x.bitwiseAND(F.lit((1 << 48) - 1)))))
-    size = (n - F.floor((NUM * n + DEN - 1) / DEN) + 1).cast("int")
-    lines = _with_key(_lines(docs, id_col, text_col)).select(*_ID, *_KEY, n.alias("n"), F.slice(ordered, 1, size).alias("prefix"))
+    ranks = _ranks(cell_counts(_words_of_lines(docs, id_col, text_col)))
+    ordered = F.sort_array(F.transform("h", lambda x: F.shiftleft(F.coalesce(F.get(ranks, _cell(x).cast("int")), F.lit(0)).cast("long"), 48)
+                                       .bitwiseOR(x.bitwiseAND(F.lit((1 << 48) - 1)))))
+    size = (F.col("n") - F.floor((NUM * F.col("n") + DEN - 1) / DEN) + 1).cast("int")
+    lines = _lines(docs, id_col, text_col).select(*_ID, F.size("h").alias("n"), ordered.alias("s"))
+    lines = lines.select(*_ID, F.xxhash64("s").alias("k"), F.hash("s").alias("w"), "n", F.slice("s", 1, size).alias("prefix"))
     lines = written(lines, "line-prefixes")
 
-    # a class is represented by its first line; only classes of several lines need a look-up
+    # ``k`` and ``w``, 96 bits of hash of the ordered token set, name a class
+    # it is represented by its first line; only classes of several lines need a look-up
     several = written(lines.groupBy(*_KEY).agg(F.count("*").alias("c")).filter("c > 1"), "line-classes")
     held = _Filter(several, *_KEY)
     one = F.struct(*_ID)
@@ -185,7 +198,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     out = joined.union(d.filter(~hit).withColumn("_ld_gone", none)).drop("_ld_h")
     out = out.withColumn("_ld_split", F.split(F.coalesce(text_col, F.lit("")), "\n", -1))
     lines = F.col("_ld_split")  # a column: it is looked up once for each line
-    with_words = F.size(F.filter(lines, lambda x: F.length(F.translate(x, "\t\x0b\x0c\r ", "")) > 0))
+    with_words = F.size(F.filter(lines, lambda x: F.ltrim(x, F.lit(_BLANKS + " ")) != ""))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_ld_gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     out = out.withColumn("_ld_lines", with_words)
