@@ -20,7 +20,7 @@ score is 0; repeated rows are scored alike; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -111,25 +111,34 @@ class Model:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] + float(x @ self.weights[1:]))))))
 
 
-def _contexts(texts: list[str]) -> dict[bytes, set[int]]:
-    out: dict[bytes, set[int]] = defaultdict(set)
+def _contexts(texts: list[str]) -> dict[bytes, int]:
+    """Per word, in how many different pairs of neighbours it stands. Texts are kept as one sequence
+    of word numbers, 0 between them, so that memory is a few bytes for each word of the sample."""
+    number: dict[bytes, int] = {b"": 0}
+    seq = array("I", [0])
     for t in texts:
-        w = (t or "").encode("utf-8", "replace").translate(_WORDS).split()
-        for before, word, after in zip([b""] + w, w, w[1:] + [b""]):
-            out[word].add(hash((before, after)))
-    return out
+        seq.extend([number.setdefault(w, len(number)) for w in (t or "").encode("utf-8", "replace").translate(_WORDS).split()])
+        seq.append(0)
+    ids = np.frombuffer(seq, np.uint32)
+    at = np.flatnonzero(ids)
+    rows = np.column_stack([ids[at], ids[at - 1], ids[at + 1]])
+    rows = rows[np.lexsort(rows.T[::-1])]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    counts = np.bincount(rows[new, 0], minlength=len(number))
+    return {w: int(counts[i]) for w, i in number.items() if i}
 
 
 def peculiar_words(toxic: list[str], ordinary: list[str]) -> dict[bytes, int]:
     """Words of toxic texts with their number of contexts there, where that number is beyond
     chance and at least ``MIN_LIFT`` times what ordinary texts would lead one to expect."""
     c1, c0 = _contexts(toxic), _contexts(ordinary)
-    n1, n0 = sum(map(len, c1.values())), sum(map(len, c0.values()))
+    n1, n0 = sum(c1.values()), sum(c0.values())
     share = n1 / max(1, n1 + n0)
     least = math.log(len(c1) + len(c0) + 1) + 3
     out = {}
-    for word, seen in c1.items():
-        a, b = len(seen), len(c0.get(word, ()))
+    for word, a in c1.items():
+        b = c0.get(word, 0)
         q = a / (a + b)
         if len(word) < 3 or a < MIN_CONTEXTS or q <= share or a / n1 < MIN_LIFT * (b + 1) / max(1, n0):
             continue
