@@ -16,6 +16,12 @@ def missing(df: DataFrame, col: str) -> Column:
     return c.isNull()
 
 
+def number(col: str) -> Column:
+    """``col`` as a double with NaN taken as missing: what every numeric fit reads."""
+    x = F.col(col).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Normalise NaN to NULL in floating columns so aggregates skip them."""
     cols = []

@@ -47,6 +47,16 @@ class GaussianNB:
         self.var = [[r[f"v{i}"] + eps for i in range(d)] for r in rows]
         return self
 
+    def state(self) -> dict:
+        """The fitted numbers, to be saved as JSON."""
+        return dict(vars(self))
+
+    @staticmethod
+    def from_state(state: dict) -> "GaussianNB":
+        model = GaussianNB()
+        vars(model).update(state)
+        return model
+
     def joint_log_likelihood(self):
         out = []
         for k in range(len(self.classes)):

@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TREE_DEPTH = 30  # Spark's tree depth limit; deeper requests are clamped
+MAX_TREE_DEPTH = 30  # Spark's tree depth limit; deeper requests are clamped, which param_table reports
 
 CLASSIFIERS = {"clf_random_forest", "clf_decision_tree", "clf_logistic", "clf_svm", "clf_mlp", "clf_gbt"}
 REGRESSORS = {"reg_random_forest", "reg_decision_tree", "reg_linear", "reg_ridge", "reg_lasso", "reg_gbt"}
@@ -48,19 +48,21 @@ class SparkModel:
         if depth > MAX_TREE_DEPTH:
             self.warnings.append(f"max_depth {depth} clamped to {MAX_TREE_DEPTH}")
             depth = MAX_TREE_DEPTH
+        # both children of a split have this many rows, so no node of fewer than min_samples_split rows is split
+        least = max(int(p.get("min_samples_leaf", 1)), math.ceil(int(p.get("min_samples_split", 2)) / 2))
         kind = self.kind
         if kind == "clf_random_forest":
             return C.RandomForestClassifier(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=True, numTrees=int(p.get("n_estimators", 100)),
-                                            maxDepth=depth, minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=42)
+                                            maxDepth=depth, minInstancesPerNode=least, seed=42)
         if kind == "reg_random_forest":
             return R.RandomForestRegressor(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=True, numTrees=int(p.get("n_estimators", 100)),
-                                           maxDepth=depth, minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=42)
+                                           maxDepth=depth, minInstancesPerNode=least, seed=42)
         if kind == "clf_decision_tree":
             return C.DecisionTreeClassifier(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=True, maxDepth=depth,
-                                            minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=42)
+                                            minInstancesPerNode=least, seed=42)
         if kind == "reg_decision_tree":
             return R.DecisionTreeRegressor(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=True, maxDepth=depth,
-                                           minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=42)
+                                           minInstancesPerNode=least, seed=42)
         if kind == "clf_logistic":
             c = float(p.get("C", 1.0))
             return C.LogisticRegression(featuresCol=fc, labelCol=lc, regParam=1.0 / (c * n), elasticNetParam=0.0,
@@ -76,11 +78,11 @@ class SparkModel:
                                                     maxIter=int(p.get("max_iter", 200)), seed=42)
         if kind == "clf_gbt":
             gbt = C.GBTClassifier(featuresCol=fc, labelCol=lc, maxIter=int(p.get("n_estimators", 100)),
-                                  stepSize=float(p.get("learning_rate", 0.1)), maxDepth=int(p.get("max_depth", 3)), seed=42)
+                                  stepSize=float(p.get("learning_rate", 0.1)), maxDepth=int(p.get("max_depth", 6)), seed=42)
             return gbt if k <= 2 else C.OneVsRest(classifier=gbt, featuresCol=fc, labelCol=lc)
         if kind == "reg_gbt":
             return R.GBTRegressor(featuresCol=fc, labelCol=lc, maxIter=int(p.get("n_estimators", 100)),
-                                  stepSize=float(p.get("learning_rate", 0.1)), maxDepth=int(p.get("max_depth", 3)), seed=42)
+                                  stepSize=float(p.get("learning_rate", 0.1)), maxDepth=int(p.get("max_depth", 6)), seed=42)
         if kind == "reg_linear":
             return R.LinearRegression(featuresCol=fc, labelCol=lc, regParam=0.0, solver="normal")
         if kind == "reg_ridge":
@@ -150,7 +152,8 @@ class SparkModel:
     def param_table(self, spark) -> DataFrame:
         est_params = [(p.name, str(v)) for p, v in self.model.extractParamMap().items()] if hasattr(
             self.model, "extractParamMap") else []
-        rows = sorted(est_params + [(f"user.{k}", str(v)) for k, v in self.params.items()])
+        rows = sorted(est_params + [(f"user.{k}", str(v)) for k, v in self.params.items()]
+                      + [(f"warning.{i}", w) for i, w in enumerate(self.warnings, 1)])
         return spark.createDataFrame(rows, "param string, value string")
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import seeded_hash
+from ..functions.exprs import number, seeded_hash
 from ..functions.order_stats import quantiles
 
 
-MAX_BOX_GROUPS = 10_000  # per-group quartiles come back to the driver: one row per group
+LARGE_GROUP = 2_000_000  # rows of a group whose quartiles one task may find
+GROUP_BLOCK = 1_000  # larger groups taken at a time
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30, group: str | None = None) -> DataFrame:
@@ -28,24 +29,38 @@ def histogram(df: DataFrame, col: str, bins: int = 30, group: str | None = None)
                       *([group] if group else []), "count")
 
 
+def _group_quartiles(base: DataFrame, method: str) -> DataFrame:
+    """(g, q1, median, q3) of ``v`` for any number of groups. Groups of up to ``LARGE_GROUP`` rows
+    are an aggregate that stays in Spark; larger ones, a few for each billion rows, go in blocks
+    through the order statistics, whose memory does not grow with a group."""
+    spark, schema = base.sparkSession, f"g {base.schema['g'].dataType.simpleString()}, q1 double, median double, q3 double"
+    sizes = base.groupBy("g").agg(F.count("*").alias("n"))
+    many = [r.g for r in sizes.filter(F.col("n") > (0 if method == "select" else LARGE_GROUP)).select("g").collect()]
+    held = spark.createDataFrame([(g,) for g in many], base.select("g").schema).withColumnRenamed("g", "k")
+    few = base.join(held, base.g.eqNullSafe(held.k), "left_anti") if many else base
+    p = F.percentile("v", [0.25, 0.5, 0.75])
+    out = few.groupBy("g").agg(p.alias("p")).select("g", *[F.col("p")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    for at in range(0, len(many), GROUP_BLOCK):
+        block = spark.createDataFrame([(g,) for g in many[at:at + GROUP_BLOCK]], held.schema)
+        rows = base.join(block, base.g.eqNullSafe(block.k), "left_semi")
+        q = quantiles(rows, ["v"], [0.25, 0.5, 0.75], group_cols=["g"], method="select")
+        found = [(g, *[q[("v", (g,), x)] for x in (0.25, 0.5, 0.75)]) for g in many[at:at + GROUP_BLOCK]]
+        out = out.union(spark.createDataFrame(found, schema))
+    return out
+
+
 def box_stats(df: DataFrame, y: str, by: str | None = None, whisker: float = 1.5,
               quantile_method: str = "auto") -> DataFrame:
     """q1, median, q3 (linear), whiskers at the most extreme points within whisker x IQR, and the
     number of points beyond them, per group of ``by``."""
-    gcols = [by] if by else []
+    base = df.select((F.col(by) if by else F.lit(None).cast("string")).alias("g"), number(y).alias("v")).where(F.col("v").isNotNull())
     if by:
-        n_groups = df.agg(F.approx_count_distinct(by).alias("g")).collect()[0]["g"]
-        if n_groups > MAX_BOX_GROUPS:
-            raise ValueError(f"box plot by {by!r}: about {n_groups} groups, more than {MAX_BOX_GROUPS}")
-    q = quantiles(df, [y], [0.25, 0.5, 0.75], group_cols=gcols, method=quantile_method)
-    groups = sorted({k[1] for k in q}, key=repr)
-    spark = df.sparkSession
-    rows = [(g[0] if by else None, q[(y, g, 0.25)], q[(y, g, 0.5)], q[(y, g, 0.75)]) for g in groups]
-    gtype = df.schema[by].dataType.simpleString() if by else "string"
-    qdf = spark.createDataFrame(rows, f"g {gtype}, q1 double, median double, q3 double")
-    x = F.col(y).cast("double")
-    base = df.select((F.col(by) if by else F.lit(None).cast("string")).alias("g"), x.alias("v")).where(F.col("v").isNotNull())
-    j = base.join(F.broadcast(qdf), base.g.eqNullSafe(qdf.g)).drop(qdf.g)  # one row per group
+        qdf = _group_quartiles(base, quantile_method)
+    else:
+        q = quantiles(base, ["v"], [0.25, 0.5, 0.75], method=quantile_method)
+        qdf = df.sparkSession.createDataFrame([(None, *[q[("v", (), p)] for p in (0.25, 0.5, 0.75)])],
+                                              "g string, q1 double, median double, q3 double")
+    j = base.join(qdf, base.g.eqNullSafe(qdf.g)).drop(qdf.g)  # one row per group
     lo_f = F.col("q1") - whisker * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + whisker * (F.col("q3") - F.col("q1"))
     out = j.groupBy("g", "q1", "median", "q3").agg(
@@ -58,8 +73,8 @@ def box_stats(df: DataFrame, y: str, by: str | None = None, whisker: float = 1.5
 def box_outliers(df: DataFrame, y: str, box: DataFrame, by: str | None = None) -> DataFrame:
     """The outlier points themselves (every one of them; the caller may sample for display)."""
     key = by or "group"
-    b = F.broadcast(box.select(F.col(key).alias("__g"), "q1", "q3"))
-    base = df.select((F.col(by) if by else F.lit(None).cast("string")).alias("__k"), F.col(y).cast("double").alias(y))
+    b = box.select(F.col(key).alias("__g"), "q1", "q3")
+    base = df.select((F.col(by) if by else F.lit(None).cast("string")).alias("__k"), number(y).alias(y))
     j = base.join(b, base.__k.eqNullSafe(b.__g))
     iqr = F.col("q3") - F.col("q1")
     return j.where((F.col(y) < F.col("q1") - 1.5 * iqr) | (F.col(y) > F.col("q3") + 1.5 * iqr)).select(

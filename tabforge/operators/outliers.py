@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import number
 from ..functions.order_stats import order_statistics, long_form, group_stats, quantiles
 from ..functions.roles import NUMERIC, present, role_of
 from ..plans.stage import Stage, register
@@ -30,8 +31,8 @@ def iqr_bounds(df: DataFrame, cols: list[str], factor: float = 1.5, quantile_met
 
 def zscore_bounds(df: DataFrame, cols: list[str], factor: float = 3.0) -> dict:
     """mean +- factor * std (ddof 1); columns with zero or undefined std are skipped."""
-    r = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
-               *[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).collect()[0]
+    r = df.agg(*[F.avg(number(c)).alias(f"a{i}") for i, c in enumerate(cols)],
+               *[F.stddev_samp(number(c)).alias(f"s{i}") for i, c in enumerate(cols)]).collect()[0]
     out = {}
     for i, c in enumerate(cols):
         m, s = r[f"a{i}"], r[f"s{i}"]
@@ -76,7 +77,7 @@ def outlier_count(df: DataFrame, bounds: dict) -> DataFrame:
     cols = list(bounds)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, lower double, upper double, n_out long")
-    aggs = [F.count_if((F.col(c) < F.lit(bounds[c][0])) | (F.col(c) > F.lit(bounds[c][1]))).alias(f"n{i}")
+    aggs = [F.count_if((number(c) < F.lit(bounds[c][0])) | (number(c) > F.lit(bounds[c][1]))).alias(f"n{i}")
             for i, c in enumerate(cols)]
     wide = df.agg(*aggs)
     entries = [F.struct(F.lit(c).alias("column"), F.lit(float(bounds[c][0])).alias("lower"),

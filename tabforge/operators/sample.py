@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from ..functions.exprs import seeded_hash
 
@@ -45,8 +46,11 @@ def select_first_k(df: DataFrame, key_cols: list[str], k, group_col: str | None
     way until it is small, then its (bounded) hashes are fetched and the exact cut is read off.
     Typically 2 passes, whatever the table size.
     """
-    hd = df.withColumn("__h", seeded_hash(key_cols, seed)) \
-           .withColumn("__hv", F.conv(F.substring("__h", 1, _HBITS_HEX), 16, 10).cast("long"))
+    # rows with one key are told apart by a hash of the whole row; only rows alike in all columns tie
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    order = F.concat(seeded_hash(key_cols, seed), F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in plain])), 16, "0"))
+    hd = df.withColumn("__h", order) \
+           .withColumn("__hv", F.conv(F.substring(seeded_hash(key_cols, seed), 1, _HBITS_HEX), 16, 10).cast("long"))
     gcols = [group_col] if group_col else []
     shift = _PREFIX_BITS - _BUCKET_BITS
     hist = _hash_histogram(hd, gcols, 0, shift)
@@ -86,7 +90,7 @@ def select_first_k(df: DataFrame, key_cols: list[str], k, group_col: str | None
             for g, (lo, hi, _need) in fetch.items():
                 c = (F.col("__hv") >= F.lit(lo)) & (F.col("__hv") < F.lit(hi))
                 if group_col:
-                    c = c & (F.col(group_col) == F.lit(g[0]))
+                    c = c & F.col(group_col).eqNullSafe(F.lit(g[0]))
                 cond = cond | c
             got = {}
             for r in hd.where(cond).select(*gcols, "__h", "__hv").collect():  # bounded by COLLECT_LIMIT per group
@@ -97,13 +101,13 @@ def select_first_k(df: DataFrame, key_cols: list[str], k, group_col: str | None
         for g, st in refine.items():
             extra = (F.col("__hv") >= F.lit(st["lo"])) & (F.col("__hv") < F.lit(st["lo"] + (1 << (st["shift"] + _BUCKET_BITS))))
             if group_col:
-                extra = extra & (F.col(group_col) == F.lit(g[0]))
+                extra = extra & F.col(group_col).eqNullSafe(F.lit(g[0]))
             st["buckets"] = _hash_histogram(hd, gcols, st["lo"], st["shift"], extra).get(g, {})
             state[g] = st
     sel = F.lit(False)
     for g, n in sizes.items():
         kk = ks[g]
-        gc = (F.col(group_col) == F.lit(g[0])) if group_col else F.lit(True)
+        gc = F.col(group_col).eqNullSafe(F.lit(g[0])) if group_col else F.lit(True)
         if kk >= n:
             sel = sel | gc
         elif kk > 0:

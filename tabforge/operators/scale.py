@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import number
 from ..functions.order_stats import quantiles
 from ..functions.roles import NUMERIC, present, role_of
 from ..plans.stage import Stage, register
@@ -25,7 +26,7 @@ def fit_scaler(df: DataFrame, cols: list[str], kind: str = "standard", quantile_
     params = {"kind": kind, "columns": cols, "center": {}, "scale": {}}
     if kind == "normalizer" or not cols:
         return Stage("scale", params)
-    x = {c: F.col(c).cast("double") for c in cols}
+    x = {c: number(c) for c in cols}
     if kind == "standard":
         r = df.agg(*[F.avg(x[c]).alias(f"a{i}") for i, c in enumerate(cols)],
                    *[F.stddev_pop(x[c]).alias(f"s{i}") for i, c in enumerate(cols)]).collect()[0]

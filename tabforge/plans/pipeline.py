@@ -150,28 +150,31 @@ def decode_predictions(df: DataFrame, index_col: str, classes: list, out: str) -
     return df.withColumn(out, F.element_at(arr, F.col(index_col).cast("int") + 1))
 
 
-def score_batch(pipeline: Pipeline, model, raw_df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def score_batch(pipeline: Pipeline, model, raw_df: DataFrame, keep: list[str] | None = None, keep_raw: bool = False) -> DataFrame:
     """raw rows -> replayed features -> model -> ``Predicted_<target>``, ``Confidence`` and, when the
-    target is present, ``Accurate`` (classification) or ``Absolute Error`` (regression)."""
+    target is present, ``Accurate`` (classification) or ``Absolute Error`` (regression), after the
+    columns of ``keep``, or with ``keep_raw`` all raw ones."""
     target = pipeline.target
     absent = [c for c in pipeline.required_raw_features() if c not in raw_df.columns] if pipeline.raw else []
     if absent:
         raise ValueError(f"scoring needs the columns {', '.join(absent)}")
-    keep = list(keep or [])
+    keep = list(raw_df.columns if keep_raw else keep or [])
     has_target = target is not None and target in raw_df.columns
     carry = keep + ([target] if has_target and target not in keep else [])
-    feats = pipeline.transform(raw_df, keep=carry)
+    # under other names, as a raw column may be a feature too
+    held = {c: f"__keep_raw_{c}" for c in carry}
+    feats = pipeline.transform(raw_df.select("*", *[F.col(c).alias(h) for c, h in held.items()]), keep=list(held.values()))
     scored = model.transform(feats)
     pred_name = f"Predicted_{target}"
     out = scored.withColumnRenamed("prediction", pred_name)
-    cols = [F.col(c) for c in carry] + [F.col(pred_name)]
+    cols = [F.col(h).alias(c) for c, h in held.items()] + [F.col(pred_name)]
     if "confidence" in out.columns:
         cols.append(F.col("confidence").alias("Confidence"))
     if has_target:
         if pipeline.problem_type == "Classification":
-            cols.append((F.col(target).cast("string") == F.col(pred_name).cast("string")).alias("Accurate"))
+            cols.append((F.col(held[target]).cast("string") == F.col(pred_name).cast("string")).alias("Accurate"))
         else:
-            cols.append(F.abs(F.col(target).cast("double") - F.col(pred_name).cast("double")).alias("Absolute Error"))
+            cols.append(F.abs(F.col(held[target]).cast("double") - F.col(pred_name).cast("double")).alias("Absolute Error"))
     return out.select(*cols)
 
 

@@ -31,49 +31,58 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Stable row ids in file order (``zipWithIndex``: one extra job, no single partition)."""
-    schema = T.StructType(df.schema.fields + [T.StructField("_row_id", T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda t: (*t[0], t[1])).toDF(schema)
+    """Row ids in partition order: one job counts the rows of each partition, and a row's id is
+    its place in its partition after the rows of those before. Rows stay in the JVM."""
+    part = F.spark_partition_id()
+    counts = {r.p: r.n for r in df.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, at = [], 0
+    for p in range(max(counts, default=0) + 1):
+        starts.append(at)
+        at += counts.get(p, 0)
+    table = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.withColumn("_row_id", F.get(table, part) + place)
 
 
 def write_metrics_json(spark: SparkSession, path: str, dataset: str, model: str, problem_type: str, target: str,
                        metrics: DataFrame, log: list, hyperparameters: dict) -> None:
     """One JSON record: dataset, model, problem type, target, metrics (from a one-row metrics
     DataFrame, kept in Spark), the preparation log and the hyperparameters."""
-    meta = spark.createDataFrame([(dataset, model, problem_type, target, json.dumps(log), json.dumps(hyperparameters))],
-                                 "dataset string, model string, problem_type string, target string, "
-                                 "log_json string, hyperparameters_json string")
-    rec = metrics.select(F.struct(*metrics.columns).alias("metrics"))
-    meta.join(rec, how="left").coalesce(1).write.mode("overwrite").json(path)  # one row each side
+    about = {"dataset": dataset, "model": model, "problem_type": problem_type, "target": target,
+             "log_json": json.dumps(log), "hyperparameters_json": json.dumps(hyperparameters)}
+    rec = metrics.select(*[F.lit(v).alias(k) for k, v in about.items()], F.struct(*metrics.columns).alias("metrics"))
+    rec.coalesce(1).write.mode("overwrite").json(path)  # one row
 
 
 def save_model(model, pipeline, path: str) -> None:
-    """Model and pipeline always saved together: ``<path>/model`` (Spark ML persistence) and
-    ``<path>/pipeline.json`` plus the model's own metadata, written through Spark."""
+    """Model and pipeline always saved together: ``<path>/model`` (Spark ML persistence, for models
+    that have it) and ``<path>/meta``: the model's class and numbers and the pipeline, written
+    through Spark."""
     spark = SparkSession.getActiveSession()
-    model.model.write().overwrite().save(f"{path}/model")
-    meta = {"kind": model.kind, "params": model.params, "features": model.features, "target": model.target,
-            "classes": model.classes, "pipeline": pipeline.to_json()}
+    if hasattr(model, "state"):
+        meta = {"own": type(model).__name__, "state": model.state(), "pipeline": pipeline.to_json()}
+    else:
+        model.model.write().overwrite().save(f"{path}/model")
+        meta = {"class": type(model.model).__name__, "kind": model.kind, "params": model.params, "features": model.features,
+                "target": model.target, "classes": model.classes, "pipeline": pipeline.to_json()}
     spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_model(path: str):
+    """(model, pipeline) of ``save_model``; an unknown model class raises."""
+    from pyspark.ml import classification, regression
+
+    from ..models.naive_bayes import GaussianNB
     from ..models.spark_ml import SparkModel
     from ..plans.pipeline import Pipeline
     spark = SparkSession.getActiveSession()
     meta = json.loads(spark.read.text(f"{path}/meta").collect()[0][0])
+    pipeline = Pipeline.from_json(meta["pipeline"])
+    if "own" in meta:
+        return {"GaussianNB": GaussianNB}[meta["own"]].from_state(meta["state"]), pipeline
     m = SparkModel(meta["kind"], meta["params"])
     m.features, m.target, m.classes = meta["features"], meta["target"], meta["classes"]
-    from pyspark.ml import classification as C, regression as R
-    loaders = [C.RandomForestClassificationModel, C.DecisionTreeClassificationModel, C.LogisticRegressionModel,
-               C.LinearSVCModel, C.OneVsRestModel, C.MultilayerPerceptronClassificationModel, C.GBTClassificationModel,
-               R.RandomForestRegressionModel, R.DecisionTreeRegressionModel, R.LinearRegressionModel,
-               R.GBTRegressionModel]
-    for cls in loaders:
-        try:
-            m.model = cls.load(f"{path}/model")
-            break
-        except Exception:  # noqa: BLE001 - try the next model class
-            continue
-    return m, Pipeline.from_json(meta["pipeline"])
+    module = classification if hasattr(classification, meta["class"]) else regression
+    m.model = getattr(module, meta["class"]).load(f"{path}/model")
+    return m, pipeline
