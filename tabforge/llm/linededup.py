@@ -160,15 +160,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = lines.filter(held.holds(*_KEY)).select(*_KEY, one.alias("at")).groupBy(*_KEY).agg(F.min("at").alias("first"), F.count("*").alias("c"))
     again = written(again.filter("c > 1").select(*_KEY, "first"), "line-classes")
     maybe = lines.filter(held.holds(*_KEY)).join(again, _KEY, "left")
-    firsts = maybe.filter(F.col("first").isNull() | (F.col("first") == one)).select(*_KEY, *_ID, "n", "prefix")
-    firsts = firsts.union(lines.filter(~held.holds(*_KEY)).select(*_KEY, *_ID, "n", "prefix"))
-    posts = firsts.select(*_KEY, "n", F.posexplode("prefix").alias("pos", "token"))
+    firsts = maybe.filter(F.col("first").isNull() | (F.col("first") == one)).select(*_ID, *_KEY, "n", "prefix")
+    firsts = firsts.union(lines.filter(~held.holds(*_KEY)).select(*_ID, *_KEY, "n", "prefix"))
+    posts = firsts.select(one.alias("first"), *_KEY, "n", F.posexplode("prefix").alias("pos", "token"))
 
-    tokens = written(posts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared-tokens")
+    tokens = written(firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+                     .filter("c > 1").select("token"), "shared-tokens")
     posts = written(posts.filter(_Filter(tokens, "token").holds("token")).join(tokens, "token", "left_semi"), "shared-posts")
-    sharing = _Filter(posts, *_KEY)
-    at = firsts.filter(sharing.holds(*_KEY)).select(*_KEY, one.alias("first")).distinct()
-    posts = written(posts.join(at, _KEY), "shared-posts")
     heads = written(posts.groupBy("token").agg(F.min(F.struct("first", *_KEY, "n", "pos")).alias("head"), F.count("*").alias("c")), "heads")
     head = heads.select("token", *[F.col(f"head.{c}").alias(c) for c in ("first", *_KEY, "n", "pos")])
     gone = written(_verified(written(_pairs(head, posts), "line-pairs"), docs, id_col, text_col), "gone")
