@@ -193,11 +193,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     g = gone.select(F.col("_ld_doc"), F.col("_ld_th"), "_ld_gone")
     joined = d.filter(hit).join(g, (F.col("_ld_h") == F.col("_ld_th")) & F.col(id_col).eqNullSafe(F.col("_ld_doc")), "left").select(
         *[F.col(c) for c in d.columns], F.coalesce("_ld_gone", none).alias("_ld_gone"))
-    out = joined.union(d.filter(~hit).withColumn("_ld_gone", none)).drop("_ld_h")
-    out = out.withColumn("_ld_split", F.split(F.coalesce(text_col, F.lit("")), "\n", -1))
+    joined = joined.withColumn("_ld_split", F.when(F.size("_ld_gone") > 0, F.split(text_col, "\n", -1)))
     lines = F.col("_ld_split")  # a column: it is looked up once for each line
-    with_words = F.size(F.filter(lines, lambda x: F.ltrim(x, F.lit(_BLANKS + " ")) != ""))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_ld_gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    out = out.withColumn("_ld_lines", with_words)
-    return out.withColumn(text_col, F.when(F.size("_ld_gone") > 0, kept).otherwise(F.col(text_col))).drop("_ld_split")
+    shorter = joined.withColumn("_ld_text", F.when(F.size("_ld_gone") > 0, kept).otherwise(F.col(text_col)))
+    whole = d.filter(~hit).withColumn("_ld_gone", none).withColumn("_ld_text", F.col(text_col))
+    names = [*d.columns, "_ld_gone", "_ld_text"]
+    out = shorter.select(names).union(whole.select(names))
+    # a match runs from the first character of a word to the end of its line
+    with_words = F.coalesce(F.regexp_count(text_col, F.lit(r"[^ \t\x0b\x0c\r\n][^\n]*+")), F.lit(0))
+    return out.withColumn("_ld_lines", with_words).withColumn(text_col, F.col("_ld_text")).drop("_ld_h", "_ld_text")
