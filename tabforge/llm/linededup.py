@@ -10,7 +10,9 @@ by rarity (counts of all tokens in a table of fixed size, so ranks are shared by
 cell; any total order gives the same result). With ``n`` tokens, two similar lines share one of
 the first ``n - ceil(0.8 n) + 1`` of each (prefix filter); the position of the first shared one
 must leave room for enough others (positional filter), and the sizes must be close (length
-filter). Candidates are verified on their whole token sets.
+filter). Each set also has the parity of its tokens in 64 cells: sets that differ in ``d`` tokens
+differ in at most ``d`` cells, so pairs with more cells than similar sets may have go without a
+look at the texts. Candidates are verified on their whole token sets.
 
 Large groups are never paired with each other: for each token, lines are first compared with the
 earliest line that has it, and only lines that this does not remove are compared with the other
@@ -57,21 +59,22 @@ def _tokens(words: Column) -> Column:
     return F.when(F.size(words) >= SHINGLE, F.array_distinct(parts)).otherwise(F.array(F.xxhash64(words)))
 
 
-def _words_of_lines(docs: DataFrame, id_col: str, text_col: str, only=None) -> DataFrame:
-    """A row for each line with a word: where it is and its words. ``only``: a condition on where
-    it is, taken before words are made."""
-    text = F.coalesce(text_col, F.lit(""))
-    d = docs.select(F.col(id_col).alias("_ld_doc"), F.xxhash64(text_col).alias("_ld_th"),
-                    F.posexplode(F.split(_plain(text), "\n", -1)).alias("_ld_line", "line"))
+def _words_of_lines(docs: DataFrame, id_col: str, text_col: str, of=None, only=None) -> DataFrame:
+    """A row for each line with a word: where it is and its words. ``of``: a condition on the
+    document, ``only``: one on where the line is, both taken before words are made."""
+    d = docs.select(F.col(id_col).alias("_ld_doc"), F.xxhash64(text_col).alias("_ld_th"), F.coalesce(text_col, F.lit("")).alias("text"))
+    if of is not None:
+        d = d.filter(of)
+    d = d.select("_ld_doc", "_ld_th", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("_ld_line", "line"))
     if only is not None:
         d = d.filter(only)
     words = F.array_remove(F.split("line", " ", -1), "")
     return d.filter(F.ltrim("line") != "").select(*_ID, words.alias("words"))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, only=None) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, of=None, only=None) -> DataFrame:
     """A row for each line with a word: where it is and its token set ``h``."""
-    return _words_of_lines(docs, id_col, text_col, only).select(*_ID, _tokens(F.col("words")).alias("h"))
+    return _words_of_lines(docs, id_col, text_col, of, only).select(*_ID, _tokens(F.col("words")).alias("h"))
 
 
 class _Filter:
@@ -113,33 +116,46 @@ def cell_counts(lines: DataFrame) -> DataFrame:
     return rows.select(_cell(token).alias("k")).groupBy("k").agg(F.count("*").alias("c"))
 
 
+def _parity(tokens: str) -> Column:
+    """In how many tokens, even or odd, each of 64 cells is hit."""
+    return F.expr(f"aggregate({tokens}, 0L, (bits, x) -> bits ^ shiftleft(1L, cast(x & 63 as int)))")
+
+
 def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Candidates from rows (token, first, k, w, n, pos) of earlier lines ``a`` and later ones ``b``
-    after the length and positional filters."""
-    x = a.select("token", *[F.col(c).alias(f"a_{c}") for c in ("first", "k", "w", "n", "pos")])
-    y = b.select("token", *[F.col(c).alias(f"b_{c}") for c in ("first", "k", "w", "n", "pos")])
+    """Candidates from rows (token, first, n, pos, bits) of earlier lines ``a`` and later ones ``b``
+    after the length, positional and parity filters."""
+    x = a.select("token", *[F.col(c).alias(f"a_{c}") for c in ("first", "n", "pos", "bits")])
+    y = b.select("token", *[F.col(c).alias(f"b_{c}") for c in ("first", "n", "pos", "bits")])
+    both = F.col("a_n") + F.col("b_n")
     room = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    near = (DEN * F.least("a_n", "b_n") >= NUM * F.greatest("a_n", "b_n")) & ((NUM + DEN) * room >= NUM * (F.col("a_n") + F.col("b_n")))
-    return x.join(y, "token").filter((F.col("a_first") < F.col("b_first")) & near).select(
-        "a_first", "a_k", "a_w", "b_first", "b_k", "b_w").distinct()
+    near = (DEN * F.least("a_n", "b_n") >= NUM * F.greatest("a_n", "b_n")) & ((NUM + DEN) * room >= NUM * both)
+    # of both sets' tokens at most (DEN - NUM) / (DEN + NUM) are in one set only
+    near = near & ((NUM + DEN) * F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= (DEN - NUM) * both)
+    return x.join(y, "token").filter((F.col("a_first") < F.col("b_first")) & near).select("a_first", "b_first").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Classes (k, w) of later lines whose similarity to the earlier one is enough."""
-    ends = pairs.select(F.col("a_first").alias("first"), F.col("a_k").alias("k"), F.col("a_w").alias("w")).union(
-        pairs.select("b_first", "b_k", "b_w")).distinct()
-    ends = ends.select(*[F.col(f"first.{c}").alias(c) for c in _ID], *_KEY)
-    held = _Filter(ends, *_ID)
-    lines = _lines(docs, id_col, text_col, held.holds(*_ID))
-    e = ends.toDF(*[f"e_{c}" for c in _ID], *_KEY)
+def _at(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Rows of ``lines`` at the places ``first``."""
+    e = firsts.select(*[F.col(f"first.{c}").alias(f"e_{c}") for c in _ID])
     same = (lines._ld_th == e.e__ld_th) & (lines._ld_line == e.e__ld_line) & lines._ld_doc.eqNullSafe(e.e__ld_doc)
-    sets = written(lines.join(e, same).select(*_KEY, "h").dropDuplicates(_KEY), "line-sets")
-    a = sets.select(F.col("k").alias("a_k"), F.col("w").alias("a_w"), F.col("h").alias("a_h"))
-    b = sets.select(F.col("k").alias("b_k"), F.col("w").alias("b_w"), F.col("h").alias("b_h"))
-    both = pairs.join(a, ["a_k", "a_w"]).join(b, ["b_k", "b_w"])
+    return lines.join(e, same, "left_semi")
+
+
+def _held(firsts: DataFrame, *cols: str) -> Column:
+    return _Filter(firsts.select("first.*"), *cols).holds(*cols)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Places ``first`` of later lines whose similarity to the earlier one is enough."""
+    ends = written(pairs.select(F.col("a_first").alias("first")).union(pairs.select("b_first")).distinct(), "line-ends")
+    lines = _lines(docs, id_col, text_col, _held(ends, "_ld_doc", "_ld_th"), _held(ends, *_ID))
+    sets = _at(lines, ends).select(F.struct(*_ID).alias("first"), "h").dropDuplicates(["first"])
+    sets = written(sets, "line-sets")
+    a, b = sets.toDF("a_first", "a_h"), sets.toDF("b_first", "b_h")
+    both = pairs.join(a, "a_first").join(b, "b_first")
     common = F.size(F.array_intersect("a_h", "b_h"))
     enough = DEN * common >= NUM * (F.size("a_h") + F.size("b_h") - common)
-    return both.filter(enough).select(F.col("b_k").alias("k"), F.col("b_w").alias("w")).distinct()
+    return both.filter(enough).select(F.col("b_first").alias("first")).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +165,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                        .bitwiseOR(x.bitwiseAND(F.lit((1 << 48) - 1)))))
     size = (F.col("n") - F.floor((NUM * F.col("n") + DEN - 1) / DEN) + 1).cast("int")
     lines = _lines(docs, id_col, text_col).select(*_ID, F.size("h").alias("n"), ordered.alias("s"))
-    lines = lines.select(*_ID, F.xxhash64("s").alias("k"), F.hash("s").alias("w"), "n", F.slice("s", 1, size).alias("prefix"))
+    lines = lines.select(*_ID, F.xxhash64("s").alias("k"), F.hash("s").alias("w"), "n", _parity("s").alias("bits"),
+                         F.slice("s", 1, size).alias("prefix"))
     lines = written(lines, "line-prefixes")
 
     # ``k`` and ``w``, 96 bits of hash of the ordered token set, name a class
@@ -160,21 +177,22 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = lines.filter(held.holds(*_KEY)).select(*_KEY, one.alias("at")).groupBy(*_KEY).agg(F.min("at").alias("first"), F.count("*").alias("c"))
     again = written(again.filter("c > 1").select(*_KEY, "first"), "line-classes")
     maybe = lines.filter(held.holds(*_KEY)).join(again, _KEY, "left")
-    firsts = maybe.filter(F.col("first").isNull() | (F.col("first") == one)).select(*_ID, *_KEY, "n", "prefix")
-    firsts = firsts.union(lines.filter(~held.holds(*_KEY)).select(*_ID, *_KEY, "n", "prefix"))
-    posts = firsts.select(one.alias("first"), *_KEY, "n", F.posexplode("prefix").alias("pos", "token"))
+    firsts = maybe.filter(F.col("first").isNull() | (F.col("first") == one)).select(one.alias("first"), "n", "bits", "prefix")
+    firsts = firsts.union(lines.filter(~held.holds(*_KEY)).select(one.alias("first"), "n", "bits", "prefix"))
+    posts = firsts.select("first", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
 
     tokens = written(firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
                      .filter("c > 1").select("token"), "shared-tokens")
     posts = written(posts.filter(_Filter(tokens, "token").holds("token")).join(tokens, "token", "left_semi"), "shared-posts")
-    heads = written(posts.groupBy("token").agg(F.min(F.struct("first", *_KEY, "n", "pos")).alias("head"), F.count("*").alias("c")), "heads")
-    head = heads.select("token", *[F.col(f"head.{c}").alias(c) for c in ("first", *_KEY, "n", "pos")])
+    heads = written(posts.groupBy("token").agg(F.min(F.struct("first", "n", "pos", "bits")).alias("head"), F.count("*").alias("c")), "heads")
+    head = heads.select("token", *[F.col(f"head.{c}").alias(c) for c in ("first", "n", "pos", "bits")])
     gone = written(_verified(written(_pairs(head, posts), "line-pairs"), docs, id_col, text_col), "gone")
-    rest = posts.join(gone, _KEY, "left_anti").join(heads.filter("c > 2").select("token"), "token", "left_semi")
+    rest = posts.join(gone, "first", "left_anti").join(heads.filter("c > 2").select("token"), "token", "left_semi")
     others = posts.join(heads.filter("c > 2").select("token", F.col("head.first").alias("least")), "token").filter(F.col("first") != F.col("least"))
     more = written(_pairs(others.drop("least"), rest), "line-pairs")
     gone = gone.union(written(_verified(more, docs, id_col, text_col), "gone")) if not more.isEmpty() else gone
 
+    gone = _at(lines.filter(_held(gone, *_ID)), gone).select(*_KEY).distinct()
     bad = again.select(*_KEY, "first").join(gone.withColumn("all", F.lit(True)), _KEY, "full")
     bad = written(bad.select(*_KEY, "first", F.coalesce("all", F.lit(False)).alias("all")), "bad-classes")
     held = _Filter(bad, *_KEY)

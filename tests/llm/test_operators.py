@@ -207,6 +207,9 @@ def test_line_dedup(spark, none):
     assert {i: t or "" for i, t in got.items()} == want and got[100] is None
     assert out.drop("_ld_lines", "_ld_gone").columns == df.columns
     assert linededup.dedup(none).count() == 0
+    long = " ".join(f"v{i}" for i in range(60))
+    near = spark.createDataFrame([(None, long), (3, long + " end"), (4, "other\n" + long + " two ends"), (4, "x")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in linededup.dedup(near).collect()) == [("3", ""), ("4", "other"), ("4", "x"), ("None", long)]
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text) for r in linededup.dedup(twice).collect()) == [("1", ""), ("1", ""), ("2", ""), ("None", "a b c d e f")]
 
