@@ -6,9 +6,9 @@ the texts that line dedup shortens. The last returns the pieces of the packed se
 
 * toxicity: documents with a score of 0.5 or more go.
 * line_dedup: later similar lines go, and documents that lose all their lines with words.
-* near_dedup: of documents reachable over fingerprints, the one with the smallest id stays; of
-  rows with that id the one whose text has the smallest hash. Rows without an id are kept only
-  if no row of their group has one.
+* near_dedup: of documents reachable over fingerprints, one row stays: that with the smallest id,
+  of those with that id the one whose text has the smallest hash. A row without an id is it only
+  if no row of its group has one. Groups are told apart by fingerprint, never by id.
 * decontamination: documents with any benchmark window go.
 * packing: sequences of at most 2048 ids.
 """
@@ -40,21 +40,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Which rows stay is decided on ids and fingerprints; texts are joined back by id only."""
-    prints = simhash.dedup_groups(docs)
-    stay = prints.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    d = docs.withColumn("_cp_hash", F.xxhash64("text"))
-    stay = stay.withColumnRenamed("doc_id", "_cp_id")
-    kept = d.join(stay, d.doc_id.eqNullSafe(stay._cp_id), "left_semi")
-    first = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_cp_id"))
-    again = written(first, "repeated-ids")
+    """Rows are named by id and text, so that rows without an id or with a repeated one keep apart: the
+    name is the id (null last) and 128 bits of hashes of the text, and one name stays of each group."""
+    names = {"_cp_none": F.col("doc_id").isNull(), "_cp_id": F.col("doc_id"), "_cp_hash": F.xxhash64("text"), "_cp_more": F.xxhash64(F.lit(1), "text")}
+    d = docs.withColumn("_cp_row", F.struct(*[c.alias(n) for n, c in names.items()]))
+    groups = simhash.dedup_groups(d, id_col="_cp_row").filter("doc_id = component_id")
+    stay = written(groups.groupBy("component_id").agg(F.count("*").alias("_cp_n")).select("component_id.*", "_cp_n"), "stay")
+    same = [d._cp_row[n].eqNullSafe(stay[n]) for n in names]
+    kept = d.join(stay.filter("_cp_n = 1"), same, "left_semi").select(docs.columns)
+    again = stay.filter("_cp_n > 1")
     if again.isEmpty():
-        return kept.select(docs.columns)
-    one = kept.join(again, kept.doc_id.eqNullSafe(again._cp_id), "left_anti")
-    more = kept.join(again, kept.doc_id.eqNullSafe(again._cp_id), "left_semi")
-    row = F.struct("_cp_hash", *[c for c in docs.columns])
-    least = more.groupBy("doc_id").agg(F.min(row).alias("r")).select(*[F.col("r")[c].alias(c) for c in docs.columns])
-    return one.select(docs.columns).union(least)
+        return kept
+    row = F.struct(*docs.columns)
+    more = d.join(again, same, "left_semi").groupBy("_cp_row").agg(F.min(row).alias("r"))
+    return kept.union(more.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

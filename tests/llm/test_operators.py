@@ -392,3 +392,16 @@ def test_pipeline_stages_against_brute_force(spark):
     assert corpus_pipeline.STAGES[2][1](spark, twice, SF).count() == near.count()
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    rnd = random.Random(21)
+    alone = [prose(80, rnd) for _ in range(12)]
+    copied, unique, both = prose(80, rnd), prose(80, rnd), prose(80, rnd)
+    rows = [(None, t, "a") for t in alone] + [(None, alone[0], "b")]  # texts without an id, one of them twice
+    rows += [(3, copied, "a"), (5, copied, "a"), (5, unique, "a")]  # a repeated id: a copy of 3 and a text of its own
+    rows += [(7, both, "a"), (7, both, "b"), (None, both, "a"), (8, None, "a"), (9, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = rows_of(corpus_pipeline.near_dedup_stage(spark, df, SF), "doc_id", "text", "lang")
+    want = [(None, t, "a") for t in alone] + [(3, copied, "a"), (5, unique, "a"), (7, both, "a"), (8, None, "a")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
