@@ -2,8 +2,10 @@
 
 A URL is a set of tokens (host suffixes, words of hyphened labels, path folders, file type, query keys,
 scheme). Spark's FP-growth mines token sets that labelled pages share with the label ``block``.
-Rules below ``min_support`` or ``min_confidence`` are dropped, and so is a rule to which a subset
-of its tokens already leads with no less confidence. Rules are matched by an inverted index: a
+A rule needs ``MIN_COUNT`` blocked pages, a number that does not grow with the input (``min_support``, a
+share, can only raise it), ``min_confidence``, and more blocked pages than the share of blocked pages among
+all would give by chance: the chance, by Chernoff's bound, must be at most ``MAX_CHANCE``. A rule is dropped if
+a subset of its tokens already leads to the label with no less confidence. Rules are matched by an inverted index: a
 rule is filed under its rarest token, a URL looks its tokens up and a rule fires if the URL has
 all its tokens. Distinct URLs are matched once. Curated rules (host and path) come first; the
 longest that fits decides.
@@ -15,6 +17,7 @@ labels no rule is mined; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -23,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-MIN_SUPPORT = 0.002
+MIN_SUPPORT = 0.0
 MIN_COUNT = 10
+MAX_CHANCE = 0.001
 MIN_CONFIDENCE = 0.6
 LABEL = "label=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,17 +89,30 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     items = labelled.filter(F.size(tokens(F.col("url"))) > 0).select(
         F.concat(tokens(F.col("url")), F.when(F.col("block"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"))
     items = written(items, "url-items")
-    support = min(1.0, max(min_support, MIN_COUNT / max(1, items.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == LABEL))
-    rules = written(rules.select(F.array_sort("antecedent").alias("rule"), "confidence", "support"), "url-rules")
-    return _without_redundant(rules)
+    total, blocked = items.agg(F.count("*"), F.count_if(F.array_contains("items", LABEL))).first()
+    # half a page less, so that rounding does not ask for one more
+    support = min(1.0, max(min_support, (MIN_COUNT - 0.5) / max(1, total)))
+    sets = written(FPGrowth(itemsCol="items", minSupport=support).fit(items).freqItemsets, "url-sets")
+    hits = sets.filter(F.array_contains("items", LABEL)).select(F.array_sort(F.array_remove("items", LABEL)).alias("rule"), F.col("freq").alias("hits"))
+    seen = sets.filter(~F.array_contains("items", LABEL)).select(F.array_sort("items").alias("rule"), F.col("freq").alias("seen"))
+    q, base = F.col("hits") / F.col("seen"), max(1, blocked) / max(1, total)
+    miss = F.col("seen") - F.col("hits")
+    beyond = F.col("hits") * F.log(q / base) + F.when(miss > 0, miss * F.log((miss / F.col("seen")) / max(1e-12, 1 - base))).otherwise(0.0)
+    rules = hits.join(seen, "rule").filter((q >= min_confidence) & (q > base) & (beyond >= -math.log(MAX_CHANCE)))
+    return _without_redundant(written(rules.select("rule", q.alias("confidence"), (F.col("hits") / max(1, total)).alias("support")), "url-rules"))
+
+
+def _filed(rules: DataFrame) -> DataFrame:
+    """``rules`` with ``token``, the one that the fewest rules have."""
+    count = rules.select(F.explode("rule").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    each = rules.select("rule", "confidence", F.explode("rule").alias("token")).join(count, "token")
+    return each.groupBy("rule", "confidence").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
 
 
 def _without_redundant(rules: DataFrame) -> DataFrame:
     """Drops a rule if a smaller one within its tokens has no less confidence. Rules are brought
-    together by a token of the smaller one."""
-    small = rules.select(F.col("rule").alias("less"), F.col("confidence").alias("c"), F.get("rule", F.lit(0)).alias("token"))
+    together by the rarest token of the smaller one."""
+    small = _filed(rules).select(F.col("rule").alias("less"), F.col("confidence").alias("c"), "token")
     each = rules.select("rule", "confidence", F.explode("rule").alias("token"))
     covered = each.join(small, "token").filter((F.size("less") < F.size("rule")) & (F.size(F.array_except("less", "rule")) == 0)
                                                & (F.col("c") >= F.col("confidence"))).select("rule").distinct()
@@ -106,9 +123,7 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, fired): distinct URLs with at least one rule all of whose tokens they have, and the
     most confident such rule."""
     each = urls.select("url").distinct().withColumn("tokens", tokens(F.col("url")))
-    count = rules.select(F.explode("rule").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    filed = rules.withColumn("id", F.concat_ws(" ", "rule")).select("id", "rule", "confidence", F.explode("rule").alias("token")).join(count, "token")
-    filed = filed.groupBy("id", "rule", "confidence").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    filed = _filed(rules).withColumn("id", F.concat_ws(" ", "rule"))
     found = each.select("url", "tokens", F.explode("tokens").alias("token")).join(filed, "token")
     found = found.filter(F.size(F.array_except("rule", "tokens")) == 0)
     return found.groupBy("url").agg(F.max(F.struct("confidence", "id")).getField("id").alias("fired"))

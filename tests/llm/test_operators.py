@@ -405,3 +405,16 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     got = rows_of(corpus_pipeline.near_dedup_stage(spark, df, SF), "doc_id", "text", "lang")
     want = [(None, t, "a") for t in alone] + [(3, copied, "a"), (5, unique, "a"), (7, both, "a"), (8, None, "a")]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_url_rules_are_the_same_in_small_and_large_tables(spark):
+    bad = [(f"http://bad.info/go/{i}.html", True) for i in range(12)]
+    for n in (100, 9000):
+        df = spark.createDataFrame(bad + [(f"http://good{i % 40}.org/go/{i}.html", False) for i in range(n)], "url string, block boolean")
+        rules = urlfilter.mine(df)
+        assert ["host=bad.info"] in [r.rule for r in rules.collect()]
+        pages = df.withColumn("page_id", F.monotonically_increasing_id())
+        got = urlfilter.judge(pages, rules, []).filter("verdict = 'block'").select("host").collect()
+        assert [r.host for r in got] == ["bad.info"] * 12
+    often = spark.createDataFrame([(f"http://h{i % 5}.org/{i}", i % 10 < 7) for i in range(300)], "url string, block boolean")
+    assert not any(r.rule == ["scheme=http"] for r in urlfilter.mine(often).collect())  # as often as all pages
