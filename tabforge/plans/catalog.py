@@ -802,6 +802,22 @@ def q_scatter_3d(spark, sf):
     return rounded(charts.scatter_sample(e, ["x", "y", "z", "label"], "vec_id", 200))
 
 
+@query("scatter_points", "SELECT p_partkey, p_size, p_retailprice FROM part")
+def q_scatter_points(spark, sf):
+    """Every point; ``scatter_sample`` is a sample of 500."""
+    return charts.scatter_sample(I.table(spark, sf, "part"), ["p_size", "p_retailprice"], "p_partkey")
+
+
+@query("scatter_3d_points", """
+SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y,
+       round(CAST(embedding[3] AS DOUBLE), 6) AS z, label FROM embeddings""")
+def q_scatter_3d_points(spark, sf):
+    """Every point; ``scatter_3d`` is a sample of 200."""
+    e = I.table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n)
+                                                            for i, n in enumerate("xyz")], "label")
+    return rounded(charts.scatter_sample(e, ["x", "y", "z", "label"], "vec_id"))
+
+
 @query("ols_trend", """
 SELECT p_type, round(regr_slope(p_retailprice, p_partkey), 6) AS slope, round(regr_intercept(p_retailprice, p_partkey), 6) AS intercept,
        round(regr_r2(p_retailprice, p_partkey), 6) AS r2, CAST(regr_count(p_retailprice, p_partkey) AS BIGINT) AS n

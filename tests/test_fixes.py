@@ -3,6 +3,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from tabforge.functions.order_stats import order_statistics
 from tabforge.models.naive_bayes import GaussianNB
 from tabforge.models.spark_ml import SparkModel
@@ -96,3 +97,9 @@ def test_mode_of_wide_integers(spark):
     big = 2 ** 53
     d = spark.createDataFrame([(big,)] * 2 + [(big + 1,)] * 3, "x long")
     assert impute.column_modes(d, ["x"])["x"] == big + 1
+
+
+@pytest.mark.parametrize("name, table", [("scatter_points", "part"), ("scatter_3d_points", "embeddings")])
+def test_scatter_points_returns_every_row(spark, name, table):
+    sf = "/root/testdata/sf0.01"
+    assert E.queries()[name](spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
