@@ -8,7 +8,8 @@ logistic calibration turns them into a score from 0 to 1.
 
 Fitting reads a bounded sample of labelled rows (``sample_rows`` of each class in the order of a
 hash of their ids, at most ``sample_chars`` characters of each class), never the texts of the
-held-out fold. Which wording is peculiar: words that toxic texts hold in many different contexts
+held-out fold. A text that no longer fits is passed over and the next ones are tried; if no text of a class
+fits, its shortest is taken as far as the bound allows. Which wording is peculiar: words that toxic texts hold in many different contexts
 (pairs of neighbours, so copies of a text count once) and ordinary texts do not, by a
 log-likelihood test against chance. They are the samples of the toxic dictionary.
 
@@ -25,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -210,11 +211,28 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, s
     order = F.xxhash64(F.col("doc_id").cast("string"))
     ids = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample_rows) for k in (0, 1)]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids[0].union(ids[1])), "doc_id")
-    texts = texts.withColumn("order", F.xxhash64(F.col("doc_id").cast("string")))
-    before = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy("order", "text").rowsBetween(Window.unboundedPreceding, 0))
-    rows = texts.withColumn("chars", before).filter(F.col("chars") <= sample_chars).select("toxic", "text", "order").collect()
-    rows.sort(key=lambda r: (r.order, r.text))
-    by = {k: [r.text for r in rows if r.toxic == k] for k in (0, 1)}
+    texts = texts.withColumns({"order": order, "hash": F.xxhash64("text")})
+    key = ["toxic", "order", "doc_id", "hash"]
+    sizes_of = texts.groupBy(*key, F.length("text").alias("chars")).agg(F.count("*").alias("n")).collect()
+    taken = {}
+    for k in (0, 1):
+        rows, left = sorted((r for r in sizes_of if r.toxic == k), key=lambda r: (r.order, r.hash, str(r.doc_id), r.chars)), sample_chars
+        for r in rows:
+            n = min(r.n, left // r.chars) if r.chars else r.n
+            left -= n * r.chars
+            if n:
+                taken[k, r.doc_id, r.hash, r.chars] = n
+        if rows and left == sample_chars and not any(x[0] == k for x in taken):
+            r = min(rows, key=lambda r: r.chars)
+            taken[k, r.doc_id, r.hash, r.chars] = 1
+    if not taken:
+        return Model()
+    kind = dict(docs.dtypes)["doc_id"]
+    picked = docs.sparkSession.createDataFrame([(*x, n) for x, n in taken.items()], f"toxic int, doc_id {kind}, hash long, chars int, n long")
+    found = texts.drop("toxic").withColumn("chars", F.length("text")).join(F.broadcast(picked), ["doc_id", "hash", "chars"])
+    found = found.groupBy(*key, "chars", "n").agg(F.first("text").substr(1, sample_chars).alias("text")).collect()
+    found.sort(key=lambda r: (r.order, r.text))
+    by = {k: [r.text for r in found if r.toxic == k for _ in range(r.n)] for k in (0, 1)}
     return fit(by[1], by[0], prior=sizes[1] / (sizes[0] + sizes[1]))
 
 

@@ -418,3 +418,20 @@ def test_url_rules_are_the_same_in_small_and_large_tables(spark):
         assert [r.host for r in got] == ["bad.info"] * 12
     often = spark.createDataFrame([(f"http://h{i % 5}.org/{i}", i % 10 < 7) for i in range(300)], "url string, block boolean")
     assert not any(r.rule == ["scheme=http"] for r in urlfilter.mine(often).collect())  # as often as all pages
+
+
+def test_toxicity_sample_passes_over_texts_that_do_not_fit(spark, monkeypatch):
+    data = [(i, t, y) for i, t, y in toxic_corpus() if zlib.crc32(str(i).encode()) % 5]
+    d = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    first = labels.filter("toxic = 1").orderBy(F.xxhash64(F.col("doc_id").cast("string"))).first().doc_id
+    long = d.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", 300)).otherwise(F.col("text")))
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary, **_: taken.append((toxic, ordinary)))
+    toxicity.fit_on(long, labels, sample_chars=60_000)
+    assert sorted(taken[0][0]) == sorted(t for i, t, y in data if y and i != first)
+    assert sorted(taken[0][1]) == sorted(t for _, t, y in data if not y)
+    toxicity.fit_on(d, labels, sample_chars=50)
+    assert [len(x) for side in taken[1] for x in side] == [50, 50]
+    toxicity.fit_on(d.union(d), labels)  # repeated rows count each
+    assert sorted(taken[2][0]) == sorted(2 * [t for _, t, y in data if y])
