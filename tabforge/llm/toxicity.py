@@ -3,7 +3,7 @@
 A text is cut into short windows of whole words. Each window is compressed with two
 dictionaries of equal length: one holds ordinary text and what is peculiar to toxic text, the
 other the same ordinary text and filler. What the first saves is due to toxic wording alone. The
-savings of a text's windows, against a threshold found on ordinary texts, give four features; a
+savings of a text's windows, against a threshold found on all windows of the sample's ordinary texts, give four features; a
 logistic calibration turns them into a score from 0 to 1.
 
 Fitting reads a bounded sample of labelled rows (``sample_rows`` of each class in the order of a
@@ -38,6 +38,7 @@ ORDINARY_BYTES = 32768
 TOXIC_BYTES = 4096
 MIN_CONTEXTS = 5
 MIN_LIFT = 5
+DICTIONARY_WINDOWS = 60_000
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 24_000_000
 FOLDS = 5
@@ -98,7 +99,9 @@ class Model:
         return np.array([len(plain(w)) - len(toxic(w)) for w in text_windows(text)], float)
 
     def features(self, text: str | None) -> list[float]:
-        d = self.savings(text)
+        return self.features_of(self.savings(text))
+
+    def features_of(self, d: np.ndarray) -> list[float]:
         if not len(d):
             return [0.0, 0.0, 0.0, 0.0]
         high = d[d >= self.threshold]
@@ -170,9 +173,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> Model:
+def fit(toxic: list[str], ordinary: list[str], prior: float | None = None, dictionary_windows: int = DICTIONARY_WINDOWS) -> Model:
     """A model from texts of both classes. ``prior``: share of toxic texts among all, if the two
-    lists are not in proportion."""
+    lists are not in proportion. The ordinary dictionary is trained on ``dictionary_windows`` windows
+    at random; the threshold is found on all windows of the ordinary texts."""
     if not toxic or not ordinary:
         return Model()
     words = peculiar_words(toxic, ordinary)
@@ -180,13 +184,13 @@ def fit(toxic: list[str], ordinary: list[str], prior: float | None = None) -> Mo
     spread = [spread[i] for i in np.random.default_rng(7).permutation(len(spread))]
     toxic_samples = [b"".join(spread[i:i + 6]) for i in range(0, len(spread), 6)]
     plain = [w for t in ordinary for w in text_windows(t)]
-    plain = [plain[i] for i in np.random.default_rng(7).permutation(len(plain))[:60_000]]
+    plain = [plain[i] for i in np.random.default_rng(7).permutation(len(plain))[:dictionary_windows]]
     model = Model(_trained(ORDINARY_BYTES, plain) if plain else b"", _trained(TOXIC_BYTES, toxic_samples) if toxic_samples else b"")
     if not model.ordinary or not model.toxic:
         return Model()
-    a, b = model._compressors()
-    model.threshold = max(1, int(np.quantile([len(a(w)) - len(b(w)) for w in plain[:20_000]], 0.999)) + 1)
-    x = np.array([model.features(t) for t in toxic + ordinary])
+    savings = [model.savings(t) for t in toxic + ordinary]
+    model.threshold = max(1, int(np.quantile(np.concatenate(savings[len(toxic):]), 0.999)) + 1)
+    x = np.array([model.features_of(d) for d in savings])
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(ordinary))])
     model.mean, model.scale = x.mean(axis=0).tolist(), np.maximum(x.std(axis=0), 1e-9).tolist()
     weights = _logistic((x - model.mean) / model.scale, y)
@@ -201,7 +205,8 @@ def fold_of(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)), F.lit(0))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def fit_on(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS,
+           dictionary_windows: int = DICTIONARY_WINDOWS) -> Model:
     """Fits on labelled documents outside fold 0. The sample is bounded in rows and characters."""
     known = (labels.filter(F.col("toxic").isin(0, 1) & (fold_of("doc_id") > 0))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -233,7 +238,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, s
     found = found.groupBy(*key, "chars", "n").agg(F.first("text").substr(1, sample_chars).alias("text")).collect()
     found.sort(key=lambda r: (r.order, r.text))
     by = {k: [r.text for r in found if r.toxic == k for _ in range(r.n)] for k in (0, 1)}
-    return fit(by[1], by[0], prior=sizes[1] / (sizes[0] + sizes[1]))
+    return fit(by[1], by[0], prior=sizes[1] / (sizes[0] + sizes[1]), dictionary_windows=dictionary_windows)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -435,3 +435,12 @@ def test_toxicity_sample_passes_over_texts_that_do_not_fit(spark, monkeypatch):
     assert [len(x) for side in taken[1] for x in side] == [50, 50]
     toxicity.fit_on(d.union(d), labels)  # repeated rows count each
     assert sorted(taken[2][0]) == sorted(2 * [t for _, t, y in data if y])
+
+
+def test_toxicity_threshold_comes_from_all_ordinary_windows():
+    data = toxic_corpus()
+    toxic, ordinary = ([t for _, t, y in data if y == k] for k in (1, 0))
+    ordinary = [" ".join(random.Random(i).choice(ordinary) for _ in range(60)) for i in range(110)]  # over 20,000 windows
+    model = toxicity.fit(toxic, ordinary, dictionary_windows=2000)
+    saved = np.concatenate([model.savings(t) for t in ordinary])
+    assert len(saved) > 20_000 and model.threshold == max(1, int(np.quantile(saved, 0.999)) + 1)
