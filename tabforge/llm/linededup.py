@@ -164,13 +164,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ordered = F.sort_array(F.transform("h", lambda x: F.shiftleft(F.coalesce(F.get(ranks, _cell(x).cast("int")), F.lit(0)).cast("long"), 48)
                                        .bitwiseOR(x.bitwiseAND(F.lit((1 << 48) - 1)))))
     size = (F.col("n") - F.floor((NUM * F.col("n") + DEN - 1) / DEN) + 1).cast("int")
-    lines = _lines(docs, id_col, text_col).select(*_ID, F.size("h").alias("n"), ordered.alias("s"))
-    lines = lines.select(*_ID, F.xxhash64("s").alias("k"), F.hash("s").alias("w"), "n", _parity("s").alias("bits"),
+    start = F.slice("words", 1, SHINGLE)  # the words of a single token
+    lines = _words_of_lines(docs, id_col, text_col).select(*_ID, start.alias("start"), _tokens(F.col("words")).alias("h"))
+    lines = lines.select(*_ID, "start", F.size("h").alias("n"), ordered.alias("s"), F.sort_array("h").alias("f"))
+    lines = lines.select(*_ID, F.xxhash64("f").alias("k"), F.when(F.col("n") == 1, F.hash("start")).otherwise(F.hash("f")).alias("w"),
+                         "n", _parity("s").alias("bits"),
                          F.slice("s", 1, size).alias("prefix"))
     lines = written(lines, "line-prefixes")
 
-    # ``k`` and ``w``, 96 bits of hash of the ordered token set, name a class
-    # it is represented by its first line; only classes of several lines need a look-up
+    # ``k`` and ``w``, 96 bits of hash of the set of whole tokens (of the words if there is one token), name a class;
+    # the 48 bits of a token in ``s`` serve prefixes only. A class is represented by its first line; only classes of
+    # several lines need a look-up
     several = written(lines.groupBy(*_KEY).agg(F.count("*").alias("c")).filter("c > 1"), "line-classes")
     held = _Filter(several, *_KEY)
     one = F.struct(*_ID)

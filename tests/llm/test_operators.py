@@ -444,3 +444,11 @@ def test_toxicity_threshold_comes_from_all_ordinary_windows():
     model = toxicity.fit(toxic, ordinary, dictionary_windows=2000)
     saved = np.concatenate([model.savings(t) for t in ordinary])
     assert len(saved) > 20_000 and model.threshold == max(1, int(np.quantile(saved, 0.999)) + 1)
+
+
+def test_line_dedup_keeps_lines_whose_tokens_agree_in_48_bits(spark):
+    lines = ["w7912721", "w19374590", "W7912721 "]
+    hashes = [r.x for r in spark.createDataFrame([(i, [t]) for i, t in enumerate(lines[:2])], "i int, t array<string>").orderBy("i").select(F.xxhash64("t").alias("x")).collect()]
+    assert hashes[0] != hashes[1] and (hashes[0] ^ hashes[1]) % (1 << 48) == 0
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup(docs).collect()} == {0: lines[0], 1: lines[1], 2: ""}
