@@ -20,5 +20,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
 
-
-SF_SMALL = "/root/testdata/sf0.001"

@@ -7,8 +7,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import __spark_entry__ as E  # noqa: E402
-from conftest import SF_SMALL  # noqa: E402
 from oracle_check import TABLES, digest  # noqa: E402
+from paths import SF_SMALL  # noqa: E402
 
 ORACLES = E.oracle_sql()
 
