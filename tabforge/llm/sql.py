@@ -74,3 +74,25 @@ n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, coalesce(g.s, '') AS removed_lines,
        CASE WHEN g.n > 0 THEN array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) ELSE text END AS text
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)"""
+
+# n-grams of pieces; 128-bit integers keep the score exact
+SQL["op13_collocations"] = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+g AS (SELECT lang, w[i:i + k - 1] AS p FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+      FROM w, (SELECT unnest(generate_series(1, 5)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, p, len(p) AS m, count(*) AS c FROM g GROUP BY lang, p),
+n AS (SELECT lang, sum(c) AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE m >= 2 AND c >= 100),
+cut AS (SELECT lang, p, m, c, unnest(generate_series(1, m - 1)) AS k FROM cand),
+s AS (SELECT cut.lang, cut.p, cut.c AS a, cut.k, x.c AS l, y.c AS r, n.n,
+             (1000::HUGEINT * cut.c * n.n) // (x.c::HUGEINT * y.c) AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.p = cut.p[1:cut.k] JOIN f y ON y.lang = cut.lang AND y.p = cut.p[cut.k + 1:cut.m]
+      JOIN n ON n.lang = cut.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+sub AS (SELECT lang, c, k, p, unnest(generate_series(1, m - k + 1)) AS i FROM (SELECT lang, p, m, c, unnest(generate_series(2, m - 1)) AS k FROM cand WHERE m > 2)),
+inside AS (SELECT lang, p[i:i + k - 1] AS p, max(c) AS most FROM sub GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.p = best.p WHERE most IS NULL OR most < a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+                  array_to_string(p, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept)
+SELECT * FROM ranked WHERE rank <= 2000"""
