@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontaminate, linededup, packing, quality, simhash, spelling, tokencount, tokenfile, toxicity, urlfilter
+from . import chat, collocations, decontaminate, linededup, packing, quality, simhash, spelling, substrings, tokencount, tokenfile, toxicity, urlfilter
 from .common import read
 from .sql import SQL
 
@@ -89,11 +89,17 @@ def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.variants(read(spark, sf, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = substrings.dedup(read(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(read(spark, sf, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_token_counts, op4_chat_formatting, op5_url_filters,
                                    op6_line_dedup, op7_packing, op8_simhash_near_dedup, op9_toxicity, op10_token_files,
-                                   op11_spelling_variants, op13_collocations)}
+                                   op11_spelling_variants, op12_suffix_dedup, op13_collocations)}
 ORACLES = {name: sql for name, sql in SQL.items() if name in QUERIES}
