@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, slices, written
@@ -283,6 +283,12 @@ def _numbered_words(words: DataFrame, limit: int):
     return words.select("lang", "word").mapInArrow(run, "lang string, word string, number long"), None
 
 
+def score_of(a: str, n: str, left: str, right: str) -> Column:
+    """``floor(1000 a n / (l r))`` in exact decimals of 38 digits."""
+    num, den = (f"cast(cast({x} as decimal(19,0)) * cast({y} as decimal(19,0)) as decimal(38,0))" for x, y in ((a, n), (left, right)))
+    return F.expr(f"cast({num} * cast(1000 as decimal(4,0)) as decimal(38,0)) div {den}")
+
+
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, depth: int = DEPTH, top: int = TOP,
                  broadcast_words: int = BROADCAST_WORDS, sample: int = SAMPLE) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language. ``score`` is the
@@ -308,9 +314,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     cuts = cuts.join(known.select("lang", F.col("w").alias("left"), F.col("f").alias("l")), ["lang", "left"])
     cuts = cuts.join(known.select("lang", F.col("w").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     cuts = cuts.join(F.broadcast(totals) if _few(totals) else totals, "lang")
-    big = {c: F.col(c).cast("decimal(19,0)") for c in "alrn"}
-    cuts = cuts.withColumn("num", (big["a"] * big["n"] * F.lit(1000).cast("decimal(4,0)")).cast("decimal(38,0)"))
-    cuts = cuts.withColumn("den", (big["l"] * big["r"]).cast("decimal(38,0)")).withColumn("score", F.expr("num div den"))
+    cuts = cuts.withColumn("score", score_of("a", "n", "l", "r"))
     best = cuts.groupBy("lang", "w", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
 
     longer = phrases.filter(F.size("w") > 2).select("lang", "w", "f", F.explode(F.sequence(F.lit(2), F.size("w") - 1)).alias("m"))
