@@ -61,3 +61,11 @@ def cut_lineage(df, eager: bool = True):
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def written(df, name: str):
+    """``df`` written as Parquet under the shared folder and read back: later steps start from files that
+    every executor can read, so a lost executor costs one task, and random or generated ids stay as they are."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
