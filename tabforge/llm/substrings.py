@@ -15,9 +15,10 @@ No suffix array of a whole corpus is built; strings that can be equal are brough
   order with ``length`` equal bytes are equal strings, and all but the earliest are repeats.
 
 A value with more rows than an eighth of an even partition, of which there are at most eight a
-partition, is never gathered in one task: its runs are combined and joined by value and hash. Its
-different runs, and those of values with over ``LANE_RUNS`` different ones, are compared string by string
-with a hash aggregation, the exact way for groups too large to sort.
+partition, is never gathered in one task: its runs are dealt by their hash too, and of a hash that has as
+many rows the first run is found by an aggregation and sent to all tasks, so that its repeats are known where
+they are. The different runs of such values, and of those with over ``LANE_RUNS`` different ones, are
+compared string by string with a hash aggregation, the exact way for groups too large to sort.
 
 Cases: a null text is empty; texts under ``length`` bytes are kept; rows that repeat both id and
 text are one document and come back alike; rows that share an id only are ordered by a hash of
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import drop_written, slices, written
 from .suffixsort import suffix_order
 
 LENGTH = 100
@@ -42,11 +43,11 @@ GRAM = 40
 #: Bytes hashed at a time.
 BLOCK = 1 << 21
 #: Different runs of one value whose suffixes are sorted together; larger groups are aggregated.
-LANE_RUNS = 512
+LANE_RUNS = 4096
 #: A value is hot with more rows than an eighth of an even partition, and than this.
 HOT_LEAST = 1000
 #: Bytes whose suffixes are sorted at a time.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 18
 #: Values that repeat, sent to tasks as a bit table of 16 bits each, and documents whose ids are broadcast, at most.
 FILTER_KEYS = 16_000_000
 BROADCAST_DOCS = 1_000_000
@@ -212,59 +213,100 @@ REPEAT, SORT, COUNT = 0, 1, 2
 
 
 def _sorted_out(runs: DataFrame, partitions: int, kind: str, lane_runs: int) -> DataFrame:
-    """(kind, h, doc, th, x, n) of the runs of values that are gathered by task."""
+    """(kind, h, doc, th, x, n) of ``runs`` with a column ``hot``: true where the runs of the value are dealt
+    over several tasks."""
     def run(batches):
         for t in _by_groups(batches, "h"):
             h, c, th, x = (t.column(k).to_numpy() for k in ("h", "c", "th", "x"))
-            doc = _codes(t.column("doc"))
+            doc, hot = _codes(t.column("doc")), t.column("hot").to_numpy()
             keep = np.flatnonzero(_changes(h, c, doc, th, x))
-            h, c = h[keep], c[keep]
+            h, c, hot = h[keep], c[keep], hot[keep]
             new = _changes(h, c)
             group = np.cumsum(_changes(h)) - 1
             different = np.bincount(group, weights=new)[group]
-            what = np.where(~new, REPEAT, np.where(different > lane_runs, COUNT, SORT))
-            out = ~new | (different > 1)
-            rows = t.take(pa.array(keep[out])).drop_columns(["c"])
+            what = np.where(~new, REPEAT, np.where(hot | (different > lane_runs), COUNT, SORT))
+            out = ~new | hot | (different > 1)
+            rows = t.take(pa.array(keep[out])).drop_columns(["c", "hot"])
             yield from rows.add_column(0, "kind", pa.array(what[out].astype(np.int16))).to_batches()
 
-    ordered = runs.repartition(partitions, "h").sortWithinPartitions("h", "c", "doc", "th", "x")
+    ordered = runs.repartition(partitions, "h", F.when(F.col("hot"), F.col("c"))).sortWithinPartitions("h", "c", "doc", "th", "x")
     return ordered.mapInArrow(run, f"kind short, h long, doc {kind}, th long, x int, n short")
 
 
-def _joined_out(runs: DataFrame) -> DataFrame:
-    """The same for the runs of values with very many rows, without gathering them."""
+def _kinds(runs: DataFrame, keys: DataFrame, limit: int, partitions: int, kind: str, lane_runs: int) -> DataFrame:
+    """What becomes of each run; values and hashes with over ``limit`` rows, few by its choice, are broadcast."""
     place = F.struct("doc", "th", "x")
-    first = runs.groupBy("h", "c").agg(F.min(place).alias("first"))
-    found = runs.join(first, ["h", "c"])
-    what = F.when(place == F.col("first"), COUNT).otherwise(REPEAT)
-    return found.select(what.cast("short").alias("kind"), "h", "doc", "th", "x", "n").distinct()
+    hot = written(keys.filter(F.col("n") > limit).select("h", F.lit(True).alias("hot")).coalesce(1), "hot-values")
+    classes = runs.join(F.broadcast(hot.select("h")), "h", "left_semi").groupBy("h", "c").agg(F.count("*").alias("rows"), F.min(place).alias("first"))
+    classes = written(classes.filter(F.col("rows") > limit).select("h", "c", "first").coalesce(1), "hot-runs")
+    marked = runs.join(F.broadcast(hot), "h", "left").join(F.broadcast(classes), ["h", "c"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    later = F.col("first").isNotNull() & (place != F.col("first"))
+    rest = marked.filter(~later).select("h", "c", "doc", "th", "x", "n", "hot")
+    repeats = marked.filter(later).select(F.lit(REPEAT).cast("short").alias("kind"), "h", "doc", "th", "x", "n")
+    out = written(_sorted_out(rest, partitions, kind, lane_runs).unionByName(repeats), "run-kinds")
+    drop_written(hot, classes)
+    return out
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, th, text, runs): the documents that have runs ``wanted``, with them."""
+    lists = wanted.groupBy(F.col("doc").alias("run_doc"), F.col("th").alias("run_th")).agg(F.collect_list(F.struct("h", "x", "n")).alias("runs"))
+    lists = written(lists, "wanted-runs")
+    if lists.count() <= BROADCAST_DOCS:
+        docs = docs.join(F.broadcast(lists.select(F.col("run_th").alias("th")).distinct()), "th", "left_semi")
+    return docs.join(lists, F.col("doc").eqNullSafe(F.col("run_doc")) & (F.col("th") == F.col("run_th"))).select("doc", "th", "text", "runs")
+
+
+def _each_run(batches, length: int):
+    """For slices of ``_fetched`` rows: the slice, and the row, value, start and bytes of each run."""
+    for batch in batches:
+        for part in slices(batch, 64):
+            rows, h, x, data = [], [], [], []
+            for i, (text, runs) in enumerate(zip(part.column("text").to_pylist(), part.column("runs").to_pylist())):
+                for r in runs:
+                    rows.append(i)
+                    h.append(r["h"])
+                    x.append(r["x"])
+                    data.append(text[r["x"]:r["x"] + r["n"] - 1 + length])
+            yield part, np.array(rows, np.int64), h, np.array(x, np.int64), data
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(h, doc, th, x, bytes) of the runs ``wanted``."""
-    kind = dict(docs.dtypes)["doc"]
-    lists = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "x", "n")).alias("runs"))
-    lists = written(lists, "wanted-runs")
-    side = F.broadcast(lists.select("th").distinct()) if lists.count() <= BROADCAST_DOCS else None
-    found = docs if side is None else docs.join(side, "th", "left_semi")
-    lists = lists.withColumnsRenamed({"doc": "run_doc", "th": "run_th"})
-    found = found.join(lists, F.col("doc").eqNullSafe(F.col("run_doc")) & (F.col("th") == F.col("run_th"))).select("doc", "th", "text", "runs")
-
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, 64):
-                rows, h, x, data = [], [], [], []
-                for i, (text, runs) in enumerate(zip(part.column("text").to_pylist(), part.column("runs").to_pylist())):
-                    for r in runs:
-                        rows.append(i)
-                        h.append(r["h"])
-                        x.append(r["x"])
-                        data.append(text[r["x"]:r["x"] + r["n"] - 1 + length])
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), part.column("doc").take(at), part.column("th").take(at),
-                                                  pa.array(x, pa.int32()), pa.array(data, pa.binary())], names=["h", "doc", "th", "x", "bytes"])
+        for part, rows, h, x, data in _each_run(batches, length):
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), part.column("doc").take(at), part.column("th").take(at),
+                                              pa.array(x.astype(np.int32)), pa.array(data, pa.binary())], names=["h", "doc", "th", "x", "bytes"])
+
+    return _fetched(docs, wanted).mapInArrow(run, f"h long, doc {dict(docs.dtypes)['doc']}, th long, x int, bytes binary")
+
 
-    return found.mapInArrow(run, f"h long, doc {kind}, th long, x int, bytes binary")
+def _strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(s1, s2, doc, th, x): 128 bits of hash of each string of the runs ``wanted``, and where it starts."""
+    def run(batches):
+        for part, rows, _, x, data in _each_run(batches, length):
+            joined, ends = np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(b) for b in data])
+            one, two = _Hashes(joined).windows(length), _Hashes(joined ^ np.uint8(0x5A)).windows(length)
+            s = np.arange(len(one))
+            of = np.searchsorted(ends, s, side="right")
+            whole = s + length <= ends[of]
+            s, of = s[whole], of[whole]
+            at = pa.array(rows[of])
+            place = x[of] + s - np.concatenate([[0], ends[:-1]])[of]
+            yield pa.RecordBatch.from_arrays([pa.array(one[s].view(np.int64)), pa.array(two[s].view(np.int64)), part.column("doc").take(at),
+                                              part.column("th").take(at), pa.array(place.astype(np.int32))], names=["s1", "s2", "doc", "th", "x"])
+
+    return _fetched(docs, wanted).mapInArrow(run, f"s1 long, s2 long, doc {dict(docs.dtypes)['doc']}, th long, x int")
+
+
+def _aggregated(strings: DataFrame, length: int) -> DataFrame:
+    """(doc, th, a, b): the strings that are not the first of their kind."""
+    strings = written(strings, "strings")
+    place = F.struct("doc", "th", "x")
+    first = strings.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last"))
+    later = strings.join(first.select("s1", "s2", "first"), ["s1", "s2"]).filter(place != F.col("first"))
+    return later.select("doc", "th", F.col("x").alias("a"), (F.col("x") + length).alias("b"))
 
 
 def repeated_starts(groups: list[list[tuple[int, int, bytes]]], length: int = LENGTH) -> list[list[np.ndarray]]:
@@ -352,34 +394,6 @@ def _suffix_sorted(contexts: DataFrame, partitions: int, length: int, kind: str)
     return ordered.mapInArrow(run, f"doc {kind}, th long, a int, b int")
 
 
-def _aggregated(contexts: DataFrame, length: int, kind: str) -> DataFrame:
-    """The same for large groups: the strings themselves, by 128 bits of hash, against the first of each."""
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 512):
-                data = [b for b in part.column("bytes").to_pylist()]
-                joined = np.frombuffer(b"".join(data), np.uint8)
-                ends = np.cumsum([len(b) for b in data])
-                if len(joined) < length:
-                    continue
-                one, two = _Hashes(joined).windows(length), _Hashes(joined ^ np.uint8(0x5A)).windows(length)
-                s = np.arange(len(one))
-                of = np.searchsorted(ends, s, side="right")
-                keep = s + length <= ends[of]
-                s, of = s[keep], of[keep]
-                begin = np.concatenate([[0], ends[:-1]])
-                at = pa.array(of)
-                x = part.column("x").to_numpy(zero_copy_only=False)[of] + s - begin[of]
-                yield pa.RecordBatch.from_arrays([pa.array(one[s].view(np.int64)), pa.array(two[s].view(np.int64)), part.column("doc").take(at),
-                                                  part.column("th").take(at), pa.array(x.astype(np.int32))], names=["s1", "s2", "doc", "th", "x"])
-
-    strings = written(contexts.mapInArrow(run, f"s1 long, s2 long, doc {kind}, th long, x int"), "strings")
-    place = F.struct("doc", "th", "x")
-    first = strings.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last"))
-    later = strings.join(first.select("s1", "s2", "first"), ["s1", "s2"]).filter(place != F.col("first"))
-    return later.select("doc", "th", F.col("x").alias("a"), (F.col("x") + length).alias("b"))
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lane_runs: int = LANE_RUNS, hot_least: int = HOT_LEAST) -> DataFrame:
     """(doc, th, a, b): stretches of bytes, which may overlap, that strings which also start earlier
     cover in documents ``docs(doc, th, text)``."""
@@ -389,23 +403,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lane_runs:
     keys = written(counts, "repeated-values")
     n_keys, n_rows = keys.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = _bit_table(keys, n_keys)
-    # at most eight values a partition hold more than an eighth of an even one
-    hot = F.broadcast(keys.filter(F.col("n") > max(hot_least, n_rows // (8 * partitions))).select("h"))
     runs = _runs(docs, length, gram, bits)
     if bits is None:
         runs = runs.join(keys.select("h"), "h")
-    if hot.isEmpty():
-        out = _sorted_out(runs, partitions, kind, lane_runs)
-    else:
-        out = _sorted_out(runs.join(hot, "h", "left_anti"), partitions, kind, lane_runs)
-        out = out.unionByName(_joined_out(runs.join(hot, "h", "left_semi")))
-    out = written(out, "run-kinds")
+    runs = written(runs, "runs")
+    # at most eight values a partition hold more than an eighth of an even one
+    out = _kinds(runs, keys, max(hot_least, n_rows // (8 * partitions)), partitions, kind, lane_runs)
+    drop_written(runs, keys)
     spans = [out.filter(F.col("kind") == REPEAT).select("doc", "th", F.col("x").alias("a"), (F.col("x") + F.col("n") - 1 + length).alias("b"))]
-    sort = _contexts(docs, out.filter(F.col("kind") == SORT), length)
-    spans.append(_suffix_sorted(sort, partitions, length, kind))
+    spans.append(_suffix_sorted(_contexts(docs, out.filter(F.col("kind") == SORT), length), partitions, length, kind))
     count = out.filter(F.col("kind") == COUNT)
     if not count.isEmpty():
-        spans.append(_aggregated(_contexts(docs, count, length), length, kind))
+        spans.append(_aggregated(_strings(docs, count, length), length))
     result = spans[0]
     for s in spans[1:]:
         result = result.union(s)
