@@ -42,23 +42,27 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict:
 
 def fit_impute(df: DataFrame, cols: list[str], strategy: str = "mean", fill_value=None,
                quantile_method: str = "auto", n_neighbors: int = 5, max_iter: int = 10,
-               scope: str = "column") -> Stage:
+               scope: str = "features", key: str | None = None) -> Stage:
     """Fit an imputation stage.
 
     strategy: mean / median (numeric only), most_frequent / mode (any type, typed fill),
-    constant (typed, checked), knn / iterative. With ``scope="column"`` knn and iterative
-    see only the column itself, which is exactly the column mean (no other feature exists
-    to measure distance or regress on).
+    constant (typed, checked), knn / iterative. These two see all numeric ``cols`` together; with one
+    column, or with ``scope="column"``, they see only the column itself, which is exactly the column
+    mean (no other feature exists to measure distance or regress on). ``key``: a unique column that
+    decides between neighbours at equal distance.
     """
     cols = present(df, cols)
     strategy = strategy.lower()
     fills = {}
-    if strategy in ("iterative", "mice") and scope != "column":
-        from .mice import fit_mice
-        return fit_mice(df, [c for c in cols if role_of(df.schema[c].dataType) == NUMERIC], max_iter=max_iter)
+    together = [c for c in cols if role_of(df.schema[c].dataType) == NUMERIC]
+    if scope != "column" and len(together) > 1:
+        if strategy in ("iterative", "mice"):
+            from .mice import fit_mice
+            return fit_mice(df, together, max_iter=max_iter)
+        if strategy == "knn":
+            from .knn_impute import fit_knn_impute
+            return fit_knn_impute(df, together, n_neighbors, key)
     if strategy in ("mean", "median", "knn", "iterative", "mice"):
-        if strategy == "knn" and scope != "column":
-            raise NotImplementedError("multi-feature KNN imputation needs an exact neighbour search (not built yet)")
         num = [c for c in cols if role_of(df.schema[c].dataType) == NUMERIC]
         if strategy == "median":
             q = quantiles(df.select(*[F.when(~missing(df, c), F.col(c)).alias(c) for c in num]), num, [0.5],

@@ -169,6 +169,14 @@ def nearest(queries: DataFrame, points: DataFrame, features: list[str], k: int,
     """(id, neighbors): for each query the ``k`` nearest points as an array of (distance, id, value),
     nearest first. ``value``: a column of the points to bring along. ``exclude_self``: a point with the
     query's own id is none of its neighbours. Fewer points than ``k``: all of them."""
+    out = nearest_squared(queries, points, features, k, query_id, point_id, value, exclude_self, leaf_rows, max_leaves)
+    pick = F.transform("found", lambda s: F.struct(F.sqrt(s["d2"]).alias("distance"), s["id"].alias("id"), s["value"].alias("value")))
+    return out.select("id", pick.alias("neighbors"))
+
+
+def nearest_squared(queries: DataFrame, points: DataFrame, features: list[str], k: int, query_id: str, point_id: str, value: str | None = None,
+                    exclude_self: bool = False, leaf_rows: int = LEAF_ROWS, max_leaves: int = MAX_LEAVES) -> DataFrame:
+    """(id, found): the same with squared distances, as an array of (d2, id, value)."""
     spark, width = points.sparkSession, len(features)
     x = _vectors(points, features, {"pid": F.col(point_id), "value": F.col(value) if value else F.lit(None).cast("boolean")})
     equal = Window.partitionBy("vec").orderBy("pid")
@@ -191,9 +199,7 @@ def nearest(queries: DataFrame, points: DataFrame, features: list[str], k: int,
         second = _compared(pairs, x, k, width, exclude_self)
         found = first.select("id", "found").unionByName(second.select("id", "found"))
     best = F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k)
-    out = found.groupBy("id").agg(best.alias("found"))
-    pick = F.transform("found", lambda s: F.struct(F.sqrt(s["d2"]).alias("distance"), s["id"].alias("id"), s["value"].alias("value")))
-    return out.select("id", pick.alias("neighbors"))
+    return found.groupBy("id").agg(best.alias("found"))
 
 
 def _farther(first: DataFrame, boxes, k: int, width: int) -> DataFrame:

@@ -165,7 +165,63 @@ def undersample(df: DataFrame, key_cols, target: str, seed: int = 42) -> DataFra
     return out.where(F.col("__sel")).drop("__sel")
 
 
-def hash_sample(df: DataFrame, key_cols, n: int, seed: int = 42) -> DataFrame:
-    """Deterministic sample of ``n`` rows (a top-n on the hash: the sampling operator itself)."""
-    key_cols = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    return (df.withColumn("__h", seeded_hash(key_cols, seed)).orderBy("__h", *key_cols).limit(n).drop("__h"))
+
+def class_sizes(df: DataFrame, target: str, limit: int = 10_000) -> dict:
+    """Rows of each class that is not NULL, for at most ``limit`` classes."""
+    found = df.where(F.col(target).isNotNull()).groupBy(target).count().limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"{target!r} has more than {limit} classes")
+    return {r[0]: r[1] for r in found}
+
+
+def smote(df: DataFrame, key: str, target: str, features: list[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """Every class raised to the size of the largest by rows between a row and one of its nearest
+    neighbours of the same class: (``features`` as doubles, ``target``), given rows first to last.
+
+    ``k`` neighbours, or one less than the smallest class has rows. A class of ``n`` rows that lacks ``m``
+    gets ``m // n`` new rows from each, and one more from the first ``m % n`` in the order of
+    md5(key|seed). The ``j``-th new row of a row takes its bits from md5(key|seed|j): the first eight hex digits
+    choose the neighbour, the next eight the place u in [0, 1) between the two. Rows without a class or
+    with a missing feature are left out; fewer than two classes is an error."""
+    from ..functions.exprs import number
+    from .neighbors import nearest
+    whole = F.col(target).isNotNull()
+    for c in features:
+        whole = whole & number(c).isNotNull()
+    rows = df.where(whole).select(F.col(key).alias(key), *[number(c).alias(c) for c in features], target)
+    sizes = class_sizes(rows, target)
+    if len(sizes) < 2:
+        raise ValueError("balancing needs a target with two or more classes")
+    most, k = max(sizes.values()), min(k, max(1, min(sizes.values()) - 1))
+    short = {c: most - n for c, n in sizes.items() if n < most}
+    single = [c for c in short if sizes[c] < 2]
+    if single:
+        raise ValueError(f"class {single[0]!r} has one row, which has no neighbour")
+    given = rows.select(*features, target)
+    if not short:
+        return given
+    # one search for all classes: a further feature sets them farther apart than any rows of one class are
+    r = rows.agg(*[(F.max(c) - F.min(c)).alias(f"r{i}") for i, c in enumerate(features)]).first()
+    apart = 2.0 * (1.0 + math.sqrt(sum(v * v for v in r)))
+    number_of = F.create_map(*[x for i, c in enumerate(sorted(short)) for x in (F.lit(c), F.lit(i * apart))])
+    lacks = F.create_map(*[x for c, m in short.items() for x in (F.lit(c), F.lit(m // sizes[c]))])
+    own = rows.where(F.col(target).isin(list(short))).withColumn("__values", F.array(*features)).withColumn("__class", number_of[F.col(target)])
+    own = select_first_k(own, [key], {c: m % sizes[c] for c, m in short.items()}, target, seed)
+    own = own.withColumn("__times", lacks[F.col(target)] + F.col("__sel").cast("int"))
+    near = nearest(own.where("__times > 0").select(key, *features, "__class"), own, [*features, "__class"], k, key, key, "__values", exclude_self=True)
+    near = near.withColumnRenamed("id", "__near_id")
+    base = own.join(near, F.col(key) == F.col("__near_id")).withColumn("__j", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    base = base.withColumn("__bits", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)), F.col("__j").cast("string"))))
+    pick = F.pmod(F.conv(F.substring("__bits", 1, 8), 16, 10).cast("long"), F.size("neighbors")).cast("int")
+    u = F.conv(F.substring("__bits", 9, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    base = base.withColumn("__other", F.get("neighbors", pick)["value"]).withColumn("__u", u)
+    new = base.select(*[(F.col(f) + F.col("__u") * (F.get("__other", F.lit(i)) - F.col(f))).alias(f) for i, f in enumerate(features)], target)
+    return given.union(new)
+
+
+def balance_table(df: DataFrame, target: str, features: list[str] | None = None, exclude=()) -> DataFrame:
+    """What balancing works on: the numeric features (all of them, or ``features``) and the target, rows
+    without a class left out."""
+    from ..functions.roles import numeric_columns
+    features = features or [c for c in numeric_columns(df, exclude) if c != target]
+    return df.where(F.col(target).isNotNull()).select(*features, target)

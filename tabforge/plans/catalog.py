@@ -683,10 +683,7 @@ def q_balance_undersample(spark, sf):
 
 @query("balance_table", f"SELECT n_chars, quality, toxic FROM {I.LD_SQL} t")
 def q_balance_table(spark, sf):
-    ld = I.labelled_documents(spark, sf)
-    from ..functions.roles import numeric_columns
-    feats = [c for c in numeric_columns(ld, exclude=["doc_id", "toxic"])]
-    return ld.select(*feats, "toxic")
+    return sample.balance_table(I.labelled_documents(spark, sf), "toxic", exclude=["doc_id"])
 
 
 # ================================================================= scaling
