@@ -120,7 +120,9 @@ def _neighbours(v: DataFrame, symbols: int) -> DataFrame:
 def near_words(vocabulary: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(word, n, near, near_n) of each ordered pair of words that are one edit apart."""
     v = vocabulary.select("word", "n", F.translate("word", _LETTERS, symbol_map(symbols)).alias("red"))
-    met = _neighbours(v, symbols).join(_posts(v), "key").filter((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
+    # a small table, from which much is made: over all tasks
+    spread = v.repartition(int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    met = _neighbours(spread, symbols).join(_posts(v), "key").filter((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
     return met.select("word", "n", "near", "near_n").distinct()
 
 
