@@ -108,7 +108,7 @@ def pack(examples: Iterable[Example], limits: Limits, pool: int = POOL, min_cut:
                 x = take(i)
             else:
                 left = limits.tokens - int(used[0])
-                most = max(range(pool), key=lambda j: -1 if waiting[j] is None else len(waiting[j].ids))
+                most = int(np.argmax(np.where(np.isfinite(need[:, 0]), need[:, 0], -1)))
                 if left < min_cut or waiting[most] is None or used[1] >= limits.segments:
                     break
                 n = prefix_that_fits(waiting[most], left, limits.loss - int(used[2]))
@@ -135,7 +135,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits
     kind = dict(docs.dtypes)[id_col]
     schema = pa.schema([("doc_id", pa.null()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                         ("doc_tokens", pa.int64()), ("loss_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-    end = np.array([end_id], "<u4")
 
     def examples(batches, types):
         cache = word_cache(tokenizer)
@@ -144,8 +143,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits
             for part in slices(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 masks = part.column("mask").to_pylist() if mask_col else [None] * len(texts)
-                for doc, raw, m in zip(part.column("doc_id").to_pylist(), cache.encode(texts), masks):
-                    ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
+                all_ids, at = cache.encode_all(texts, end_id)
+                for doc, a, b, m in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), masks):
+                    ids = all_ids[a:b].copy()  # a waiting example must not hold its whole batch
                     if m is not None:
                         m = np.append(np.frombuffer(m, np.uint8), np.uint8(1))
                         if len(m) != len(ids):

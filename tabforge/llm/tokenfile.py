@@ -175,17 +175,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
 
     def run(batches):
         part, cache, writer = TaskContext.get().partitionId(), word_cache(tokenizer), None
-        end = np.array([end_id], "<u4")
         for batch in batches:
             for rows in slices(batch):
-                for doc, raw in zip(rows.column("doc_id").to_pylist(), cache.encode([t or "" for t in rows.column("text").to_pylist()])):
+                ids, at = cache.encode_all([t or "" for t in rows.column("text").to_pylist()], end_id)
+                for doc, a, b in zip(rows.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                     if writer is None:
                         fs, folder = open_store(path)
                         fs.create_dir(f"{folder}/files", recursive=True)
                         name = f"files/tokens-{part:06d}-{uuid.uuid4().hex}.zst"
                         sink = fs.open_output_stream(f"{folder}/{name}", compression=None)
                         writer = TokenFileWriter(sink, wide=cache.tok.get_vocab_size() > 65536)
-                    writer.add(doc, np.concatenate([np.frombuffer(raw, "<u4"), end]))
+                    writer.add(doc, ids[a:b])
         if writer is not None:
             writer.close()
             sink.close()

@@ -352,10 +352,15 @@ def test_token_files(spark, docs, none):
 
 
 def test_word_cache_is_exact():
-    cache = wordcache.WordCache(public_tokenizers.path("word_bpe_49k.json"), limit=50)
+    cache = wordcache.WordCache(public_tokenizers.path("word_bpe_49k.json"), limit_bytes=2000)
     texts = [t or "" for _, t in TEXTS] + ["it's I'M we've", "straße Σ. Ωμέγα, e\u0301. naïve?! word*** don't't ²x _a a_", "\u0130stanbul \x1c \xa0 a"]
     want = [np.array(e.ids, "<u4").tobytes() for e in cache.tok.encode_batch(texts, add_special_tokens=False)]
     assert [cache.encode([t])[0] for t in texts] == want == cache.encode(texts)
+    ids, at = cache.encode_all(texts, 7)
+    assert [ids[a:b].tobytes() for a, b in zip(at, at[1:])] == [w + np.array([7], "<u4").tobytes() for w in want]
+    unspaced = ["語" * 3000 + str(i) for i in range(40)]  # never kept
+    assert cache.encode(unspaced) == [np.array(e.ids, "<u4").tobytes() for e in cache.tok.encode_batch(unspaced, add_special_tokens=False)]
+    assert cache.bytes < 2000 and not cache.numbers
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
