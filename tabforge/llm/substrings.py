@@ -56,9 +56,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    return x
 
 
 _BYTES = _mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
@@ -96,6 +97,16 @@ def _least(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[:-rest], a[rest:]) if rest else a
 
 
+def _whole(ends: np.ndarray, at: int, n: int, length: int) -> np.ndarray:
+    """Which of the ``n`` starts from ``at`` have ``length`` bytes before the end of their document."""
+    begins = np.concatenate([[0], ends[:-1]])
+    a, b = np.searchsorted(ends, at, side="right"), np.searchsorted(begins, at + n)
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, np.clip(np.maximum(begins[a:b], ends[a:b] - length + 1) - at, 0, n), 1)
+    np.add.at(change, np.clip(ends[a:b] - at, 0, n), -1)
+    return np.cumsum(change)[:n] == 0
+
+
 def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(value, content, start, n): runs of starts with one gram of least hash, in a concatenation of
     documents that end at ``ends``; each start of a whole string is in one run."""
@@ -107,12 +118,9 @@ def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
         h = _Hashes(part)
         grams = h.windows(gram)
         value = _least(grams, length - gram + 1)
-        starts = np.arange(len(value))
-        ending = ends[np.searchsorted(ends, starts + at, side="right")]
-        valid = starts + at + length <= ending
+        valid = _whole(ends, at, len(value), length)
         new = np.ones(len(value), bool)
-        new[1:] = (value[1:] != value[:-1]) | (ending[1:] != ending[:-1]) | (grams[:len(value) - 1] == value[:-1])
-        new |= np.append(True, valid[1:] != valid[:-1])
+        new[1:] = (value[1:] != value[:-1]) | (grams[:len(value) - 1] == value[:-1]) | (valid[1:] != valid[:-1])
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(value)))
         keep = valid[first]
@@ -288,10 +296,8 @@ def _strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         for part, rows, _, x, data in _each_run(batches, length):
             joined, ends = np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(b) for b in data])
             one, two = _Hashes(joined).windows(length), _Hashes(joined ^ np.uint8(0x5A)).windows(length)
-            s = np.arange(len(one))
+            s = np.flatnonzero(_whole(ends, 0, len(one), length))
             of = np.searchsorted(ends, s, side="right")
-            whole = s + length <= ends[of]
-            s, of = s[whole], of[whole]
             at = pa.array(rows[of])
             place = x[of] + s - np.concatenate([[0], ends[:-1]])[of]
             yield pa.RecordBatch.from_arrays([pa.array(one[s].view(np.int64)), pa.array(two[s].view(np.int64)), part.column("doc").take(at),
@@ -352,6 +358,31 @@ def repeated_starts(groups: list[list[tuple[int, int, bytes]]], length: int = LE
     return [[next(each) for _ in g] for g in groups]
 
 
+def shared_part(data: list[bytes], group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each stretch of bytes the range that holds its strings whose hash its group has twice: other
+    suffixes have no equal and need not be sorted. Equal ends: none."""
+    low, high = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+    joined, sizes = np.frombuffer(b"".join(data), np.uint8), np.array([len(b) for b in data], np.int64)
+    if len(joined) < length:
+        return low, high
+    ends = np.cumsum(sizes)
+    value = _Hashes(joined).windows(length)
+    starts = np.flatnonzero(_whole(ends, 0, len(value), length))
+    of = np.repeat(np.arange(len(data)), sizes)[starts]
+    key = value[starts] ^ _mix(group[of].astype(np.uint64) + np.uint64(1))
+    by = np.argsort(key)
+    equal = key[by][1:] == key[by][:-1]
+    twice = np.zeros(len(key), bool)
+    twice[by[1:][equal]] = True
+    twice[by[:-1][equal]] = True
+    starts, of = starts[twice], of[twice]
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    which = of[first]
+    low[which] = starts[first] - (ends - sizes)[which]
+    high[which] = starts[np.append(first[1:], len(starts)) - 1] - (ends - sizes)[which] + length if len(first) else 0
+    return low, high
+
+
 def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending starts as stretches (start, end) of the bytes that their strings cover."""
     first = np.flatnonzero(np.diff(starts, prepend=-length - 2) > length)
@@ -378,15 +409,18 @@ def _suffix_sorted(contexts: DataFrame, partitions: int, length: int, kind: str)
         for t in _by_groups(batches, "h", 1 << 14):
             h, th, x = (t.column(k).to_numpy() for k in ("h", "th", "x"))
             document = np.cumsum(_changes(h, _codes(t.column("doc")), th))
-            groups, size = [], 0
-            cuts = np.flatnonzero(_changes(h))
             data = t.column("bytes").to_pylist()
-            for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(h)).tolist()):
-                groups.append([(i, int(document[i]), int(x[i]), data[i]) for i in range(s, e)])
-                size += sum(len(data[i]) + 1 for i in range(s, e))
-                if size >= SORT_BYTES:
+            low, high = shared_part(data, np.cumsum(_changes(h)) - 1, length)
+            groups, size, now = [], 0, None
+            for i in np.flatnonzero(high > low).tolist():
+                if h[i] != now and size >= SORT_BYTES:
                     yield solved(t, groups)
                     groups, size = [], 0
+                if h[i] != now or not groups:
+                    groups.append([])
+                now = h[i]
+                groups[-1].append((i, int(document[i]), int(x[i] + low[i]), data[i][low[i]:high[i]]))
+                size += int(high[i] - low[i]) + 1
             if groups:
                 yield solved(t, groups)
 
