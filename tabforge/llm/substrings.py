@@ -17,8 +17,10 @@ No suffix array of a whole corpus is built; strings that can be equal are brough
 A value with more rows than an eighth of an even partition, of which there are at most eight a
 partition, is never gathered in one task: its runs are dealt by their hash too, and of a hash that has as
 many rows the first run is found by an aggregation and sent to all tasks, so that its repeats are known where
-they are. The different runs of such values, and of those with over ``LANE_RUNS`` different ones, are
-compared string by string with a hash aggregation, the exact way for groups too large to sort.
+they are. Groups of over ``LANE_RUNS`` different runs are cut finer: a start then takes the least hashes
+of its grams by several hash functions, so runs are shorter and groups hold only strings that agree in nearly
+all bytes, and these go the same way. What is still too large is compared string by string with a hash
+aggregation.
 
 Cases: a null text is empty; texts under ``length`` bytes are kept; rows that repeat both id and
 text are one document and come back alike; rows that share an id only are ordered by a hash of
@@ -42,8 +44,8 @@ LENGTH = 100
 GRAM = 40
 #: Bytes hashed at a time.
 BLOCK = 1 << 21
-#: Different runs of one value whose suffixes are sorted together; larger groups are aggregated.
-LANE_RUNS = 4096
+#: Different runs of one value whose suffixes are sorted together; larger groups are cut finer.
+LANE_RUNS = 1024
 #: A value is hot with more rows than an eighth of an even partition, and than this.
 HOT_LEAST = 1000
 #: Bytes whose suffixes are sorted at a time.
@@ -216,8 +218,11 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-#: What becomes of a run: all of it repeats; its suffixes are to be sorted; its strings are to be aggregated.
-REPEAT, SORT, COUNT = 0, 1, 2
+#: What becomes of a run: all of it repeats; its suffixes are to be sorted with those of its group; its group was
+#: dealt over tasks or is too large.
+REPEAT, SORT, LARGE = 0, 1, 2
+#: Grams and hash functions of the finer cut.
+FINE_GRAM, FINE_MIXES = 24, (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def _sorted_out(runs: DataFrame, partitions: int, kind: str, lane_runs: int) -> DataFrame:
@@ -232,7 +237,7 @@ def _sorted_out(runs: DataFrame, partitions: int, kind: str, lane_runs: int) ->
             new = _changes(h, c)
             group = np.cumsum(_changes(h)) - 1
             different = np.bincount(group, weights=new)[group]
-            what = np.where(~new, REPEAT, np.where(hot | (different > lane_runs), COUNT, SORT))
+            what = np.where(~new, REPEAT, np.where(hot | (different > lane_runs), LARGE, SORT))
             out = ~new | hot | (different > 1)
             rows = t.take(pa.array(keep[out])).drop_columns(["c", "hot"])
             yield from rows.add_column(0, "kind", pa.array(what[out].astype(np.int16))).to_batches()
@@ -256,6 +261,14 @@ def _kinds(runs: DataFrame, keys: DataFrame, limit: int, partitions: int, kind:
     return out
 
 
+def _settled(out: DataFrame, lane_runs: int) -> tuple[DataFrame, DataFrame]:
+    """The runs of ``_kinds`` to be sorted, and those of groups that are too large for it."""
+    large = out.filter(F.col("kind") == LARGE)
+    sizes = written(large.groupBy("h").agg(F.count("*").alias("different")).filter("different > 1"), "group-sizes")
+    few, many = (large.join(sizes.filter(c).select("h"), "h", "left_semi") for c in (F.col("different") <= lane_runs, F.col("different") > lane_runs))
+    return out.filter(F.col("kind") == SORT).unionByName(few), many
+
+
 def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, th, text, runs): the documents that have runs ``wanted``, with them."""
     lists = wanted.groupBy(F.col("doc").alias("run_doc"), F.col("th").alias("run_th")).agg(F.collect_list(F.struct("h", "x", "n")).alias("runs"))
@@ -290,6 +303,37 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return _fetched(docs, wanted).mapInArrow(run, f"h long, doc {dict(docs.dtypes)['doc']}, th long, x int, bytes binary")
 
 
+def _finer(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(h, c, doc, th, x, n): the runs ``wanted`` cut wherever the least gram by any of several hash functions
+    changes; ``h`` names the value of the run and those grams."""
+    gram = min(FINE_GRAM, length)
+
+    def run(batches):
+        for part, rows, values, x, data in _each_run(batches, length):
+            joined, ends = np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(b) for b in data])
+            hashes = _Hashes(joined)
+            whole = _whole(ends, 0, max(0, len(joined) - length + 1), length)
+            grams = hashes.windows(gram)
+            new = np.append(True, whole[1:] != whole[:-1])
+            key = np.repeat(np.array(values, np.int64).view(np.uint64), np.diff(ends, prepend=0))[:len(whole)]
+            for mix in FINE_MIXES:
+                g = grams * np.uint64(mix)
+                least = _least(g ^ (g >> np.uint64(29)), length - gram + 1)
+                new[1:] |= (least[1:] != least[:-1]) | ((g ^ (g >> np.uint64(29)))[:len(whole) - 1] == least[:-1])
+                key = _mix(key ^ least)
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(whole)))
+            first, n = first[whole[first]], n[whole[first]]
+            of = np.searchsorted(ends, first, side="right")
+            at = pa.array(rows[of])
+            place = x[of] + first - np.concatenate([[0], ends[:-1]])[of]
+            yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(hashes.of(first, first + n - 1 + length).view(np.int64)),
+                                              part.column("doc").take(at), part.column("th").take(at), pa.array(place.astype(np.int32)),
+                                              pa.array(n.astype(np.int16))], names=["h", "c", "doc", "th", "x", "n"])
+
+    return _fetched(docs, wanted).mapInArrow(run, f"h long, c long, doc {dict(docs.dtypes)['doc']}, th long, x int, n short")
+
+
 def _strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(s1, s2, doc, th, x): 128 bits of hash of each string of the runs ``wanted``, and where it starts."""
     def run(batches):
@@ -441,14 +485,22 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lane_runs:
     if bits is None:
         runs = runs.join(keys.select("h"), "h")
     runs = written(runs, "runs")
-    # at most eight values a partition hold more than an eighth of an even one
-    out = _kinds(runs, keys, max(hot_least, n_rows // (8 * partitions)), partitions, kind, lane_runs)
-    drop_written(runs, keys)
-    spans = [out.filter(F.col("kind") == REPEAT).select("doc", "th", F.col("x").alias("a"), (F.col("x") + F.col("n") - 1 + length).alias("b"))]
-    spans.append(_suffix_sorted(_contexts(docs, out.filter(F.col("kind") == SORT), length), partitions, length, kind))
-    count = out.filter(F.col("kind") == COUNT)
-    if not count.isEmpty():
-        spans.append(_aggregated(_strings(docs, count, length), length))
+    def solved(runs, keys, rows):
+        # at most eight values a partition hold more than an eighth of an even one
+        out = _kinds(runs, keys, max(hot_least, rows // (8 * partitions)), partitions, kind, lane_runs)
+        drop_written(runs, keys)
+        sort, many = _settled(out, lane_runs)
+        whole = out.filter(F.col("kind") == REPEAT).select("doc", "th", F.col("x").alias("a"), (F.col("x") + F.col("n") - 1 + length).alias("b"))
+        return [whole, _suffix_sorted(_contexts(docs, sort, length), partitions, length, kind)], many
+
+    spans, many = solved(runs, keys, n_rows)
+    if not many.isEmpty():
+        finer = written(_finer(docs, many, length), "finer-runs")
+        counts = written(finer.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "finer-values")
+        more, many = solved(finer, counts, counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        spans += more
+        if not many.isEmpty():
+            spans.append(_aggregated(_strings(docs, many, length), length))
     result = spans[0]
     for s in spans[1:]:
         result = result.union(s)
