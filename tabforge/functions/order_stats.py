@@ -224,22 +224,22 @@ MAX_BUCKETS = 100_000
 
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
-                   n_buckets: int | None = None, prefix: str = "cum_", n_rows: int | None = None) -> DataFrame:
-    """Exact prefix sums of ``sum_cols`` in the order of a unique numeric ``order_col``.
+                   n_buckets: int | None = None, prefix: str = "cum_", n_rows: int | None = None, group: str | None = None) -> DataFrame:
+    """Exact prefix sums of ``sum_cols`` in the order of a numeric ``order_col`` that is unique (in each
+    value of ``group``, of which there are few).
 
-    Adds ``cum_<c>`` (inclusive) plus ``__bucket``. Rows are range-bucketed on sampled
-    boundaries (about ``ROWS_PER_BUCKET`` rows each, so a bucket's window task stays bounded as
-    the data grows; ``order_col`` is unique, so no value can overload a bucket), each bucket's
-    totals become an offset (one row per bucket, broadcast), and a window partitioned by bucket
-    adds the running part.
+    Adds ``cum_<c>`` (inclusive) plus ``__bucket``. Rows are range-bucketed on boundaries of one
+    approximate quantile sketch over all groups (about ``ROWS_PER_BUCKET`` rows each, so a bucket's window
+    task stays bounded as the data grows; no value can overload a bucket), each bucket's totals become an
+    offset (one row per group and bucket, broadcast), and a window partitioned by bucket adds the running part.
     """
     key = -F.col(order_col) if descending else F.col(order_col)
-    keyed = df.withColumn("__ok", key.cast("double"))
+    keyed = df.withColumn("__ok", key.cast("double")).withColumn("__group", F.col(group) if group else F.lit(0))
     if n_buckets is None:
         rows = keyed.count() if n_rows is None else n_rows
         n_buckets = int(min(MAX_BUCKETS, max(64, rows // ROWS_PER_BUCKET + 1)))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = keyed.agg(F.approx_percentile("__ok", probs, 10_000).alias("b")).collect()[0]["b"] or []
+    bounds = keyed.agg(F.approx_percentile("__ok", probs, max(10_000, 4 * n_buckets)).alias("b")).collect()[0]["b"] or []
     bounds = sorted(set(float(x) for x in bounds if x is not None))
     if bounds:
         # bucket = number of boundaries below the key (binary search in the JVM)
@@ -249,12 +249,12 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descendin
             .withColumn("__bucket", F.col("__bk").cast("int")).drop("__bk")
     else:
         bucketed = keyed.withColumn("__bucket", F.lit(0))
-    totals = bucketed.groupBy("__bucket").agg(*[F.sum(c).alias(c) for c in sum_cols])
-    wb = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    offsets = totals.select("__bucket", *[F.coalesce(F.sum(c).over(wb), F.lit(0)).alias(f"__off_{c}")
-                                          for c in sum_cols])
-    w = Window.partitionBy("__bucket").orderBy("__ok").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = bucketed.join(F.broadcast(offsets), "__bucket")  # at most MAX_BUCKETS rows
+    totals = bucketed.groupBy("__group", "__bucket").agg(*[F.sum(c).alias(c) for c in sum_cols])
+    # one row per group and bucket
+    wb = Window.partitionBy("__group").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__group", "__bucket", *[F.coalesce(F.sum(c).over(wb), F.lit(0)).alias(f"__off_{c}") for c in sum_cols])
+    w = Window.partitionBy("__group", "__bucket").orderBy("__ok").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = bucketed.join(F.broadcast(offsets), ["__group", "__bucket"])  # at most MAX_BUCKETS rows for each group
     for c in sum_cols:
         out = out.withColumn(prefix + c, F.sum(c).over(w) + F.col(f"__off_{c}"))
-    return out.drop("__ok", *[f"__off_{c}" for c in sum_cols])
+    return out.drop("__ok", *([] if group else ["__group"]), *[f"__off_{c}" for c in sum_cols])

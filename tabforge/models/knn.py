@@ -69,12 +69,12 @@ class NeighborModel:
         found = found.select(F.col("id").alias("__found"), *extra)
         return rows.join(found, rows[row].eqNullSafe(found["__found"]), "left").drop("__found", "__row")
 
-    def save_table(self, path: str) -> dict:
+    def save_parts(self, path: str) -> dict:
         self.table.write.mode("overwrite").parquet(path)
         return {"kind": self.kind, "params": self.params, "features": self.features, "target": self.target, "classes": self.classes}
 
     @staticmethod
-    def load_table(path: str, state: dict) -> "NeighborModel":
+    def load_parts(path: str, state: dict) -> "NeighborModel":
         m = NeighborModel(state["kind"], state["params"])
         m.features, m.target, m.classes = state["features"], state["target"], state["classes"]
         m.table = SparkSession.getActiveSession().read.parquet(path)

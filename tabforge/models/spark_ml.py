@@ -17,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .calibration import fit_calibration, probabilities
+
 MAX_TREE_DEPTH = 30  # Spark's tree depth limit; deeper requests are clamped, which param_table reports
 
 CLASSIFIERS = {"clf_random_forest", "clf_decision_tree", "clf_logistic", "clf_svm", "clf_mlp", "clf_gbt"}
@@ -36,6 +38,7 @@ class SparkModel:
         self.classes: list = []
         self.model = None
         self.warnings: list[str] = []
+        self.calibration: dict | None = None
 
     @property
     def is_classifier(self):
@@ -113,6 +116,11 @@ class SparkModel:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             self.model = self._estimator(n, sd, len(self.classes)).fit(data)
+            if self.kind in ("clf_svm", "clf_gbt"):
+                out = self.model.transform(data)
+                if "probability" not in out.columns:  # margins only: calibrated to probabilities of all classes
+                    rows = out.select(vector_to_array("rawPrediction").alias("margins"), F.col("__label").alias("label"))
+                    self.calibration = fit_calibration(rows, max(2, len(self.classes)))
         finally:
             data.unpersist()
         return self
@@ -129,24 +137,32 @@ class SparkModel:
             classes = F.array(*[F.lit(c) for c in self.classes])
             idx = F.col("prediction").cast("int")
             extra = [idx.alias("prediction_index"), F.element_at(classes, idx + 1).alias(prediction)]
-            if "probability" in out.columns:
-                prob = vector_to_array("probability")
-                extra += [prob.alias("probability"), F.array_max(prob).alias("confidence")]
+            if self.calibration:
+                out = out.withColumn("__margins", vector_to_array("rawPrediction"))
+                out = out.withColumn("__prob", probabilities(F.col("__margins"), self.calibration))
+            elif "probability" in out.columns:
+                out = out.withColumn("__prob", vector_to_array("probability"))
+            if "__prob" in out.columns:
+                extra += [F.col("__prob").alias("probability"), F.array_max("__prob").alias("confidence")]
             return out.select(*keep, *extra)
         return out.select(*keep, F.col("prediction").alias(prediction))
 
-    def feature_importance(self, spark) -> DataFrame:
-        m = self.model
+    @staticmethod
+    def _importances(m) -> list[float] | None:
         if hasattr(m, "featureImportances"):
-            imp = list(m.featureImportances.toArray())
-        elif hasattr(m, "coefficientMatrix") and m.coefficientMatrix.numRows > 1:
-            mat = m.coefficientMatrix.toArray()
-            imp = list(abs(mat).mean(axis=0))
-        elif hasattr(m, "coefficients"):
-            imp = [abs(v) for v in m.coefficients.toArray()]
-        else:
-            imp = [float("nan")] * len(self.features)
-        rows = sorted(zip(self.features, [float(v) for v in imp]), key=lambda t: -t[1] if not math.isnan(t[1]) else 0)
+            return list(m.featureImportances.toArray())
+        if hasattr(m, "coefficientMatrix"):
+            return list(abs(m.coefficientMatrix.toArray()).mean(axis=0))
+        if hasattr(m, "coefficients"):
+            return [abs(v) for v in m.coefficients.toArray()]
+        return None
+
+    def feature_importance(self, spark) -> DataFrame:
+        """By feature, largest first: tree importances or absolute coefficients, of several one-vs-rest
+        models their mean; NULL for a model that has neither."""
+        each = [self._importances(m) for m in getattr(self.model, "models", [self.model])]
+        imp = [None] * len(self.features) if any(e is None for e in each) else [float(sum(v) / len(each)) for v in zip(*each)]
+        rows = sorted(zip(self.features, imp), key=lambda t: -(t[1] or 0.0))
         return spark.createDataFrame(rows, "Feature string, Importance double")
 
     def param_table(self, spark) -> DataFrame:
@@ -173,3 +189,28 @@ def fit_kmeans(df: DataFrame, features: list[str], k: int = 3, restarts: int = 1
 def kmeans_assign(model, df: DataFrame, features: list[str]) -> DataFrame:
     cols = df.columns
     return model.transform(_assemble(df, features)).select(*cols, "Cluster")
+
+
+class ClusterModel:
+    """k-means with its features, so that it can be saved with a pipeline."""
+
+    def __init__(self, k: int = 3, restarts: int = 10, seed: int = 42):
+        self.k, self.restarts, self.seed = k, restarts, seed
+
+    def fit(self, df: DataFrame, features: list[str]) -> "ClusterModel":
+        self.features = list(features)
+        self.model = fit_kmeans(df, features, self.k, self.restarts, self.seed)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return kmeans_assign(self.model, df, self.features)
+
+    def save_parts(self, path: str) -> dict:
+        self.model.write().overwrite().save(path)
+        return {"k": self.k, "restarts": self.restarts, "seed": self.seed, "features": self.features}
+
+    @staticmethod
+    def load_parts(path: str, state: dict) -> "ClusterModel":
+        m = ClusterModel(state["k"], state["restarts"], state["seed"])
+        m.features, m.model = state["features"], K.KMeansModel.load(path)
+        return m

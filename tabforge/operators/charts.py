@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import number, seeded_hash
+from ..functions.gram import moments
 from ..functions.order_stats import quantiles
 
 
@@ -15,12 +18,12 @@ GROUP_BLOCK = 1_000  # larger groups taken at a time
 
 def histogram(df: DataFrame, col: str, bins: int = 30, group: str | None = None) -> DataFrame:
     """Equal-width bins over [min, max] (the max falls in the last bin): (bin, bin_start, bin_end[, group], count)."""
-    r = df.agg(F.min(F.col(col).cast("double")).alias("lo"), F.max(F.col(col).cast("double")).alias("hi")).collect()[0]
+    r = df.agg(F.min(number(col)).alias("lo"), F.max(number(col)).alias("hi")).collect()[0]
     lo, hi = r["lo"], r["hi"]
     if lo is None:
         return df.sparkSession.createDataFrame([], "bin int, bin_start double, bin_end double, count long")
     width = (hi - lo) / bins if hi > lo else 1.0
-    x = F.col(col).cast("double")
+    x = number(col)
     b = F.least(F.lit(bins - 1), F.floor((x - F.lit(lo)) / F.lit(width)).cast("int")) if hi > lo else F.lit(0)
     keys = [b.alias("bin")] + ([F.col(group)] if group else [])
     out = df.where(x.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("count"))
@@ -92,24 +95,19 @@ def scatter_sample(df: DataFrame, cols: list[str], key: str, n: int | None = Non
 def ols_trend(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:
     """Least-squares line per group: slope, intercept, r2, n."""
     keys = [group] if group else []
-    xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
+    xd, yd = number(x), number(y)
     return df.groupBy(*keys).agg(F.regr_slope(yd, xd).alias("slope"), F.regr_intercept(yd, xd).alias("intercept"),
                                  F.regr_r2(yd, xd).alias("r2"), F.regr_count(yd, xd).cast("long").alias("n"))
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every ordered pair (pairwise complete), long form, one aggregate."""
+    """Pearson correlation of every ordered pair (pairwise complete), long form, one pass; NULL where a column
+    does not vary."""
     if len(cols) < 2:
         raise ValueError("a correlation matrix needs two or more numeric columns")
-    pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    entries = []
-    for k, (a, b) in enumerate(pairs):
-        entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{k}").alias("corr")))
-        entries.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"c{k}").alias("corr")))
-    for c in cols:
-        entries.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.lit(1.0).alias("corr")))
-    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    r = moments(df, cols).correlation()
+    rows = [(a, b, 1.0 if a == b else None if math.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 def category_counts(df: DataFrame, col: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distinct import distinct_up_to
 from ..functions.exprs import missing
 from ..functions.roles import categorical_columns, numeric_columns, present
 from ..plans.stage import Stage, register
@@ -104,8 +105,8 @@ def candidate_scale_columns(df: DataFrame, exclude=()) -> list[str]:
     num = numeric_columns(df, exclude)
     if not num:
         return []
-    r = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(num)]).collect()[0]
-    picked = [c for i, c in enumerate(num) if r[f"d{i}"] > 2]
+    found = distinct_up_to(df, num, 2)
+    picked = [c for c in num if found[c] > 2]
     return picked or num
 
 

@@ -1,8 +1,8 @@
 """Categorical encoders: one-hot (flat 0/1 columns), label, ordinal, frequency.
 
-Category lists reach the driver only when bounded: one-hot keeps at most ``cap`` values by
-construction, and label/ordinal/frequency maps above ``MAP_LITERAL_LIMIT`` entries stay a
-Spark table joined back (broadcast only under a checked row count).
+One-hot keeps at most ``cap`` values by construction, so they are literals. The dictionaries of label,
+ordinal and frequency are tables at every size (``functions.dictionary``), written where the stage was
+fitted and saved with the pipeline.
 """
 
 from __future__ import annotations
@@ -10,21 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dictionary
+from ..functions.distinct import distinct_counts
 from ..functions.roles import present
 from ..plans.stage import Stage, register
 
-MAP_LITERAL_LIMIT = 20_000
-BROADCAST_ROWS_LIMIT = 2_000_000
-
 
 def encode_recommend(df: DataFrame, cols: list[str]) -> DataFrame:
     """<= 2 distinct -> label, <= 10 -> one_hot, else frequency (non-null distinct counts)."""
-    wide = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)])
-    entries = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").cast("long").alias("n_distinct"))
-               for i, c in enumerate(cols)]
-    long = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    return long.withColumn("method", F.when(F.col("n_distinct") <= 2, "label")
-                           .when(F.col("n_distinct") <= 10, "one_hot").otherwise("frequency"))
+    return distinct_counts(df, cols).withColumn("method", F.when(F.col("n_distinct") <= 2, "label")
+                                                .when(F.col("n_distinct") <= 10, "one_hot").otherwise("frequency"))
 
 
 # ---------------------------------------------------------------- one-hot
@@ -76,68 +71,21 @@ def _apply_one_hot(df, p):
 
 # ------------------------------------------------------- label / ordinal
 
-def _mapping_table(df: DataFrame, c: str, null_token: str | None):
-    x = F.col(c).cast("string")
-    if null_token is not None:
-        x = F.coalesce(x, F.lit(null_token))
-    return df.select(x.alias("k")).where(F.col("k").isNotNull()).distinct()
-
-
 def fit_index(df: DataFrame, cols: list[str], kind: str = "label") -> Stage:
     """Sorted-category index (code-point order). NULL is encoded as the category "Missing".
-
-    label -> int, ordinal -> double; unseen categories -> -1. Small maps are literals; large
-    ones are a (category, index) table built by a distributed sort + ``zipWithIndex``.
-    """
+    label -> int, ordinal -> double; unseen categories -> -1."""
     cols = present(df, cols)
-    enc = {}
-    for c in cols:
-        cats = _mapping_table(df, c, "Missing")
-        n = cats.count()
-        if n <= MAP_LITERAL_LIMIT:
-            keys = sorted(r["k"] for r in cats.collect())
-            enc[c] = {"mapping": {k: i for i, k in enumerate(keys)}}
-        else:
-            indexed = cats.orderBy("k").rdd.zipWithIndex().map(lambda t: (t[0]["k"], int(t[1]))).toDF(["k", "idx"])
-            enc[c] = {"table": indexed, "rows": n}
-    return Stage(kind, {"encoders": enc})
-
-
-def _apply_lookup(df, encs, cast, unseen, null_token):
-    out = df
-    for c, e in encs.items():
-        if c not in out.columns:
-            continue
-        x = F.col(c).cast("string")
-        if null_token is not None:
-            x = F.coalesce(x, F.lit(null_token))
-        if "mapping" in e:
-            m = e["mapping"]
-            if m:
-                lit_map = F.create_map(*[v for kv in m.items() for v in (F.lit(kv[0]), F.lit(kv[1]))])
-                val = F.coalesce(lit_map[x], F.lit(unseen))
-            else:
-                val = F.lit(unseen)
-            out = out.withColumn(c, val.cast(cast))
-        else:
-            t = e["table"].select(F.col("k").alias("__k"), F.col("idx").alias("__v"))
-            if e["rows"] <= BROADCAST_ROWS_LIMIT:
-                t = F.broadcast(t)
-            cols = out.columns
-            out = (out.withColumn("__key", x).join(t, F.col("__key") == F.col("__k"), "left")
-                   .select(*[F.coalesce(F.col("__v"), F.lit(unseen)).cast(cast).alias(k) if k == c else F.col(k)
-                             for k in cols]))
-    return out
+    return Stage(kind, {"columns": cols, **dictionary.save(dictionary.ranked(dictionary.pairs_of(df, cols, "Missing")))})
 
 
 @register("label")
 def _apply_label(df, p):
-    return _apply_lookup(df, p["encoders"], "int", -1, "Missing")
+    return dictionary.look_up(df, p, p["columns"], "Missing", -1.0, "int")
 
 
 @register("ordinal")
 def _apply_ordinal(df, p):
-    return _apply_lookup(df, p["encoders"], "double", -1.0, "Missing")
+    return dictionary.look_up(df, p, p["columns"], "Missing", -1.0, "double")
 
 
 # -------------------------------------------------------------- frequency
@@ -145,51 +93,18 @@ def _apply_ordinal(df, p):
 def fit_frequency(df: DataFrame, cols: list[str]) -> Stage:
     """Share of each category among non-null values; NULL and unseen -> 0.0."""
     cols = present(df, cols)
-    enc = {}
-    for c in cols:
-        vc = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("k"))
-              .agg(F.count(F.lit(1)).alias("n")))
-        tot = vc.select(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d")).collect()[0]
-        shares = vc.withColumn("idx", F.col("n") / F.lit(float(tot["t"] or 1)))
-        if (tot["d"] or 0) <= MAP_LITERAL_LIMIT:
-            enc[c] = {"mapping": {r["k"]: r["idx"] for r in shares.collect()}}
-        else:
-            enc[c] = {"table": shares.select("k", "idx"), "rows": tot["d"]}
-    return Stage("frequency", {"encoders": enc})
+    totals = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    total = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(float(totals[f"n{i}"] or 1)))])
+    table = dictionary.pairs_of(df, cols, None).select("column", "value", (F.col("n") / total[F.col("column")]).alias("code"))
+    return Stage("frequency", {"columns": cols, **dictionary.save(table)})
 
 
 @register("frequency")
 def _apply_frequency(df, p):
-    return _apply_lookup(df, p["encoders"], "double", 0.0, None)
-
-
-def fit_encoding(df: DataFrame, decisions: dict) -> list[Stage]:
-    """``{col: one_hot|label|ordinal|frequency}`` -> stages (one per method)."""
-    by = {}
-    for c, m in decisions.items():
-        m = str(m).lower().replace("-", "_")
-        m = "one_hot" if m in ("ohe", "one_hot") else m
-        by.setdefault(m, []).append(c)
-    stages = []
-    for m, cols in by.items():
-        if m == "one_hot":
-            stages.append(fit_one_hot(df, cols))
-        elif m in ("label", "ordinal"):
-            stages.append(fit_index(df, cols, m))
-        elif m == "frequency":
-            stages.append(fit_frequency(df, cols))
-        else:
-            raise ValueError(f"unknown encoding {m!r}")
-    return stages
+    return dictionary.look_up(df, p, p["columns"], None, 0.0, "double")
 
 
 def category_index(df: DataFrame, col: str) -> DataFrame:
-    """(category, index) by sorted category, computed without a single-partition window
-    above the literal limit (distributed sort + zipWithIndex)."""
-    st = fit_index(df, [col], "label")
-    e = st.params["encoders"][col]
-    if "mapping" in e:
-        return df.sparkSession.createDataFrame(sorted(e["mapping"].items(), key=lambda kv: kv[1]),
-                                               "category string, index int")
-    return e["table"].select(F.col("k").alias("category"), F.col("idx").cast("int").alias("index"))
-
+    """(category, index) by sorted category, NULL as "Missing"."""
+    table = dictionary.ranked(dictionary.pairs_of(df, [col], "Missing"))
+    return table.select(F.col("value").alias("category"), F.col("code").cast("int").alias("index"))

@@ -7,11 +7,15 @@ ROC and PR curves group by score first, then use exact distributed prefix sums
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import number
 from ..functions.order_stats import running_totals
+from ..session import written
+
+#: Classes whose grid of pairs is made.
+MAX_CLASSES = 1000
 
 
 def _pair_counts(pred: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -69,12 +73,16 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
     return out.select("row", *[F.round(c, places).alias(c) for c in ["precision", "recall", "f1"]], "support")
 
 
-def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Long form (actual, predicted, count) over the full grid of labels seen in either column."""
+def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction", labels: str = "both") -> DataFrame:
+    """Long form (actual, predicted, count) over the full grid of labels: those seen in either column, or with
+    ``labels="actual"`` in the label column only, which leaves out predictions of other classes."""
     pc = _pair_counts(pred, label, prediction)
-    labels = sorted({r[0] for r in pc.select("y").union(pc.select("p")).distinct().collect() if r[0] is not None})
+    seen = pc.select("y") if labels == "actual" else pc.select("y").union(pc.select("p"))
+    found = seen.where(F.col("y").isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     # the label set is the class list (bounded); the full grid is built from it as literals
-    lab = F.array(*[F.lit(v) for v in labels])
+    lab = F.array(*[F.lit(v) for v in sorted(r[0] for r in found)])
     grid = pred.sparkSession.range(1).select(F.explode(lab).alias("actual")).select(
         "actual", F.explode(lab).alias("predicted"))
     return (grid.join(pc, (grid.actual == pc.y) & (grid.predicted == pc.p), "left")
@@ -82,20 +90,19 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
 
 
 def metrics_regression(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """R^2, RMSE, MAE, MSE in one aggregate."""
-    e = F.col(label).cast("double") - F.col(prediction).cast("double")
+    """R^2, RMSE, MAE, MSE in one aggregate, over rows that have both numbers."""
+    e = number(label) - number(prediction)
     a = pred.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("sse"),
-                 F.var_pop(F.col(label).cast("double")).alias("vy"), F.count(F.lit(1)).alias("n"))
+                 F.var_pop(F.when(e.isNotNull(), number(label))).alias("vy"), F.count(e).alias("n"))
     r2 = F.when(F.col("vy") > 0, 1 - F.col("sse") / (F.col("vy") * F.col("n"))).otherwise(F.lit(0.0))
     return a.select(r2.alias("r2"), F.sqrt("mse").alias("rmse"), "mae", "mse")
 
 
 def _score_counts(pred: DataFrame, label: str, score: str, pos_label) -> DataFrame:
-    """(score, pos, neg) per distinct score, kept (memory, spilling to disk) because the curve
-    makes several passes over it; lost blocks are recomputed from the predictions."""
+    """(score, pos, neg) per distinct score, written because the curve makes several passes over it."""
     y = (F.col(label).cast("string") == F.lit(str(pos_label))).cast("long")
-    return (pred.groupBy(F.col(score).cast("double").alias("score"))
-            .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = pred.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    return written(counts, "curve-scores")
 
 
 def roc_curve(pred: DataFrame, label: str, score: str, pos_label, drop_intermediate: bool = True) -> DataFrame:
@@ -118,23 +125,68 @@ def _totals(sc: DataFrame):
     return (r["P"] or 0), (r["N"] or 0)
 
 
-def _keep_turning_points(pts: DataFrame) -> DataFrame:
+def _keep_turning_points(pts: DataFrame, group: str | None = None) -> DataFrame:
     """Keep point i when its (pos, neg) step differs from point i+1's, plus first and last.
     The next row's step comes from a within-bucket lead; a bucket's last row looks at the
-    first row of the next non-empty bucket (one small row per bucket)."""
-    w = Window.partitionBy("__bucket").orderBy(F.desc("score"))
-    firsts = (pts.groupBy("__bucket").agg(F.max_by(F.struct("pos", "neg"), F.col("score")).alias("f")))
-    nxt = firsts.select(F.col("__bucket").alias("__b"), "f")
-    wb = Window.orderBy("__b")  # one row per bucket: a handful of rows
-    nxt = nxt.withColumn("__prev_b", F.lag("__b").over(wb))
-    link = nxt.select(F.col("__prev_b").alias("__bucket"), F.col("f.pos").alias("__npos"), F.col("f.neg").alias("__nneg"))
+    first row of the next non-empty bucket (one small row per group and bucket)."""
+    pts = pts.withColumn("__of", F.col(group) if group else F.lit(0))
+    w = Window.partitionBy("__of", "__bucket").orderBy(F.desc("score"))
+    firsts = pts.groupBy("__of", "__bucket").agg(F.max_by(F.struct("pos", "neg"), F.col("score")).alias("f"))
+    wb = Window.partitionBy("__of").orderBy("__bucket")
+    link = firsts.select("__of", F.lag("__bucket").over(wb).alias("__bucket"), F.col("f.pos").alias("__npos"), F.col("f.neg").alias("__nneg"))
     p = (pts.withColumn("__lpos", F.lead("pos").over(w)).withColumn("__lneg", F.lead("neg").over(w))
-         .join(F.broadcast(link), "__bucket", "left"))
+         .join(F.broadcast(link.where(F.col("__bucket").isNotNull())), ["__of", "__bucket"], "left"))
     npos = F.coalesce(F.col("__lpos"), F.col("__npos"))
     nneg = F.coalesce(F.col("__lneg"), F.col("__nneg"))
     first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
     keep = npos.isNull() | first | (npos != F.col("pos")) | (nneg != F.col("neg"))
-    return p.where(keep)
+    return p.where(keep).drop("__of")
+
+
+def _class_counts(pred: DataFrame, label: str, probability: str, classes: list) -> tuple[DataFrame, DataFrame]:
+    """Of each class against the rest: (class, score, pos, neg) per distinct score, written, and the totals
+    (class, P, N) of the classes that have rows of both kinds."""
+    each = F.arrays_zip(F.array(*[F.lit(str(c)) for c in classes]).alias("class"), F.col(probability).alias("score"))
+    rows = pred.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("y"), F.explode(each).alias("s"))
+    y = (F.col("y") == F.col("class")).cast("long")
+    counts = rows.select("y", "s.class", F.col("s.score").cast("double").alias("score")).groupBy("class", "score").agg(
+        F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    counts = written(counts, "curve-scores")
+    totals = counts.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).where("P > 0 and N > 0")
+    return counts.join(F.broadcast(totals.select("class")), "class", "left_semi"), totals  # a row for each class
+
+
+def roc_curves(pred: DataFrame, label: str, probability: str, classes: list, drop_intermediate: bool = True) -> DataFrame:
+    """One-vs-rest points (class, fpr, tpr, threshold) of every class, as ``roc_curve`` gives them; a class
+    without rows, or without rows of others, has none. ``probability``: an array in the order of ``classes``."""
+    counts, totals = _class_counts(pred, label, probability, classes)
+    pts = running_totals(counts, "score", ["pos", "neg"], descending=True, group="class")
+    if drop_intermediate:
+        pts = _keep_turning_points(pts, "class")
+    body = pts.join(F.broadcast(totals), "class").select("class", (F.col("cum_neg") / F.col("N")).alias("fpr"), (F.col("cum_pos") / F.col("P")).alias("tpr"),
+                                                         F.col("score").alias("threshold"))
+    start = totals.select("class", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"))
+    return start.unionByName(body)
+
+
+def roc_aucs(pred: DataFrame, label: str, probability: str, classes: list) -> DataFrame:
+    """(class, auc) of every class against the rest."""
+    counts, totals = _class_counts(pred, label, probability, classes)
+    cum = running_totals(counts, "score", ["pos", "neg"], descending=True, group="class")
+    area = F.sum(F.col("neg").cast("double") * (2.0 * F.col("cum_pos") - F.col("pos")))
+    area = cum.groupBy("class").agg(area.alias("area")).join(F.broadcast(totals), "class")
+    return area.select("class", (F.col("area") / (2.0 * F.col("P").cast("double") * F.col("N"))).alias("auc"))
+
+
+def pr_curves(pred: DataFrame, label: str, probability: str, classes: list) -> DataFrame:
+    """One-vs-rest points (class, recall, precision, threshold) of every class, as ``pr_curve`` gives them."""
+    counts, totals = _class_counts(pred, label, probability, classes)
+    cum = running_totals(counts, "score", ["pos", "neg"], descending=True, group="class").join(F.broadcast(totals), "class")
+    pts = cum.where(F.col("cum_pos") - F.col("pos") < F.col("P"))
+    body = pts.select("class", (F.col("cum_pos") / F.col("P")).alias("recall"), (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
+                      F.col("score").alias("threshold"))
+    end = totals.select("class", F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"), F.lit(None).cast("double").alias("threshold"))
+    return body.unionByName(end)
 
 
 def roc_auc(pred: DataFrame, label: str, score: str, pos_label) -> DataFrame:
@@ -175,10 +227,6 @@ def pr_auc(pred: DataFrame, label: str, score: str, pos_label) -> DataFrame:
     return pts.agg(F.sum((rec - prev_rec) * (prec + prev_prec) / 2.0).alias("pr_auc"))
 
 
-def class_score(pred: DataFrame, probability: str, index: int, name: str = "score") -> DataFrame:
-    return pred.withColumn(name, F.element_at(F.col(probability), index + 1))
-
-
 def predictions_table(pred: DataFrame, label: str, prediction: str, problem: str = "Classification") -> DataFrame:
     if problem == "Classification":
         return pred.select(F.col(label).alias("Actual"), F.col(prediction).alias("Predicted"),
@@ -199,7 +247,7 @@ def actual_vs_predicted_line(pred: DataFrame, label: str, prediction: str) -> Da
 
 
 def class_probabilities(pred: DataFrame, probability: str, classes: list, key: str) -> DataFrame:
-    """(key, class, probability) per row, ascending probability within a row."""
+    """(key, class, probability) per row; the caller sorts (a table has no order of its own)."""
     names = F.array(*[F.lit(str(c)) for c in classes])
     return (pred.select(key, F.posexplode(F.col(probability)).alias("i", "probability"))
             .select(key, F.element_at(names, F.col("i") + 1).alias("class"), "probability"))
@@ -225,7 +273,7 @@ def metrics_clustering(df: DataFrame, features: list[str], cluster: str) -> Data
     K = len(cl)
     spark = df.sparkSession
     if not (2 <= K < n):
-        return spark.createDataFrame([(0.0, 0.0, 0.0)], "silhouette double, davies_bouldin double, calinski_harabasz double")
+        return spark.createDataFrame([(0.0, 0.0, 0.0)], "silhouette_squared double, davies_bouldin double, calinski_harabasz double")
     d = len(features)
     cent = {r["k"]: [r[f"s{i}"] / r["nk"] for i in range(d)] for r in cl}
     size = {r["k"]: r["nk"] for r in cl}
@@ -270,4 +318,4 @@ def metrics_clustering(df: DataFrame, features: list[str], cluster: str) -> Data
         (F.col("__b") - F.col("__a")) / F.greatest(F.col("__a"), F.col("__b")))
     sil = pts.agg(F.avg(sil_pt).alias("s")).collect()[0]["s"]
     return spark.createDataFrame([(float(sil), float(db), float(ch))],
-                                 "silhouette double, davies_bouldin double, calinski_harabasz double")
+                                 "silhouette_squared double, davies_bouldin double, calinski_harabasz double")

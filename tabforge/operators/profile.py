@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import missing, seeded_hash
+from ..functions.distinct import distinct_up_to
+from ..functions.exprs import missing, number, seeded_hash
 from ..functions.order_stats import quantiles
 from ..functions.roles import CATEGORICAL, NUMERIC, categorical_columns, numeric_columns, roles
 
@@ -137,7 +138,7 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, places: int =
     probs = [0.25, 0.5, 0.75]
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.skewness(x).alias(f"g{i}"),
                  F.kurtosis(x).alias(f"k{i}")]
@@ -260,17 +261,12 @@ def constant_columns_df(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(c,) for c in constant_columns(df)], "column string")
 
 
-def cardinality_counts(df: DataFrame, cols: list[str] | None = None, high: int = 15,
-                       approximate: bool = False) -> DataFrame:
+def cardinality_counts(df: DataFrame, cols: list[str] | None = None, high: int = 15) -> DataFrame:
     """Number of binary (=2 non-null distinct) and high-cardinality (> ``high``) categoricals."""
     cols = cols or categorical_columns(df)
-    if not cols:
-        return df.sparkSession.createDataFrame([(0, 0)], "binary_count long, high_card_count long")
-    fn = (lambda c: F.approx_count_distinct(c)) if approximate else (lambda c: F.count_distinct(c))
-    wide = df.agg(*[fn(c).alias(f"d{i}") for i, c in enumerate(cols)])
-    binary = sum((F.when(F.col(f"d{i}") == 2, 1).otherwise(0) for i in range(len(cols))), F.lit(0))
-    highc = sum((F.when(F.col(f"d{i}") > high, 1).otherwise(0) for i in range(len(cols))), F.lit(0))
-    return wide.select(binary.cast("long").alias("binary_count"), highc.cast("long").alias("high_card_count"))
+    found = distinct_up_to(df, cols, max(2, high)).values()
+    counts = (sum(n == 2 for n in found), sum(n > high for n in found))
+    return df.sparkSession.createDataFrame([counts], "binary_count long, high_card_count long")
 
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:

@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distinct import distinct_up_to
+from ..functions.exprs import number
+from ..functions.gram import moments
 from ..functions.roles import NUMERIC, present, role_of
 from ..plans.stage import Stage, register
 
@@ -60,28 +63,57 @@ def _loglik_terms(method: str, x: Column, lams: list[float]):
     return aggs
 
 
-def fit_lambda(df: DataFrame, col: str, method: str, shift: float = 0.0, rounds: int = 4,
-               lo: float = -5.0, hi: float = 5.0, points: int = 41) -> float:
-    """Maximum-likelihood lambda: whole lambda grids evaluated in one aggregate per round
-    (``var_pop`` of the transformed column per grid point), then refined around the best."""
-    x = F.col(col).cast("double") + F.lit(shift)
-    best = None
-    for _ in range(rounds):
-        lams = list(np.linspace(lo, hi, points))
-        r = df.agg(*_loglik_terms(method, x, lams)).collect()[0]
-        n, jac = r["n"], r["jac"]
-        scores = []
-        for j, lam in enumerate(lams):
-            v = r[f"v{j}"]
-            if v is None or v <= 0 or math.isnan(v) or math.isinf(v):
-                scores.append(-math.inf)
+#: Grid points of a round, rounds, and the width at which the search for lambda ends.
+LAMBDA_POINTS, LAMBDA_ROUNDS, LAMBDA_WIDTH = 21, 40, 1e-8
+
+
+def _log_likelihood(method: str, lam: float, n: int, jac: float, var: float | None) -> float:
+    if var is None or var <= 0 or math.isnan(var) or math.isinf(var):
+        return -math.inf
+    if method == "box-cox":  # of values divided by their geometric mean, whose logarithms add up to nothing
+        return -n / 2.0 * math.log(var)
+    return -n / 2.0 * math.log(var) + (lam - 1.0) * jac
+
+
+def fit_lambdas(df: DataFrame, cols: list[str], method: str, shifts: dict[str, float], lo: float = -5.0, hi: float = 5.0) -> dict[str, float]:
+    """Maximum-likelihood lambda of every column: a round evaluates the grids of all columns in one
+    aggregate. A bracket whose best point is at an end moves on that way and doubles; otherwise it closes
+    in around the best point. Missing values are left out; a column without two values gets 1."""
+    x = {c: number(c) + F.lit(float(shifts.get(c, 0.0))) for c in cols}
+    if method == "box-cox":
+        logs = df.agg(*[F.avg(F.when(x[c] > 0, F.log(x[c]))).alias(f"g{i}") for i, c in enumerate(cols)]).first()
+        x = {c: x[c] / F.lit(math.exp(logs[f"g{i}"] or 0.0)) for i, c in enumerate(cols)}
+    bracket, best = {c: (lo, hi) for c in cols}, {c: 1.0 for c in cols}
+    for _ in range(LAMBDA_ROUNDS):
+        open_cols = [c for c in cols if c in bracket]
+        if not open_cols:
+            break
+        grids = {c: [float(v) for v in np.linspace(*bracket[c], LAMBDA_POINTS)] for c in open_cols}
+        aggs = []
+        for i, c in enumerate(open_cols):
+            terms = _loglik_terms(method, x[c], grids[c])
+            aggs += [F.struct(*terms).alias(f"t{i}")]
+        r = df.agg(*aggs).first()
+        for i, c in enumerate(open_cols):
+            t, grid = r[f"t{i}"], grids[c]
+            scores = [_log_likelihood(method, lam, t["n"], t["jac"] or 0.0, t[f"v{j}"]) for j, lam in enumerate(grid)]
+            top = max(scores)
+            if top == -math.inf:
+                del bracket[c]
+                continue
+            k = scores.index(top)
+            best[c] = grid[k]
+            a, b = bracket[c]
+            step = (b - a) / (LAMBDA_POINTS - 1)
+            if k == 0:
+                bracket[c] = (a - 2 * (b - a), a + step)
+            elif k == LAMBDA_POINTS - 1:
+                bracket[c] = (b - step, b + 2 * (b - a))
+            elif step < LAMBDA_WIDTH or max(abs(scores[k - 1] - top), abs(scores[k + 1] - top)) <= 1e-14 * abs(top):
+                del bracket[c]
             else:
-                scores.append(-n / 2.0 * math.log(v) + (lam - 1.0) * jac)
-        k = int(np.argmax(scores))
-        best = lams[k]
-        step = (hi - lo) / (points - 1)
-        lo, hi = best - step, best + step
-    return float(best)
+                bracket[c] = (grid[k - 1], grid[k + 1])
+    return best
 
 
 def fit_power(df: DataFrame, cols: list[str], method: str = "yeo-johnson", lambdas: dict | None = None,
@@ -92,17 +124,15 @@ def fit_power(df: DataFrame, cols: list[str], method: str = "yeo-johnson", lambd
     method = method.lower()
     shifts = {c: 0.0 for c in cols}
     if method == "box-cox" and cols:
-        r = df.agg(*[F.min(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
+        r = df.agg(*[F.min(number(c)).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
         for i, c in enumerate(cols):
             m = r[f"m{i}"]
             shifts[c] = abs(m) + 1.0 if (m is not None and m <= 0) else 0.0
     lam = dict(lambdas or {})
-    for c in cols:
-        if c not in lam:
-            lam[c] = fit_lambda(df, c, method, shifts[c])
+    lam.update(fit_lambdas(df, [c for c in cols if c not in lam], method, shifts) if any(c not in lam for c in cols) else {})
     center, scale = {}, {}
     if standardize and cols:
-        ys = {c: _power_expr(method, F.col(c).cast("double") + F.lit(shifts[c]), lam[c]) for c in cols}
+        ys = {c: _power_expr(method, number(c) + F.lit(shifts[c]), lam[c]) for c in cols}
         r = df.agg(*[F.avg(ys[c]).alias(f"a{i}") for i, c in enumerate(cols)],
                    *[F.stddev_pop(ys[c]).alias(f"s{i}") for i, c in enumerate(cols)]).collect()[0]
         for i, c in enumerate(cols):
@@ -179,27 +209,19 @@ def _apply_poly(df, p):
 # -------------------------------------------------------------------- PCA
 
 def fit_pca(df: DataFrame, cols: list[str], n_components: int | float = 0.95, standardize: bool = True) -> Stage:
-    """Covariance of the (optionally standardised) columns from one aggregate of all pair
-    covariances; eigen-decomposition of the small d x d matrix on the driver. Signs fixed so
+    """Covariance of the (optionally standardised) columns over rows without a missing value, from one
+    pass that folds each task's rows into matrices; eigen-decomposition of the small d x d matrix on the driver. Signs fixed so
     each component's largest-magnitude loading is positive. A float ``n_components`` keeps the
     smallest k whose cumulative explained variance reaches it."""
     cols = _numeric(df, cols)
     if not cols:
         raise ValueError("PCA needs at least one numeric column")
     d = len(cols)
-    x = {c: F.col(c).cast("double") for c in cols}
-    aggs = [F.avg(x[c]).alias(f"a{i}") for i, c in enumerate(cols)]
-    aggs += [F.stddev_pop(x[c]).alias(f"s{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_samp(x[a], x[b]).alias(f"c{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    r = df.agg(*aggs).collect()[0]
-    mean = np.array([r[f"a{i}"] for i in range(d)], dtype=float)
-    std = np.array([r[f"s{i}"] or 0.0 for i in range(d)], dtype=float)
+    m = moments(df, cols, complete=True)
+    n = m.n[0, 0]
+    mean, std = m.mean[:, 0].copy(), np.sqrt(np.diag(m.product) / max(n, 1))
     std[std == 0] = 1.0
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            v = r[f"c{i}_{j}"] or 0.0
-            cov[i, j] = cov[j, i] = v
+    cov = m.product / max(n - 1, 1)
     if standardize:
         cov = cov / np.outer(std, std)
     w, v = np.linalg.eigh(cov)
@@ -246,8 +268,7 @@ def infer_problem_type(df: DataFrame, target: str, max_classes: int = 10) -> str
     """Numeric with more than ``max_classes`` distinct values -> Regression, else Classification."""
     if role_of(df.schema[target].dataType) != NUMERIC:
         return "Classification"
-    n = df.agg(F.count_distinct(target).alias("d")).collect()[0]["d"]
-    return "Regression" if n > max_classes else "Classification"
+    return "Regression" if distinct_up_to(df, [target], max_classes)[target] > max_classes else "Classification"
 
 
 def mutual_information(df: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import missing
+from ..functions.exprs import missing, seeded_hash
 
 
 def validate_features(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -20,9 +20,11 @@ def validate_features(df: DataFrame, features: list[str], target: str) -> DataFr
     return long.where(F.col("missing_count") > 0)
 
 
-def preset_rows(raw_profile: dict, spark: SparkSession, presets=("mean", "min", "median")) -> DataFrame:
+def preset_rows(raw_profile: dict, spark: SparkSession, presets=("mean", "min", "median"), raw_df: DataFrame | None = None,
+                key: str | None = None, seed: int = 42) -> DataFrame:
     """One row per preset built from the fitted raw profile: numeric columns at their mean /
-    minimum / median, text columns at their first sorted category."""
+    minimum / median, text columns at their first sorted category. With ``raw_df`` also ``random``, a row
+    of it: the first in the order of md5(key|seed), so another seed gives another row."""
     num = list(raw_profile["numeric"])
     cat = list(raw_profile["categorical"])
     rows = []
@@ -30,4 +32,8 @@ def preset_rows(raw_profile: dict, spark: SparkSession, presets=("mean", "min",
         rows.append(tuple([p] + [float(raw_profile["numeric"][c][p]) for c in num]
                           + [raw_profile["categorical"][c]["first"] for c in cat]))
     schema = "preset string, " + ", ".join([f"`{c}` double" for c in num] + [f"`{c}` string" for c in cat])
-    return spark.createDataFrame(rows, schema)
+    out = spark.createDataFrame(rows, schema)
+    if raw_df is None:
+        return out
+    drawn = raw_df.withColumn("__h", seeded_hash([key], seed)).orderBy("__h", key).limit(1)
+    return out.union(drawn.select(F.lit("random"), *[F.col(c).cast("double") for c in num], *[F.col(c).cast("string") for c in cat]))

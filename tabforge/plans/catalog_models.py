@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..models.naive_bayes import GaussianNB
-from ..models.spark_ml import SparkModel, fit_kmeans, kmeans_assign
+from ..models.spark_ml import ClusterModel, SparkModel, fit_kmeans, kmeans_assign
 from ..operators import clean, encode, evaluate, impute, outliers, profile, sample, scale, transform
 from ..plans.pipeline import Pipeline, align_features, score_batch, score_batch_metrics
 from ..session import scratch_path
@@ -342,37 +342,44 @@ def q_actual_vs_predicted(spark, sf):
 
 # -------------------------------------------------------------- clustering
 
-EMB3 = ("(SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, "
-        "CAST(embedding[3] AS DOUBLE) AS x2, label FROM embeddings)")
+DIMS = 64  # fixed value: the length of the given embeddings
+DIM_COLS = [f"x{i}" for i in range(DIMS)]
+EMB_SQL = "(SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(DIMS)) + " FROM embeddings)"
 
 
-def emb3(spark, sf):
+def _dims(term: str) -> str:
+    """``term`` with # for the number of the dimension, added up over all dimensions."""
+    return " + ".join(term.replace("#", str(i)) for i in range(DIMS))
+
+
+def _each(term: str) -> str:
+    return ", ".join(term.replace("#", str(i)) for i in range(DIMS))
+
+
+def embedding_columns(spark, sf):
     e = I.table(spark, sf, "embeddings")
-    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)], "label")
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(DIM_COLS)], "label")
 
 
 @query("metrics_clustering", f"""
-WITH t AS {EMB3},
-g AS (SELECT avg(x0) AS g0, avg(x1) AS g1, avg(x2) AS g2, count(*) AS n, count(DISTINCT label) AS k FROM t),
-c AS (SELECT label, count(*) AS nk, avg(x0) AS c0, avg(x1) AS c1, avg(x2) AS c2, sum(x0) AS s0, sum(x1) AS s1,
-             sum(x2) AS s2, sum(x0 * x0 + x1 * x1 + x2 * x2) AS q FROM t GROUP BY label),
-intra AS (SELECT t.label, avg(sqrt((x0 - c0) * (x0 - c0) + (x1 - c1) * (x1 - c1) + (x2 - c2) * (x2 - c2))) AS s
-          FROM t JOIN c ON t.label = c.label GROUP BY t.label),
-db AS (SELECT avg(mx) AS db FROM (SELECT a.label, max((ia.s + ib.s) / sqrt((a.c0 - b.c0) * (a.c0 - b.c0) + (a.c1 - b.c1) * (a.c1 - b.c1)
-              + (a.c2 - b.c2) * (a.c2 - b.c2))) AS mx
+WITH t AS {EMB_SQL},
+g AS (SELECT {_each('avg(x#) AS g#')}, count(*) AS n, count(DISTINCT label) AS k FROM t),
+c AS (SELECT label, count(*) AS nk, {_each('avg(x#) AS c#')}, {_each('sum(x#) AS s#')}, sum({_dims('x# * x#')}) AS q FROM t GROUP BY label),
+intra AS (SELECT t.label, avg(sqrt({_dims('(x# - c#) * (x# - c#)')})) AS s FROM t JOIN c ON t.label = c.label GROUP BY t.label),
+db AS (SELECT avg(mx) AS db FROM (SELECT a.label, max((ia.s + ib.s) / sqrt({_dims('(a.c# - b.c#) * (a.c# - b.c#)')})) AS mx
        FROM c a JOIN c b ON a.label <> b.label JOIN intra ia ON ia.label = a.label JOIN intra ib ON ib.label = b.label
        GROUP BY a.label)),
-ch AS (SELECT sum(nk * ((c0 - g0) * (c0 - g0) + (c1 - g1) * (c1 - g1) + (c2 - g2) * (c2 - g2))) AS bss FROM c, g),
-wss AS (SELECT sum((x0 - c0) * (x0 - c0) + (x1 - c1) * (x1 - c1) + (x2 - c2) * (x2 - c2)) AS wss FROM t JOIN c ON t.label = c.label),
+ch AS (SELECT sum(nk * ({_dims('(c# - g#) * (c# - g#)')})) AS bss FROM c, g),
+wss AS (SELECT sum({_dims('(x# - c#) * (x# - c#)')}) AS wss FROM t JOIN c ON t.label = c.label),
 d AS (SELECT t.vec_id, t.label AS own, c.label AS other, c.nk,
-             (x0 * x0 + x1 * x1 + x2 * x2) - 2 * (x0 * s0 + x1 * s1 + x2 * s2) / c.nk + q / c.nk AS msq FROM t, c),
+             ({_dims('x# * x#')}) - 2 * ({_dims('x# * s#')}) / c.nk + q / c.nk AS msq FROM t, c),
 ab AS (SELECT vec_id, max(CASE WHEN own = other THEN CASE WHEN nk > 1 THEN msq * nk / (nk - 1) ELSE 0 END END) AS a,
               min(CASE WHEN own <> other THEN msq END) AS b, max(CASE WHEN own = other THEN nk END) AS own_n FROM d GROUP BY vec_id),
 sil AS (SELECT avg(CASE WHEN own_n <= 1 OR a = b THEN 0 ELSE (b - a) / GREATEST(a, b) END) AS s FROM ab)
-SELECT round(sil.s, 6) AS silhouette, round(db.db, 6) AS davies_bouldin,
+SELECT round(sil.s, 6) AS silhouette_squared, round(db.db, 6) AS davies_bouldin,
        round(ch.bss * (g.n - g.k) / (wss.wss * (g.k - 1)), 6) AS calinski_harabasz FROM sil, db, ch, wss, g""")
 def q_metrics_clustering(spark, sf):
-    return rounded(evaluate.metrics_clustering(emb3(spark, sf), ["x0", "x1", "x2"], "label"))
+    return rounded(evaluate.metrics_clustering(embedding_columns(spark, sf), DIM_COLS, "label"))
 
 
 @query("cluster_sizes", "SELECT label, CAST(count(*) AS BIGINT) AS count FROM embeddings GROUP BY label")
@@ -382,21 +389,33 @@ def q_cluster_sizes(spark, sf):
 
 @query("cluster_kmeans")
 def q_cluster_kmeans(spark, sf):
-    """k-means (k = 10, 10 restarts from seed 42, lowest cost kept) on the first 3 dimensions."""
-    e = emb3(spark, sf)
-    m = fit_kmeans(e, ["x0", "x1", "x2"], k=10, restarts=10)
-    return kmeans_assign(m, e, ["x0", "x1", "x2"]).select("vec_id", "Cluster")
+    """k-means (k = 10, 10 restarts from seed 42, lowest cost kept) on all dimensions."""
+    e = embedding_columns(spark, sf)
+    m = fit_kmeans(e, DIM_COLS, k=10, restarts=10)
+    return kmeans_assign(m, e, DIM_COLS).select("vec_id", "Cluster")
+
+
+@query("cluster_table")
+def q_cluster_table(spark, sf):
+    """The clustered table itself: every column of its input and the cluster, by a saved and reloaded model."""
+    c = I.table(spark, sf, "customer")
+    st = scale.fit_scaler(c, ["c_acctbal", "c_nationkey"], "standard")
+    pipe = Pipeline().append(st, "standard scale")
+    m = ClusterModel(k=4).fit(st.apply(c), ["c_acctbal", "c_nationkey"])
+    path = scratch_path(spark, "clusters")
+    io.save_model(m, pipe, path)
+    again, _ = io.load_model(path)
+    assigned = again.transform(st.apply(c)).select("c_custkey", "Cluster")
+    return c.join(assigned, "c_custkey")
 
 
 @query("cluster_pca_3d")
 def q_cluster_pca_3d(spark, sf):
     """Clusters projected on 3 unstandardised principal components (labels travel as a column)."""
-    e = I.table(spark, sf, "embeddings")
-    x = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    feats = [f"e{i}" for i in range(8)]
-    m = fit_kmeans(x, feats, k=5, restarts=3)
-    assigned = kmeans_assign(m, x, feats)
-    st = transform.fit_pca(assigned, feats, 3, standardize=False)
+    x = embedding_columns(spark, sf).drop("label")
+    m = fit_kmeans(x, DIM_COLS, k=5)
+    assigned = kmeans_assign(m, x, DIM_COLS)
+    st = transform.fit_pca(assigned, DIM_COLS, 3, standardize=False)
     return rounded(st.apply(assigned).select("vec_id", "Cluster", "PC_1", "PC_2", "PC_3"))
 
 
@@ -500,7 +519,7 @@ for _kind, _params in [("clf_random_forest", {"n_estimators": 100, "max_depth":
                        ("clf_decision_tree", {"max_depth": 10}),
                        ("clf_logistic", {"C": 1.0, "max_iter": 100}),
                        ("clf_svm", {"C": 1.0}),
-                       ("clf_mlp", {"hidden": 10, "max_iter": 100}),
+                       ("clf_mlp", {"hidden": 100, "max_iter": 200}),
                        ("clf_gbt", {"n_estimators": 10, "learning_rate": 0.1})]:
     query(_kind)(_clf_query(_kind, _params))
 
@@ -521,14 +540,14 @@ for _kind, _params in [("reg_random_forest", {"n_estimators": 100, "max_depth":
                        ("reg_decision_tree", {"max_depth": 10}),
                        ("reg_ridge", {"alpha": 1.0}),
                        ("reg_lasso", {"alpha": 0.1}),
-                       ("reg_gbt", {"n_estimators": 20, "learning_rate": 0.1})]:
+                       ("reg_gbt", {"n_estimators": 100, "learning_rate": 0.1})]:
     query(_kind)(_reg_query(_kind, _params))
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf):
     train, _ = _clf_data(spark, sf)
-    m = SparkModel("clf_random_forest", {"n_estimators": 20, "max_depth": 8}).fit(train, LI_NUM, TARGET)
+    m = SparkModel("clf_random_forest", {"n_estimators": 100, "max_depth": 12}).fit(train, LI_NUM, TARGET)
     return rounded(m.feature_importance(spark))
 
 
@@ -696,7 +715,7 @@ def _kernel_svc_query(kernel):
     def fn(spark, sf):
         from ..models.kernel_svm import KernelSVC
         train, test = _clf_data(spark, sf)
-        m = KernelSVC(kernel=kernel, C_=1.0, n_components=50, max_iter=30).fit(train, LI_NUM, TARGET)
+        m = KernelSVC(kernel=kernel, C_=1.0).fit(train, LI_NUM, TARGET)
         return m.transform(test.select("l_key", TARGET, *LI_NUM)).select("l_key", TARGET, "prediction")
     fn.__doc__ = f"SVC with the {kernel} kernel (explicit feature map + LinearSVC, one-vs-rest)."
     return fn
@@ -708,14 +727,14 @@ for _k in ["rbf", "poly"]:
 
 @query("reg_svr")
 def q_reg_svr(spark, sf):
-    """epsilon-SVR (rbf map, 50 components) on part: p_retailprice from p_partkey and p_size."""
+    """epsilon-SVR (rbf map) on part: p_retailprice from p_partkey and p_size."""
     from ..models.kernel_svm import KernelSVR
     from ..operators.scale import fit_scaler
     p = I.table(spark, sf, "part")
     split = sample.split_random(p, ["p_partkey"], 0.2, 42)
     train, test = sample.train_test(split)
     st = fit_scaler(train, ["p_partkey", "p_size"], "standard")
-    m = KernelSVR(kernel="rbf", C_=10.0, epsilon=1.0, n_components=50, max_iter=30).fit(
+    m = KernelSVR(kernel="rbf", C_=10.0, epsilon=1.0).fit(
         st.apply(train), ["p_partkey", "p_size"], "p_retailprice")
     out = m.transform(st.apply(test.select("p_partkey", "p_size", "p_retailprice").withColumn("key", F.col("p_partkey"))))
     return rounded(out.select(F.col("key").alias("p_partkey"), "p_retailprice", "prediction"), 4)

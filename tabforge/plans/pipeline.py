@@ -62,7 +62,7 @@ class Pipeline:
 
     def validate_raw_input(self, raw_df: DataFrame, require_target: bool = False) -> DataFrame:
         """(level, column, message): empty table, missing features, missing target, extra columns
-        (warning), numeric columns whose text never parses as a number. One aggregate."""
+        (warning), numeric columns whose text never parses as a number."""
         spark = raw_df.sparkSession
         issues = []
         req = self.required_raw_features()
@@ -78,14 +78,11 @@ class Pipeline:
                 issues.append(("warning", c, "extra column ignored"))
         text_num = [c for c in req if c in cols and c in self.raw.get("numeric", {})
                     and role_of(raw_df.schema[c].dataType) != NUMERIC]
-        aggs = [F.count(F.lit(1)).alias("__n")]
-        aggs += [F.count(F.expr(f"try_cast(`{c}` as double)")).alias(f"p{i}") for i, c in enumerate(text_num)]
-        r = raw_df.agg(*aggs).collect()[0]
-        if r["__n"] == 0:
+        if raw_df.isEmpty():
             issues.insert(0, ("error", None, "input dataset is empty"))
-        for i, c in enumerate(text_num):
-            if r["__n"] > 0 and r[f"p{i}"] == 0:
-                issues.append(("error", c, "expects numerical values"))
+        elif text_num:  # one aggregate, only where a numeric feature comes as another type
+            r = raw_df.agg(*[F.count(F.expr(f"try_cast(`{c}` as double)")).alias(f"p{i}") for i, c in enumerate(text_num)]).first()
+            issues += [("error", c, "expects numerical values") for i, c in enumerate(text_num) if r[f"p{i}"] == 0]
         return spark.createDataFrame(issues, "level string, column string, message string")
 
     # ---- replay
@@ -152,13 +149,14 @@ def decode_predictions(df: DataFrame, index_col: str, classes: list, out: str) -
 
 def score_batch(pipeline: Pipeline, model, raw_df: DataFrame, keep: list[str] | None = None, keep_raw: bool = False) -> DataFrame:
     """raw rows -> replayed features -> model -> ``Predicted_<target>``, ``Confidence`` and, when the
-    target is present, ``Accurate`` (classification) or ``Absolute Error`` (regression), after the
-    columns of ``keep``, or with ``keep_raw`` all raw ones."""
+    target is present, ``Accurate`` (classification) or ``Absolute Error`` (regression), after the raw
+    columns, or only those of ``keep``. Input that ``validate_raw_input`` finds an error in is refused."""
     target = pipeline.target
-    absent = [c for c in pipeline.required_raw_features() if c not in raw_df.columns] if pipeline.raw else []
-    if absent:
-        raise ValueError(f"scoring needs the columns {', '.join(absent)}")
-    keep = list(raw_df.columns if keep_raw else keep or [])
+    if pipeline.raw:
+        errors = [r for r in pipeline.validate_raw_input(raw_df).collect() if r["level"] == "error"]
+        if errors:
+            raise ValueError("; ".join(f"{r['column']}: {r['message']}" if r["column"] else r["message"] for r in errors))
+    keep = list(raw_df.columns if keep_raw or keep is None else keep)
     has_target = target is not None and target in raw_df.columns
     carry = keep + ([target] if has_target and target not in keep else [])
     # under other names, as a raw column may be a feature too

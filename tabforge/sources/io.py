@@ -54,35 +54,57 @@ def write_metrics_json(spark: SparkSession, path: str, dataset: str, model: str,
     rec.coalesce(1).write.mode("overwrite").json(path)  # one row
 
 
+def _saved_tables(spark: SparkSession, pipeline, path: str) -> str:
+    """The pipeline as JSON, with the tables of its stages copied under ``path``."""
+    meta = json.loads(pipeline.to_json())
+    for i, stage in enumerate(meta["stages"]):
+        if "table" in stage["params"]:
+            to = f"{path}/tables/{i:03d}"
+            spark.read.parquet(stage["params"]["table"]).write.mode("overwrite").parquet(to)
+            stage["params"]["table"] = to
+    return json.dumps(meta, default=float)
+
+
+def _own_models() -> dict:
+    from ..models.kernel_svm import KernelSVC, KernelSVR
+    from ..models.knn import NeighborModel
+    from ..models.naive_bayes import GaussianNB
+    from ..models.spark_ml import ClusterModel
+    return {c.__name__: c for c in (ClusterModel, GaussianNB, NeighborModel, KernelSVC, KernelSVR)}
+
+
 def save_model(model, pipeline, path: str) -> None:
-    """Model and pipeline always saved together: ``<path>/model`` (Spark ML persistence, for models
-    that have it) and ``<path>/meta``: the model's class and numbers and the pipeline, written
-    through Spark."""
+    """Model and pipeline always saved together: ``<path>/model`` (Spark ML persistence or the model's own
+    table, for models that have one), ``<path>/tables`` (dictionaries and other tables of stages) and
+    ``<path>/meta``: the model's class and numbers and the pipeline, written through Spark."""
     spark = SparkSession.getActiveSession()
-    if hasattr(model, "state"):
-        meta = {"own": type(model).__name__, "state": model.state(), "pipeline": pipeline.to_json()}
+    pipe = _saved_tables(spark, pipeline, path)
+    if hasattr(model, "save_parts"):  # has Spark ML models or a table of its own
+        meta = {"own": type(model).__name__, "state": model.save_parts(f"{path}/model"), "parts": True, "pipeline": pipe}
+    elif hasattr(model, "state"):
+        meta = {"own": type(model).__name__, "state": model.state(), "pipeline": pipe}
     else:
         model.model.write().overwrite().save(f"{path}/model")
         meta = {"class": type(model.model).__name__, "kind": model.kind, "params": model.params, "features": model.features,
-                "target": model.target, "classes": model.classes, "pipeline": pipeline.to_json()}
+                "target": model.target, "classes": model.classes, "calibration": model.calibration, "pipeline": pipe}
     spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_model(path: str):
     """(model, pipeline) of ``save_model``; an unknown model class raises."""
-    from pyspark.ml import classification, regression
+    from pyspark.ml import classification, clustering, regression
 
-    from ..models.naive_bayes import GaussianNB
     from ..models.spark_ml import SparkModel
     from ..plans.pipeline import Pipeline
     spark = SparkSession.getActiveSession()
     meta = json.loads(spark.read.text(f"{path}/meta").collect()[0][0])
     pipeline = Pipeline.from_json(meta["pipeline"])
     if "own" in meta:
-        return {"GaussianNB": GaussianNB}[meta["own"]].from_state(meta["state"]), pipeline
+        kind = _own_models()[meta["own"]]
+        return (kind.load_parts(f"{path}/model", meta["state"]) if meta.get("parts") else kind.from_state(meta["state"])), pipeline
     m = SparkModel(meta["kind"], meta["params"])
-    m.features, m.target, m.classes = meta["features"], meta["target"], meta["classes"]
-    module = classification if hasattr(classification, meta["class"]) else regression
-    m.model = getattr(module, meta["class"]).load(f"{path}/model")
+    m.features, m.target, m.classes, m.calibration = meta["features"], meta["target"], meta["classes"], meta.get("calibration")
+    name = meta["class"]
+    m.model = next(getattr(x, name) for x in (classification, regression, clustering) if hasattr(x, name)).load(f"{path}/model")
     return m, pipeline

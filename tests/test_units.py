@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabforge.functions import dictionary
 from tabforge.functions.order_stats import order_statistics, quantiles, running_totals
 from tabforge.models.naive_bayes import GaussianNB
 from tabforge.models.spark_ml import SparkModel
@@ -95,7 +96,7 @@ def test_one_hot_rows_sum_to_one(spark):
 def test_label_unseen_is_minus_one(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,)], "c string")
     st = encode.fit_index(df, ["c"], "label")
-    assert st.params["encoders"]["c"]["mapping"] == {"Missing": 0, "a": 1, "b": 2}
+    assert {r.value: r.code for r in dictionary.load(spark, st.params).collect()} == {"Missing": 0, "a": 1, "b": 2}
     assert st.apply(spark.createDataFrame([("zz",)], "c string")).collect()[0][0] == -1
 
 
@@ -278,7 +279,7 @@ def test_frequency_encoding_unseen_zero(spark):
     st = encode.fit_frequency(df, ["c"])
     got = dict((r[0], r[1]) for r in st.apply(spark.createDataFrame([("a",), ("z",)], "c string")).select(
         F.lit("x"), "c").collect())
-    assert st.params["encoders"]["c"]["mapping"] == {"a": pytest.approx(2 / 3), "b": pytest.approx(1 / 3)}
+    assert {r.value: r.code for r in dictionary.load(spark, st.params).collect()} == {"a": pytest.approx(2 / 3), "b": pytest.approx(1 / 3)}
     assert got
 
 
