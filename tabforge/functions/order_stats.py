@@ -204,6 +204,8 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], group_cols: li
     requests = defaultdict(set)
     plan = {}
     for g, (n, _mn, _mx) in stats.items():
+        if not n:  # only missing values
+            continue
         for p in probs:
             a, b, w = quantile_ranks(n, p)
             requests[g].update((a, b))

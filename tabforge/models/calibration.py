@@ -46,9 +46,9 @@ def fit_calibration(rows: DataFrame, classes: int, margins: str = "margins", lab
         n = max(v[1], 1.0)
         penalty = RIDGE * (theta - np.concatenate([np.ones(k), np.zeros(k)]))
         loss = v[0] / n + 0.5 * RIDGE * float(((theta - np.concatenate([np.ones(k), np.zeros(k)])) ** 2).sum())
-        return loss, v[2:2 + 2 * k] / n + penalty, v[2 + 2 * k:].reshape(2 * k, 2 * k) / n + RIDGE * np.eye(2 * k)
+        return loss, v[2:2 + 2 * k] / n + penalty, v[2 + 2 * k:].reshape(2 * k, 2 * k) / n + RIDGE * np.eye(2 * k), v[0] / n
 
-    loss, grad, hess = terms(theta)
+    loss, grad, hess, plain = terms(theta)
     for _ in range(MAX_STEPS):
         step, t = np.linalg.solve(hess, grad), 1.0
         while True:
@@ -58,10 +58,10 @@ def fit_calibration(rows: DataFrame, classes: int, margins: str = "margins", lab
                 break
             t *= 0.5
         fell = loss - found[0]
-        theta, (loss, grad, hess) = new, found
+        theta, (loss, grad, hess, plain) = new, found
         if fell <= 1e-10 * max(loss, 1e-10):
             break
-    return {"slope": theta[:k].tolist(), "offset": theta[k:].tolist(), "log_loss": float(loss)}
+    return {"slope": theta[:k].tolist(), "offset": theta[k:].tolist(), "log_loss": float(plain)}
 
 
 def probabilities(margins: Column, fitted: dict) -> Column:

@@ -229,8 +229,10 @@ def test_score_batch_columns(spark):
     pipe = Pipeline().init_from_raw(df, target="y")
     pipe.set_features(["x"])
     nb = GaussianNB().fit(df, ["x"], "y")
+    assert score_batch(pipe, nb, df, keep=[]).columns == ["y", "Predicted_y", "Confidence", "Accurate"]
+    # by default after all raw columns
     out = score_batch(pipe, nb, df)
-    assert out.columns == ["y", "Predicted_y", "Confidence", "Accurate"]
+    assert out.columns == ["x", "y", "Predicted_y", "Confidence", "Accurate"]
 
 
 def test_stratified_counts_sum():
