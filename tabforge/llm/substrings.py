@@ -43,7 +43,7 @@ from .suffixsort import suffix_order
 LENGTH = 100
 GRAM = 40
 #: Bytes hashed at a time.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Different runs of one value whose suffixes are sorted together; larger groups are cut finer.
 LANE_RUNS = 1024
 #: A value is hot with more rows than an eighth of an even partition, and than this.
@@ -282,14 +282,12 @@ def _each_run(batches, length: int):
     """For slices of ``_fetched`` rows: the slice, and the row, value, start and bytes of each run."""
     for batch in batches:
         for part in slices(batch, 64):
-            rows, h, x, data = [], [], [], []
-            for i, (text, runs) in enumerate(zip(part.column("text").to_pylist(), part.column("runs").to_pylist())):
-                for r in runs:
-                    rows.append(i)
-                    h.append(r["h"])
-                    x.append(r["x"])
-                    data.append(text[r["x"]:r["x"] + r["n"] - 1 + length])
-            yield part, np.array(rows, np.int64), h, np.array(x, np.int64), data
+            texts, lists = part.column("text").to_pylist(), part.column("runs")
+            runs = lists.flatten()
+            h, x, n = (runs.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "x", "n"))
+            rows = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            data = [texts[i][a:b] for i, a, b in zip(rows.tolist(), x.tolist(), (x + n - 1 + length).tolist())]
+            yield part, rows, h, x, data
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -297,7 +295,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for part, rows, h, x, data in _each_run(batches, length):
             at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), part.column("doc").take(at), part.column("th").take(at),
+            yield pa.RecordBatch.from_arrays([pa.array(h), part.column("doc").take(at), part.column("th").take(at),
                                               pa.array(x.astype(np.int32)), pa.array(data, pa.binary())], names=["h", "doc", "th", "x", "bytes"])
 
     return _fetched(docs, wanted).mapInArrow(run, f"h long, doc {dict(docs.dtypes)['doc']}, th long, x int, bytes binary")
@@ -315,7 +313,7 @@ def _finer(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             whole = _whole(ends, 0, max(0, len(joined) - length + 1), length)
             grams = hashes.windows(gram)
             new = np.append(True, whole[1:] != whole[:-1])
-            key = np.repeat(np.array(values, np.int64).view(np.uint64), np.diff(ends, prepend=0))[:len(whole)]
+            key = np.repeat(values.view(np.uint64), np.diff(ends, prepend=0))[:len(whole)]
             for mix in FINE_MIXES:
                 g = grams * np.uint64(mix)
                 least = _least(g ^ (g >> np.uint64(29)), length - gram + 1)
@@ -519,19 +517,36 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                texts = [t or b"" for t in part.column("text").to_pylist()]
-                cuts, kept = [], []
-                for text, spans in zip(texts, part.column("spans").to_pylist()):
-                    merged: list[list[int]] = []
-                    for a, b in sorted((s["a"], s["b"]) for s in spans or []):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
-                    cuts.append([{"start": a, "end": b} for a, b in merged])
-                    edges = [0, *(e for m in merged for e in m), len(text)]
-                    kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([len(t) for t in texts], pa.int64()), pa.array(cuts, span),
-                                                  pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                texts, lists = [t or b"" for t in part.column("text").to_pylist()], part.column("spans")
+                row, a, b = _merged(lists)
+                cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+                kept = []
+                for i, text in enumerate(texts):
+                    mine = slice(cuts[i], cuts[i + 1])
+                    if cuts[i] == cuts[i + 1]:
+                        kept.append(text)
+                    else:
+                        starts, ends = [0, *b[mine].tolist()], [*a[mine].tolist(), len(text)]
+                        kept.append(b"".join(text[s:e] for s, e in zip(starts, ends)))
+                spans = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["start", "end"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([len(t) for t in texts], pa.int64()),
+                                                  pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans).cast(span), pa.array(kept, pa.binary())],
+                                                 names=["doc_id", "n_bytes", "spans", "kept"])
 
     return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start: int, end: int>>, kept binary")
+
+
+def _merged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end): the maximal stretches of each row's list of stretches, in order."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    spans = lists.flatten()
+    a, b = (spans.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("a", "b"))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    by = np.lexsort((a, row))
+    row, a, b = row[by], a[by], b[by]
+    reach = np.maximum.accumulate((row << 32) + b) if len(row) else row
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] << 32) + a[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], a[first], (reach[last] & 0xFFFFFFFF) if len(row) else a

@@ -5,10 +5,12 @@ writes a space as U+2581 and puts one before the text. No piece has that mark af
 character, so a text is cut before each mark into segments that never merge with each other.
 Within a segment the count at each prefix follows from shorter prefixes: ``count[i] =
 count[i - len(t)] + 1`` where ``t`` is the last token of the encoding of the prefix. ``t`` is the
-vocabulary piece ending at ``i`` that may stand after the last token of the prefix before it:
+longest vocabulary piece ending at ``i`` that may stand after the last token of the prefix before it:
 two adjacent tokens are final exactly if no merge crosses their border while both are built
-(``Bpe.may_follow``). Each distinct segment is solved once per worker and kept in a bounded
-cache; a text is a look-up per segment and a running sum.
+(``Bpe.may_follow``). Pieces that end at ``i`` are found by walking back from it in a trie of reversed
+pieces, so a segment without spaces costs what its pieces do, however long it is. Each distinct segment is
+solved once per worker; a text is a look-up per segment and a running sum. What is kept is bounded in bytes,
+and segments over ``LONG_SEGMENT`` code points are never kept.
 
 The result answers any question on prefixes without encoding again: ``count_at`` and ``cut_at``.
 Counts are per code point of the text: ``encode(text[:i])`` has ``count_at(i)`` tokens.
@@ -22,18 +24,19 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import map_slices
 
 MARK = "\u2581"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Longest prefix, in code points, whose state is shared between segments.
-SHORT = 20
+LONG_SEGMENT = 256
+#: Estimated bytes of a kept segment besides its text and its counts.
+_ENTRY_BYTES = 150
 _MODELS: dict[str, "Bpe"] = {}
 
 
@@ -43,24 +46,47 @@ def bpe(path: str) -> "Bpe":
     return _MODELS[path]
 
 
+class _Numbers(dict):
+    """Segment -> number. An unknown segment gets the next one and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, segment):
+        self[segment] = n = len(self)
+        self.new.append(segment)
+        return n
+
+
 class Bpe:
     """Pieces of a sentencepiece BPE model with their ranks, and the solved segments."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit_bytes: int = 128 << 20):
         import sentencepiece
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         lib, n = self.library, self.library.vocab_size()
         plain = [i for i in range(n) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
         order = sorted(plain, key=lambda i: (-lib.get_score(i), i))
-        self.rank = {lib.id_to_piece(i): r for r, i in enumerate(order)}
+        self.pieces = [lib.id_to_piece(i) for i in order]
+        self.rank = {piece: r for r, piece in enumerate(self.pieces)}
         self.longest = max(map(len, self.rank))
+        self.trie: dict = {}
+        for r, piece in enumerate(self.pieces):
+            node = self.trie
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = r
         self.spines: dict[str, tuple[list[str], list[str]]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.prefixes: dict[str, tuple[int, int]] = {}
-        self.limit = limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.limit = limit_bytes
         self.runs = [0]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.numbers, self.bytes = _Numbers(), 0
+        self.counts_of, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.n_counts = self.n_segments = 0
 
     def spine(self, piece: str) -> tuple[list[str], list[str]]:
         """What stands at the left and at the right edge of ``piece`` while it is built, from a
@@ -83,11 +109,13 @@ class Bpe:
             known = self.spines[piece] = (left, right)
         return known
 
-    def may_follow(self, a: str, b: str) -> bool:
-        """Whether tokens ``a`` and ``b`` stay two tokens when they stand side by side."""
-        known = self.pairs.get((a, b))
+    def may_follow(self, first: int, second: int) -> bool:
+        """Whether two tokens, given by rank, stay two tokens when they stand side by side."""
+        key = first * len(self.pieces) + second
+        known = self.pairs.get(key)
         if known is not None:
             return known
+        a, b = self.pieces[first], self.pieces[second]
         rank, none = self.rank, len(self.rank) + 1
         right, left = self.spine(a)[1], self.spine(b)[0]
         ok = bool(right and left)
@@ -104,9 +132,9 @@ class Bpe:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
-        self.pairs[a, b] = ok
+        self.pairs[key] = ok
         return ok
 
     def counts(self, segment: str) -> list[int]:
@@ -114,26 +142,36 @@ class Bpe:
         return self.states(segment)[1]
 
     def states(self, segment: str) -> tuple[list[int], list[int]]:
-        """For each non-empty prefix: length of its last token (0: bytes) and token count. Words
-        share beginnings, so the states of short prefixes are kept."""
-        rank, longest, kept = self.rank, self.longest, self.prefixes
-        size, count = [0], [0]
+        """For each non-empty prefix: length of its last token (0: bytes) and token count."""
+        root, pairs, width = self.trie, self.pairs, len(self.pieces)
+        size, count, last = [0], [0], [-1]
         for i in range(1, len(segment) + 1):
-            prefix = segment[:i] if i <= SHORT else None
-            state = kept.get(prefix)
-            if state is None:
-                state = (0, count[i - 1] + len(segment[i - 1].encode("utf-8", "replace")))
-                for k in range(max(0, i - longest), i):
-                    piece = segment[k:i]
-                    if piece in rank and (self.may_follow(segment[k - size[k]:k], piece) if size[k] else k > 0 or self.spine(piece)[0]):
-                        state = (i - k, count[k] + 1)
-                        break
-                if prefix is not None:
-                    kept[prefix] = state
-            size.append(state[0])
-            count.append(state[1])
-        if len(kept) > 2 * self.limit:
-            kept.clear()
+            node, k, found = root, i, []
+            while k:
+                node = node.get(segment[k - 1])
+                if node is None:
+                    break
+                k -= 1
+                r = node.get("")
+                if r is not None:
+                    found.append((k, r))
+            for k, r in reversed(found):  # the longest first
+                before = last[k]
+                if before >= 0:
+                    ok = pairs.get(before * width + r)
+                    if ok is None:
+                        ok = self.may_follow(before, r)
+                else:
+                    ok = k > 0 or bool(self.spine(self.pieces[r])[0])
+                if ok:
+                    size.append(i - k)
+                    count.append(count[k] + 1)
+                    last.append(r)
+                    break
+            else:
+                size.append(0)
+                count.append(count[i - 1] + len(segment[i - 1].encode("utf-8", "replace")))
+                last.append(-1)
         return size[1:], count[1:]
 
     def run(self, n: int) -> int:
@@ -166,38 +204,53 @@ class Bpe:
             out.append(self.run(marks) + n - 1 if alone else self.run(marks - 1) + n)
         return out
 
-    def known(self, segment: str) -> bytes:
-        """Counts of a segment as unsigned 32-bit integers, from the cache."""
-        got = self.young.get(segment)
-        if got is None:
-            got = self.old.get(segment)
-            if got is None:
-                got = array("I", self.solve(segment)).tobytes()
-            if len(self.young) >= self.limit:
-                self.old, self.young = self.young, {}
-            self.young[segment] = got
-        return got
+    def _learn(self, new: list[str]) -> None:
+        solved = [self.solve(x) for x in new]
+        sizes = np.array([len(x) for x in solved], np.int64)
+        flat = np.fromiter((c for x in solved for c in x), np.uint32, int(sizes.sum()))
+        while self.n_counts + len(flat) > len(self.counts_of):
+            self.counts_of = np.concatenate([self.counts_of, np.zeros_like(self.counts_of)])
+        while self.n_segments + len(sizes) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.counts_of[self.n_counts:self.n_counts + len(flat)] = flat
+        where = slice(self.n_segments, self.n_segments + len(sizes))
+        self.starts[where], self.sizes[where] = self.n_counts + np.cumsum(sizes) - sizes, sizes
+        self.n_counts += len(flat)
+        self.n_segments += len(sizes)
+        self.bytes += 6 * len(flat) + _ENTRY_BYTES * len(new)
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Token count at each non-empty prefix of ``text``, one per code point."""
         if not text:
             return np.zeros(0, np.uint32)
+        if self.bytes > self.limit:
+            self._empty()
         parts = _SEGMENT.findall(MARK + text.replace(" ", MARK))
-        raw = b"".join(map(self.known, parts))
-        inner = np.frombuffer(raw, "<u4")
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        numbers = self.numbers
+        at = np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts))
+        if numbers.new:
+            self._learn(numbers.new)
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        inner = self.counts_of[np.arange(int(ends[-1])) + np.repeat(self.starts[at] - ends + sizes, sizes)]
         before = np.concatenate([[0], np.cumsum(inner[ends - 1], dtype=np.int64)[:-1]])
-        counts = inner + np.repeat(before, np.diff(ends, prepend=0))
+        if numbers.new:
+            if max(map(len, numbers.new)) > LONG_SEGMENT:
+                self._empty()
+            numbers.new = []
+        counts = inner + np.repeat(before, sizes)
         return counts[1:].astype(np.uint32)  # the mark put before the text is not a code point of it
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts as a compressed list of steps."""
-    return zlib.compress(np.diff(counts.astype(np.int64), prepend=0).astype("<i4").tobytes(), 1)
+    """Counts as a compressed list of steps, one byte each, or four if one does not fit, which the first byte tells."""
+    steps = np.diff(counts.astype(np.int64), prepend=0)
+    wide = len(steps) > 0 and bool((np.abs(steps) > 127).any())
+    return (b"\4" if wide else b"\1") + zlib.compress(steps.astype("<i4" if wide else "i1").tobytes(), 1)
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(blob), "<i4"), dtype=np.int64)
+    return np.cumsum(np.frombuffer(zlib.decompress(blob[1:]), "<i4" if blob[0] == 4 else "i1"), dtype=np.int64)
 
 
 def count_at(blob: bytes, i: int) -> int:
@@ -225,3 +278,14 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     return map_slices(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rows,
                       f"doc_id {kind}, n_bytes long, n_tokens long" + ", prefix_counts binary" * prefixes)
+
+
+def over_budget(prefix_counts: Column, budget: int) -> Column:
+    """Whether a text has more than ``budget`` tokens, from its packed counts: not all of it can be kept."""
+    import pandas as pd
+
+    @pandas_udf("boolean")
+    def over(blobs: pd.Series) -> pd.Series:
+        return pd.Series([cut_at(b, budget) < len(unpack_counts(b)) for b in blobs], dtype=bool)
+
+    return over(prefix_counts)
