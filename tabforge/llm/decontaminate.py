@@ -21,12 +21,11 @@ import uuid
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from .common import map_slices
+from .common import map_slices, slices
 
 WINDOW = 10
 BLOCK_CHARS = 16_000_000
@@ -156,22 +155,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW):
-    """Whether a text holds a window, as column expressions for a filter that keeps all columns of
-    ``docs``: one for each block of patterns."""
-    def of(key, sent):
-        @pandas_udf("boolean")
-        def hit(texts: pd.Series) -> pd.Series:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of ``docs`` whose text holds no window of the benchmark, with all their columns. Blocks of
+    patterns follow each other, each with its own pass over what is left, so a worker builds an automaton once."""
+    for key, sent in _sent_blocks(docs.sparkSession, pattern_table(benchmark, window=window), block_chars):
+        def run(batches, key=key, sent=sent):
             automaton = _automaton(key, sent.value)
-            return pd.Series([bool(len(automaton)) and bool(scan_text(automaton, t)[1]) for t in texts], dtype=bool)
-        return hit(F.col(text_col))
+            for batch in batches:
+                for part in slices(batch):
+                    clean = [not (len(automaton) and scan_text(automaton, t)[1]) for t in part.column(text_col).to_pylist()]
+                    yield part.filter(pa.array(clean, pa.bool_()))
 
-    blocks = _sent_blocks(docs.sparkSession, pattern_table(benchmark, window=window), BLOCK_CHARS)
-    return [of(key, sent) for key, sent in blocks]
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Rows of ``docs`` whose text holds no window of the benchmark."""
-    for hit in contaminated(docs, benchmark, text_col, window):
-        docs = docs.filter(~hit)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -22,7 +22,7 @@ before the shuffle; joins can be split at hot keys.
 Cases: a null text is an empty one and stays null; rows that repeat both id and text are one
 document and come back alike; rows that share an id only are ordered by a hash of their texts;
 null ids come first; an empty table gives an empty result. Columns other than the id and the
-text are carried by ``dedup``; helper columns start with ``_ld_``, which input columns must not.
+text are carried by ``dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # least similarity
@@ -205,8 +205,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later similar lines taken out of the text, and two more columns: ``_ld_lines``,
-    lines with a word before, and ``_ld_gone``, numbers of the lines removed."""
+    """``docs`` with later similar lines taken out of the text, and two more columns, named by ``added_columns``:
+    the number of lines with a word before, and the numbers of the lines removed."""
+    names, outer = docs.columns, added_columns(docs)
+    inner = [f"_c{i}" for i in range(len(names))]  # input columns may have any name
+    docs, id_col, text_col = docs.toDF(*inner), inner[names.index(id_col)], inner[names.index(text_col)]
     gone = removed_lines(docs, id_col, text_col)
     held = _Filter(gone, "_ld_doc", "_ld_th")
     d = docs.withColumn("_ld_h", F.xxhash64(text_col))
@@ -221,8 +224,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     shorter = joined.withColumn("_ld_text", F.when(F.size("_ld_gone") > 0, kept).otherwise(F.col(text_col)))
     whole = d.filter(~hit).withColumn("_ld_gone", none).withColumn("_ld_text", F.col(text_col))
-    names = [*d.columns, "_ld_gone", "_ld_text"]
-    out = shorter.select(names).union(whole.select(names))
+    out = shorter.select(*inner, "_ld_gone", "_ld_text").union(whole.select(*inner, "_ld_gone", "_ld_text"))
     # a match runs from the first character of a word to the end of its line
     with_words = F.coalesce(F.regexp_count(text_col, F.lit(r"[^ \t\x0b\x0c\r\n][^\n]*+")), F.lit(0))
-    return out.withColumn("_ld_lines", with_words).withColumn(text_col, F.col("_ld_text")).drop("_ld_h", "_ld_text")
+    return out.select(*[F.col("_ld_text" if c == text_col else c).alias(n) for c, n in zip(inner, names)], with_words.alias(outer[0]), F.col("_ld_gone").alias(outer[1]))
+
+
+def added_columns(docs: DataFrame) -> tuple[str, str]:
+    """Names of the columns that ``dedup`` adds: ``_ld_lines`` and ``_ld_gone``, or free names like them."""
+    return free_name(docs.columns, "_ld_lines"), free_name(docs.columns, "_ld_gone")

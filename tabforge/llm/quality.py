@@ -29,6 +29,7 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SAMPLE_ROWS = 2000
+BLOCK_WORDS = 1000
 
 
 @dataclass(frozen=True)
@@ -86,6 +87,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def distinct_in_blocks(words: Column) -> Column:
+    """Distinct words of each consecutive block of ``BLOCK_WORDS`` words, added up: as a share of all words it
+    does not fall with the length of a text."""
+    last = F.floor((F.size(words) - 1) / BLOCK_WORDS).cast("int")
+    blocks = F.when(F.size(words) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(blocks, F.lit(0), lambda n, b: n + F.size(F.array_distinct(F.slice(words, b * BLOCK_WORDS + 1, BLOCK_WORDS))))
+
+
 def default_rules() -> list[Rule]:
     """Thresholds far from prose; conditions read the measures and the text."""
     words, n, chars = F.col("words"), F.col("n_words"), F.col("word_chars")
@@ -98,7 +107,7 @@ def default_rules() -> list[Rule]:
         Rule("bare_marks", 4 * F.size(F.filter(words, lambda w: ~w.rlike("[\\p{L}\\p{N}]"))) > n),
         Rule("capitals", 2 * upper > chars),
         Rule("shouting", 3 * F.size(F.filter(words, lambda w: w.endswith("!!"))) > n),
-        Rule("few_words", 20 * F.size(F.array_distinct(words)) < n),
+        Rule("few_words", 20 * distinct_in_blocks(words) < n),
     ]
 
 

@@ -28,8 +28,8 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    counts = tokencount.token_counts(read(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), prefixes=False)
-    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    counts = tokencount.token_counts(read(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), budget=TOKEN_LIMIT)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("fits") < F.col("n_chars")).alias("over_limit"), "prefix_counts")
 
 
 def op4_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,7 +24,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 4 * len(list_filter(words, lambda x: NOT regexp_matches(x, '[\p{L}\p{N}]'))) > n_words
             OR 2 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > word_chars
             OR 3 * len(list_filter(words, lambda x: x LIKE '%!!')) > n_words
-            OR 20 * len(list_distinct(words)) < n_words) AS kept
+            OR 20 * list_sum(list_transform(generate_series(0, (len(words) - 1) // 1000), lambda b: len(list_distinct(words[1000 * b + 1:1000 * b + 1000])))) < n_words) AS kept
 FROM b"""
 
 SQL["op2_decontamination"] = r"""

@@ -26,9 +26,8 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from .common import map_slices
 
@@ -260,32 +259,30 @@ def count_at(blob: bytes, i: int) -> int:
 
 def cut_at(blob: bytes, budget: int) -> int:
     """The longest prefix, in code points, that has at most ``budget`` tokens."""
-    fits = np.flatnonzero(unpack_counts(blob) <= budget)
+    return cut_of(unpack_counts(blob), budget)
+
+
+def cut_of(counts: np.ndarray, budget: int) -> int:
+    if len(counts) and counts[-1] <= budget:
+        return len(counts)
+    fits = np.flatnonzero(counts <= budget)
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = True) -> DataFrame:
-    """Per row of ``docs``: its id, ``n_bytes``, ``n_tokens`` and, if ``prefixes``, the packed
-    counts of all prefixes. Rows are independent: no shuffle."""
+def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None) -> DataFrame:
+    """Per row of ``docs``: its id, ``n_bytes``, ``n_chars``, ``n_tokens`` and ``prefix_counts``, the packed
+    counts of all prefixes; with ``budget`` also ``fits``, the longest prefix in code points of at most so
+    many tokens, read from the counts. Rows are independent: no shuffle."""
     kind = dict(docs.dtypes)[id_col]
 
     def rows(part):
         solver = bpe(model)
         texts = [t or "" for t in part.column("text").to_pylist()]
         counts = [solver.prefix_counts(t) for t in texts]
-        out = [part.column("doc_id"), [len(t.encode("utf-8", "replace")) for t in texts], [int(c[-1]) if len(c) else 0 for c in counts]]
-        return out + [[pack_counts(c) for c in counts]] if prefixes else out
+        blobs = [pack_counts(c) for c in counts]
+        out = [part.column("doc_id"), [len(t.encode("utf-8", "replace")) for t in texts], [len(c) for c in counts],
+               [int(c[-1]) if len(c) else 0 for c in counts], blobs]
+        return out if budget is None else out + [[cut_of(c, budget) for c in counts]]
 
     return map_slices(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rows,
-                      f"doc_id {kind}, n_bytes long, n_tokens long" + ", prefix_counts binary" * prefixes)
-
-
-def over_budget(prefix_counts: Column, budget: int) -> Column:
-    """Whether a text has more than ``budget`` tokens, from its packed counts: not all of it can be kept."""
-    import pandas as pd
-
-    @pandas_udf("boolean")
-    def over(blobs: pd.Series) -> pd.Series:
-        return pd.Series([cut_at(b, budget) < len(unpack_counts(b)) for b in blobs], dtype=bool)
-
-    return over(prefix_counts)
+                      f"doc_id {kind}, n_bytes long, n_chars long, n_tokens long, prefix_counts binary" + ", fits long" * (budget is not None))

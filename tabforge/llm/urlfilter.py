@@ -1,7 +1,8 @@
 """URL filters from association rules.
 
 A URL is a set of tokens (host suffixes, words of hyphened labels, path folders, file type, query keys,
-scheme). Spark's FP-growth mines token sets that labelled pages share with the label ``block``.
+scheme). Spark's FP-growth mines token sets of the pages with the label ``block``; single tokens, and tokens that
+always stand together, are settled before it (``mine``).
 A rule needs ``MIN_COUNT`` blocked pages, a number that does not grow with the input (``min_support``, a
 share, can only raise it), ``min_confidence``, and more blocked pages than the share of blocked pages among
 all would give by chance: the chance, by Chernoff's bound, must be at most ``MAX_CHANCE``. A rule is dropped if
@@ -30,7 +31,6 @@ MIN_SUPPORT = 0.0
 MIN_COUNT = 10
 MAX_CHANCE = 0.001
 MIN_CONFIDENCE = 0.6
-LABEL = "label=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -84,21 +84,46 @@ def document_number(url: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(path(url), F.lit(r"/([0-9]{1,18})(?=[/.]|$)"), F.lit(1)), F.lit(1)).cast("long")
 
 
+def _contained(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rule, n): in how many of ``rows(tokens)`` all tokens of each rule are; rules are found by their rarest token."""
+    found = rows.select("tokens", F.explode("tokens").alias("token")).join(_filed(sets.withColumn("confidence", F.lit(1.0))), "token")
+    return found.filter(F.size(F.array_except("rule", "tokens")) == 0).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(rule, confidence, support) from rows (url, block): token sets that lead to the label."""
-    items = labelled.filter(F.size(tokens(F.col("url"))) > 0).select(
-        F.concat(tokens(F.col("url")), F.when(F.col("block"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    items = written(items, "url-items")
-    total, blocked = items.agg(F.count("*"), F.count_if(F.array_contains("items", LABEL))).first()
-    # half a page less, so that rounding does not ask for one more
-    support = min(1.0, max(min_support, (MIN_COUNT - 0.5) / max(1, total)))
-    sets = written(FPGrowth(itemsCol="items", minSupport=support).fit(items).freqItemsets, "url-sets")
-    hits = sets.filter(F.array_contains("items", LABEL)).select(F.array_sort(F.array_remove("items", LABEL)).alias("rule"), F.col("freq").alias("hits"))
-    seen = sets.filter(~F.array_contains("items", LABEL)).select(F.array_sort("items").alias("rule"), F.col("freq").alias("seen"))
+    """(rule, confidence, support) from rows (url, block): token sets that lead to the label.
+
+    Single tokens are counted. A token with no allowed page needs no company: any larger set is redundant.
+    Of tokens that are in exactly the same pages the smallest stands for all. What is left of the blocked
+    pages goes to FP-growth, so a page with many query keys does not make a set of every choice of them;
+    the allowed pages that hold a set are then counted by the inverted index."""
+    tokens_of = tokens(F.col("url"))
+    rows = labelled.select(tokens_of.alias("tokens"), F.coalesce("block", F.lit(False)).alias("block")).filter(F.size("tokens") > 0)
+    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "url-items")
+    total, blocked = rows.agg(F.count("*"), F.count_if("block")).first()
+    least = max(MIN_COUNT, math.ceil(min_support * total))
+    each = rows.select("id", "block", F.explode("tokens").alias("token"))
+    same = (F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id").bitwiseAND(F.lit((1 << 31) - 1))).alias("s"))
+    stats = each.groupBy("token").agg(F.count("*").alias("seen"), F.count_if("block").alias("hits"), *same)
+    stats = written(stats.filter(F.col("hits") >= least), "url-tokens")
+    singles = stats.select(F.array("token").alias("rule"), "hits", "seen")
+
+    company = stats.filter("hits < seen").groupBy("seen", "hits", "x", "s").agg(F.min("token").alias("token")).select("token")
+    baskets = each.filter("block").join(company, "token").groupBy("id").agg(F.collect_list("token").alias("items")).filter(F.size("items") > 1)
+    baskets = written(baskets.select("items"), "url-baskets")
+    n = baskets.count()
+    counted = singles
+    if n >= least:
+        # half a page less, so that rounding does not ask for one more
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n)).fit(baskets).freqItemsets
+        sets = written(sets.filter(F.size("items") > 1).select(F.array_sort("items").alias("rule"), F.col("freq").alias("hits")), "url-sets")
+        allowed = _contained(rows.filter(~F.col("block")), sets.select("rule"))
+        sets = sets.join(allowed, "rule", "left").select("rule", "hits", (F.col("hits") + F.coalesce("n", F.lit(0))).alias("seen"))
+        counted = counted.unionByName(sets)
     q, base = F.col("hits") / F.col("seen"), max(1, blocked) / max(1, total)
     miss = F.col("seen") - F.col("hits")
     beyond = F.col("hits") * F.log(q / base) + F.when(miss > 0, miss * F.log((miss / F.col("seen")) / max(1e-12, 1 - base))).otherwise(0.0)
-    rules = hits.join(seen, "rule").filter((q >= min_confidence) & (q > base) & (beyond >= -math.log(MAX_CHANCE)))
+    rules = counted.filter((q >= min_confidence) & (q > base) & (beyond >= -math.log(MAX_CHANCE)))
     return _without_redundant(written(rules.select("rule", q.alias("confidence"), (F.col("hits") / max(1, total)).alias("support")), "url-rules"))
 
 

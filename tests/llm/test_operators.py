@@ -457,3 +457,67 @@ def test_line_dedup_keeps_lines_whose_tokens_agree_in_48_bits(spark):
     assert hashes[0] != hashes[1] and (hashes[0] ^ hashes[1]) % (1 << 48) == 0
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert {r.doc_id: r.text for r in linededup.dedup(docs).collect()} == {0: lines[0], 1: lines[1], 2: ""}
+
+
+def test_few_words_do_not_depend_on_length(spark):
+    vocabulary = [f"w{i}" for i in range(45_000)]
+    rnd = random.Random(2)
+    rich = " ".join(rnd.choice(vocabulary) for _ in range(200_000))  # distinct words are a falling share of all
+    poor = " ".join(rnd.choice(vocabulary[:12]) + str(rnd.randint(0, 3)) for _ in range(3000))
+    df = spark.createDataFrame([(1, rich), (2, poor), (3, "")], "doc_id long, text string")
+    blocks = {r.doc_id: r.n for r in quality.with_words(df).select("doc_id", quality.distinct_in_blocks(F.col("words")).alias("n")).collect()}
+    assert blocks[1] == sum(len(set(rich.split()[i:i + 1000])) for i in range(0, 200_000, 1000)) and blocks[3] == 0
+    got = {r.doc_id: r.rejected_by for r in quality.judge(df).collect()}
+    assert got[1] is None and got[2] == "few_words"
+
+
+def test_url_mining_is_bounded_and_decides(spark):
+    keys = "&".join(f"k{i}=1" for i in range(25))
+    rows = [(f"http://a{i}.com/x?{keys}&z{i}=2", True) for i in range(12)] + [(f"http://a{i}.com/x?{keys}", False) for i in range(1)]
+    rows += [(f"http://b{i % 40}.org/page/x?id={i}", False) for i in range(400)]
+    # neither a folder nor a key decides, both together do
+    rows += [(f"http://c{i}.com/go/x?ref={i}", True) for i in range(40)] + [(f"http://d{i}.com/go/x", False) for i in range(60)]
+    rows += [(f"http://e{i}.com/buy/x?ref={i}", False) for i in range(60)] + [(None, True), ("nohost", None)]
+    df = spark.createDataFrame(rows, "url string, block boolean").repartition(4)
+    rules = {tuple(r.rule): r for r in urlfilter.mine(df).collect()}
+    assert ("folder=go", "key=ref") in rules and rules["folder=go", "key=ref"].confidence == 1.0
+    assert any(len(r) == 1 and r[0].startswith("key=k") for r in rules)
+    for rule, r in rules.items():
+        have = [b for u, b in rows if u and "://" in u and all(_has(u, t) for t in rule)]
+        assert sum(map(bool, have)) >= urlfilter.MIN_COUNT and sum(map(bool, have)) / len(have) == pytest.approx(r.confidence)
+    pages = spark.createDataFrame([(1, "http://new.com/go/y?ref=9"), (2, "http://new.com/go/y"), (3, None)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages, urlfilter.mine(df), []).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+    assert urlfilter.judge(pages.limit(0), urlfilter.mine(df), []).collect() == []
+
+
+def _has(url, token):
+    kind, value = token.split("=", 1)
+    host, _, rest = url.split("://")[1].partition("/")
+    path = rest.split("?")[0]
+    if kind == "host":
+        return host == value or host.endswith("." + value)
+    return {"folder": value in path.split("/"), "key": re.search(rf"[?&]{re.escape(value)}=", url) is not None, "scheme": url.startswith(value)}[kind]
+
+
+def test_keep_clean_over_several_blocks(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, "before " + t + " after", {"a": 1}) for i, t in items[:20]] + [(100 + i, prose(50), {"b": 2}) for i in range(20)] + [(200, None, None), (201, "", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>").repartition(4)
+    for chars in (1 << 20, 700):
+        out = decontaminate.keep_clean(docs, bench, block_chars=chars)
+        assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted([*range(100, 120), 200, 201])
+    assert decontaminate.keep_clean(docs.limit(0), bench).count() == 0 and decontaminate.keep_clean(docs, bench.limit(0)).count() == 42
+
+
+def test_stages_with_clashing_names_and_maps(spark):
+    rows = [(1, "a b c d e f g", "x", 1, {"k": 1}), (1, "a b c d e f g", "y", 2, {"k": 2}), (2, "a b c d e f g\nq r s t u v w", "z", 3, None), (None, "one two three four five six", "n", 4, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _ld_gone string, _cp_score int, name map<string,int>")
+    out = corpus_pipeline.line_dedup_stage(spark, docs, SF)
+    assert out.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in out.collect()) == [
+        ("1", "a b c d e f g"), ("1", "a b c d e f g"), ("2", "q r s t u v w"), ("None", "one two three four five six")]
+    assert "_ld_gone_" in linededup.dedup(docs).columns
+    near = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    assert near.columns == docs.columns and sorted(str(r.doc_id) for r in near.collect()) == ["1", "2", "None"]
+    assert corpus_pipeline.toxicity_stage(spark, docs, SF).columns == docs.columns
