@@ -22,38 +22,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.llm import decontaminate, linededup, packing, simhash, toxicity
-from tabforge.llm.common import read, written
+from tabforge.llm.common import free_name, read, written
 
 THRESHOLD = 0.5
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit_on(docs, read(spark, sf_dir, "labels"))
-    kept = docs.withColumn("_cp_score", toxicity.score_column(docs, model)).filter(F.col("_cp_score") < THRESHOLD)
+    score = free_name(docs.columns, "_cp_score")
+    kept = docs.withColumn(score, toxicity.score_column(docs, model)).filter(F.col(score) < THRESHOLD)
     return kept.select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup(docs)
-    emptied = (F.size("_ld_gone") > 0) & (F.size("_ld_gone") == F.col("_ld_lines"))
-    return out.filter(~emptied).select(docs.columns)
+    lines, gone = linededup.added_columns(docs)
+    emptied = (F.size(gone) > 0) & (F.size(gone) == F.col(lines))
+    return linededup.dedup(docs).filter(~emptied).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are named by id and text, so that rows without an id or with a repeated one keep apart: the
-    name is the id (null last) and 128 bits of hashes of the text, and one name stays of each group."""
-    names = {"_cp_none": F.col("doc_id").isNull(), "_cp_id": F.col("doc_id"), "_cp_hash": F.xxhash64("text"), "_cp_more": F.xxhash64(F.lit(1), "text")}
-    d = docs.withColumn("_cp_row", F.struct(*[c.alias(n) for n, c in names.items()]))
-    groups = simhash.dedup_groups(d, id_col="_cp_row").filter("doc_id = component_id")
-    stay = written(groups.groupBy("component_id").agg(F.count("*").alias("_cp_n")).select("component_id.*", "_cp_n"), "stay")
-    same = [d._cp_row[n].eqNullSafe(stay[n]) for n in names]
-    kept = d.join(stay.filter("_cp_n = 1"), same, "left_semi").select(docs.columns)
-    again = stay.filter("_cp_n > 1")
-    if again.isEmpty():
-        return kept
-    row = F.struct(*docs.columns)
-    more = d.join(again, same, "left_semi").groupBy("_cp_row").agg(F.min(row).alias("r"))
-    return kept.union(more.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
+    name is the id (null last) and 128 bits of hashes of the text, and one name stays of each group, with the
+    row whose JSON has the smallest hash if several rows have that name."""
+    names = docs.columns
+    inner = [f"_c{i}" for i in range(len(names))]  # input columns may have any name
+    d = docs.toDF(*inner)
+    doc, text = inner[names.index("doc_id")], inner[names.index("text")]
+    key = {"none": F.col(doc).isNull(), "id": F.col(doc), "hash": F.xxhash64(text), "more": F.xxhash64(F.lit(1), text)}
+    d = d.withColumn("name", F.struct(*[c.alias(n) for n, c in key.items()]))
+    groups = simhash.dedup_groups(d, id_col="name", text_col=text).filter("doc_id = component_id")
+    stay = written(groups.groupBy("component_id").agg(F.count("*").alias("rows")).select("component_id.*", "rows"), "stay")
+    same = [d.name[n].eqNullSafe(stay[n]) for n in key]
+    kept = d.join(stay.filter("rows = 1"), same, "left_semi").select(inner)
+    again = stay.filter("rows > 1")
+    if not again.isEmpty():
+        row = F.struct(*inner)
+        more = d.join(again, same, "left_semi").groupBy("name").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("r"))
+        kept = kept.union(more.select(*[F.col("r")[c].alias(c) for c in inner]))
+    return kept.toDF(*names)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
