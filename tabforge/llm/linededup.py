@@ -30,12 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import drop_written, free_name, written
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # least similarity
 CELLS = 1 << 14
-FILTER_WORDS = 1 << 15
+#: A bit table has 16 bits for each value, and at most so many words of 64.
+FILTER_WORDS = 1 << 20
 _ID = ["_ld_doc", "_ld_th", "_ld_line"]
 _KEY = ["k", "w"]
 
@@ -60,15 +61,15 @@ def _tokens(words: Column) -> Column:
 
 
 def _words_of_lines(docs: DataFrame, id_col: str, text_col: str, of=None, only=None) -> DataFrame:
-    """A row for each line with a word: where it is and its words. ``of``: a condition on the
-    document, ``only``: one on where the line is, both taken before words are made."""
+    """A row for each line with a word: where it is and hashes of its words. ``of``: a bit table of
+    documents, ``only``: one of places of lines, both asked before words are made."""
     d = docs.select(F.col(id_col).alias("_ld_doc"), F.xxhash64(text_col).alias("_ld_th"), F.coalesce(text_col, F.lit("")).alias("text"))
     if of is not None:
-        d = d.filter(of)
+        d = of.keep(d, "_ld_doc", "_ld_th")
     d = d.select("_ld_doc", "_ld_th", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("_ld_line", "line"))
     if only is not None:
-        d = d.filter(only)
-    words = F.array_remove(F.split("line", " ", -1), "")
+        d = only.keep(d, *_ID)
+    words = F.transform(F.array_remove(F.split("line", " ", -1), ""), lambda w: F.xxhash64(w))
     return d.filter(F.ltrim("line") != "").select(*_ID, words.alias("words"))
 
 
@@ -78,22 +79,29 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, of=None, only=None) -> D
 
 
 class _Filter:
-    """A bit table of fixed size for hashed values: rows that it does not hold need no join. It only
-    saves work; what passes is joined exactly."""
+    """A bit table of hashed values, sized by their number up to a bound and broadcast: rows that it does
+    not hold need no join. It only saves work; what passes is joined exactly."""
 
     def __init__(self, values: DataFrame, *cols: str):
-        bit = F.pmod(F.xxhash64(*cols), F.lit(FILTER_WORDS * 64))
-        rows = (values.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).cast("int").alias("i"))
-                .agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")).collect())
-        words = [0] * FILTER_WORDS
-        for r in rows:
-            words[r.i] = r.v
-        self.table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+        words = 1 << max(8, min(FILTER_WORDS.bit_length() - 1, (values.count() // 4).bit_length()))
+        self.bits = words * 64
+        bit = self._bit(cols)
+        table = values.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("_ld_i")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("_ld_v"))
+        self.table = F.broadcast(written(table, "bits"))  # at most FILTER_WORDS rows of two numbers
 
-    def holds(self, *cols: str) -> Column:
-        bit = F.pmod(F.xxhash64(*cols), F.lit(FILTER_WORDS * 64))
-        word = F.get(self.table, F.floor(bit / 64).cast("int"))
-        return F.getbit(word, F.pmod(bit, F.lit(64)).cast("int")) == 1
+    def _bit(self, cols) -> Column:
+        return F.pmod(F.xxhash64(*cols), F.lit(self.bits))
+
+    def mark(self, df: DataFrame, name: str, *cols: str) -> DataFrame:
+        """``df`` with a column: whether the table may hold the row's value."""
+        bit = self._bit(cols)
+        both = df.join(self.table, F.floor(bit / 64) == F.col("_ld_i"), "left")
+        held = F.coalesce(F.getbit("_ld_v", F.pmod(bit, F.lit(64)).cast("int")) == 1, F.lit(False))
+        return both.select(*[F.col(c) for c in df.columns], held.alias(name))
+
+    def keep(self, df: DataFrame, *cols: str) -> DataFrame:
+        return self.mark(df, "_ld_held", *cols).filter("_ld_held").drop("_ld_held")
 
 
 def _ranks(stats: DataFrame) -> Column:
@@ -141,8 +149,8 @@ def _at(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     return lines.join(e, same, "left_semi")
 
 
-def _held(firsts: DataFrame, *cols: str) -> Column:
-    return _Filter(firsts.select("first.*"), *cols).holds(*cols)
+def _held(firsts: DataFrame, *cols: str) -> _Filter:
+    return _Filter(firsts.select("first.*"), *cols)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -151,6 +159,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     lines = _lines(docs, id_col, text_col, _held(ends, "_ld_doc", "_ld_th"), _held(ends, *_ID))
     sets = _at(lines, ends).select(F.struct(*_ID).alias("first"), "h").dropDuplicates(["first"])
     sets = written(sets, "line-sets")
+    drop_written(ends)
     a, b = sets.toDF("a_first", "a_h"), sets.toDF("b_first", "b_h")
     both = pairs.join(a, "a_first").join(b, "b_first")
     common = F.size(F.array_intersect("a_h", "b_h"))
@@ -176,32 +185,36 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the 48 bits of a token in ``s`` serve prefixes only. A class is represented by its first line; only classes of
     # several lines need a look-up
     several = written(lines.groupBy(*_KEY).agg(F.count("*").alias("c")).filter("c > 1"), "line-classes")
-    held = _Filter(several, *_KEY)
     one = F.struct(*_ID)
-    again = lines.filter(held.holds(*_KEY)).select(*_KEY, one.alias("at")).groupBy(*_KEY).agg(F.min("at").alias("first"), F.count("*").alias("c"))
+    marked = _Filter(several, *_KEY).mark(lines, "held", *_KEY)
+    again = marked.filter("held").select(*_KEY, one.alias("at")).groupBy(*_KEY).agg(F.min("at").alias("first"), F.count("*").alias("c"))
     again = written(again.filter("c > 1").select(*_KEY, "first"), "line-classes")
-    maybe = lines.filter(held.holds(*_KEY)).join(again, _KEY, "left")
+    drop_written(several)
+    maybe = marked.filter("held").drop("held").join(again, _KEY, "left")
     firsts = maybe.filter(F.col("first").isNull() | (F.col("first") == one)).select(one.alias("first"), "n", "bits", "prefix")
-    firsts = firsts.union(lines.filter(~held.holds(*_KEY)).select(one.alias("first"), "n", "bits", "prefix"))
+    firsts = firsts.union(marked.filter("not held").select(one.alias("first"), "n", "bits", "prefix"))
     posts = firsts.select("first", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
 
     tokens = written(firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
                      .filter("c > 1").select("token"), "shared-tokens")
-    posts = written(posts.filter(_Filter(tokens, "token").holds("token")).join(tokens, "token", "left_semi"), "shared-posts")
+    posts = written(_Filter(tokens, "token").keep(posts, "token").join(tokens, "token", "left_semi"), "shared-posts")
+    drop_written(tokens)
     heads = written(posts.groupBy("token").agg(F.min(F.struct("first", "n", "pos", "bits")).alias("head"), F.count("*").alias("c")), "heads")
     head = heads.select("token", *[F.col(f"head.{c}").alias(c) for c in ("first", "n", "pos", "bits")])
     gone = written(_verified(written(_pairs(head, posts), "line-pairs"), docs, id_col, text_col), "gone")
     rest = posts.join(gone, "first", "left_anti").join(heads.filter("c > 2").select("token"), "token", "left_semi")
     others = posts.join(heads.filter("c > 2").select("token", F.col("head.first").alias("least")), "token").filter(F.col("first") != F.col("least"))
     more = written(_pairs(others.drop("least"), rest), "line-pairs")
+    drop_written(posts, heads)
     gone = gone.union(written(_verified(more, docs, id_col, text_col), "gone")) if not more.isEmpty() else gone
 
-    gone = _at(lines.filter(_held(gone, *_ID)), gone).select(*_KEY).distinct()
+    gone = _at(_held(gone, *_ID).keep(lines, *_ID), gone).select(*_KEY).distinct()
     bad = again.select(*_KEY, "first").join(gone.withColumn("all", F.lit(True)), _KEY, "full")
     bad = written(bad.select(*_KEY, "first", F.coalesce("all", F.lit(False)).alias("all")), "bad-classes")
-    held = _Filter(bad, *_KEY)
-    out = lines.filter(held.holds(*_KEY)).select(*_ID, *_KEY).join(bad, _KEY).filter(F.col("all") | (F.struct(*_ID) != F.col("first")))
-    return written(out.groupBy("_ld_doc", "_ld_th").agg(F.sort_array(F.collect_set("_ld_line")).alias("_ld_gone")), "removed-lines")
+    out = _Filter(bad, *_KEY).keep(lines, *_KEY).select(*_ID, *_KEY).join(bad, _KEY).filter(F.col("all") | (F.struct(*_ID) != F.col("first")))
+    removed = written(out.groupBy("_ld_doc", "_ld_th").agg(F.sort_array(F.collect_set("_ld_line")).alias("_ld_gone")), "removed-lines")
+    drop_written(lines, again, bad)
+    return removed
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,9 +224,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     inner = [f"_c{i}" for i in range(len(names))]  # input columns may have any name
     docs, id_col, text_col = docs.toDF(*inner), inner[names.index(id_col)], inner[names.index(text_col)]
     gone = removed_lines(docs, id_col, text_col)
-    held = _Filter(gone, "_ld_doc", "_ld_th")
-    d = docs.withColumn("_ld_h", F.xxhash64(text_col))
-    hit = F.coalesce(_Filter.holds(held, id_col, "_ld_h"), F.lit(False))
+    d = _Filter(gone, "_ld_doc", "_ld_th").mark(docs.withColumn("_ld_h", F.xxhash64(text_col)), "_ld_hit", id_col, "_ld_h")
+    hit = F.col("_ld_hit")
     none = F.array().cast("array<int>")
     g = gone.select(F.col("_ld_doc"), F.col("_ld_th"), "_ld_gone")
     joined = d.filter(hit).join(g, (F.col("_ld_h") == F.col("_ld_th")) & F.col(id_col).eqNullSafe(F.col("_ld_doc")), "left").select(
