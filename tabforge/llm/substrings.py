@@ -45,7 +45,7 @@ GRAM = 40
 #: Bytes hashed at a time.
 BLOCK = 1 << 19
 #: Different runs of one value whose suffixes are sorted together; larger groups are cut finer.
-LANE_RUNS = 1024
+LANE_RUNS = 4096
 #: A value is hot with more rows than an eighth of an even partition, and than this.
 HOT_LEAST = 1000
 #: Bytes whose suffixes are sorted at a time.
@@ -246,13 +246,20 @@ def _sorted_out(runs: DataFrame, partitions: int, kind: str, lane_runs: int) ->
     return ordered.mapInArrow(run, f"kind short, h long, doc {kind}, th long, x int, n short")
 
 
+def _with_none(table: DataFrame) -> DataFrame:
+    """``table`` and a row of NULLs, which joins nothing: plans stay the same where there is nothing to look up."""
+    none = table.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+    return table.unionByName(none)
+
+
 def _kinds(runs: DataFrame, keys: DataFrame, limit: int, partitions: int, kind: str, lane_runs: int) -> DataFrame:
     """What becomes of each run; values and hashes with over ``limit`` rows, few by its choice, are broadcast."""
     place = F.struct("doc", "th", "x")
-    hot = written(keys.filter(F.col("n") > limit).select("h", F.lit(True).alias("hot")).coalesce(1), "hot-values")
-    classes = runs.join(F.broadcast(hot.select("h")), "h", "left_semi").groupBy("h", "c").agg(F.count("*").alias("rows"), F.min(place).alias("first"))
-    classes = written(classes.filter(F.col("rows") > limit).select("h", "c", "first").coalesce(1), "hot-runs")
-    marked = runs.join(F.broadcast(hot), "h", "left").join(F.broadcast(classes), ["h", "c"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hot = written(_with_none(keys.filter(F.col("n") > limit).select("h", F.lit(True).alias("hot"))).coalesce(1), "hot-values")
+    dealt = runs.join(F.broadcast(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    classes = dealt.filter("hot").groupBy("h", "c").agg(F.count("*").alias("rows"), F.min(place).alias("first"))
+    classes = written(_with_none(classes.filter(F.col("rows") > limit).select("h", "c", "first")).coalesce(1), "hot-runs")
+    marked = dealt.join(F.broadcast(classes), ["h", "c"], "left")
     later = F.col("first").isNotNull() & (place != F.col("first"))
     rest = marked.filter(~later).select("h", "c", "doc", "th", "x", "n", "hot")
     repeats = marked.filter(later).select(F.lit(REPEAT).cast("short").alias("kind"), "h", "doc", "th", "x", "n")
@@ -264,9 +271,10 @@ def _kinds(runs: DataFrame, keys: DataFrame, limit: int, partitions: int, kind:
 def _settled(out: DataFrame, lane_runs: int) -> tuple[DataFrame, DataFrame]:
     """The runs of ``_kinds`` to be sorted, and those of groups that are too large for it."""
     large = out.filter(F.col("kind") == LARGE)
-    sizes = written(large.groupBy("h").agg(F.count("*").alias("different")).filter("different > 1"), "group-sizes")
-    few, many = (large.join(sizes.filter(c).select("h"), "h", "left_semi") for c in (F.col("different") <= lane_runs, F.col("different") > lane_runs))
-    return out.filter(F.col("kind") == SORT).unionByName(few), many
+    sizes = written(_with_none(large.groupBy("h").agg(F.count("*").alias("different"))), "group-sizes")
+    open_runs = out.filter(F.col("kind") != REPEAT).join(sizes, "h", "left")
+    few = (F.col("kind") == SORT) | F.col("different").between(2, lane_runs)
+    return open_runs.filter(few).drop("different"), open_runs.filter(F.col("different") > lane_runs).drop("different")
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
