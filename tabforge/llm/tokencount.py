@@ -34,6 +34,8 @@ from .common import map_slices
 MARK = "\u2581"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 LONG_SEGMENT = 256
+#: Words share beginnings: the states of those of such lengths, in code points, are kept, at most so many.
+BEGINNINGS, MAX_BEGINNINGS = (8, 5), 60_000
 #: Estimated bytes of a kept segment besides its text and its counts.
 _ENTRY_BYTES = 150
 _MODELS: dict[str, "Bpe"] = {}
@@ -78,6 +80,7 @@ class Bpe:
             node[""] = r
         self.spines: dict[str, tuple[list[str], list[str]]] = {}
         self.pairs: dict[int, bool] = {}
+        self.beginnings: dict[str, tuple] = {}
         self.limit = limit_bytes
         self.runs = [0]
         self._empty()
@@ -142,9 +145,15 @@ class Bpe:
 
     def states(self, segment: str) -> tuple[list[int], list[int]]:
         """For each non-empty prefix: length of its last token (0: bytes) and token count."""
-        root, pairs, width = self.trie, self.pairs, len(self.pieces)
-        size, count, last = [0], [0], [-1]
-        for i in range(1, len(segment) + 1):
+        root, pairs, width, kept = self.trie, self.pairs, len(self.pieces), self.beginnings
+        for short in BEGINNINGS:
+            known = kept.get(segment[:short]) if len(segment) > short else None
+            if known is not None:
+                size, count, last = map(list, known)
+                break
+        else:
+            size, count, last = [0], [0], [-1]
+        for i in range(len(size), len(segment) + 1):
             node, k, found = root, i, []
             while k:
                 node = node.get(segment[k - 1])
@@ -171,6 +180,11 @@ class Bpe:
                 size.append(0)
                 count.append(count[i - 1] + len(segment[i - 1].encode("utf-8", "replace")))
                 last.append(-1)
+        for short in BEGINNINGS:
+            if len(segment) > short and segment[:short] not in kept:
+                kept[segment[:short]] = (tuple(size[:short + 1]), tuple(count[:short + 1]), tuple(last[:short + 1]))
+        if len(kept) > MAX_BEGINNINGS:
+            kept.clear()
         return size[1:], count[1:]
 
     def run(self, n: int) -> int:
