@@ -639,9 +639,12 @@ def q_pca_variance(spark, sf):
 
 @query("explained_variance")
 def q_explained_variance(spark, sf):
+    """All dimensions of the embeddings."""
     e = I.table(spark, sf, "embeddings")
-    emb = e.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    st = transform.fit_pca(emb, [f"e{i}" for i in range(8)], 8, standardize=False)
+    width = len(e.select("embedding").first()[0])
+    cols = [f"e{i}" for i in range(width)]
+    emb = e.select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    st = transform.fit_pca(emb, cols, width, standardize=False)
     return rounded(transform.explained_variance(st, spark))
 
 
@@ -790,10 +793,20 @@ def q_scatter_sample(spark, sf):
 
 
 @query("scatter_3d", """
+SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y,
+       round(CAST(embedding[3] AS DOUBLE), 6) AS z, label FROM embeddings""")
+def q_scatter_3d(spark, sf):
+    e = I.table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n)
+                                                            for i, n in enumerate("xyz")], "label")
+    return rounded(charts.scatter_sample(e, ["x", "y", "z", "label"], "vec_id"))
+
+
+@query("scatter_3d_sample", """
 SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y,
        round(CAST(embedding[3] AS DOUBLE), 6) AS z, label FROM embeddings
 ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), vec_id LIMIT 200""")
-def q_scatter_3d(spark, sf):
+def q_scatter_3d_sample(spark, sf):
+    """A sample of 200 points, which is the feature; ``scatter_3d`` is every point."""
     e = I.table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n)
                                                             for i, n in enumerate("xyz")], "label")
     return rounded(charts.scatter_sample(e, ["x", "y", "z", "label"], "vec_id", 200))
@@ -809,7 +822,7 @@ def q_scatter_points(spark, sf):
 SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y,
        round(CAST(embedding[3] AS DOUBLE), 6) AS z, label FROM embeddings""")
 def q_scatter_3d_points(spark, sf):
-    """Every point; ``scatter_3d`` is a sample of 200."""
+    """Every point; ``scatter_3d_sample`` is a sample of 200."""
     e = I.table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n)
                                                             for i, n in enumerate("xyz")], "label")
     return rounded(charts.scatter_sample(e, ["x", "y", "z", "label"], "vec_id"))

@@ -108,15 +108,19 @@ def q_score_batch(spark, sf):
     return rounded(scored)
 
 
-@query("score_batch_metrics", SCORE_SQL + """,
+BATCH_METRICS_SQL = SCORE_SQL + """,
 pc AS (SELECT l_returnflag AS y, cls AS p, count(*) AS n FROM js WHERE rk = 1 GROUP BY 1, 2),
 pcls AS (SELECT c AS cls, sum(tp) AS tp, sum(sup) AS sup, sum(pr) AS pr FROM (
     SELECT y AS c, CASE WHEN y = p THEN n ELSE 0 END AS tp, n AS sup, 0 AS pr FROM pc
     UNION ALL SELECT p, 0, 0, n FROM pc) GROUP BY c),
 m AS (SELECT *, CASE WHEN pr > 0 THEN tp * 1.0 / pr ELSE 0 END AS prec, CASE WHEN sup > 0 THEN tp * 1.0 / sup ELSE 0 END AS rec FROM pcls)
-SELECT round(sum(tp) * 1.0 / sum(sup), 6) AS accuracy, round(sum(prec * sup) / sum(sup), 6) AS precision,
+"""
+BATCH_METRICS = """round(sum(tp) * 1.0 / sum(sup), 6) AS accuracy, round(sum(prec * sup) / sum(sup), 6) AS precision,
        round(sum(rec * sup) / sum(sup), 6) AS recall,
-       round(sum(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END * sup) / sum(sup), 6) AS f1 FROM m""")
+       round(sum(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END * sup) / sum(sup), 6) AS f1"""
+
+
+@query("score_batch_metrics", BATCH_METRICS_SQL + f"SELECT {BATCH_METRICS} FROM m")
 def q_score_batch_metrics(spark, sf):
     _pipe, _nb, scored = flagship_scored(spark, sf)
     return rounded(score_batch_metrics(scored, TARGET))
@@ -595,30 +599,37 @@ def q_write_predictions(spark, sf):
     return rounded(io.read_csv(spark, path, schema=scored.schema))
 
 
-@query("write_metrics_json")
+@query("write_metrics_json", BATCH_METRICS_SQL + f"""SELECT 'lineitem' AS dataset, 'gaussian_nb' AS model, 'Classification' AS problem_type,
+'l_returnflag' AS target, 4 AS steps, 'impute median l_quantity' AS first_step, '1e-09' AS var_smoothing, {BATCH_METRICS} FROM m""")
 def q_write_metrics_json(spark, sf):
+    """The report written as JSON and read back."""
     pipe, _nb, scored = flagship_scored(spark, sf)
     metrics = score_batch_metrics(scored, TARGET)
     path = scratch_path(spark, "report-json")
     io.write_metrics_json(spark, path, dataset="lineitem", model="gaussian_nb", problem_type="Classification",
                           target=TARGET, metrics=metrics, log=pipe.log, hyperparameters={"var_smoothing": 1e-9})
-    return spark.read.json(path)
+    back = spark.read.json(path)
+    return rounded(back.select("dataset", "model", "problem_type", "target", F.size("log").alias("steps"), F.col("log")[0]["entry"].alias("first_step"),
+                               "hyperparameters.var_smoothing", "metrics.*"))
 
 
-@query("save_load_model")
+@query("save_load_model", f"""WITH {_split_sql(I.LK_SQL + " src", "l_key").lstrip()} SELECT l_key, TRUE AS same FROM test_rows""")
 def q_save_load_model(spark, sf):
-    """A fitted model and its pipeline saved together, loaded back, scores identical."""
+    """A fitted model and the pipeline it was fitted behind saved together, loaded back, scores identical."""
     train, test = _clf_data(spark, sf)
-    m = SparkModel("clf_decision_tree", {"max_depth": 6}).fit(train, LI_NUM, TARGET)
+    pipe = Pipeline().init_from_raw(train.drop("l_key"), target=TARGET)
+    df = pipe.fit_step(train, encode.fit_index(train, ["l_linestatus"], "label"), "label l_linestatus")
+    df = pipe.fit_step(df, scale.fit_scaler(df, LI_NUM, "standard"), "standard scale")
+    features = [*LI_NUM, "l_linestatus"]
+    pipe.set_features(features)
+    m = SparkModel("clf_decision_tree", {"max_depth": 10}).fit(df, features, TARGET)
     path = scratch_path(spark, "model")
-    io.save_model(m, Pipeline(), path)
-    m2, _pipe = io.load_model(path)
-    a = m.transform(test.select("l_key", *LI_NUM)).select("l_key", F.col("prediction").alias("p1"))
-    b = m2.transform(test.select("l_key", *LI_NUM)).select("l_key", F.col("prediction").alias("p2"))
+    io.save_model(m, pipe, path)
+    m2, pipe2 = io.load_model(path)
+    a, b = (x.transform(p.transform(test, keep=["l_key"])).select("l_key", F.col("prediction").alias(n)) for x, p, n in ((m, pipe, "p1"), (m2, pipe2, "p2")))
     return a.join(b, "l_key").select("l_key", (F.col("p1") == F.col("p2")).alias("same"))
 
 
-
 def _audit_sql():
     feats = ", ".join(FLAG_FEATURES)
     prof = lambda section, src, k, miss: f"""

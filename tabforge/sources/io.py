@@ -48,9 +48,11 @@ def write_metrics_json(spark: SparkSession, path: str, dataset: str, model: str,
                        metrics: DataFrame, log: list, hyperparameters: dict) -> None:
     """One JSON record: dataset, model, problem type, target, metrics (from a one-row metrics
     DataFrame, kept in Spark), the preparation log and the hyperparameters."""
-    about = {"dataset": dataset, "model": model, "problem_type": problem_type, "target": target,
-             "log_json": json.dumps(log), "hyperparameters_json": json.dumps(hyperparameters)}
-    rec = metrics.select(*[F.lit(v).alias(k) for k, v in about.items()], F.struct(*metrics.columns).alias("metrics"))
+    about = {"dataset": dataset, "model": model, "problem_type": problem_type, "target": target}
+    steps = F.from_json(F.lit(json.dumps(log)), "array<struct<seq: int, stage: string, entry: string>>")
+    numbers = F.from_json(F.lit(json.dumps({k: str(v) for k, v in hyperparameters.items()})), "map<string, string>")
+    rec = metrics.select(*[F.lit(v).alias(k) for k, v in about.items()], F.struct(*metrics.columns).alias("metrics"),
+                         steps.alias("log"), numbers.alias("hyperparameters"))
     rec.coalesce(1).write.mode("overwrite").json(path)  # one row
 
 
