@@ -246,32 +246,35 @@ def _sorted_out(runs: DataFrame, partitions: int, kind: str, lane_runs: int) ->
     return ordered.mapInArrow(run, f"kind short, h long, doc {kind}, th long, x int, n short")
 
 
-def _with_none(table: DataFrame) -> DataFrame:
-    """``table`` and a row of NULLs, which joins nothing: plans stay the same where there is nothing to look up."""
-    none = table.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields])
-    return table.unionByName(none)
+def _with_zero(table: DataFrame) -> DataFrame:
+    """``table`` and a row with ``h`` zero and nothing else, so that plans are the same where there is nothing to look up."""
+    zero = [F.lit(0 if f.name in ("h", "c") else None).cast(f.dataType).alias(f.name) for f in table.schema.fields]
+    return table.unionByName(table.sparkSession.range(1).select(*zero))
 
 
 def _kinds(runs: DataFrame, keys: DataFrame, limit: int, partitions: int, kind: str, lane_runs: int) -> DataFrame:
     """What becomes of each run; values and hashes with over ``limit`` rows, few by its choice, are broadcast."""
     place = F.struct("doc", "th", "x")
-    hot = written(_with_none(keys.filter(F.col("n") > limit).select("h", F.lit(True).alias("hot"))).coalesce(1), "hot-values")
+    hot = written(_with_zero(keys.filter(F.col("n") > limit).select("h", F.lit(True).alias("hot"))).coalesce(1), "hot-values")
     dealt = runs.join(F.broadcast(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    classes = dealt.filter("hot").groupBy("h", "c").agg(F.count("*").alias("rows"), F.min(place).alias("first"))
-    classes = written(_with_none(classes.filter(F.col("rows") > limit).select("h", "c", "first")).coalesce(1), "hot-runs")
-    marked = dealt.join(F.broadcast(classes), ["h", "c"], "left")
+    # runs of other values are one group of NULLs, combined before the shuffle
+    own = [F.when(F.col("hot"), F.col(c)).alias(c) for c in ("h", "c")]
+    classes = dealt.groupBy(*own).agg(F.count("*").alias("rows"), F.min(place).alias("first")).filter((F.col("rows") > limit) & F.col("h").isNotNull())
+    classes = written(_with_zero(classes.select("h", "c", "first")).coalesce(1), "hot-runs")
     later = F.col("first").isNotNull() & (place != F.col("first"))
-    rest = marked.filter(~later).select("h", "c", "doc", "th", "x", "n", "hot")
-    repeats = marked.filter(later).select(F.lit(REPEAT).cast("short").alias("kind"), "h", "doc", "th", "x", "n")
-    out = written(_sorted_out(rest, partitions, kind, lane_runs).unionByName(repeats), "run-kinds")
-    drop_written(hot, classes)
+    marked = dealt.join(F.broadcast(classes), ["h", "c"], "left").select("h", "c", "doc", "th", "x", "n", "hot", later.alias("later"))
+    marked = written(marked, "marked-runs")
+    drop_written(runs)
+    repeats = marked.filter("later").select(F.lit(REPEAT).cast("short").alias("kind"), "h", "doc", "th", "x", "n")
+    out = written(_sorted_out(marked.filter("not later").drop("later"), partitions, kind, lane_runs).unionByName(repeats), "run-kinds")
+    drop_written(hot, classes, marked)
     return out
 
 
 def _settled(out: DataFrame, lane_runs: int) -> tuple[DataFrame, DataFrame]:
     """The runs of ``_kinds`` to be sorted, and those of groups that are too large for it."""
     large = out.filter(F.col("kind") == LARGE)
-    sizes = written(_with_none(large.groupBy("h").agg(F.count("*").alias("different"))), "group-sizes")
+    sizes = written(_with_zero(large.groupBy("h").agg(F.count("*").alias("different"))), "group-sizes")
     open_runs = out.filter(F.col("kind") != REPEAT).join(sizes, "h", "left")
     few = (F.col("kind") == SORT) | F.col("different").between(2, lane_runs)
     return open_runs.filter(few).drop("different"), open_runs.filter(F.col("different") > lane_runs).drop("different")
@@ -494,7 +497,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lane_runs:
     def solved(runs, keys, rows):
         # at most eight values a partition hold more than an eighth of an even one
         out = _kinds(runs, keys, max(hot_least, rows // (8 * partitions)), partitions, kind, lane_runs)
-        drop_written(runs, keys)
+        drop_written(keys)
         sort, many = _settled(out, lane_runs)
         whole = out.filter(F.col("kind") == REPEAT).select("doc", "th", F.col("x").alias("a"), (F.col("x") + F.col("n") - 1 + length).alias("b"))
         return [whole, _suffix_sorted(_contexts(docs, sort, length), partitions, length, kind)], many
