@@ -38,7 +38,9 @@ def distinct_up_to(df: DataFrame, cols: list[str], limit: int) -> dict[str, int]
 
 def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, n_distinct) exactly: one group-by of (column, value) pairs, combined before the shuffle."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    value = {c: (F.col(c) + F.lit(0.0) if c in floats else F.col(c)).cast("string") for c in cols}
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), value[c].alias("value")) for c in cols])
     long = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
     have = long.groupBy("column").agg(F.count("*").alias("n_distinct"))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")

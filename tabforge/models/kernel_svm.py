@@ -137,7 +137,7 @@ class KernelSVR:
     quasi-Newton steps until the objective stands still."""
 
     def __init__(self, kernel: str = "rbf", C_: float = 1.0, epsilon: float = 0.1, degree: int = 3,
-                 n_components: int = 200, max_iter: int = 200, tol: float = 1e-7, seed: int = 42):
+                 n_components: int = 200, max_iter: int = 100, tol: float = 1e-6, seed: int = 42):
         self.kernel, self.C, self.eps, self.degree, self.D = kernel, C_, epsilon, degree, n_components
         self.max_iter, self.tol, self.seed = max_iter, tol, seed
 

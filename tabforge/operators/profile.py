@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.distinct import distinct_up_to
+from ..functions.distinct import distinct_counts, distinct_up_to
 from ..functions.exprs import missing, number, seeded_hash
 from ..functions.order_stats import quantiles
 from ..functions.roles import CATEGORICAL, NUMERIC, categorical_columns, numeric_columns, roles
@@ -101,12 +101,12 @@ def health_score(df: DataFrame) -> DataFrame:
 
 def schema_table(df: DataFrame, order_by: str) -> DataFrame:
     """Per column: dtype, distinct values counting NULL as one, missing count and %, first non-null
-    value in ``order_by`` order (as text). One aggregate job."""
+    value in ``order_by`` order (as text). One aggregate, and one group-by of (column, value) pairs."""
     cols = df.columns
+    distinct = {r.column: r.n_distinct for r in distinct_counts(df, cols).collect()}  # a row for each column
     aggs = []
     for i, c in enumerate(cols):
         aggs += [
-            F.count_distinct(F.col(c)).alias(f"d{i}"),
             F.count_if(missing(df, c)).alias(f"m{i}"),
             F.count_if(F.col(c).isNull()).alias(f"z{i}"),
             F.min_by(F.col(c).cast("string"), F.when(~missing(df, c), F.col(order_by))).alias(f"s{i}"),
@@ -117,7 +117,7 @@ def schema_table(df: DataFrame, order_by: str) -> DataFrame:
     for i, c in enumerate(cols):
         entries.append(F.struct(
             F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-            (F.col(f"d{i}") + F.when(F.col(f"z{i}") > 0, 1).otherwise(0)).cast("long").alias("n_unique"),
+            (F.lit(distinct[c]) + F.when(F.col(f"z{i}") > 0, 1).otherwise(0)).cast("long").alias("n_unique"),
             F.col(f"m{i}").cast("long").alias("missing_count"),
             F.when(F.col("__rows") > 0, F.col(f"m{i}") / F.col("__rows") * 100.0).otherwise(0.0).alias("missing_pct"),
             F.coalesce(F.col(f"s{i}"), F.lit("None")).alias("sample_value"),

@@ -66,6 +66,16 @@ def q_profile_table(spark, sf):
     return rounded(profile.profile_table(t))
 
 
+LI_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+          "l_linestatus", "l_shipdate"]
+
+
+@query("profile_table_whole", _profile_sql(I.LQ_SQL, [(c, c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) for c in LI_ALL], 8, 2))
+def q_profile_table_whole(spark, sf):
+    """Every column of the table: hardly any duplicates, so hardly any whole row is compared."""
+    return rounded(profile.profile_table(I.lineitem_nulls(spark, sf).select(LI_ALL)))
+
+
 @query("health_score", f"""
 WITH t AS (SELECT event_type, value FROM {I.EV_SQL} s),
 a AS (SELECT count(*) AS n, sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END + CASE WHEN event_type IS NULL THEN 1 ELSE 0 END) AS m FROM t),

@@ -726,7 +726,7 @@ def _kernel_svc_query(kernel):
     def fn(spark, sf):
         from ..models.kernel_svm import KernelSVC
         train, test = _clf_data(spark, sf)
-        m = KernelSVC(kernel=kernel, C_=1.0).fit(train, LI_NUM, TARGET)
+        m = KernelSVC(kernel=kernel, C_=1.0, n_components=100, max_iter=50).fit(train, LI_NUM, TARGET)
         return m.transform(test.select("l_key", TARGET, *LI_NUM)).select("l_key", TARGET, "prediction")
     fn.__doc__ = f"SVC with the {kernel} kernel (explicit feature map + LinearSVC, one-vs-rest)."
     return fn
