@@ -52,7 +52,7 @@ class _Numbers(dict):
 
 
 class WordCache:
-    def __init__(self, path: str, limit_bytes: int = 96 << 20):
+    def __init__(self, path: str, limit_bytes: int = 48 << 20):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.limit = limit_bytes
