@@ -43,7 +43,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are named by id and text, so that rows without an id or with a repeated one keep apart: the
     name is the id (null last) and 128 bits of hashes of the text, and one name stays of each group, with the
-    row whose JSON has the smallest hash if several rows have that name."""
+    smallest row if several have that name (by JSON where a column is a map)."""
     names = docs.columns
     inner = [f"_c{i}" for i in range(len(names))]  # input columns may have any name
     d = docs.toDF(*inner)
@@ -57,7 +57,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = stay.filter("rows > 1")
     if not again.isEmpty():
         row = F.struct(*inner)
-        more = d.join(again, same, "left_semi").groupBy("name").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("r"))
+        # maps have no order, their JSON has
+        least = F.min_by(row, F.to_json(row)) if "map<" in docs.schema.simpleString() else F.min(row)
+        more = d.join(again, same, "left_semi").groupBy("name").agg(least.alias("r"))
         kept = kept.union(more.select(*[F.col("r")[c].alias(c) for c in inner]))
     return kept.toDF(*names)
 
