@@ -13,7 +13,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,9 @@ from .calibration import fit_calibration, probabilities
 
 MAX_TREE_DEPTH = 30  # Spark's tree depth limit; deeper requests are clamped, which param_table reports
 
+#: A forest's fit holds a number for each row and tree; one fit takes as many trees as stay below this (all of them, on smaller tables).
+TREE_BYTES = 2 << 30
+
 CLASSIFIERS = {"clf_random_forest", "clf_decision_tree", "clf_logistic", "clf_svm", "clf_mlp", "clf_gbt"}
 REGRESSORS = {"reg_random_forest", "reg_decision_tree", "reg_linear", "reg_ridge", "reg_lasso", "reg_gbt"}
 
@@ -37,6 +40,7 @@ class SparkModel:
         self.target: str | None = None
         self.classes: list = []
         self.model = None
+        self.more: list = []  # further parts of a forest fitted in several, the first being ``model``
         self.warnings: list[str] = []
         self.calibration: dict | None = None
 
@@ -44,8 +48,13 @@ class SparkModel:
     def is_classifier(self):
         return self.kind in CLASSIFIERS
 
-    def _estimator(self, n: int, y_sd: float | None, k: int):
+    def _estimator(self, n: int, y_sd: float | None, k: int, trees: int | None = None, seed: int = 42):
         p = self.params
+        subset = "auto"  # of a part of a forest it must not depend on the trees of that part
+        whole = trees is None
+        if not whole:
+            subset = "sqrt" if self.is_classifier else "onethird"
+        trees = trees or int(p.get("n_estimators", 100))
         fc, lc = "__features", "__label"
         depth = int(p.get("max_depth", 12 if "forest" in self.kind else 10))
         if depth > MAX_TREE_DEPTH:
@@ -55,11 +64,11 @@ class SparkModel:
         least = max(int(p.get("min_samples_leaf", 1)), math.ceil(int(p.get("min_samples_split", 2)) / 2))
         kind = self.kind
         if kind == "clf_random_forest":
-            return C.RandomForestClassifier(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=True, numTrees=int(p.get("n_estimators", 100)),
-                                            maxDepth=depth, minInstancesPerNode=least, seed=42)
+            return C.RandomForestClassifier(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=whole, numTrees=trees, featureSubsetStrategy=subset,
+                                            maxDepth=depth, minInstancesPerNode=least, seed=seed)
         if kind == "reg_random_forest":
-            return R.RandomForestRegressor(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=True, numTrees=int(p.get("n_estimators", 100)),
-                                           maxDepth=depth, minInstancesPerNode=least, seed=42)
+            return R.RandomForestRegressor(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=whole, numTrees=trees, featureSubsetStrategy=subset,
+                                           maxDepth=depth, minInstancesPerNode=least, seed=seed)
         if kind == "clf_decision_tree":
             return C.DecisionTreeClassifier(featuresCol=fc, labelCol=lc, maxMemoryInMB=1024, cacheNodeIds=True, maxDepth=depth,
                                             minInstancesPerNode=least, seed=42)
@@ -115,7 +124,13 @@ class SparkModel:
         # iterative learners make many passes: keep the two-column training table (spills to disk)
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.model = self._estimator(n, sd, len(self.classes)).fit(data)
+            parts = self._forest_parts(n)
+            if len(parts) > 1:
+                # a pass sends a histogram of every node from each partition
+                narrow = data.coalesce(par)
+                self.model, *self.more = [self._estimator(n, sd, len(self.classes), t, 42 + i).fit(narrow) for i, t in enumerate(parts)]
+            else:
+                self.model, self.more = self._estimator(n, sd, len(self.classes)).fit(data), []
             if self.kind in ("clf_svm", "clf_gbt"):
                 out = self.model.transform(data)
                 if "probability" not in out.columns:  # margins only: calibrated to probabilities of all classes
@@ -125,13 +140,41 @@ class SparkModel:
             data.unpersist()
         return self
 
+    def _forest_parts(self, n: int) -> list[int]:
+        """How many trees of a forest each fit grows."""
+        if not self.kind.endswith("random_forest"):
+            return [1]
+        trees = int(self.params.get("n_estimators", 100))
+        fits = math.ceil(trees / max(2, TREE_BYTES // (4 * max(n, 1))))
+        return [trees // fits + (i < trees % fits) for i in range(fits)]
+
+    def _votes(self, df: DataFrame) -> DataFrame:
+        """What one fit of the whole forest would give, from its parts: the votes of all trees, or their mean."""
+        parts, cols = [self.model, *self.more], df.columns
+        if not self.is_classifier:
+            for i, m in enumerate(parts):
+                df = m.copy().setPredictionCol(f"__part{i}").transform(df)
+            total = sum((F.col(f"__part{i}") * m.getNumTrees for i, m in enumerate(parts)), F.lit(0.0))
+            return df.select(*cols, (total / sum(m.getNumTrees for m in parts)).alias("prediction"))
+        for i, m in enumerate(parts):
+            df = m.copy().setRawPredictionCol(f"__part{i}").setProbabilityCol("").setPredictionCol("").transform(df)
+        votes = [F.zip_with(*[vector_to_array(f"__part{i}") for i in (a, a + 1)], lambda x, y: x + y) if a + 1 < len(parts) else vector_to_array(f"__part{a}")
+                 for a in range(0, len(parts), 2)]
+        while len(votes) > 1:
+            votes = [F.zip_with(votes[a], votes[a + 1], lambda x, y: x + y) if a + 1 < len(votes) else votes[a] for a in range(0, len(votes), 2)]
+        df = df.select(*cols, votes[0].alias("__votes"))
+        total = F.aggregate("__votes", F.lit(0.0), lambda a, v: a + v)
+        return df.select(*cols, array_to_vector(F.transform("__votes", lambda v: v / total)).alias("probability"),
+                         (F.array_position("__votes", F.array_max("__votes")) - 1).cast("double").alias("prediction"))
+
     def _index(self, col):
         m = F.create_map(*[x for i, c in enumerate(self.classes) for x in (F.lit(c), F.lit(float(i)))])
         return m[col]
 
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
         cols = df.columns
-        out = self.model.transform(_assemble(df, self.features))
+        rows = _assemble(df, self.features)
+        out = self._votes(rows) if self.more else self.model.transform(rows)
         keep = [F.col(c) for c in cols]
         if self.is_classifier:
             classes = F.array(*[F.lit(c) for c in self.classes])
@@ -160,14 +203,18 @@ class SparkModel:
     def feature_importance(self, spark) -> DataFrame:
         """By feature, largest first: tree importances or absolute coefficients, of several one-vs-rest
         models their mean; NULL for a model that has neither."""
-        each = [self._importances(m) for m in getattr(self.model, "models", [self.model])]
-        imp = [None] * len(self.features) if any(e is None for e in each) else [float(sum(v) / len(each)) for v in zip(*each)]
+        models = [self.model, *self.more] if self.more else getattr(self.model, "models", [self.model])
+        each = [self._importances(m) for m in models]
+        weights = [m.getNumTrees if self.more else 1 for m in models]
+        imp = [None] * len(self.features) if any(e is None for e in each) else [float(sum(x * w for x, w in zip(v, weights)) / sum(weights)) for v in zip(*each)]
         rows = sorted(zip(self.features, imp), key=lambda t: -(t[1] or 0.0))
         return spark.createDataFrame(rows, "Feature string, Importance double")
 
     def param_table(self, spark) -> DataFrame:
         est_params = [(p.name, str(v)) for p, v in self.model.extractParamMap().items()] if hasattr(
             self.model, "extractParamMap") else []
+        if self.more:
+            est_params = [(k, str(int(self.params.get("n_estimators", 100))) if k == "numTrees" else v) for k, v in est_params]
         rows = sorted(est_params + [(f"user.{k}", str(v)) for k, v in self.params.items()]
                       + [(f"warning.{i}", w) for i, w in enumerate(self.warnings, 1)])
         return spark.createDataFrame(rows, "param string, value string")

@@ -87,8 +87,10 @@ def save_model(model, pipeline, path: str) -> None:
         meta = {"own": type(model).__name__, "state": model.state(), "pipeline": pipe}
     else:
         model.model.write().overwrite().save(f"{path}/model")
+        for i, part in enumerate(model.more):  # of a forest fitted in several parts
+            part.write().overwrite().save(f"{path}/more/{i:03d}")
         meta = {"class": type(model.model).__name__, "kind": model.kind, "params": model.params, "features": model.features,
-                "target": model.target, "classes": model.classes, "calibration": model.calibration, "pipeline": pipe}
+                "target": model.target, "classes": model.classes, "calibration": model.calibration, "more": len(model.more), "pipeline": pipe}
     spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/meta")
 
@@ -108,5 +110,6 @@ def load_model(path: str):
     m = SparkModel(meta["kind"], meta["params"])
     m.features, m.target, m.classes, m.calibration = meta["features"], meta["target"], meta["classes"], meta.get("calibration")
     name = meta["class"]
-    m.model = next(getattr(x, name) for x in (classification, regression, clustering) if hasattr(x, name)).load(f"{path}/model")
+    kind = next(getattr(x, name) for x in (classification, regression, clustering) if hasattr(x, name))
+    m.model, m.more = kind.load(f"{path}/model"), [kind.load(f"{path}/more/{i:03d}") for i in range(meta.get("more", 0))]
     return m, pipeline
