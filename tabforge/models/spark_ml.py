@@ -17,12 +17,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .calibration import fit_calibration, probabilities
 
 MAX_TREE_DEPTH = 30  # Spark's tree depth limit; deeper requests are clamped, which param_table reports
 
 #: A forest's fit holds a number for each row and tree; one fit takes as many trees as stay below this (all of them, on smaller tables).
 TREE_BYTES = 2 << 30
+#: A training table of up to so many bytes of numbers is held in memory, a larger one on disk: the learners hold a copy of their own.
+TABLE_BYTES = 512 << 20
 
 CLASSIFIERS = {"clf_random_forest", "clf_decision_tree", "clf_logistic", "clf_svm", "clf_mlp", "clf_gbt"}
 REGRESSORS = {"reg_random_forest", "reg_decision_tree", "reg_linear", "reg_ridge", "reg_lasso", "reg_gbt"}
@@ -122,7 +125,8 @@ class SparkModel:
         if data.rdd.getNumPartitions() < par:
             data = data.repartition(par)
         # iterative learners make many passes: keep the two-column training table (spills to disk)
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        large = n * (len(self.features) + 1) * 8 > TABLE_BYTES
+        data = data.persist(StorageLevel.DISK_ONLY if large else StorageLevel.MEMORY_AND_DISK)
         try:
             parts = self._forest_parts(n)
             if len(parts) > 1:
@@ -135,6 +139,8 @@ class SparkModel:
                 out = self.model.transform(data)
                 if "probability" not in out.columns:  # margins only: calibrated to probabilities of all classes
                     rows = out.select(vector_to_array("rawPrediction").alias("margins"), F.col("__label").alias("label"))
+                    if large:  # the Newton steps pass over the margins alone
+                        rows = written(rows, "margins")
                     self.calibration = fit_calibration(rows, max(2, len(self.classes)))
         finally:
             data.unpersist()

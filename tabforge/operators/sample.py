@@ -26,15 +26,29 @@ COLLECT_LIMIT = 200_000
 
 def _hash_histogram(hd: DataFrame, gcols: list[str], lo: int, shift: int, extra=None):
     """Counts per (group, bucket) of rows whose prefix lies in [lo, lo + 2^(shift+12))."""
-    b = F.shiftright(F.col("__hv") - F.lit(lo), shift).cast("int")
-    d = hd if extra is None else hd.where(extra)
+    first = extra is None
+    # all rows: the bucket is the first hex digits as they are
+    b = F.substring("__key", 1, _BUCKET_BITS // 4) if first else F.shiftright(_prefix() - F.lit(lo), shift).cast("int")
+    d = hd if first else hd.where(extra)
     rows = d.groupBy(*gcols, b.alias("__b")).agg(F.count(F.lit(1)).alias("n")).collect()
     out = {}
     for r in rows:
-        out.setdefault(tuple(r[g] for g in gcols), {})[r["__b"]] = r["n"]
+        out.setdefault(tuple(r[g] for g in gcols), {})[int(r["__b"], 16) if first else r["__b"]] = r["n"]
     return out
 
 
+def _prefix():
+    """The hash prefix as a number."""
+    return F.conv(F.substring("__key", 1, _HBITS_HEX), 16, 10).cast("long")
+
+
+def _between(lo: int, hi: int):
+    """Rows whose prefix lies in [lo, hi), by its hex digits."""
+    digits = F.substring("__key", 1, _HBITS_HEX)
+    below = digits < F.lit(f"{hi:0{_HBITS_HEX}x}") if hi < 1 << _PREFIX_BITS else F.lit(True)
+    return (digits >= F.lit(f"{lo:0{_HBITS_HEX}x}")) & below
+
+
 def select_first_k(df: DataFrame, key_cols: list[str], k, group_col: str | None = None,
                    seed: int = 42, flag: str = "__sel") -> DataFrame:
     """Adds boolean ``flag``: row is among the first ``k`` rows of its group in md5(key|seed) order.
@@ -48,9 +62,8 @@ def select_first_k(df: DataFrame, key_cols: list[str], k, group_col: str | None
     """
     # rows with one key are told apart by a hash of the whole row; only rows alike in all columns tie
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
-    order = F.concat(seeded_hash(key_cols, seed), F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in plain])), 16, "0"))
-    hd = df.withColumn("__h", order) \
-           .withColumn("__hv", F.conv(F.substring(seeded_hash(key_cols, seed), 1, _HBITS_HEX), 16, 10).cast("long"))
+    row_hash = F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in plain])), 16, "0")
+    hd = df.withColumn("__key", seeded_hash(key_cols, seed))
     gcols = [group_col] if group_col else []
     shift = _PREFIX_BITS - _BUCKET_BITS
     hist = _hash_histogram(hd, gcols, 0, shift)
@@ -88,18 +101,18 @@ def select_first_k(df: DataFrame, key_cols: list[str], k, group_col: str | None
         if fetch:
             cond = F.lit(False)
             for g, (lo, hi, _need) in fetch.items():
-                c = (F.col("__hv") >= F.lit(lo)) & (F.col("__hv") < F.lit(hi))
+                c = _between(lo, hi)
                 if group_col:
                     c = c & F.col(group_col).eqNullSafe(F.lit(g[0]))
                 cond = cond | c
             got = {}
-            for r in hd.where(cond).select(*gcols, "__h", "__hv").collect():  # bounded by COLLECT_LIMIT per group
+            for r in hd.where(cond).select(*gcols, F.concat("__key", row_hash).alias("__h")).collect():  # bounded by COLLECT_LIMIT per group
                 got.setdefault(tuple(r[x] for x in gcols), []).append(r["__h"])
             for g, (lo, _hi, need) in fetch.items():
-                cuts[g] = (lo, sorted(got[g])[need - 1])
+                cuts[g] = sorted(got[g])[need - 1]
                 del state[g]
         for g, st in refine.items():
-            extra = (F.col("__hv") >= F.lit(st["lo"])) & (F.col("__hv") < F.lit(st["lo"] + (1 << (st["shift"] + _BUCKET_BITS))))
+            extra = _between(st["lo"], st["lo"] + (1 << (st["shift"] + _BUCKET_BITS)))
             if group_col:
                 extra = extra & F.col(group_col).eqNullSafe(F.lit(g[0]))
             st["buckets"] = _hash_histogram(hd, gcols, st["lo"], st["shift"], extra).get(g, {})
@@ -111,9 +124,9 @@ def select_first_k(df: DataFrame, key_cols: list[str], k, group_col: str | None
         if kk >= n:
             sel = sel | gc
         elif kk > 0:
-            lo, hcut = cuts[g]
-            sel = sel | (gc & ((F.col("__hv") < F.lit(lo)) | ((F.col("__hv") >= F.lit(lo)) & (F.col("__h") <= F.lit(hcut)))))
-    return hd.withColumn(flag, sel).drop("__h", "__hv")
+            key_cut, row_cut = cuts[g][:32], cuts[g][32:]
+            sel = sel | (gc & ((F.col("__key") < F.lit(key_cut)) | ((F.col("__key") == F.lit(key_cut)) & (row_hash <= F.lit(row_cut)))))
+    return hd.withColumn(flag, sel).drop("__key")
 
 
 def split_random(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = 42) -> DataFrame:

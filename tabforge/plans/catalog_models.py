@@ -33,7 +33,7 @@ def fit_flagship(train):
 
 def flagship_scored(spark, sf):
     raw = I.lineitem_keyed_nulls(spark, sf)
-    split = I.keep_if_small(sample.split_random(raw, ["l_key"], 0.2, 42))
+    split = I.kept(sample.split_random(raw, ["l_key"], 0.2, 42))
     train, test = sample.train_test(split)
     pipe, prepared = fit_flagship(train.drop("l_key"))
     nb = GaussianNB().fit(prepared, FLAG_FEATURES, TARGET)
@@ -506,7 +506,7 @@ def q_preset_rows(spark, sf):
 
 def _clf_data(spark, sf):
     li = I.lineitem_keyed(spark, sf)
-    split = I.keep_if_small(sample.split_random(li, ["l_key"], 0.2, 42))
+    split = I.kept(sample.split_random(li, ["l_key"], 0.2, 42))
     return sample.train_test(split)
 
 

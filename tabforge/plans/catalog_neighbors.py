@@ -37,7 +37,7 @@ def q_clf_knn(spark, sf):
     """The five nearest train orders by customer number and price vote on the priority of each test order."""
     o = I.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("o_custkey"),
                                             (F.col("o_totalprice") / 100.0).alias("price"), "o_orderpriority")
-    train, test = sample.train_test(I.keep_if_small(sample.split_random(o, ["o_orderkey"], 0.2, 42)))
+    train, test = sample.train_test(I.kept(sample.split_random(o, ["o_orderkey"], 0.2, 42)))
     m = NeighborModel("clf_knn", {"n_neighbors": 5}).fit(train, ["o_custkey", "price"], "o_orderpriority", "o_orderkey")
     return rounded(m.transform(test, key="o_orderkey").select("o_orderkey", "o_orderpriority", "prediction", "confidence"))
 
@@ -146,7 +146,7 @@ cu AS (SELECT sc.*, P, N, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, lead(pos
 def knn_scored(spark, sf):
     o = I.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("o_custkey"),
                                             (F.col("o_totalprice") / 100.0).alias("price"), "o_orderpriority")
-    train, test = sample.train_test(I.keep_if_small(sample.split_random(o, ["o_orderkey"], 0.2, 42)))
+    train, test = sample.train_test(I.kept(sample.split_random(o, ["o_orderkey"], 0.2, 42)))
     m = NeighborModel("clf_knn", {"n_neighbors": 5}).fit(train, ["o_custkey", "price"], "o_orderpriority", "o_orderkey")
     return m.transform(test, key="o_orderkey"), m.classes
 

@@ -7,7 +7,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table_path
+from ..session import table_path, written
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,28 +17,34 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 SMALL_INPUT_BYTES = 1 << 30
 
 
-def keep_if_small(df: DataFrame) -> DataFrame:
-    """Persist a derived frame that several fits will scan, when Catalyst's size estimate is at
-    most ``SMALL_INPUT_BYTES``; larger frames are recomputed from the files by each job."""
+#: Up to this estimate a table that several jobs scan is held in memory.
+KEPT_BYTES = 128 << 20
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A derived frame that several fits will scan: persisted when Catalyst's size estimate is at most
+    ``KEPT_BYTES``; a larger one is written once to the shared folder, so that the jobs neither compute it
+    again nor hold it in memory, and read only the columns they use."""
     from ..functions.order_stats import estimated_bytes
-    if estimated_bytes(df) <= SMALL_INPUT_BYTES:
+    if estimated_bytes(df) <= KEPT_BYTES:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+    return written(df, "kept")
 
 
 def rebalance(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer partitions than the cluster has cores (a file holding a
     single parquet row group is read by one task). Such an input whose Catalyst size estimate
-    is at most ``SMALL_INPUT_BYTES`` is also kept (memory, spilling to disk) since the fits
-    pass over it several times; lost blocks are recomputed from the files. Scans of large
+    is at most ``SMALL_INPUT_BYTES`` is also kept (up to ``KEPT_BYTES`` in memory, beyond that on disk) since the
+    fits pass over it several times; lost blocks are recomputed from the files. Scans of large
     inputs already have many splits and are returned untouched."""
     from ..functions.order_stats import estimated_bytes
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
     spread = df.repartition(target)
-    if estimated_bytes(df) <= SMALL_INPUT_BYTES:
-        spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
+    size = estimated_bytes(df)
+    if size <= SMALL_INPUT_BYTES:
+        spread = spread.persist(StorageLevel.MEMORY_AND_DISK if size <= KEPT_BYTES else StorageLevel.DISK_ONLY)
     return spread
 
 

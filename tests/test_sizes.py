@@ -48,3 +48,30 @@ def test_votes_of_parts_are_those_of_their_trees(spark, monkeypatch):
         votes.append(sum(p.predictRaw(Vectors.dense(r.a, r.b)).toArray() for p in [m.model, *m.more]))
     got = [r.probability for r in m.transform(at).orderBy("id").collect()]
     assert np.allclose(got, np.array(votes) / 8)
+
+
+def test_linear_classifier_of_a_large_table(spark, monkeypatch):
+    rows = _two_classes(spark)
+    plain = SparkModel("clf_svm", {"max_iter": 20}).fit(rows, ["a", "b"], "y").transform(rows)
+    monkeypatch.setattr(spark_ml, "TABLE_BYTES", 0)
+    large = SparkModel("clf_svm", {"max_iter": 20}).fit(rows, ["a", "b"], "y").transform(rows)
+    assert plain.select("id", F.col("prediction").alias("p")).join(large, "id").where("p = prediction").count() == 400
+
+
+def test_large_derived_table_is_written_and_not_held(spark, monkeypatch):
+    rows = spark.range(20).withColumn("k", F.col("id") % 3)
+    monkeypatch.setattr(inputs, "KEPT_BYTES", 0)
+    out = inputs.kept(rows)
+    assert out.storageLevel == StorageLevel.NONE and out.inputFiles()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_first_rows_by_hash_digits(spark, monkeypatch):
+    rows = spark.createDataFrame([(i // 2, f"v{i}") for i in range(600)] + [(None, "x")], "k int, v string")
+    for limit in (200_000, 2):  # the second needs narrower buckets
+        monkeypatch.setattr(sample, "COLLECT_LIMIT", limit)
+        got = sample.select_first_k(rows, ["k"], 101)
+        assert got.columns == ["k", "v", "__sel"]
+        order = F.concat(sample.seeded_hash(["k"], 42), F.lpad(F.hex(F.xxhash64("k", "v")), 16, "0"))
+        want = sorted(r.h for r in rows.select(order.alias("h")).collect())[:101]
+        assert sorted(r.h for r in got.where("__sel").select(order.alias("h")).collect()) == want
