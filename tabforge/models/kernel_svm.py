@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sums import minimise, rows_of, sum_vectors
+from ..session import written
 from .calibration import fit_calibration, probabilities
+from .spark_ml import TABLE_BYTES
 
 #: Width of the bend between no loss and linear loss, in standard deviations of the target: from coarse to fine.
 BENDS = (1e-1, 1e-2, 1e-3)
@@ -74,6 +76,18 @@ def _spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def feature_count(kernel: str, d: int, degree: int, n_components: int) -> int:
+    """How many coordinates ``feature_map`` gives."""
+    return {"linear": d, "poly": math.comb(d + degree - 1, degree)}.get(kernel, n_components)
+
+
+def one_vs_rest(estimator: C.OneVsRest, data: DataFrame, classes: int) -> C.OneVsRestModel:
+    """``estimator.fit(data)`` without the copy of the whole table that it keeps beside the blocks of each class's fit."""
+    svc, label = estimator.getClassifier(), estimator.getLabelCol()
+    each = [svc.fit(data.withColumn(label, F.when(F.col(label) == float(i), 1.0).otherwise(0.0))) for i in range(classes)]
+    return estimator._copyValues(C.OneVsRestModel(models=each))
+
+
 class KernelSVC:
     def __init__(self, kernel: str = "rbf", C_: float = 1.0, degree: int = 3, n_components: int = 200,
                  max_iter: int = 100, seed: int = 42):
@@ -91,20 +105,27 @@ class KernelSVC:
         self.gamma = gamma_scale(base, features)
         self.classes = sorted(r[0] for r in base.select(target).distinct().collect())
         m = F.create_map(*[x for i, c in enumerate(self.classes) for x in (F.lit(c), F.lit(float(i)))])
-        data = _spread(self._mapped(base.withColumn("__label", m[F.col(target)])).select("__features", "__label"))
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        n = data.count()
+        n = base.count()
+        large = n * feature_count(self.kernel, len(features), self.degree, self.D) * 8 > TABLE_BYTES
+        if large:  # what is kept are the features, not the many mapped coordinates, which each fit holds as blocks of its own
+            kept = _spread(base.select(*features, m[F.col(target)].alias("__label"))).persist(StorageLevel.DISK_ONLY)
+            data = self._mapped(kept).select("__features", "__label")
+        else:
+            kept = data = _spread(self._mapped(base.withColumn("__label", m[F.col(target)])).select("__features", "__label")).persist(StorageLevel.MEMORY_AND_DISK)
         svc = C.LinearSVC(featuresCol="__features", labelCol="__label", regParam=1.0 / (self.C * n),
                           maxIter=self.max_iter, standardization=False)
         try:
             if len(self.classes) <= 2:
                 self.model = svc.fit(data)
             else:
-                self.model = C.OneVsRest(classifier=svc, featuresCol="__features", labelCol="__label").fit(data)
+                one = C.OneVsRest(classifier=svc, featuresCol="__features", labelCol="__label")
+                self.model = one_vs_rest(one, data, len(self.classes)) if large else one.fit(data)
             margins = self.model.transform(data).select(vector_to_array("rawPrediction").alias("margins"), F.col("__label").alias("label"))
+            if large:  # the Newton steps pass over the margins alone
+                margins = written(margins, "margins")
             self.calibration = fit_calibration(margins, max(2, len(self.classes)))
         finally:
-            data.unpersist()
+            kept.unpersist()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -50,6 +50,18 @@ def test_votes_of_parts_are_those_of_their_trees(spark, monkeypatch):
     assert np.allclose(got, np.array(votes) / 8)
 
 
+def test_kernel_classifier_of_a_large_table(spark, monkeypatch):
+    rows = _two_classes(spark).withColumn("y", F.when(F.col("b") > 9, "top").otherwise(F.col("y"))).withColumns({"a": F.col("a") / 20, "b": F.col("b") / 11})
+    plain = kernel_svm.KernelSVC(kernel="rbf", n_components=20, max_iter=20).fit(rows, ["a", "b"], "y").transform(rows)
+    seen = []
+    monkeypatch.setattr(kernel_svm, "written", lambda df, name: seen.append(name) or df)
+    monkeypatch.setattr(kernel_svm, "TABLE_BYTES", 0)
+    large = kernel_svm.KernelSVC(kernel="rbf", n_components=20, max_iter=20).fit(rows, ["a", "b"], "y").transform(rows)
+    assert seen == ["margins"]
+    same = plain.select("id", F.col("prediction").alias("p")).join(large, "id").where("p = prediction").count()
+    assert same >= 396
+
+
 def test_linear_classifier_of_a_large_table(spark, monkeypatch):
     rows = _two_classes(spark)
     plain = SparkModel("clf_svm", {"max_iter": 20}).fit(rows, ["a", "b"], "y").transform(rows)
