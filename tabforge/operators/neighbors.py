@@ -87,6 +87,24 @@ def squared_distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_distances(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The same for the pairs (``i``, ``j``) alone."""
+    out = np.zeros(len(i))
+    for c in range(q.shape[1]):
+        out += (q[i, c] - x[j, c]) ** 2
+    return out
+
+
+def rough_distances(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances as one matrix product, and for each query by how much any of them may be off: who is
+    surely farther need not be compared feature by feature."""
+    qq, xx = (q * q).sum(axis=1), (x * x).sum(axis=1)
+    room = 1e-14 * (q.shape[1] + 8) * (qq + xx.max())
+    if not np.isfinite(room).all():
+        return squared_distances(q, x), np.zeros(len(q))
+    return qq[:, None] + xx[None, :] - 2 * (q @ x.T), room
+
+
 def box_distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared distance of each query to the nearest place of each box."""
     out = np.zeros((len(q), len(low)))
@@ -137,21 +155,22 @@ def _compared(pairs: DataFrame, points: DataFrame, k: int, width: int, exclude_s
             part = qs[a:a + max(1, _PAIRS // max(1, len(xs)))]
             if not len(xs):
                 break
-            d2 = squared_distances(part, xs)
+            near, room = rough_distances(part, xs)
             if exclude_self:
                 for i, v in enumerate(q.column("id").slice(a, len(part)).to_pylist()):
                     if v in place:
-                        d2[i, place[v]] = np.inf
+                        near[i, place[v]] = np.inf
             m = min(k, len(xs)) - 1
-            most = np.minimum(np.partition(d2, m, axis=1)[:, m], bounds[a:a + len(part)])
-            i, j = np.nonzero((d2 <= most[:, None]) & np.isfinite(d2))
-            by = np.lexsort((j, d2[i, j], i))
-            i, j = i[by], j[by]
+            most = np.minimum(np.partition(near, m, axis=1)[:, m] + 2 * room, bounds[a:a + len(part)] + room)
+            i, j = np.nonzero((near <= most[:, None]) & np.isfinite(near))
+            d2 = pair_distances(part, xs, i, j)
+            by = np.lexsort((j, d2, i))
+            by = by[(d2[by] <= bounds[a:a + len(part)][i[by]]) & np.isfinite(d2[by])]
+            i, j, d2 = i[by], j[by], d2[by]
             rank = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j = i[rank < k], j[rank < k]
-            rows.append(i + a)
-            cols.append(j)
-            dist.append(d2[i, j])
+            rows.append(i[rank < k] + a)
+            cols.append(j[rank < k])
+            dist.append(d2[rank < k])
         rows, cols, dist = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((rows, np.int64), (cols, np.int64), (dist, float)))
         at = pa.array(cols.astype(np.int64))
         items = pa.StructArray.from_arrays([pa.array(dist), x.column("pid").combine_chunks().take(at), x.column("value").combine_chunks().take(at)],
@@ -160,6 +179,11 @@ def _compared(pairs: DataFrame, points: DataFrame, k: int, width: int, exclude_s
         lists = pa.ListArray.from_arrays(pa.array(offsets), items)
         return pa.table({"id": q.column("id"), "own": q.column("cell"), "vec": q.column("vec"), "found": lists})
 
+    # comparing takes time, not bytes: a task gets one cell and share or a few, however few bytes they are
+    total = sum(shares.get(c, 1) for c in counts)
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(total, MAX_LEAVES))
+    if total > 1:
+        pairs, points = (t.repartition(tasks, "cell", "share") for t in (pairs, points))
     both = pairs.groupBy("cell", "share").cogroup(points.groupBy("cell", "share"))
     return both.applyInArrow(run, f"id {id_type}, own int, vec array<double>, found {found}")
 

@@ -87,3 +87,22 @@ def test_first_rows_by_hash_digits(spark, monkeypatch):
         order = F.concat(sample.seeded_hash(["k"], 42), F.lpad(F.hex(F.xxhash64("k", "v")), 16, "0"))
         want = sorted(r.h for r in rows.select(order.alias("h")).collect())[:101]
         assert sorted(r.h for r in got.where("__sel").select(order.alias("h")).collect()) == want
+
+
+def test_rough_distances_lose_no_neighbour(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(60, 8)), 1e6 + rng.normal(size=(60, 8)) * 1e-3, np.repeat(rng.normal(size=(3, 8)), 5, axis=0)])
+    q = x[::4]
+    near, room = neighbors.rough_distances(q, x)
+    exact = neighbors.squared_distances(q, x)
+    assert (np.abs(near - exact) <= room[:, None]).all()
+    i, j = np.nonzero(exact >= 0)
+    assert (neighbors.pair_distances(q, x, i, j).reshape(exact.shape) == exact).all()
+    huge, none = neighbors.rough_distances(q * 1e160, x)
+    assert (none == 0).all() and huge.shape == exact.shape
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id int, " + ", ".join(f"c{d} double" for d in range(8)))
+    got = neighbors.nearest_squared(points.where("id % 4 = 0"), points, [f"c{d}" for d in range(8)], 4, "id", "id", leaf_rows=20)
+    for r in got.collect():
+        d = exact[r.id // 4]
+        want = sorted(range(len(x)), key=lambda n: (d[n], n))[:4]
+        assert [f.id for f in r.found] == want and [f.d2 for f in r.found] == [d[n] for n in want]
