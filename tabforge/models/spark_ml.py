@@ -7,8 +7,9 @@ bounded class list) and predictions decoded back, so every model has the same ou
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
@@ -24,6 +25,8 @@ MAX_TREE_DEPTH = 30  # Spark's tree depth limit; deeper requests are clamped, wh
 
 #: A forest's fit holds a number for each row and tree; one fit takes as many trees as stay below this (all of them, on smaller tables).
 TREE_BYTES = 2 << 30
+#: Restarts of k-means at a time.
+PARALLEL_FITS = 5
 #: A training table of up to so many bytes of numbers is held in memory, a larger one on disk: the learners hold a copy of their own.
 TABLE_BYTES = 512 << 20
 
@@ -227,16 +230,18 @@ class SparkModel:
 
 
 def fit_kmeans(df: DataFrame, features: list[str], k: int = 3, restarts: int = 10, seed: int = 42):
-    """k-means|| for seeds seed..seed+restarts-1 on a cached vector table; lowest cost wins."""
-    data = _assemble(df, features).cache()
-    best = None
-    for s in range(seed, seed + restarts):
+    """k-means|| for seeds seed..seed+restarts-1 on one cached vector table; lowest cost wins (of equal ones the
+    first seed). The restarts run side by side: a step is a short job whose last task the others need not wait for."""
+    data = _assemble(df, features).select("__features").cache()
+
+    def one(s):
         m = K.KMeans(featuresCol="__features", predictionCol="Cluster", k=k, seed=s, maxIter=300, tol=1e-6).fit(data)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
+        return m.summary.trainingCost, m
+
+    with ThreadPoolExecutor(min(restarts, PARALLEL_FITS)) as pool:
+        found = list(pool.map(inheritable_thread_target(df.sparkSession)(one), range(seed, seed + restarts)))
     data.unpersist()
-    return best[1]
+    return min(found, key=lambda f: f[0])[1]
 
 
 def kmeans_assign(model, df: DataFrame, features: list[str]) -> DataFrame:

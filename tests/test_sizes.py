@@ -70,6 +70,16 @@ def test_linear_classifier_of_a_large_table(spark, monkeypatch):
     assert plain.select("id", F.col("prediction").alias("p")).join(large, "id").where("p = prediction").count() == 400
 
 
+def test_restarts_side_by_side_keep_the_lowest_cost(spark):
+    from pyspark.ml.clustering import KMeans
+    rows = spark.range(60).select("id", (F.col("id") % 6 * 10 + F.rand(1)).alias("x"), (F.col("id") % 3 * 5 + F.rand(2)).alias("y"))
+    rows.cache()
+    m = spark_ml.fit_kmeans(rows, ["x", "y"], k=4, restarts=6)
+    data = spark_ml._assemble(rows, ["x", "y"])
+    costs = [KMeans(featuresCol="__features", k=4, seed=s, maxIter=300, tol=1e-6).fit(data).summary.trainingCost for s in range(42, 48)]
+    assert abs(m.summary.trainingCost - min(costs)) < 1e-9
+
+
 def test_large_derived_table_is_written_and_not_held(spark, monkeypatch):
     rows = spark.range(20).withColumn("k", F.col("id") % 3)
     monkeypatch.setattr(inputs, "KEPT_BYTES", 0)
