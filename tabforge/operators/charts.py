@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.exprs import number, seeded_hash
 from ..functions.gram import moments
 from ..functions.order_stats import quantiles
+from ..session import written
 
 
 LARGE_GROUP = 2_000_000  # rows of a group whose quartiles one task may find
+BROADCAST_GROUPS = 100_000  # a table of quartiles of so many groups goes to every task
 GROUP_BLOCK = 1_000  # larger groups taken at a time
 
 
@@ -32,23 +35,27 @@ def histogram(df: DataFrame, col: str, bins: int = 30, group: str | None = None)
                       *([group] if group else []), "count")
 
 
-def _group_quartiles(base: DataFrame, method: str) -> DataFrame:
-    """(g, q1, median, q3) of ``v`` for any number of groups. Groups of up to ``LARGE_GROUP`` rows
-    are an aggregate that stays in Spark; larger ones, a few for each billion rows, go in blocks
-    through the order statistics, whose memory does not grow with a group."""
+def _group_quartiles(base: DataFrame, method: str) -> list[tuple[DataFrame, DataFrame]]:
+    """``v`` with (g, q1, median, q3) of any number of groups, as pairs of rows and quartiles to be joined by ``g``.
+    Groups of up to ``LARGE_GROUP`` rows are an aggregate that stays in Spark; larger ones, a few for each
+    billion rows, go in blocks through the order statistics, whose memory does not grow with a group. What is
+    known of large groups is broadcast: their rows are never brought together in one task."""
     spark, schema = base.sparkSession, f"g {base.schema['g'].dataType.simpleString()}, q1 double, median double, q3 double"
-    sizes = base.groupBy("g").agg(F.count("*").alias("n"))
-    many = [r.g for r in sizes.filter(F.col("n") > (0 if method == "select" else LARGE_GROUP)).select("g").collect()]
+    sizes, limit = base.groupBy("g").agg(F.count("*").alias("n")), 0 if method == "select" else LARGE_GROUP
+    r = sizes.agg(F.count_if(F.col("n") <= limit).alias("few"), F.collect_list(F.when(F.col("n") > limit, F.struct("g"))).alias("many")).first()
+    many = [x.g for x in r.many]
     held = spark.createDataFrame([(g,) for g in many], base.select("g").schema).withColumnRenamed("g", "k")
-    few = base.join(held, base.g.eqNullSafe(held.k), "left_anti") if many else base
-    p = F.percentile("v", [0.25, 0.5, 0.75])
-    out = few.groupBy("g").agg(p.alias("p")).select("g", *[F.col("p")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    out = []
+    if r.few or not many:
+        few = base.join(F.broadcast(held), base.g.eqNullSafe(held.k), "left_anti") if many else base
+        p = F.percentile("v", [0.25, 0.5, 0.75])
+        out.append((few, few.groupBy("g").agg(p.alias("p")).select("g", *[F.col("p")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])))
     for at in range(0, len(many), GROUP_BLOCK):
         block = spark.createDataFrame([(g,) for g in many[at:at + GROUP_BLOCK]], held.schema)
-        rows = base.join(block, base.g.eqNullSafe(block.k), "left_semi")
+        rows = base.join(F.broadcast(block), base.g.eqNullSafe(block.k), "left_semi")
         q = quantiles(rows, ["v"], [0.25, 0.5, 0.75], group_cols=["g"], method="select")
         found = [(g, *[q[("v", (g,), x)] for x in (0.25, 0.5, 0.75)]) for g in many[at:at + GROUP_BLOCK]]
-        out = out.union(spark.createDataFrame(found, schema))
+        out.append((rows, F.broadcast(spark.createDataFrame(found, schema))))
     return out
 
 
@@ -58,12 +65,12 @@ def box_stats(df: DataFrame, y: str, by: str | None = None, whisker: float = 1.5
     number of points beyond them, per group of ``by``."""
     base = df.select((F.col(by) if by else F.lit(None).cast("string")).alias("g"), number(y).alias("v")).where(F.col("v").isNotNull())
     if by:
-        qdf = _group_quartiles(base, quantile_method)
+        parts = _group_quartiles(base, quantile_method)
     else:
         q = quantiles(base, ["v"], [0.25, 0.5, 0.75], method=quantile_method)
-        qdf = df.sparkSession.createDataFrame([(None, *[q[("v", (), p)] for p in (0.25, 0.5, 0.75)])],
-                                              "g string, q1 double, median double, q3 double")
-    j = base.join(qdf, base.g.eqNullSafe(qdf.g)).drop(qdf.g)  # one row per group
+        parts = [(base, F.broadcast(df.sparkSession.createDataFrame([(None, *[q[("v", (), p)] for p in (0.25, 0.5, 0.75)])],
+                                                                    "g string, q1 double, median double, q3 double")))]
+    j = reduce(DataFrame.unionByName, [rows.join(q.withColumnRenamed("g", "k"), F.col("g").eqNullSafe(F.col("k"))).drop("k") for rows, q in parts])
     lo_f = F.col("q1") - whisker * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + whisker * (F.col("q3") - F.col("q1"))
     out = j.groupBy("g", "q1", "median", "q3").agg(
@@ -76,7 +83,8 @@ def box_stats(df: DataFrame, y: str, by: str | None = None, whisker: float = 1.5
 def box_outliers(df: DataFrame, y: str, box: DataFrame, by: str | None = None) -> DataFrame:
     """The outlier points themselves (every one of them; the caller may sample for display)."""
     key = by or "group"
-    b = box.select(F.col(key).alias("__g"), "q1", "q3")
+    b = written(box.select(F.col(key).alias("__g"), "q1", "q3"), "box")  # one row per group
+    b = F.broadcast(b) if b.count() <= BROADCAST_GROUPS else b
     base = df.select((F.col(by) if by else F.lit(None).cast("string")).alias("__k"), number(y).alias(y))
     j = base.join(b, base.__k.eqNullSafe(b.__g))
     iqr = F.col("q3") - F.col("q1")

@@ -99,6 +99,19 @@ def test_first_rows_by_hash_digits(spark, monkeypatch):
         assert sorted(r.h for r in got.where("__sel").select(order.alias("h")).collect()) == want
 
 
+def test_box_stats_do_not_bring_a_large_group_together(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", float(i % 50)) for i in range(300)] + [("b", float(i)) for i in range(9)] + [(None, 1.0), (None, 5.0), ("b", None)],
+                                 "g string, v double")
+    want = sorted(map(str, charts.box_stats(rows, "v", "g").collect()))
+    monkeypatch.setattr(charts, "LARGE_GROUP", 5)
+    large = charts.box_stats(rows, "v", "g")
+    assert sorted(map(str, large.collect())) == want
+    monkeypatch.setattr(charts, "LARGE_GROUP", 0)
+    plan = charts.box_stats(rows, "v", "g")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert charts.box_outliers(rows, "v", large, "g").isEmpty()
+
+
 def test_rough_distances_lose_no_neighbour(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(60, 8)), 1e6 + rng.normal(size=(60, 8)) * 1e-3, np.repeat(rng.normal(size=(3, 8)), 5, axis=0)])
