@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import missing, seeded_hash
 from ..functions.order_stats import quantiles
+from ..session import written
 
 EULER = 0.5772156649015329
 
@@ -109,7 +110,8 @@ def fit_isolation_forest(df: DataFrame, cols: list[str], key_cols: list[str], n_
                                                  r["size"], r["depth"]))
     model = {"cols": list(cols), "psi": psi, "d": d,
              "trees": [sorted(forest[t]) for t in sorted(forest)], "cut": None}
-    scored = score_isolation_forest(complete, model)
+    # the quantile takes several passes: the scores are written, so that the trees are walked once for all of them
+    scored = written(score_isolation_forest(complete.select(*cols), model).select("anomaly_score"), "forest-scores")
     q = quantiles(scored, ["anomaly_score"], [1.0 - contamination])
     model["cut"] = q[("anomaly_score", (), 1.0 - contamination)]
     return model

@@ -112,6 +112,17 @@ def test_box_stats_do_not_bring_a_large_group_together(spark, monkeypatch):
     assert charts.box_outliers(rows, "v", large, "g").isEmpty()
 
 
+def test_forest_scores_are_made_once_for_the_cut(spark, monkeypatch):
+    rows = spark.range(200).select("id", (F.col("id") % 17).cast("double").alias("x"), F.rand(3).alias("y"))
+    made = []
+    keep = iforest.written
+    monkeypatch.setattr(iforest, "written", lambda df, name: made.append(name) or keep(df, name))
+    model = iforest.fit_isolation_forest(rows, ["x", "y"], ["id"], n_trees=5, max_samples=32)
+    assert made == ["forest-scores"]
+    scores = sorted(r.anomaly_score for r in iforest.score_isolation_forest(rows, model).collect())
+    assert abs(model["cut"] - np.quantile(scores, 0.95)) < 1e-9
+
+
 def test_rough_distances_lose_no_neighbour(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(60, 8)), 1e6 + rng.normal(size=(60, 8)) * 1e-3, np.repeat(rng.normal(size=(3, 8)), 5, axis=0)])
