@@ -51,11 +51,12 @@ def group_stats(long_df: DataFrame, gcols: list[str]) -> dict:
 
 
 def order_statistics(long_df: DataFrame, gcols: list[str], requests: dict, stats: dict | None = None,
-                     buckets: int = HIST_BUCKETS, collect_limit: int = COLLECT_LIMIT) -> dict:
+                     buckets: int = HIST_BUCKETS, collect_limit: int = COLLECT_LIMIT, columns: tuple | None = None) -> dict:
     """Exact k-th smallest (0-based) non-null ``v`` per group.
 
     long_df: columns ``gcols`` + ``v`` (double). requests: {group_tuple: iterable of k}.
-    Returns {(group_tuple, k): value}.
+    ``columns``: (table, names) that ``long_df`` is the ``long_form`` of, its groups being the places of the
+    names: a pass then takes from a row only what lies in a range. Returns {(group_tuple, k): value}.
     """
     spark = long_df.sparkSession
     base = long_df.where(F.col("v").isNotNull()).select(*gcols, "v")
@@ -107,6 +108,14 @@ def order_statistics(long_df: DataFrame, gcols: list[str], requests: dict, stats
             return spark.createDataFrame(data, schema)
 
         def joined(rs):
+            if columns:  # a range is one of few columns': literals instead of a join
+                wide, names = columns
+                entries = []
+                for r in rs:
+                    x, lo, hi = number(names[r[0][0]]), F.lit(r[1]), F.lit(r[2])
+                    entry = F.struct(F.lit(rid[r]).cast("long").alias("rid"), x.alias("v"), lo.alias("lo"), hi.alias("hi"))
+                    entries.append(F.when((x >= lo) & (x <= hi), entry))
+                return wide.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
             rdf = F.broadcast(ranges_df(rs))  # bounded: one row per open range
             rdf = rdf.toDF("rid", *[f"__r{i}" for i in range(len(gcols))], "lo", "hi")
             same = [F.col(g).eqNullSafe(F.col(f"__r{i}")) for i, g in enumerate(gcols)]
@@ -210,7 +219,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], group_cols: li
             a, b, w = quantile_ranks(n, p)
             requests[g].update((a, b))
             plan[(g, p)] = (a, b, w)
-    vals = order_statistics(long, gcols, requests, stats)
+    vals = order_statistics(long, gcols, requests, stats, columns=None if group_cols else (df, cols))
     for (g, p), (a, b, w) in plan.items():
         va, vb = vals[(g, a)], vals[(g, b)]
         out[(cols[g[0]], g[1:], p)] = va + (vb - va) * w

@@ -56,7 +56,7 @@ def winsor_bounds(df: DataFrame, cols: list[str], lower_pct: float = 0.05, upper
         lo_r, hi_r = min(lo_r, n - 1), max(min(hi_r, n - 1), 0)
         req[(ci,)] = {lo_r, hi_r}
         plan[ci] = (lo_r, hi_r)
-    vals = order_statistics(long, ["__c"], req, stats)
+    vals = order_statistics(long, ["__c"], req, stats, columns=(df, cols))
     return {cols[ci]: (vals[((ci,), a)], vals[((ci,), b)]) for ci, (a, b) in plan.items()}
 
 

@@ -140,3 +140,14 @@ def test_rough_distances_lose_no_neighbour(spark):
         d = exact[r.id // 4]
         want = sorted(range(len(x)), key=lambda n: (d[n], n))[:4]
         assert [f.id for f in r.found] == want and [f.d2 for f in r.found] == [d[n] for n in want]
+
+
+def test_order_statistics_by_columns_are_those_of_the_long_form(spark):
+    from tabforge.functions.order_stats import long_form, order_statistics, quantiles
+    rows = spark.createDataFrame([(float(i * i % 997), i % 40, None if i % 3 else float(-i)) for i in range(2000)] + [(float("nan"), None, 1e300)],
+                                 "a double, b int, c double")
+    cols, want = ["a", "b", "c"], {(0,): [0, 500, 1999], (1,): [7, 1000], (2,): [0, 333, 667]}
+    long = long_form(rows, cols)
+    plain = order_statistics(long, ["__c"], want, buckets=16, collect_limit=20)
+    assert order_statistics(long, ["__c"], want, buckets=16, collect_limit=20, columns=(rows, cols)) == plain
+    assert quantiles(rows, cols, [0.1, 0.5], method="select") == quantiles(rows, cols, [0.1, 0.5], method="builtin")
