@@ -5,7 +5,7 @@ does not count); a line of fewer words has one token, all of it. A line is remov
 line, in the order of document id and line number, has a Jaccard similarity of 0.8 or more.
 Lines without a word are kept.
 
-The join: lines with equal token sets are one class, named by its first line. Tokens are ordered
+The join: lines with equal words are one class, named by its first line. Tokens are ordered
 by rarity (counts of all tokens in a table of fixed size, so ranks are shared by the tokens of a
 cell; any total order gives the same result). With ``n`` tokens, two similar lines share one of
 the first ``n - ceil(0.8 n) + 1`` of each (prefix filter); the position of the first shared one
@@ -35,6 +35,8 @@ from .common import drop_written, free_name, written
 SHINGLE = 5
 NUM, DEN = 4, 5  # least similarity
 CELLS = 1 << 14
+#: Bits of a token below its rank, in prefixes.
+TOKEN_BITS = 48
 #: A bit table has 16 bits for each value, and at most so many words of 64.
 FILTER_WORDS = 1 << 20
 _ID = ["_ld_doc", "_ld_th", "_ld_line"]
@@ -56,7 +58,10 @@ def _shingle(words: Column, i: Column) -> Column:
 
 
 def _tokens(words: Column) -> Column:
-    parts = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: _shingle(words, i))
+    # the line's words are a variable of a lambda function: those of a column would be read from the row for each look-up
+    def shingles(line: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(line) - SHINGLE), lambda i: _shingle(line, i))
+    parts = F.get(F.transform(F.array(words), shingles), 0)
     return F.when(F.size(words) >= SHINGLE, F.array_distinct(parts)).otherwise(F.array(F.xxhash64(words)))
 
 
@@ -105,10 +110,10 @@ class _Filter:
 
 
 def _ranks(stats: DataFrame) -> Column:
-    """Rank of each cell by its count, on a fine logarithmic scale, as a constant array."""
-    rank = F.least(F.lit(32767), F.round(F.log2(F.col("c") + 1) * 500)).cast("int")
+    """Rank of each cell by its count, on a fine logarithmic scale and in the bits above those of a token, as a constant array."""
+    rank = F.least(F.lit(32767), F.round(F.log2(F.col("c") + 1) * 500)).cast("long")
     found = {r.k: r.r for r in stats.select("k", rank.alias("r")).collect()}
-    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(CELLS))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(str(found.get(i, 0) << TOKEN_BITS) for i in range(CELLS))), ",").cast("array<bigint>")
 
 
 def _cell(token: Column) -> Column:
@@ -170,20 +175,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_ld_doc, _ld_th, lines): numbers of the lines to remove, for documents that have any."""
     ranks = _ranks(cell_counts(_words_of_lines(docs, id_col, text_col)))
-    ordered = F.sort_array(F.transform("h", lambda x: F.shiftleft(F.coalesce(F.get(ranks, _cell(x).cast("int")), F.lit(0)).cast("long"), 48)
-                                       .bitwiseOR(x.bitwiseAND(F.lit((1 << 48) - 1)))))
+    ordered = F.sort_array(F.transform("h", lambda x: F.coalesce(F.get(ranks, _cell(x).cast("int")), F.lit(0)).bitwiseOR(
+        x.bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)))))
     size = (F.col("n") - F.floor((NUM * F.col("n") + DEN - 1) / DEN) + 1).cast("int")
-    start = F.slice("words", 1, SHINGLE)  # the words of a single token
-    lines = _words_of_lines(docs, id_col, text_col).select(*_ID, start.alias("start"), _tokens(F.col("words")).alias("h"))
-    lines = lines.select(*_ID, "start", F.size("h").alias("n"), ordered.alias("s"), F.sort_array("h").alias("f"))
-    lines = lines.select(*_ID, F.xxhash64("f").alias("k"), F.when(F.col("n") == 1, F.hash("start")).otherwise(F.hash("f")).alias("w"),
-                         "n", _parity("s").alias("bits"),
-                         F.slice("s", 1, size).alias("prefix"))
+    lines = _words_of_lines(docs, id_col, text_col)
+    lines = lines.select(*_ID, F.xxhash64("words").alias("k"), F.hash("words").alias("w"), _tokens(F.col("words")).alias("h"))
+    lines = lines.select(*_ID, *_KEY, F.size("h").alias("n"), ordered.alias("s"))
+    lines = lines.select(*_ID, *_KEY, "n", _parity("s").alias("bits"), F.slice("s", 1, size).alias("prefix"))
     lines = written(lines, "line-prefixes")
 
-    # ``k`` and ``w``, 96 bits of hash of the set of whole tokens (of the words if there is one token), name a class;
-    # the 48 bits of a token in ``s`` serve prefixes only. A class is represented by its first line; only classes of
-    # several lines need a look-up
+    # ``k`` and ``w``, 96 bits of hash of the words, name a class; the 48 bits of a token in ``s`` serve prefixes only.
+    # A class is represented by its first line; only classes of several lines need a look-up
     several = written(lines.groupBy(*_KEY).agg(F.count("*").alias("c")).filter("c > 1"), "line-classes")
     one = F.struct(*_ID)
     marked = _Filter(several, *_KEY).mark(lines, "held", *_KEY)
@@ -237,8 +239,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shorter = joined.withColumn("_ld_text", F.when(F.size("_ld_gone") > 0, kept).otherwise(F.col(text_col)))
     whole = d.filter(~hit).withColumn("_ld_gone", none).withColumn("_ld_text", F.col(text_col))
     out = shorter.select(*inner, "_ld_gone", "_ld_text").union(whole.select(*inner, "_ld_gone", "_ld_text"))
-    # a match runs from the first character of a word to the end of its line
-    with_words = F.coalesce(F.regexp_count(text_col, F.lit(r"[^ \t\x0b\x0c\r\n][^\n]*+")), F.lit(0))
+    blanks = F.lit(" " + _BLANKS)
+    with_words = F.size(F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n", -1), lambda line: F.ltrim(line, blanks) != ""))
     return out.select(*[F.col("_ld_text" if c == text_col else c).alias(n) for c, n in zip(inner, names)], with_words.alias(outer[0]), F.col("_ld_gone").alias(outer[1]))
 
 

@@ -459,6 +459,19 @@ def test_line_dedup_keeps_lines_whose_tokens_agree_in_48_bits(spark):
     assert {r.doc_id: r.text for r in linededup.dedup(docs).collect()} == {0: lines[0], 1: lines[1], 2: ""}
 
 
+def test_line_dedup_does_not_search_texts_by_pattern_or_read_a_line_for_each_word(spark):
+    turn = "a b c d e f g "
+    texts = [turn * 3, turn * 5, turn * 4 + "h", "\t\x0b\x0c\r \n \nx\r\n\u00a0\n" + turn, "", None, "A  B c d\te f g", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = linededup.dedup(docs)
+    got = {r.doc_id: (r._ld_lines, list(r._ld_gone)) for r in out.collect()}
+    # lines of other words with the same shingles are as similar as lines of the same words
+    assert got == {0: (1, []), 1: (1, [0]), 2: (1, [0]), 3: (3, []), 4: (0, []), 5: (0, []), 6: (1, [0]), 7: (1, [0])}
+    assert "regexp" not in out._jdf.queryExecution().analyzed().toString().lower()
+    sets = docs.select(F.split("text", " ").alias("words")).select(linededup._tokens(F.col("words")).alias("h"))
+    assert "get(words#" not in sets._jdf.queryExecution().analyzed().toString()
+
+
 def test_few_words_do_not_depend_on_length(spark):
     vocabulary = [f"w{i}" for i in range(45_000)]
     rnd = random.Random(2)
