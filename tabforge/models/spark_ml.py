@@ -17,14 +17,22 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written
+from .binned import Cells, bins_of, cells_of, fit_forest
 from .calibration import fit_calibration, probabilities
 
 MAX_TREE_DEPTH = 30  # Spark's tree depth limit; deeper requests are clamped, which param_table reports
 
 #: A forest's fit holds a number for each row and tree; one fit takes as many trees as stay below this (all of them, on smaller tables).
 TREE_BYTES = 2 << 30
+#: The forest of a classifier is grown from counts (``binned``) on a table of more rows than this.
+FOREST_ROWS = 1 << 17
+#: With so many training rows for each combination of bins, the predictions of all combinations are made once and looked up.
+ROWS_PER_ANSWER = 8
+#: Combinations of bins whose predictions are broadcast.
+BROADCAST_ANSWERS = 1 << 18
 #: Restarts of k-means at a time.
 PARALLEL_FITS = 5
 #: A training table of up to so many bytes of numbers is held in memory, a larger one on disk: the learners hold a copy of their own.
@@ -47,6 +55,7 @@ class SparkModel:
         self.classes: list = []
         self.model = None
         self.more: list = []  # further parts of a forest fitted in several, the first being ``model``
+        self.answers: tuple | None = None  # the predictions of a model grown from counts by combination of bins, and the cuts
         self.warnings: list[str] = []
         self.calibration: dict | None = None
 
@@ -123,6 +132,9 @@ class SparkModel:
             label = self._index(F.col(target))
         else:
             label = F.col(target).cast("double")
+        cells = self._cells(base, label, n)
+        if cells is not None:
+            return self._fit_cells(cells, n)
         data = _assemble(base.withColumn("__label", label), self.features).select("__features", "__label")
         par = data.sparkSession.sparkContext.defaultParallelism
         if data.rdd.getNumPartitions() < par:
@@ -149,6 +161,24 @@ class SparkModel:
             data.unpersist()
         return self
 
+    def _cells(self, base: DataFrame, label, n: int) -> Cells | None:
+        """The training table as counts, for the classifiers that are grown from them; None where it does not come to few enough."""
+        kinds = {f.name: f.dataType for f in base.schema.fields}
+        numbers = all(isinstance(kinds.get(c), (T.NumericType, T.BooleanType)) for c in self.features)
+        if not numbers or not (self.kind == "clf_random_forest" and n > FOREST_ROWS):
+            return None
+        names = [f"x{i}" for i in range(len(self.features))]
+        rows = base.select(*[F.col(c).cast("double").alias(x) for c, x in zip(self.features, names)], label.alias("label"))
+        return cells_of(rows, names, "label", len(self.classes), n)
+
+    def _fit_cells(self, cells: Cells, n: int) -> "SparkModel":
+        self.more, self.answers = [], None
+        self.model = fit_forest(cells, self._estimator(n, None, len(self.classes)))
+        if n >= ROWS_PER_ANSWER * math.prod(cells.shape):
+            out = self.model.transform(cells.grid())
+            self.answers = written(out.select("__bins", *[c for c in ("rawPrediction", "probability", "prediction") if c in out.columns]), "answers"), cells.cuts
+        return self
+
     def _forest_parts(self, n: int) -> list[int]:
         """How many trees of a forest each fit grows."""
         if not self.kind.endswith("random_forest"):
@@ -176,6 +206,12 @@ class SparkModel:
         return df.select(*cols, array_to_vector(F.transform("__votes", lambda v: v / total)).alias("probability"),
                          (F.array_position("__votes", F.array_max("__votes")) - 1).cast("double").alias("prediction"))
 
+    def _looked_up(self, df: DataFrame) -> DataFrame:
+        """What the model predicts for a row: the same as for any other with its bins."""
+        found, cuts = self.answers
+        small = math.prod(len(c) + 1 for c in cuts) <= BROADCAST_ANSWERS
+        return bins_of(df, "__features", cuts).join(F.broadcast(found) if small else found, "__bins").drop("__bins")
+
     def _index(self, col):
         m = F.create_map(*[x for i, c in enumerate(self.classes) for x in (F.lit(c), F.lit(float(i)))])
         return m[col]
@@ -183,7 +219,7 @@ class SparkModel:
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
         cols = df.columns
         rows = _assemble(df, self.features)
-        out = self._votes(rows) if self.more else self.model.transform(rows)
+        out = self._looked_up(rows) if self.answers else self._votes(rows) if self.more else self.model.transform(rows)
         keep = [F.col(c) for c in cols]
         if self.is_classifier:
             classes = F.array(*[F.lit(c) for c in self.classes])
