@@ -4,7 +4,7 @@ A tree compares a feature with one of at most 31 cuts, so all rows with the same
 it: what an ensemble learns from is how many rows of each class have each combination of bins (a cell). The cuts
 come from the values of all rows; one pass counts the cells, and their number is bounded by the bins, not by the
 rows. A bootstrap of a cell's n rows weighs it with a Poisson(n) number, as n rows with Poisson(1) each. The trees
-of a forest are dealt to tasks. What comes out is Spark's own model,
+of a forest are dealt to tasks; the boosted trees of each class are one task. What comes out is Spark's own model,
 loaded from its saved form, so predicting, saving and the importances are Spark's.
 """
 
@@ -126,6 +126,12 @@ class Cells:
             number = F.floor(number / self.shape[i])
         return array_to_vector(F.array(*reversed(x))).alias("__features")
 
+    def rows(self) -> DataFrame:
+        """A vector for each combination that occurs, with its classes and their numbers of rows (``__each``)."""
+        each = F.struct((F.col("cell") % self.classes).cast("double").alias("label"), F.col("n").cast("double").alias("n"))
+        by = self.table.groupBy(F.floor(F.col("cell") / self.classes).alias("__bins")).agg(F.collect_list(each).alias("__each"))
+        return by.select(self._inside(F.col("__bins")), "__each")
+
     def grid(self) -> DataFrame:
         """A vector for each combination there can be, with its number ``__bins``."""
         return self.table.sparkSession.range(math.prod(self.shape)).select(F.col("id").alias("__bins"), self._inside(F.col("id")))
@@ -162,6 +168,11 @@ def _gini(by_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return n, 1.0 - (by_class * by_class).sum(axis=-1) / np.maximum(n, 1.0) ** 2
 
 
+def _variance(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.maximum(sums[..., 0], 1.0)
+    return sums[..., 0], (sums[..., 2] - sums[..., 1] * sums[..., 1] / n) / n
+
+
 def grow(bins: np.ndarray, stats: np.ndarray, shape: list[int], impurity, depth: int, least: int, draw=None):
     """One tree, level by level. ``bins``: features x cells; ``stats``: cells x what ``impurity`` takes the (added up)
     numbers of; ``draw(nodes)``: which features the nodes of a level may split on. Returns the nodes, children after
@@ -301,3 +312,34 @@ def fit_forest(cells: Cells, estimator: C.RandomForestClassifier) -> C.RandomFor
     return _load(estimator, C.RandomForestClassificationModel, "classification.DecisionTreeClassificationModel", nodes, [1.0] * trees,
                  numFeatures=d, numClasses=classes, numTrees=trees)
 
+
+def fit_boosted(cells: Cells, estimator: C.GBTClassifier) -> list[C.GBTClassificationModel]:
+    """What ``estimator`` would fit to the rows of the cells: a model of each class against the rest, or of the second
+    of two classes. All rows of a cell have one prediction, so the residuals are those of its positive and negative rows."""
+    spark, cuts, shape, classes = cells.table.sparkSession, cells.cuts, cells.shape, cells.classes
+    trees, depth, rate, least = estimator.getMaxIter(), estimator.getMaxDepth(), estimator.getStepSize(), estimator.getMinInstancesPerNode()
+    held = spark.sparkContext.broadcast(cells.arrays())
+    targets = range(classes) if classes > 2 else range(1, 2)
+
+    def fold(batches):
+        bins, by_class = held.value
+        total = by_class.sum(axis=1).astype(float)
+        for b in batches:
+            for target in b.column(0).to_pylist():
+                pos = by_class[:, target].astype(float) if target < classes else np.zeros(len(total))
+                neg, at = total - pos, np.zeros(len(total))
+                up, down = np.ones(len(total)), -np.ones(len(total))
+                for number in range(trees):
+                    stats = np.stack([total, pos * up + neg * down, pos * up * up + neg * down * down], axis=1)
+                    tree, leaf = grow(bins, stats, shape, _variance, depth, least)
+                    prediction = tree[0][:, 1] / tree[0][:, 0]
+                    at += (rate if number else 1.0) * prediction[leaf]
+                    up, down = 4.0 / (1.0 + np.exp(2.0 * at)), -4.0 / (1.0 + np.exp(-2.0 * at))
+                    yield node_batch(target * trees + number, tree, cuts, prediction, _variance)
+
+    nodes = written(spark.range(targets.start, targets.stop, 1, len(targets)).mapInArrow(fold, NODES), "boosted")
+    weights = [1.0] + [rate] * (trees - 1)
+    own = F.col("treeID").between
+    return [_load(estimator, C.GBTClassificationModel, "regression.DecisionTreeRegressionModel",
+                  nodes.where(own(t * trees, t * trees + trees - 1)).withColumn("treeID", (F.col("treeID") - t * trees).cast("int")),
+                  weights, numFeatures=len(cuts), numTrees=trees) for t in targets]

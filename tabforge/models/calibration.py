@@ -20,27 +20,31 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_calibration(rows: DataFrame, classes: int, margins: str = "margins", label: str = "label") -> dict:
-    """``rows``: margins as an array of ``classes`` doubles and the class index as a double."""
+def fit_calibration(rows: DataFrame, classes: int, margins: str = "margins", label: str = "label",
+                    weight: str | None = None) -> dict:
+    """``rows``: margins as an array of ``classes`` doubles and the class index as a double; a row counts as ``weight`` rows."""
     k = classes
     theta = np.concatenate([np.ones(k), np.zeros(k)])
 
     def terms(theta):
         def of(batch):
             m, y = rows_of(batch, margins), batch.column(label).to_numpy(zero_copy_only=False).astype(int)
+            n = batch.column(weight).to_numpy(zero_copy_only=False) if weight else np.ones(len(y))
             p = _softmax(m * theta[:k] + theta[k:])
             d = p.copy()
             d[np.arange(len(y)), y] -= 1
+            d *= n[:, None]
             grad = np.concatenate([(d * m).sum(axis=0), d.sum(axis=0)])
             hess = np.zeros((2 * k, 2 * k))
             w = -np.einsum("ni,nj->nij", p, p)
             w[:, np.arange(k), np.arange(k)] += p
+            w *= n[:, None, None]
             hess[:k, :k] = np.einsum("nij,ni,nj->ij", w, m, m)
             hess[:k, k:] = np.einsum("nij,ni->ij", w, m)
             hess[k:, :k] = hess[:k, k:].T
             hess[k:, k:] = w.sum(axis=0)
-            loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).sum()
-            return np.concatenate([[loss, len(y)], grad, hess.ravel()])
+            loss = -(n * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))).sum()
+            return np.concatenate([[loss, n.sum()], grad, hess.ravel()])
 
         v = sum_vectors(rows, of, 2 + 2 * k + 4 * k * k)
         n = max(v[1], 1.0)

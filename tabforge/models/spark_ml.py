@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from .binned import Cells, bins_of, cells_of, fit_forest
+from .binned import Cells, bins_of, cells_of, fit_boosted, fit_forest
 from .calibration import fit_calibration, probabilities
 
 MAX_TREE_DEPTH = 30  # Spark's tree depth limit; deeper requests are clamped, which param_table reports
 
 #: A forest's fit holds a number for each row and tree; one fit takes as many trees as stay below this (all of them, on smaller tables).
 TREE_BYTES = 2 << 30
-#: The forest of a classifier is grown from counts (``binned``) on a table of more rows than this.
+#: The forest of a classifier is grown from counts (``binned``) on a table of more rows than this, boosted trees always.
 FOREST_ROWS = 1 << 17
 #: With so many training rows for each combination of bins, the predictions of all combinations are made once and looked up.
 ROWS_PER_ANSWER = 8
@@ -165,15 +165,23 @@ class SparkModel:
         """The training table as counts, for the classifiers that are grown from them; None where it does not come to few enough."""
         kinds = {f.name: f.dataType for f in base.schema.fields}
         numbers = all(isinstance(kinds.get(c), (T.NumericType, T.BooleanType)) for c in self.features)
-        if not numbers or not (self.kind == "clf_random_forest" and n > FOREST_ROWS):
+        if not numbers or not (self.kind == "clf_gbt" or self.kind == "clf_random_forest" and n > FOREST_ROWS):
             return None
         names = [f"x{i}" for i in range(len(self.features))]
         rows = base.select(*[F.col(c).cast("double").alias(x) for c, x in zip(self.features, names)], label.alias("label"))
         return cells_of(rows, names, "label", len(self.classes), n)
 
     def _fit_cells(self, cells: Cells, n: int) -> "SparkModel":
+        estimator, k = self._estimator(n, None, len(self.classes)), len(self.classes)
         self.more, self.answers = [], None
-        self.model = fit_forest(cells, self._estimator(n, None, len(self.classes)))
+        if self.kind == "clf_random_forest":
+            self.model = fit_forest(cells, estimator)
+        elif k <= 2:
+            self.model = fit_boosted(cells, estimator)[0]
+        else:
+            self.model = estimator._copyValues(C.OneVsRestModel(models=fit_boosted(cells, estimator.getClassifier())))
+            margins = self.model.transform(cells.rows()).select(vector_to_array("rawPrediction").alias("margins"), F.explode("__each").alias("each"))
+            self.calibration = fit_calibration(written(margins.select("margins", "each.*"), "margins"), k, weight="n")
         if n >= ROWS_PER_ANSWER * math.prod(cells.shape):
             out = self.model.transform(cells.grid())
             self.answers = written(out.select("__bins", *[c for c in ("rawPrediction", "probability", "prediction") if c in out.columns]), "answers"), cells.cuts

@@ -96,7 +96,7 @@ def test_predictions_by_bins_are_those_of_the_model(spark, monkeypatch):
     rows = _three_classes(spark)
     monkeypatch.setattr(spark_ml, "FOREST_ROWS", 0)
     monkeypatch.setattr(spark_ml, "ROWS_PER_ANSWER", 0)
-    for kind, params in [("clf_random_forest", {"n_estimators": 5, "max_depth": 4})]:
+    for kind, params in [("clf_random_forest", {"n_estimators": 5, "max_depth": 4}), ("clf_gbt", {"n_estimators": 5, "max_depth": 3})]:
         m = SparkModel(kind, params).fit(rows, ["p", "q"], "y")
         assert m.answers
         more = rows.unionByName(rows.limit(50).withColumns({"p": F.col("p") * 100, "id": F.col("id") + 1000}))
@@ -124,3 +124,14 @@ def test_more_cells_than_the_limit_go_by_rows(spark, monkeypatch):
     monkeypatch.setattr(binned, "CELLS", 10)
     m = SparkModel("clf_random_forest", {"n_estimators": 3, "max_depth": 3}).fit(rows, ["p", "q"], "y")
     assert m.answers is None and m.transform(rows).where("y = prediction").count() > 400
+
+
+def test_boosted_trees_from_counts_are_those_of_the_rows(spark, monkeypatch):
+    rows = _three_classes(spark)
+    for part in (rows, rows.where("y <> 'c'")):
+        with monkeypatch.context() as own:
+            m, plain = _both(own, part, ["p", "same", "q"], "clf_gbt", {"n_estimators": 6, "max_depth": 3, "learning_rate": 0.3})
+        assert _same(m, plain, part) == part.count()
+        assert (m.calibration is None) == (part is not rows)
+        if m.calibration:
+            assert np.allclose(m.calibration["slope"], plain.calibration["slope"], rtol=1e-6)
