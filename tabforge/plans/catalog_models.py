@@ -524,7 +524,7 @@ for _kind, _params in [("clf_random_forest", {"n_estimators": 100, "max_depth":
                        ("clf_logistic", {"C": 1.0, "max_iter": 100}),
                        ("clf_svm", {"C": 1.0}),
                        ("clf_mlp", {"hidden": 100, "max_iter": 200}),
-                       ("clf_gbt", {"n_estimators": 10, "learning_rate": 0.1})]:
+                       ("clf_gbt", {"n_estimators": 100, "learning_rate": 0.1})]:
     query(_kind)(_clf_query(_kind, _params))
 
 

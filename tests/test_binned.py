@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tabforge.models import binned, spark_ml
 from tabforge.models.spark_ml import SparkModel
+from tabforge.plans import catalog_models
+from tabforge.plans.catalog import QUERIES
 from tabforge.plans.pipeline import Pipeline
 from tabforge.sources import io
 
@@ -135,3 +137,20 @@ def test_boosted_trees_from_counts_are_those_of_the_rows(spark, monkeypatch):
         assert (m.calibration is None) == (part is not rows)
         if m.calibration:
             assert np.allclose(m.calibration["slope"], plain.calibration["slope"], rtol=1e-6)
+
+
+def test_boosted_query_has_the_trees_of_the_reference(spark, monkeypatch):
+    asked = {}
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, *_):
+        asked.update(self.params)
+        raise Seen
+
+    monkeypatch.setattr(SparkModel, "fit", fit)
+    monkeypatch.setattr(catalog_models, "_clf_data", lambda *_: (None, None))
+    with pytest.raises(Seen):
+        QUERIES["clf_gbt"](spark, "")
+    assert asked["n_estimators"] == 100
