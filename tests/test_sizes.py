@@ -1,5 +1,6 @@
 """What changes with the size of a table: limits set low give the same rows as the plain way."""
 import numpy as np
+import pytest
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
@@ -151,3 +152,34 @@ def test_order_statistics_by_columns_are_those_of_the_long_form(spark):
     plain = order_statistics(long, ["__c"], want, buckets=16, collect_limit=20)
     assert order_statistics(long, ["__c"], want, buckets=16, collect_limit=20, columns=(rows, cols)) == plain
     assert quantiles(rows, cols, [0.1, 0.5], method="select") == quantiles(rows, cols, [0.1, 0.5], method="builtin")
+
+
+def test_kernel_classes_side_by_side_reach_the_objective_of_one_by_one(spark, monkeypatch, tmp_path):
+    rows = _two_classes(spark).withColumn("y", F.when(F.col("b") > 9, "top").otherwise(F.col("y"))).withColumns({"a": F.col("a") / 20, "b": F.col("b") / 11})
+    data = rows.select("a", "b", "y").collect()
+
+    def objectives(m, part):
+        w, b, scale = kernel_svm.random_features(2, m.gamma, m.D, m.seed)
+        z = scale * np.cos(np.array([[r.a, r.b] for r in part]) @ w.T + b)
+        models = m.model.models if len(m.classes) > 2 else [m.model]
+        for c, one in zip(m.classes if len(models) > 1 else m.classes[1:], models):
+            t, v = np.where(np.array([r.y for r in part]) == c, 1, -1), one.coefficients.toArray()
+            yield np.maximum(0, 1 - t * (z @ v + one.intercept)).mean() + (v @ v) / (2 * len(part))
+
+    for part, few in ((rows, data), (rows.where("y <> 'top'"), [r for r in data if r.y != "top"])):
+        monkeypatch.setattr(kernel_svm, "STEP_BYTES", 1 << 30)
+        plain = kernel_svm.KernelSVC(kernel="rbf", n_components=20, max_iter=30).fit(part, ["a", "b"], "y")
+        monkeypatch.setattr(kernel_svm, "STEP_BYTES", 0)
+        m = kernel_svm.KernelSVC(kernel="rbf", n_components=20, max_iter=30).fit(part, ["a", "b"], "y")
+        assert plain._margins is None and m._margins is not None
+        for ours, theirs in zip(objectives(m, few), objectives(plain, few)):
+            assert ours <= theirs * 1.02 + 1e-3
+        got = m.transform(part).select("id", "prediction", "prediction_index", F.round(F.element_at("probability", 1), 9).alias("p"))
+        assert got.join(plain.transform(part).select("id", F.col("prediction").alias("q")), "id").where("prediction = q").count() >= 0.97 * len(few)
+        io.save_model(m, Pipeline(), str(tmp_path / f"m{len(few)}"))
+        again, _ = io.load_model(str(tmp_path / f"m{len(few)}"))
+        assert again.transform(part).select("id", "prediction", "prediction_index", F.round(F.element_at("probability", 1), 9).alias("p")).exceptAll(got).isEmpty()
+    with pytest.raises(Exception, match="null"):
+        m.transform(rows.withColumn("b", F.when(F.col("id") > 3, F.col("b")))).select("prediction").collect()
+    with pytest.raises(Exception, match="null"):
+        kernel_svm.KernelSVC(kernel="rbf", n_components=20, max_iter=30).fit(rows.withColumn("b", F.when(F.col("id") > 3, F.col("b"))), ["a", "b"], "y")
