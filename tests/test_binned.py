@@ -154,3 +154,16 @@ def test_boosted_query_has_the_trees_of_the_reference(spark, monkeypatch):
     with pytest.raises(Seen):
         QUERIES["clf_gbt"](spark, "")
     assert asked["n_estimators"] == 100
+
+
+def test_importances_of_a_large_table_come_from_counts(spark, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 40).cast("double").alias("l_quantity"), (F.col("id") * 7 % 1009).cast("double").alias("l_extendedprice"),
+                                    (F.col("id") % 3).cast("double").alias("l_discount"), F.lit(0.0).alias("l_tax"), F.when(F.col("id") % 40 > 20, "A").otherwise("R").alias("l_returnflag"))
+    monkeypatch.setattr(spark_ml, "FOREST_ROWS", 0)
+    monkeypatch.setattr(catalog_models, "_clf_data", lambda *_: (rows, None))
+    fitted = []
+    keep = spark_ml.fit_forest
+    monkeypatch.setattr(spark_ml, "fit_forest", lambda *a: fitted.append(keep(*a)) or fitted[-1])
+    found = {r.Feature: r.Importance for r in QUERIES["feature_importance"](spark, "").collect()}
+    assert fitted[0].getNumTrees == 100 and max(t.depth for t in fitted[0].trees) <= 12
+    assert sum(found.values()) == pytest.approx(1, abs=1e-5) and found["l_quantity"] > 0.6 and found["l_tax"] == 0
